@@ -17,20 +17,22 @@ _NUMBER_PREFIX = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)"
 
 def parse_number(value: Column, default: float = 0.0) -> Column:
     """Number held in dirty text: keep digits, dot and minus, then read the longest number prefix."""
-    kept = F.regexp_replace(value.cast("string"), "[^0-9.-]", "")
-    number = F.regexp_extract(kept, _NUMBER_PREFIX, 0).try_cast("double")
-    return F.coalesce(number, F.lit(float(default)))
+    kept = F.regexp_replace(value.cast("string"), "[^0-9.-]+", "")
+    # The prefix is a valid number or empty, so the cast never has to fail.
+    prefix = F.nullif(F.regexp_extract(kept, _NUMBER_PREFIX, 0), F.lit(""))
+    return F.coalesce(prefix.cast("double"), F.lit(float(default)))
 
 
 def parse_prefix_number(value: Column, default: float = 0.0) -> Column:
     """Number at the start of a text, without removing anything first."""
     text = F.regexp_extract(value.cast("string"), r"^\s*([-+]?([0-9]+\.?[0-9]*|\.[0-9]+))", 1)
-    return F.coalesce(text.try_cast("double"), F.lit(float(default)))
+    return F.coalesce(F.nullif(text, F.lit("")).cast("double"), F.lit(float(default)))
 
 
 def parse_int(value: Column) -> Column:
     """Truncating integer prefix of a text; null when there is none."""
-    return F.regexp_extract(value.cast("string"), r"^\s*([-+]?[0-9]+)", 1).try_cast("int")
+    text = F.regexp_extract(value.cast("string"), r"^\s*([-+]?[0-9]+)", 1)
+    return F.nullif(text, F.lit("")).try_cast("int")
 
 
 def round2(value: Column) -> Column:

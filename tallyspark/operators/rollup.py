@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import money_or_zero
-from ..schemas import AGG_SUMS, AMOUNTS
+from ..schemas import AGG_SUMS, AMOUNTS, SUM_MONEY
 from .validate import computed_net, consistency
 
 MONTH_SKU = ("user_id", "platform", "year", "month", "upload_id", "job_id", "internal_sku")
@@ -17,16 +17,20 @@ def _amount(name: str) -> Column:
     return money_or_zero(F.col(name))
 
 
+def _sum(value: Column, name: str) -> Column:
+    return F.sum(value).cast(SUM_MONEY).alias(name)
+
+
 def month_sku(facts: DataFrame, keys: Sequence[str] = MONTH_SKU, income: str = "all") -> DataFrame:
     """Sums per key. Income is I + J + K, or J alone for the earlier variant (``income="platform"``)."""
     parts = ("recv_customer", "recv_platform", "extra_charge") if income == "all" else ("recv_platform",)
     total = sum((_amount(p) for p in parts[1:]), _amount(parts[0]))
     return facts.groupBy(*keys).agg(
-        F.sum(_amount("qty_sold")).alias("qty_sold_sum"),
-        F.sum(total).alias("income_total_sum"),
-        F.sum(_amount("fee_platform_comm")).alias("fee_platform_comm_sum"),
-        F.sum(_amount("fee_affiliate") + _amount("fee_other")).alias("fee_other_sum"),
-        F.sum(_amount("net_received")).alias("net_received_sum"),
+        _sum(_amount("qty_sold"), "qty_sold_sum"),
+        _sum(total, "income_total_sum"),
+        _sum(_amount("fee_platform_comm"), "fee_platform_comm_sum"),
+        _sum(_amount("fee_affiliate") + _amount("fee_other"), "fee_other_sum"),
+        _sum(_amount("net_received"), "net_received_sum"),
         F.count(F.lit(1)).alias("record_count"),
     )
 
@@ -79,7 +83,7 @@ def merge_duplicates(facts: DataFrame, key: str = "row_key", order: Sequence[str
         F.min_by(F.struct(*attributes), F.struct(*order)).alias("_first"),
         F.max(_amount("qty_sold")).alias("qty_sold"),
         *[F.sum(_amount(n)).alias(n) for n in charges],
-        F.first("net_received").alias("_only_net"),
+        F.max("net_received").alias("_only_net"),
         F.count(F.lit(1)).alias("source_merge_count"),
     )
     net = F.when(F.col("source_merge_count") == 1, F.col("_only_net")).otherwise(computed_net())

@@ -37,28 +37,55 @@ def pick_sku(columns: list[str]) -> Column:
     return first_nonblank([column(h) for h in SKU_HEADERS if h in columns])
 
 
-def amounts(columns: list[str]) -> list[dict[str, Column]]:
-    """Formula columns H to O in three steps, each using only columns of the steps before."""
+def cells(columns: list[str]) -> dict[str, Column]:
+    """The cells that the formulas read, as numbers, by sheet letter. Missing columns count as zero."""
 
     def cell(header: str) -> Column:
         return parse_number(column(header)) if header in columns else F.lit(0.0)
 
-    cells = {f"_{letter}": cell(header) for letter, header in HEADERS.items()}
-    cells["_discounts"] = sum_cleaned(*[column(h) for h in DISCOUNTS.values() if h in columns])
+    numbers = {f"_{letter}": cell(header) for letter, header in HEADERS.items()}
+    numbers["_discounts"] = sum_cleaned(*[column(h) for h in DISCOUNTS.values() if h in columns])
+    return numbers
+
+
+# Amounts from here on do not fit the money type.
+_LIMIT = 1e15
+
+
+def _inputs() -> dict[str, Column]:
     c = F.col
-    ratio = F.when(c("_BI") == 0, F.lit(0.0)).otherwise((c("_BK") + c("_BN") - c("_BT")) / c("_BI"))
-    # A ratio beyond the integers cannot be counted; it becomes null and marks the row as failed.
-    quantity = {"qty_sold": F.when(F.abs(ratio) < 1e18, round_up(ratio))}
-    signed = F.when(
-        (c("qty_sold") > 0) & (c("line_no") == 1), round2(c("_discounts"))
-    ).otherwise(round2(-c("_discounts")))
+    return {
+        "ratio": F.when(c("_BI") == 0, F.lit(0.0)).otherwise((c("_BK") + c("_BN") - c("_BT")) / c("_BI")),
+        "customer": c("_BI") * c("_BM") - c("_BT"),
+        "discounts": c("_discounts"),
+        "freight": c("_AI"),
+        "commission": c("_AS") + c("_AT"),
+        "affiliate": c("_BA"),
+        "insurance": c("_AU"),
+    }
+
+
+def out_of_range() -> Column:
+    """True when a number behind the amounts is too large for the money type."""
+    too_large = F.lit(False)
+    for value in _inputs().values():
+        too_large = too_large | ~F.coalesce(F.abs(value) < _LIMIT, F.lit(False))
+    return too_large
+
+
+def amounts() -> list[dict[str, Column]]:
+    """Formula columns H to O from numbered cells; each step uses columns of the step before."""
+    given, c = _inputs(), F.col
+    quantity = {"qty_sold": round_up(given["ratio"])}
     parts = {
-        "recv_customer": F.when(c("qty_sold") == 0, F.lit(0.0)).otherwise(_in_range(c("_BI") * c("_BM") - c("_BT"))),
-        "recv_platform": signed,
-        "extra_charge": on_first_line(_in_range(c("_AI"))),
-        "fee_platform_comm": on_first_line(_in_range(c("_AS") + c("_AT"))),
-        "fee_affiliate": on_first_line(_in_range(c("_BA"))),
-        "fee_other": on_first_line(_in_range(c("_AU"))),
+        "recv_customer": F.when(c("qty_sold") == 0, F.lit(0.0)).otherwise(round2(given["customer"])),
+        "recv_platform": F.when(
+            (c("qty_sold") > 0) & (c("line_no") == 1), round2(given["discounts"])
+        ).otherwise(round2(-given["discounts"])),
+        "extra_charge": on_first_line(round2(given["freight"])),
+        "fee_platform_comm": on_first_line(round2(given["commission"])),
+        "fee_affiliate": on_first_line(round2(given["affiliate"])),
+        "fee_other": on_first_line(round2(given["insurance"])),
     }
     net = {
         "net_received": round2(
@@ -66,11 +93,7 @@ def amounts(columns: list[str]) -> list[dict[str, Column]]:
             - c("fee_platform_comm") - c("fee_affiliate") - c("fee_other")
         )
     }
-    return [cells, quantity, parts, net]
-
-
-def _in_range(value: Column) -> Column:
-    return F.when(F.abs(value) < 1e15, round2(value))
+    return [quantity, parts, net]
 
 
 def formula_facts(raw: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
@@ -78,45 +101,44 @@ def formula_facts(raw: DataFrame, year: int | None = None, month: int | None = N
 
     ``raw`` has the sheet headers plus source_file, source_line and file_block. The period is the requested
     one, or the month of the settlement time when none is given. Lines are grouped by the order id as written,
-    blanks included; the emitted id is trimmed. A row whose amounts cannot be computed is kept with zero
+    blanks included; the emitted id is trimmed. A row whose amounts are out of range is kept with zero
     amounts and status ``error``.
+
+    Cells are read before lines are numbered, so the shuffle moves numbers instead of text.
     """
-    keyed = raw.withColumn("_order", F.coalesce(column(ORDER).cast("string"), F.lit("")))
-    numbered = number_lines(keyed, ["_order"])
     period = (
         (F.lit(year), F.lit(month)) if year is not None
         else (year_of(column(SETTLE_TIME)), month_of(column(SETTLE_TIME)))
     )
-    rows = numbered.withColumns(
-        {"year": period[0].cast("int"), "month": period[1].cast("int"), "internal_sku": pick_sku(raw.columns)}
-    )
-    for step in amounts(raw.columns):
+    own_sku = F.coalesce(column(SKU_HEADERS[0]), F.lit("")) if SKU_HEADERS[0] in raw.columns else F.lit("")
+    stamps = [n for n in ("user_id", "job_id", "upload_id", "platform") if n in raw.columns]
+    read = raw.select(
+        F.coalesce(column(ORDER).cast("string"), F.lit("")).alias("_order"),
+        period[0].cast("int").alias("year"), period[1].cast("int").alias("month"),
+        pick_sku(raw.columns).alias("_sku"), own_sku.alias("_own_sku"),
+        *[value.alias(name) for name, value in cells(raw.columns).items()],
+        "source_file", "source_line", "file_block", *stamps,
+    ).withColumn("_failed", out_of_range())
+    rows = number_lines(read, ["_order"])
+    for step in amounts():
         rows = rows.withColumns(step)
-    rows = rows.withColumns({name: money(F.col(name)) for name in AMOUNTS})
 
-    failed = F.lit(False)
-    for name in AMOUNTS:
-        failed = failed | F.col(name).isNull()
-    rows = rows.withColumn("_failed", failed)
-    own_sku = F.coalesce(column(SKU_HEADERS[0]), F.lit("")) if SKU_HEADERS[0] in raw.columns else F.lit("")
+    failed = F.col("_failed")
     rows = rows.withColumns(
         {
-            "order_id": F.when(F.col("_failed"), F.col("_order")).otherwise(clean_text(F.col("_order"))),
-            "internal_sku": F.when(F.col("_failed"), own_sku).otherwise(F.col("internal_sku")),
-            **{n: F.when(F.col("_failed"), F.lit(0).cast(MONEY)).otherwise(F.col(n)) for n in AMOUNTS},
+            "order_id": F.when(failed, F.col("_order")).otherwise(clean_text(F.col("_order"))),
+            "internal_sku": F.when(failed, F.col("_own_sku")).otherwise(F.col("_sku")),
+            **{n: F.when(failed, F.lit(0).cast(MONEY)).otherwise(money(F.col(n))) for n in AMOUNTS},
         }
     ).withColumn("fin_code", left_of_dash(F.col("internal_sku")))
-
-    message = F.when(F.col("_failed"), F.lit(FAILED)).otherwise(row_message())
-    rows = rows.withColumn("_message", message).withColumns(
+    rows = rows.withColumn("_message", F.when(failed, F.lit(FAILED)).otherwise(row_message())).withColumns(
         {
-            "validation_status": F.when(F.col("_failed"), F.lit("error"))
+            "validation_status": F.when(failed, F.lit("error"))
             .when(F.col("_message").isNotNull(), F.lit("warn")).otherwise(F.lit("ok")),
             "validation_warnings": F.when(F.col("_message").isNotNull(), F.array("_message")),
             "rule_version": F.lit(RULE_VERSION),
         }
     )
-    stamps = [n for n in ("user_id", "job_id", "upload_id", "platform") if n in raw.columns]
     return rows.select(
         "year", "month", "order_id", "line_count", "line_no", "internal_sku", "fin_code", *AMOUNTS,
         "source_file", "source_line", "rule_version", "validation_status", "validation_warnings", *stamps,

@@ -27,6 +27,7 @@ AGG_COLUMNS = (
 PARTITIONS = ("user_id", "platform", "year", "month", "job_id")
 
 _MONEY = DecimalType(18, 2)
+SUM_MONEY = DecimalType(28, 2)
 
 
 def _struct(**fields) -> StructType:
@@ -44,7 +45,7 @@ FACT_TABLE = _struct(
 AGG_TABLE = _struct(
     platform=StringType(), user_id=StringType(), upload_id=StringType(), job_id=StringType(),
     year=IntegerType(), month=IntegerType(), internal_sku=StringType(),
-    **{name: DecimalType(28, 2) for name in AGG_SUMS},
+    **{name: SUM_MONEY for name in AGG_SUMS},
     record_count=LongType(),
 )
 

@@ -16,12 +16,31 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tallyspark")
         .config("spark.driver.memory", memory)
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
+# Session settings the plans are written for; all can be changed at run time.
+SETTINGS = {
+    # Amounts are exact only if both engines read times in one zone.
+    "spark.sql.session.timeZone": "UTC",
+    # Large joined orders are split at run time, also where that costs one more shuffle.
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Row rules make long generated methods, and the JVM compiles none above this size.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the session settings."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     return spark
 
 
