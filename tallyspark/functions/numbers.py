@@ -99,7 +99,7 @@ def currency_text(value: Column) -> Column:
 
 def number_text(value: Column) -> Column:
     """Thousands separators and up to three decimals."""
-    return F.format_number(value, "#,##0.###")
+    return F.call_function("format_number", value, F.lit("#,##0.###"))
 
 
 def three_segment_qty(qty: Column) -> Column:

@@ -104,9 +104,17 @@ def annotate(facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     ).drop("_message")
 
 
+def computed_once(table: DataFrame) -> DataFrame:
+    """The same rows, with all columns computed before later filters test them.
+
+    A filter on a computed column is otherwise moved below the projection and repeats its whole expression.
+    """
+    return table.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in table.columns]))))
+
+
 def split_valid(facts: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """(facts that pass, warnings of those that do not); the two never share a row."""
-    checked = facts.withColumn("message", row_message(tolerance))
+    checked = computed_once(facts.withColumn("message", row_message(tolerance)))
     warnings = checked.where("message is not null").select(
         "source_file", "source_line",
         F.concat(F.lit("行"), F.col("source_line").cast("string"), F.lit(": "), F.col("message")).alias("message"),

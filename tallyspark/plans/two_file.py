@@ -214,6 +214,17 @@ def unmatched_orders(orders: DataFrame, other: DataFrame, keys: dict[str, str])
     return orders.join(right, on, "left_anti")
 
 
+def match_ratio(orders: DataFrame, other: DataFrame, key: str, other_key: str, by: list[str]) -> DataFrame:
+    """Per group: orders, those without a row in the other file, and their share."""
+    known = other.select(column(other_key).alias("_key")).distinct()
+    joined = orders.join(known, column(key) == F.col("_key"), "left")
+    missed = F.count_if(F.col("_key").isNull())
+    return joined.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("orders"), missed.alias("missed"),
+        (missed / F.count(F.lit(1))).alias("miss_ratio"),
+    )
+
+
 def complete_sku(lines: DataFrame, orders: DataFrame, keys: list[str], sku: str = "internal_sku") -> DataFrame:
     """Fill missing SKUs of settlement lines from the orders; the smallest SKU wins when orders differ."""
     known = orders.where(F.coalesce(F.col(sku), F.lit("")) != "").groupBy(*keys).agg(F.min(sku).alias("_sku"))
