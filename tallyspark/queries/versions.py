@@ -1 +1,301 @@
+"""Merging by key and hash, uploads, jobs and dataset records."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import keys
+from ..operators import versions
+from ..operators.paging import of_period
+from ..operators.validate import duplicate_keys, record_problems as find
+from ..schemas import AGG_UNIQUE, FACT_COLUMNS, FACT_UNIQUE
+from ..session import new_folder
+from ..sources import store
+from . import duck, inputs
+from .aggregates import JOBS
+from .registry import query
+
+# The row index: every line was appended once, in file order; keys repeat, so later lines replace earlier ones.
+_LOG = [
+    ("dataset_id", "concat('dataset-', l_suppkey % 4)"), ("upload_id", "concat('ULP-', l_returnflag)"),
+    ("row_key", "concat_ws(':', 'douyin', l_orderkey, concat('B', l_partkey % 5))"),
+    ("row_hash", "concat('h', cast(l_quantity as bigint) % 7)"),
+]
+# A second upload of the same lines: some unchanged, some with another quantity, some with a new key.
+_INCOMING = [
+    ("dataset_id", "concat('dataset-', l_suppkey % 4)"), ("upload_id", "'ULP-new'"),
+    ("row_key", "concat_ws(':', 'douyin', l_orderkey, concat('B', case when l_linenumber = 6 then 9 else l_partkey % 5 end))"),
+    ("row_hash", "concat('h', (cast(l_quantity as bigint) + case when l_linenumber = 1 then 1 else 0 end) % 7)"),
+]
+_BASE = f"""with log as (select row_number() over () as seq, {duck.select(_LOG)} from lineitem),
+incoming as (select row_number() over () + 1000000000000 as seq, {duck.select(_INCOMING)} from lineitem),
+latest as (select dataset_id, row_key, arg_max(upload_id, seq) as upload_id, arg_max(row_hash, seq) as row_hash, max(seq) as seq
+  from log group by 1, 2),
+acted as (select i.*, case when l.row_key is null then 'inserted' when l.row_hash <> i.row_hash then 'updated' else 'unchanged' end as action
+  from incoming i left join latest l on i.dataset_id = l.dataset_id and i.row_key = l.row_key)"""
+
+
+def log(spark, sf_dir):
+    return inputs.derive(inputs.lineitem(spark, sf_dir), _LOG).select(
+        F.col("source_line").alias("seq"), *[n for n, _ in _LOG])
+
+
+def incoming(spark, sf_dir):
+    return inputs.derive(inputs.lineitem(spark, sf_dir), _INCOMING).select(
+        (F.col("source_line") + 1_000_000_000_000).alias("seq"), *[n for n, _ in _INCOMING])
+
+
+@query("j4_merge_stats", f"{_BASE}\nselect action, count(*) as rows from acted group by action")
+def merge_stats(spark, sf_dir):
+    return versions.merge_stats(incoming(spark, sf_dir), log(spark, sf_dir))
+
+
+@query("j5_w5_effective_rows", f"{_BASE}\nselect * from latest")
+def effective_rows(spark, sf_dir):
+    return versions.effective_rows(log(spark, sf_dir))
+
+
+@query("j6_existing_rows", f"{_BASE}\nselect i.* from incoming i join latest l on i.dataset_id = l.dataset_id "
+       "and i.row_key = l.row_key and i.row_hash = l.row_hash")
+def existing_rows(spark, sf_dir):
+    return versions.existing_rows(incoming(spark, sf_dir), log(spark, sf_dir))
+
+
+@query("u2_merge_upsert", f"""{_BASE}, merged as (select seq, dataset_id, upload_id, row_key, row_hash from log union all
+  select seq, dataset_id, upload_id, row_key, row_hash from acted where action <> 'unchanged')
+select dataset_id, row_key, arg_max(upload_id, seq) as upload_id, arg_max(row_hash, seq) as row_hash, max(seq) as seq
+from merged group by 1, 2""")
+def merge_upsert(spark, sf_dir):
+    return versions.effective_rows(versions.merge_upsert(log(spark, sf_dir), incoming(spark, sf_dir)))
+
+
+@query("g5_view_uploads", f"{_BASE}\nselect distinct dataset_id, upload_id from latest")
+def view_uploads(spark, sf_dir):
+    return versions.view_uploads(versions.effective_rows(log(spark, sf_dir)))
+
+
+@query("s13_view_report", f"{_BASE}\nselect dataset_id, count(*) as row_count, count(distinct upload_id) as uploads from latest group by 1")
+def view_report(spark, sf_dir):
+    return versions.view_report(versions.effective_rows(log(spark, sf_dir)), ["dataset_id"])
+
+
+_UPLOADS = [("id", "concat('ULP-', doc_id)"), ("user_id", "source"), ("platform", "lang"), ("file_type", "'settlement'"),
+            ("uploaded_at", "doc_id * 60")]
+_UPLOAD_ROWS = f"with u as (select {duck.select(_UPLOADS)}, sha256(text) as content_hash from documents)"
+_UPLOAD_KEY = ["user_id", "platform", "file_type", "content_hash"]
+
+
+def uploads(spark, sf_dir):
+    documents = inputs.spread(inputs.read(spark, sf_dir, "documents"), "doc_id")
+    return documents.select(*[F.expr(e).alias(n) for n, e in _UPLOADS], F.sha2("text", 256).alias("content_hash"))
+
+
+@query("j9_w6_upload_duplicates", f"{_UPLOAD_ROWS}\nselect id, first_value(id) over w as first_id, "
+       "row_number() over w > 1 as is_duplicate from u window w as (partition by user_id, platform, file_type, content_hash "
+       "order by uploaded_at, id)")
+def upload_duplicates(spark, sf_dir):
+    marked = versions.mark_duplicates(uploads(spark, sf_dir), _UPLOAD_KEY, ["uploaded_at", "id"])
+    return marked.select("id", "first_id", "is_duplicate")
+
+
+@query("j9_content_duplicates", f"{_UPLOAD_ROWS}\nselect content_hash, count(*) as copies from u group by 1 having count(*) > 1")
+def content_duplicates(spark, sf_dir):
+    return duplicate_keys(uploads(spark, sf_dir), ["content_hash"]).withColumnRenamed("rows", "copies")
+
+
+_PERIOD = [("user_id", "concat('U', user_id)"), ("dataset_id", "case when user_id % 10 = 3 then nullif('', '') else concat('dataset-', user_id) end")]
+_JOB_ROWS = (f"with j as (select {duck.select([(n, e) for n, e in JOBS if n != 'user_id'])}, {duck.select(_PERIOD)} from events), "
+             "d as (select distinct concat('dataset-', user_id) as dataset_id from events where user_id % 2 = 0)")
+
+
+def _jobs(spark, sf_dir):
+    columns = [(n, e) for n, e in JOBS if n != "user_id"] + _PERIOD
+    return inputs.read(spark, sf_dir, "events").select(*[F.expr(e).alias(n) for n, e in columns])
+
+
+@query("j11_g13_job_backfill", f"""{_JOB_ROWS}, done as (select distinct dataset_id, id as job_id from j
+  where status in ('completed', 'succeeded') and dataset_id is not null)
+select dataset_id, job_id, max(job_id) over (partition by dataset_id) as latest_job_id,
+  count(*) over (partition by dataset_id) as job_count from done where dataset_id in (select dataset_id from d)""")
+def job_backfill(spark, sf_dir):
+    jobs = _jobs(spark, sf_dir).withColumnRenamed("id", "job_id")
+    datasets = inputs.read(spark, sf_dir, "events").where("user_id % 2 = 0").select(
+        F.concat(F.lit("dataset-"), F.col("user_id").cast("string")).alias("dataset_id"))
+    return versions.job_backfill(jobs, datasets)
+
+
+# One record per user, platform and month, in stored order; some ids are stored more than once.
+_RECORDS = [
+    ("seq", "o_orderkey"), ("user_id", "concat('U', o_custkey)"),
+    ("platform", "case when o_orderkey % 2 = 0 then 'douyin' else 'xiaohongshu' end"),
+    ("year", "cast(year(o_orderdate) as integer)"), ("month", "cast(month(o_orderdate) as integer)"),
+    ("upload_id", "concat('ULP-', o_orderkey)"),
+    ("status", "case when o_orderstatus = 'F' then 'superseded' else 'active' end"),
+    ("created_at", "concat('', cast(o_orderdate as date))"), ("updated_at", "concat('', cast(o_orderdate as date))"),
+    ("job_id", "concat('job-', o_orderkey)"),
+]
+_ID = "'dataset-' || substr(sha256(concat_ws(':', user_id, platform, year, month)), 1, 8)"
+_RECORD_ROWS = f"r as (select *, {_ID} as id from (select {duck.select(_RECORDS)} from orders))"
+
+
+def records(spark, sf_dir):
+    plain = inputs.spread(inputs.read(spark, sf_dir, "orders"), "o_orderkey").select(
+        *[F.expr(e).alias(n) for n, e in _RECORDS])
+    return plain.withColumn("id", keys.dataset_id(F.col("user_id"), F.col("platform"), F.col("year"), F.col("month")))
+
+
+_FIELDS = [n for n, _ in _RECORDS]
+
+
+@query("w7_first_record_per_id", f"with {_RECORD_ROWS}\nselect id, {', '.join(_FIELDS)} from (select *, row_number() over "
+       "(partition by id order by seq) as rn from r) where rn = 1")
+def first_records(spark, sf_dir):
+    return versions.first_rows(records(spark, sf_dir), ["id"], ["seq"])
+
+
+@query("j3_active_datasets", f"with {_RECORD_ROWS}, q as (select distinct concat('U', c_custkey) as user_id, 'douyin' as platform, "
+       "cast(1997 as integer) as year, cast(c_nationkey % 12 + 1 as integer) as month from customer)\n"
+       "select r.id, r.seq from r join q using (user_id, platform, year, month) where status = 'active'")
+def active_datasets(spark, sf_dir):
+    requests = inputs.read(spark, sf_dir, "customer").select(
+        F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("user_id"), F.lit("douyin").alias("platform"),
+        F.lit(1997).alias("year"), (F.col("c_nationkey") % 12 + 1).cast("int").alias("month"))
+    return versions.active_datasets(records(spark, sf_dir), requests).select("id", "seq")
+
+
+_AT = "2025-01-01"
+
+
+@query("u6_upsert_datasets", f"""with {_RECORD_ROWS}, old as (select * from (select *, row_number() over (partition by id order by seq) as rn
+  from r where month <> 12) where rn = 1),
+new as (select * from (select *, row_number() over (partition by id order by seq desc) as rn from r where month > 6) where rn = 1)
+select coalesce(old.id, new.id) as id, coalesce(old.user_id, new.user_id) as user_id, coalesce(old.platform, new.platform) as platform,
+  coalesce(old.year, new.year) as year, coalesce(old.month, new.month) as month, coalesce(new.upload_id, old.upload_id) as upload_id,
+  case when new.id is not null then 'active' else old.status end as status, coalesce(old.created_at, '{_AT}') as created_at,
+  case when new.id is not null then '{_AT}' else old.updated_at end as updated_at, coalesce(new.job_id, old.job_id) as job_id,
+  case when old.job_id = new.job_id then old.job_id else concat_ws(',', old.job_id, new.job_id) end as job_ids
+from old full join new on old.id = new.id""")
+def upsert_datasets(spark, sf_dir):
+    all_records = records(spark, sf_dir).withColumn("job_ids", F.array("job_id"))
+    new = all_records.where("month > 6").withColumn("_back", -F.col("seq"))
+    last = versions.first_rows(new, ["id"], ["_back"]).select(
+        "id", "user_id", "platform", "year", "month", "upload_id", "job_id", "job_ids")
+    merged = versions.upsert_datasets(all_records.where("month <> 12"), last, F.lit(_AT))
+    return merged.withColumn("job_ids", F.concat_ws(",", "job_ids"))
+
+
+_HIT = "(select min(id) from r)"
+
+
+@query("u5_supersede", f"""with {_RECORD_ROWS}
+select seq, case when id = {_HIT} then 'superseded' else status end as status,
+  case when id = {_HIT} then '{_AT}' else updated_at end as updated_at,
+  case when id = {_HIT} then '{_AT}' end as superseded_at, case when id = {_HIT} then 'manual-clear' end as superseded_by from r""")
+def supersede(spark, sf_dir):
+    stored = records(spark, sf_dir).withColumns(
+        {"superseded_at": F.lit(None).cast("string"), "superseded_by": F.lit(None).cast("string")})
+    chosen = stored.agg(F.min("id")).first()[0]
+    done = versions.supersede(stored, F.lit(chosen), F.lit("manual-clear"), F.lit(_AT))
+    return done.select("seq", "status", "updated_at", "superseded_at", "superseded_by")
+
+
+@query("u3_replace_period", duck.with_facts(
+    f"select {duck.FACT_LIST}, job_id from facts where not ({duck.PERIOD}) "
+    f"union all select {duck.FACT_LIST}, 'job-new' as job_id from facts where {duck.PERIOD} and internal_sku <> ''"))
+def replace_period(spark, sf_dir):
+    facts = inputs.stored_facts(spark, sf_dir)
+    period = of_period(facts, inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER)
+    fresh = period.where("internal_sku <> ''").withColumn("job_id", F.lit("job-new"))
+    return versions.replace_periods(facts, fresh).select(*FACT_COLUMNS, "job_id")
+
+
+@query("u3_replace_partitions", duck.with_facts(
+    f"select year, month, user_id, job_id, count(*) as rows from facts "
+    f"where not ({duck.PERIOD} and job_id = 'job-1' and internal_sku = '') group by all"))
+def replace_partitions(spark, sf_dir):
+    root = new_folder(spark, "replaced")
+    facts = inputs.stored_facts(spark, sf_dir)
+    store.write_facts(facts, root)
+    period = of_period(facts, inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER)
+    fresh = period.where("job_id = 'job-1' and internal_sku <> ''")
+    store.write_facts(fresh, root, replace_only_written=True)
+    return store.read_facts(spark, root).groupBy("year", "month", "user_id", "job_id").agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+@query("u4_clear_period", duck.with_facts(
+    f"select year, month, user_id, job_id, count(*) as rows from facts where not ({duck.PERIOD}) group by all"))
+def clear_period(spark, sf_dir):
+    kept = versions.clear_period(
+        inputs.stored_facts(spark, sf_dir), inputs.USER, inputs.PLATFORM, inputs.YEAR, inputs.MONTH)
+    return kept.groupBy("year", "month", "user_id", "job_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_TABLE = ("l_orderkey", "l_partkey", "l_returnflag")
+
+
+@query("u7_table_difference", """with a as (select l_orderkey, l_partkey, l_returnflag from lineitem),
+e as (select l_orderkey, l_partkey, case when l_linenumber = 7 then 'X' else l_returnflag end as l_returnflag from lineitem where l_linenumber <> 6),
+b as (select *, 1 as x, 0 as y from a union all select *, 0, 1 from e)
+select l_orderkey, l_partkey, l_returnflag, cast(sum(x) as bigint) as actual, cast(sum(y) as bigint) as expected from b group by 1, 2, 3
+having sum(x) <> sum(y)""")
+def table_difference(spark, sf_dir):
+    lines = inputs.read(spark, sf_dir, "lineitem")
+    changed = lines.where("l_linenumber <> 6").withColumn(
+        "l_returnflag", F.when(F.col("l_linenumber") == 7, F.lit("X")).otherwise(F.col("l_returnflag")))
+    return versions.table_difference(lines.select(*_TABLE), changed.select(*_TABLE))
+
+
+@query("u7_line_difference", """with a as (select row_number() over () as line, concat_ws(',', l_orderkey, l_returnflag) as text from lineitem),
+e as (select line, case when line % 100 = 0 then text || 'x' else text end as text from a where line % 1000 <> 1)
+select a.line, a.text as actual, e.text as expected from a full join e on a.line = e.line where a.text is distinct from e.text""")
+def line_difference(spark, sf_dir):
+    actual = inputs.lineitem(spark, sf_dir).select(
+        F.col("source_line").alias("line"), F.concat_ws(",", F.col("l_orderkey").cast("string"), "l_returnflag").alias("text"))
+    expected = actual.where("line % 1000 <> 1").withColumn(
+        "text", F.when(F.col("line") % 100 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    return versions.line_difference(actual, expected)
+
+
+_OLD = [
+    ("id", "case when c_custkey % 5 = 0 then concat('old-', c_custkey) else concat('ULP-', c_custkey) end"),
+    ("user_id", "c_mktsegment"), ("content_hash", "case when c_custkey % 3 = 0 then concat('n', c_custkey) when c_custkey % 3 = 1 then '' else nullif('', '') end"),
+    ("contenthash", "concat('o', c_custkey)"), ("file_name", "case when c_custkey % 2 = 0 then concat(c_name, '.csv') else nullif('', '') end"),
+    ("original_filename", "concat(c_name, '.orig.csv')"),
+]
+
+
+@query("u9_migrate_uploads", f"""with o as (select {duck.select(_OLD)} from customer)
+select id, user_id, coalesce(nullif(content_hash, ''), contenthash) as content_hash, coalesce(nullif(file_name, ''), original_filename) as file_name,
+  original_filename from o where starts_with(id, 'ULP-')""")
+def migrate_uploads(spark, sf_dir):
+    return versions.migrate_uploads(inputs.read(spark, sf_dir, "customer").select(*[F.expr(e).alias(n) for n, e in _OLD]))
+
+
+@query("v11_record_problems", f"""with o as (select {duck.select(_OLD)} from customer)
+select id, concat_ws(',', case when content_hash is null then 'content_hash' end, case when file_name is null then 'file_name' end, 'object_key') as missing,
+  concat_ws(',', case when contenthash is not null then 'contenthash' end) as legacy, starts_with(id, 'ULP-') as id_ok from o""")
+def record_problems(spark, sf_dir):
+    stored = inputs.read(spark, sf_dir, "customer").select(*[F.expr(e).alias(n) for n, e in _OLD])
+    found = find(stored, ["id", "user_id", "content_hash", "file_name", "object_key"], ["contenthash", "stored_path"], "ULP-")
+    return found.select("id", F.concat_ws(",", "missing_fields").alias("missing"),
+                        F.concat_ws(",", "legacy_fields").alias("legacy"), "id_ok")
+
+
+@query("v6_duplicate_fact_keys", duck.with_facts(
+    "select platform, year, month, order_id, internal_sku, line_no, count(*) as rows from facts group by all having count(*) > 1"))
+def duplicate_fact_keys(spark, sf_dir):
+    return duplicate_keys(inputs.stored_facts(spark, sf_dir), FACT_UNIQUE)
+
+
+@query("v6_duplicate_agg_keys", duck.with_rollup(
+    "select platform, year, month, internal_sku, count(*) as rows from rollup_rows group by all having count(*) > 1"))
+def duplicate_agg_keys(spark, sf_dir):
+    return duplicate_keys(inputs.stored_rollup(spark, sf_dir), AGG_UNIQUE)
+
+
+@query("v10_tenant_rows", duck.with_facts(
+    f"select user_id, count(*) as rows from facts where {duck.PERIOD} group by all"))
+def tenant_rows(spark, sf_dir):
+    rows = of_period(inputs.stored_facts(spark, sf_dir), inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER)
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
