@@ -282,10 +282,19 @@ def record_problems(spark, sf_dir):
                         F.concat_ws(",", "legacy_fields").alias("legacy"), "id_ok")
 
 
-@query("v6_duplicate_fact_keys", duck.with_facts(
-    "select platform, year, month, order_id, internal_sku, line_no, count(*) as rows from facts group by all having count(*) > 1"))
-def duplicate_fact_keys(spark, sf_dir):
-    return duplicate_keys(inputs.stored_facts(spark, sf_dir), FACT_UNIQUE)
+@query("v6_fact_keys_unique", duck.with_facts(
+    "select count(*) as duplicates, (select count(*) from facts) as rows from (select 1 from facts "
+    "group by platform, year, month, order_id, internal_sku, line_no having count(*) > 1)"))
+def fact_keys_unique(spark, sf_dir):
+    facts = inputs.stored_facts(spark, sf_dir)
+    doubled = duplicate_keys(facts, FACT_UNIQUE).agg(F.count(F.lit(1)).alias("duplicates"), F.lit(0).cast("bigint").alias("rows"))
+    counted = facts.agg(F.lit(0).cast("bigint").alias("duplicates"), F.count(F.lit(1)).alias("rows"))
+    return doubled.unionByName(counted).agg(F.sum("duplicates").alias("duplicates"), F.sum("rows").alias("rows"))
+
+
+@query("v6_duplicate_row_keys", f"{_BASE}\nselect dataset_id, row_key, count(*) as rows from log group by 1, 2 having count(*) > 1")
+def duplicate_row_keys(spark, sf_dir):
+    return duplicate_keys(log(spark, sf_dir), versions.KEY)
 
 
 @query("v6_duplicate_agg_keys", duck.with_rollup(
