@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.rollup import month_sku, operations
-from ..operators.versions import merge_actions
+from ..operators.versions import effective_rows, merge_actions
 from ..plans.ingest import fact_table, settlement_facts, stamp
 from ..sources.sheets import FIRST_LINE, csv_options, with_source_lines
 from ..sources.store import read_table, write_facts
@@ -64,6 +64,7 @@ def ingest(
 def upsert(incoming: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Append inserted and updated rows of the stream to the row index; read it through effective_rows.
 
+    Only the last row per key of a batch counts, so the outcome does not depend on how rows fall into batches.
     ``incoming`` has dataset_id, upload_id, row_key, row_hash and seq.
     """
     schema = incoming.schema
@@ -72,7 +73,8 @@ def upsert(incoming: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
         spark = rows.sparkSession
         with_batch = StructType([*schema.fields, StructField("batch", StringType())])
         log = read_table(spark, root, with_batch).where(F.col("batch").cast("bigint") < batch).drop("batch")
-        changed = merge_actions(rows, log).where("action <> 'unchanged'").select(*schema.fieldNames())
+        last = effective_rows(rows)
+        changed = merge_actions(last, log).where("action <> 'unchanged'").select(*schema.fieldNames())
         _replace_batch(changed, root, batch)
 
     return _run(incoming, each, checkpoint, "append")

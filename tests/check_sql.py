@@ -57,7 +57,8 @@ def compare(spark, con, run, sql, sf_dir):
     odd = {n: (spark_types[n], types[n]) for n in names if same.get(spark_types[n]) != types[n]}
     a, b = normal_rows(frame.columns, got), normal_rows(names, want)
     if a != b:
-        only_a, only_b = [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3]
+        set_a, set_b = set(a), set(b)
+        only_a, only_b = [x for x in a if x not in set_b][:3], [x for x in b if x not in set_a][:3]
         return f"{len(a)} / {len(b)} rows; spark {only_a} sql {only_b}"
     if not a:
         return "both empty"
