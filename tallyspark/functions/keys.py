@@ -37,8 +37,8 @@ def row_key(platform: Column, order_id: Column, sku: Column, line_no: Column | N
 
 
 def _json_text(value: Column) -> Column:
-    quoted = F.to_json(F.array(value))
-    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    # The list brackets go; a text always stands in quotes, so its own brackets stay.
+    return F.btrim(F.to_json(F.array(value)), F.lit("[]"))
 
 
 def _json_value(name: str, kind: str) -> Column:

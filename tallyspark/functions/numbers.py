@@ -12,15 +12,19 @@ MONEY = DecimalType(18, 2)
 # Fixed value: the distance from 1.0 to the next double, added before rounding.
 EPSILON = 2.220446049250313e-16
 
+_PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]*)?$"
 _NUMBER_PREFIX = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)"
 
 
 def parse_number(value: Column, default: float = 0.0) -> Column:
     """Number held in dirty text: keep digits, dot and minus, then read the longest number prefix."""
-    kept = F.regexp_replace(value.cast("string"), "[^0-9.-]+", "")
-    # The prefix is a valid number or empty, so the cast never has to fail.
+    text = value.cast("string")
+    # Most cells are plain numbers and need no cleaning. The others are cleaned to a valid number or to nothing,
+    # so no cast ever has to fail.
+    kept = F.regexp_replace(text, "[^0-9.-]+", "")
     prefix = F.nullif(F.regexp_extract(kept, _NUMBER_PREFIX, 0), F.lit(""))
-    return F.coalesce(prefix.cast("double"), F.lit(float(default)))
+    number = F.when(text.rlike(_PLAIN_NUMBER), text.cast("double")).otherwise(prefix.cast("double"))
+    return F.coalesce(number, F.lit(float(default)))
 
 
 def parse_prefix_number(value: Column, default: float = 0.0) -> Column:
@@ -89,7 +93,7 @@ def fixed2_text(value: Column) -> Column:
 
 def shortest_text(value: Column) -> Column:
     """Shortest decimal text of a money value: 100.00 becomes 100, 0.50 becomes 0.5."""
-    return F.regexp_replace(value.cast(MONEY).cast("string"), r"\.?0*$", "")
+    return F.rtrim(F.rtrim(value.cast(MONEY).cast("string"), F.lit("0")), F.lit("."))
 
 
 def currency_text(value: Column) -> Column:
