@@ -15,10 +15,14 @@ BLOCK_ROWS = 1_000_000
 
 
 def with_file_position(parquet: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add source_file, source_line (from 1) and file_block to a Parquet scan."""
+    """Add source_path, source_file, source_line (from 1) and file_block to a Parquet scan.
+
+    Names may repeat in different folders, so files are told apart by their path.
+    """
     row = F.col("_metadata.row_index")
     return parquet.select(
         "*",
+        F.col("_metadata.file_path").alias("source_path"),
         F.col("_metadata.file_name").alias("source_file"),
         (row + 1).alias("source_line"),
         F.floor(row / block_rows).alias("file_block"),
@@ -28,11 +32,11 @@ def with_file_position(parquet: DataFrame, block_rows: int = BLOCK_ROWS) -> Data
 def number_lines(
     lines: DataFrame,
     keys: Sequence[str],
-    blocks: Sequence[str] = ("source_file", "file_block"),
+    blocks: Sequence[str] = ("source_path", "file_block"),
     position: str = "source_line",
     first_of: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add line_no (from 1) and line_count per key, in (blocks, position) order.
+    """Add line_no (from 1) and line_count per key, in (blocks, position) order: file by file, then by line.
 
     ``first_of`` maps new column names to columns whose value on line 1 every line of the key receives.
     Key columns must not be null.

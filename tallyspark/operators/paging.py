@@ -83,10 +83,16 @@ def newest_first(records: DataFrame, time: str, limit: int, offset: int = 0, tie
     return page(records, [F.col(time).desc_nulls_last(), F.col(tie).asc()], limit, offset)
 
 
-def sorted_by(table: DataFrame, name: str, descending: bool = False, locale: bool = False) -> DataFrame:
-    """Sort by one column; texts optionally in locale order."""
+def sorted_by(
+    table: DataFrame, name: str, descending: bool = False, locale: bool = False, ties: Sequence[str] = ()
+) -> DataFrame:
+    """Sort by one column; texts optionally in locale order.
+
+    Equal values are put in the order of ``ties``, which also lets a value that fills many rows be split over
+    tasks.
+    """
     key = F.collate(F.col(name), "UNICODE") if locale else F.col(name)
-    return table.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last())
+    return table.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), *ties)
 
 
 def by_id(records: DataFrame, value: str, name: str = "id") -> DataFrame:

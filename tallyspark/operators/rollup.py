@@ -113,15 +113,19 @@ def facets(datasets: DataFrame, user: str, platform: str | None = None, year: in
     Years are those of the platform if one is given; months need both platform and year.
     """
     active = datasets.where((F.col("user_id") == user) & (F.col("status") == "active"))
-    in_platform = active.where(F.col("platform") == platform) if platform is not None else active
-    found = active.select(F.lit("platform").alias("facet"), F.col("platform").alias("value"))
-    found = found.unionByName(in_platform.select(F.lit("year").alias("facet"), F.col("year").cast("string").alias("value")))
-    if platform is not None and year is not None:
-        months = in_platform.where(F.col("year") == year)
-        found = found.unionByName(
-            months.select(F.lit("month").alias("facet"), F.lpad(F.col("month").cast("string"), 2, "0").alias("value"))
-        )
-    return found.distinct()
+    in_platform = F.lit(True) if platform is None else F.col("platform") == platform
+    in_year = F.lit(False) if platform is None or year is None else in_platform & (F.col("year") == year)
+
+    def entry(facet: str, value: Column) -> Column:
+        return F.struct(F.lit(facet).alias("facet"), value.alias("value"))
+
+    # One pass: each record offers up to three entries, and equal ones meet before the shuffle.
+    found = active.select(F.inline(F.array(
+        entry("platform", F.col("platform")),
+        entry("year", F.when(in_platform, F.col("year").cast("string"))),
+        entry("month", F.when(in_year, F.lpad(F.col("month").cast("string"), 2, "0"))),
+    )))
+    return found.where("value is not null").distinct()
 
 
 def operations(jobs: DataFrame, width: str = "1 minute", accuracy: int = 100_000) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .joins import join_one, known_keys
+
 KEY = ("dataset_id", "row_key")
 
 
@@ -39,7 +41,7 @@ def merge_actions(incoming: DataFrame, log: DataFrame) -> DataFrame:
         .when(F.col("_known") != F.col("row_hash"), F.lit("updated"))
         .otherwise(F.lit("unchanged"))
     )
-    return incoming.join(known, list(KEY), "left").withColumn("action", action).drop("_known")
+    return join_one(incoming, known, KEY).withColumn("action", action).drop("_known")
 
 
 def merge_stats(incoming: DataFrame, log: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def merge_upsert(log: DataFrame, incoming: DataFrame) -> DataFrame:
 def existing_rows(incoming: DataFrame, log: DataFrame) -> DataFrame:
     """Incoming rows whose key and hash match the effective row."""
     latest = log.groupBy(*KEY).agg(F.max_by("row_hash", "seq").alias("row_hash"))
-    return incoming.join(latest, [*KEY, "row_hash"], "left_semi")
+    return join_one(incoming, latest, [*KEY, "row_hash"], "left_semi")
 
 
 def view_uploads(effective: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def view_report(effective: DataFrame, by: Sequence[str]) -> DataFrame:
 def mark_duplicates(uploads: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add first_id and is_duplicate: every upload but the first with its key is a duplicate."""
     first = uploads.groupBy(*keys).agg(F.min_by("id", F.struct(*order)).alias("first_id"))
-    return uploads.join(first, list(keys)).withColumn("is_duplicate", F.col("id") != F.col("first_id"))
+    return join_one(uploads, first, keys, "inner").withColumn("is_duplicate", F.col("id") != F.col("first_id"))
 
 
 def missing_files(uploaded: DataFrame, required: DataFrame) -> DataFrame:
@@ -84,7 +86,8 @@ def missing_files(uploaded: DataFrame, required: DataFrame) -> DataFrame:
     a few rows whatever the data size, hence the broadcast.
     """
     wanted = uploaded.select("upload_id", "platform").distinct().join(F.broadcast(required), "platform")
-    return wanted.join(uploaded, ["upload_id", "platform", "file_type"], "left_anti")
+    key = ["upload_id", "platform", "file_type"]
+    return join_one(wanted, known_keys(uploaded, key), key, "left_anti")
 
 
 def job_backfill(jobs: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -95,14 +98,14 @@ def job_backfill(jobs: DataFrame, datasets: DataFrame) -> DataFrame:
     latest = done.groupBy("dataset_id").agg(
         F.max("job_id").alias("latest_job_id"), F.count(F.lit(1)).alias("job_count")
     )
-    known = latest.join(datasets.select("dataset_id").distinct(), "dataset_id", "left_semi")
-    return done.join(known, "dataset_id")
+    known = join_one(latest, known_keys(datasets, ["dataset_id"]), ["dataset_id"], "left_semi")
+    return join_one(done, known, ["dataset_id"], "inner")
 
 
 def active_datasets(datasets: DataFrame, requests: DataFrame) -> DataFrame:
     """Active datasets asked for by user, platform, year and month."""
     period = ["user_id", "platform", "year", "month"]
-    return datasets.where("status = 'active'").join(requests, period, "left_semi")
+    return join_one(datasets.where("status = 'active'"), known_keys(requests, period), period, "left_semi")
 
 
 def latest_job(job_id: Column, job_ids: Column) -> Column:
@@ -165,8 +168,8 @@ def clear_period(facts: DataFrame, user: str, platform: str, year: int, month: i
 def replace_periods(facts: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows in place of everything their tenant, platform and month held before."""
     period = ["user_id", "platform", "year", "month"]
-    periods = incoming.select(*period).distinct()
-    return facts.join(periods, period, "left_anti").unionByName(incoming.select(*facts.columns))
+    kept = join_one(facts, known_keys(incoming, period), period, "left_anti")
+    return kept.unionByName(incoming.select(*facts.columns))
 
 
 def table_difference(actual: DataFrame, expected: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def amounts() -> list[dict[str, Column]]:
 def formula_facts(raw: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
     """Numbered raw lines to facts; every row is kept.
 
-    ``raw`` has the sheet headers plus source_file, source_line and file_block. The period is the requested
+    ``raw`` has the sheet headers plus source_path, source_file, source_line and file_block. The period is the requested
     one, or the month of the settlement time when none is given. Lines are grouped by the order id as written,
     blanks included; the emitted id is trimmed. A row whose amounts are out of range is kept with zero
     amounts and status ``error``.
@@ -117,7 +117,7 @@ def formula_facts(raw: DataFrame, year: int | None = None, month: int | None = N
         period[0].cast("int").alias("year"), period[1].cast("int").alias("month"),
         pick_sku(raw.columns).alias("_sku"), own_sku.alias("_own_sku"),
         *[value.alias(name) for name, value in cells(raw.columns).items()],
-        "source_file", "source_line", "file_block", *stamps,
+        "source_path", "source_file", "source_line", "file_block", *stamps,
     ).withColumn("_failed", out_of_range())
     rows = number_lines(read, ["_order"])
     for step in amounts():

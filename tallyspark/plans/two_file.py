@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numbers import money, parse_int, parse_prefix_number, round2
 from ..functions.periods import in_period, to_time
 from ..functions.text import column, first_filled
+from ..operators.joins import join_one, known_keys
 from ..operators.validate import closure_holds
 
 # Status and expense words of the exports, and the headers each file must have.
@@ -112,6 +113,7 @@ def wechat_orders(orders: DataFrame, year: int, month: int) -> DataFrame:
 def settled_totals(settlements: DataFrame) -> DataFrame:
     """Commission and settlement amount of the settled rows, one row per order."""
     return settlements.where(column("结算状态") == SETTLED).groupBy(column("订单编号").alias("_order")).agg(
+        F.lit(True).alias("_found"),
         F.sum(money(round2(parse_prefix_number(column("佣金"))))).cast("double").alias("_commission"),
         F.sum(money(round2(parse_prefix_number(column("结算金额"))))).cast("double").alias("_settled"),
     )
@@ -123,8 +125,9 @@ def xiaohongshu_orders(orders: DataFrame, settlements: DataFrame, year: int, mon
     The totals hold one row per order, so a large order on the left never multiplies.
     """
     kept, _ = split_period(orders, "xiaohongshu", "订单编号", year, month)
-    joined = kept.join(settled_totals(settlements), column("订单编号") == F.col("_order"), "left").withColumns(
-        {"matched": F.col("_order").isNotNull(),
+    keyed = kept.withColumn("_order", column("订单编号"))
+    joined = join_one(keyed, settled_totals(settlements), ["_order"]).withColumns(
+        {"matched": F.col("_found").isNotNull(),
          "_commission": F.coalesce("_commission", F.lit(0.0)),
          "_settled": F.coalesce("_settled", F.lit(0.0))}
     )
@@ -177,6 +180,7 @@ def finance_totals(finance: DataFrame) -> DataFrame:
     """Classified fees, one row per order and sub-order."""
     commission, platform, other = classified_fees()
     return finance.groupBy(column("订单号").alias("_order"), sub_order().alias("_sub")).agg(
+        F.lit(True).alias("_found"),
         F.sum(money(round2(commission))).cast("double").alias("_commission"),
         F.sum(money(round2(platform))).cast("double").alias("_platform_fee"),
         F.sum(money(round2(other))).cast("double").alias("_other_fee"),
@@ -186,9 +190,9 @@ def finance_totals(finance: DataFrame) -> DataFrame:
 def douyin_orders(orders: DataFrame, finance: DataFrame, year: int, month: int) -> DataFrame:
     """Orders with the classified fees of their order and sub-order."""
     kept, _ = split_period(orders, "douyin", "订单号", year, month)
-    on = (column("订单号") == F.col("_order")) & (sub_order() == F.col("_sub"))
-    joined = kept.join(finance_totals(finance), on, "left").withColumns(
-        {"matched": F.col("_order").isNotNull(),
+    keyed = kept.withColumns({"_order": column("订单号"), "_sub": sub_order()})
+    joined = join_one(keyed, finance_totals(finance), ["_order", "_sub"]).withColumns(
+        {"matched": F.col("_found").isNotNull(),
          **{n: F.coalesce(n, F.lit(0.0)) for n in ("_commission", "_platform_fee", "_other_fee")}}
     )
     paid = parse_prefix_number(column("用户实付金额"))
@@ -209,16 +213,17 @@ def douyin_orders(orders: DataFrame, finance: DataFrame, year: int, month: int)
 
 def unmatched_orders(orders: DataFrame, other: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Orders without any row in the other file; ``keys`` maps order columns to columns of the other file."""
-    right = other.select(*[F.coalesce(column(b), F.lit("")).alias(f"_{i}") for i, b in enumerate(keys.values())])
-    on = [F.coalesce(column(a), F.lit("")) == F.col(f"_{i}") for i, a in enumerate(keys)]
-    return orders.join(right, on, "left_anti")
+    names = [f"_{i}" for i in range(len(keys))]
+    left = orders.withColumns({n: F.coalesce(column(a), F.lit("")) for n, a in zip(names, keys)})
+    right = other.select(*[F.coalesce(column(b), F.lit("")).alias(n) for n, b in zip(names, keys.values())])
+    return join_one(left, known_keys(right, names), names, "left_anti").drop(*names)
 
 
 def match_ratio(orders: DataFrame, other: DataFrame, key: str, other_key: str, by: list[str]) -> DataFrame:
     """Per group: orders, those without a row in the other file, and their share."""
-    known = other.select(column(other_key).alias("_key")).distinct()
-    joined = orders.join(known, column(key) == F.col("_key"), "left")
-    missed = F.count_if(F.col("_key").isNull())
+    known = known_keys(other.select(column(other_key).alias("_key")), ["_key"]).withColumn("_found", F.lit(True))
+    joined = join_one(orders.withColumn("_key", column(key)), known, ["_key"])
+    missed = F.count_if(F.col("_found").isNull())
     return joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("orders"), missed.alias("missed"),
         (missed / F.count(F.lit(1))).alias("miss_ratio"),
@@ -228,5 +233,5 @@ def match_ratio(orders: DataFrame, other: DataFrame, key: str, other_key: str, b
 def complete_sku(lines: DataFrame, orders: DataFrame, keys: list[str], sku: str = "internal_sku") -> DataFrame:
     """Fill missing SKUs of settlement lines from the orders; the smallest SKU wins when orders differ."""
     known = orders.where(F.coalesce(F.col(sku), F.lit("")) != "").groupBy(*keys).agg(F.min(sku).alias("_sku"))
-    joined = lines.join(known, keys, "left")
+    joined = join_one(lines, known, keys)
     return joined.withColumn(sku, F.coalesce(F.nullif(F.col(sku), F.lit("")), F.col("_sku"))).drop("_sku")

@@ -83,10 +83,10 @@ def spread(table: DataFrame, *keys: str) -> DataFrame:
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with the place of each row in its file."""
-    return spread(with_file_position(read(spark, sf_dir, "lineitem")), "source_file", "source_line")
+    return spread(with_file_position(read(spark, sf_dir, "lineitem")), "source_path", "source_line")
 
 
-PLACE = ("source_file", "source_line", "file_block")
+PLACE = ("source_path", "source_file", "source_line", "file_block")
 
 
 def derive(table: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:

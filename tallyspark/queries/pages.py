@@ -96,13 +96,13 @@ def newest_jobs(spark, sf_dir):
 @query("o5_sorted_by_amount", duck.with_rollup(
     "select internal_sku, cast(net_received_sum as double) as net_received_sum from rollup_rows"))
 def sorted_by_amount(spark, sf_dir):
-    rows = paging.sorted_by(inputs.stored_rollup(spark, sf_dir), "net_received_sum", descending=True)
+    rows = paging.sorted_by(inputs.stored_rollup(spark, sf_dir), "net_received_sum", True, ties=AGG_COLUMNS[:7])
     return rows.select("internal_sku", "net_received_sum")
 
 
 @query("o5_sorted_by_locale", "select p_partkey, p_name from part")
 def sorted_by_locale(spark, sf_dir):
-    return paging.sorted_by(inputs.read(spark, sf_dir, "part"), "p_name", locale=True).select("p_partkey", "p_name")
+    return paging.sorted_by(inputs.read(spark, sf_dir, "part"), "p_name", locale=True, ties=["p_partkey"]).select("p_partkey", "p_name")
 
 
 @query("o6_export_order", duck.with_facts(f"select {_LIST} from facts"))

@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..operators.rollup import month_sku, operations
 from ..operators.versions import effective_rows, merge_actions
 from ..plans.ingest import fact_table, settlement_facts, stamp
-from ..sources.sheets import FIRST_LINE, csv_options, with_source_lines
+from ..sources.sheets import FIRST_LINE, csv_options, stage_rows, with_source_lines
 from ..sources.store import read_table, write_facts
 
 
@@ -39,20 +39,21 @@ def landing_files(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.csv(folder).select(
         "*",
+        F.col("_metadata.file_path").alias("source_path"),
         F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias("file_block"),
     )
 
 
 def ingest(
-    files: DataFrame, root: str, checkpoint: str, platform: str, user_id: str,
+    files: DataFrame, root: str, staging: str, checkpoint: str, platform: str, user_id: str,
     year: int | None = None, month: int | None = None,
 ) -> StreamingQuery:
-    """Facts of every new file, once each. A batch is one job; whole files stay together in a batch,
-    which is what line numbering needs."""
+    """Facts of every new file, once each. A batch is one job; whole files stay together in a batch, which is
+    what line numbering needs. The parsed rows of each batch are kept in the staging folder."""
 
     def each(rows: DataFrame, batch: int) -> None:
-        numbered = with_source_lines(rows, FIRST_LINE[platform])
+        numbered = with_source_lines(stage_rows(rows, f"{staging}/batch={batch}"), FIRST_LINE[platform])
         facts = settlement_facts(numbered, platform, year, month)
         job = f"job-{batch}"
         stamped = stamp(facts, platform=platform, user_id=user_id, upload_id=f"ULP-{batch}", job_id=job)

@@ -103,7 +103,7 @@ def test_inventory_and_profile(spark, tmp_path):
 
 
 def test_ingest_takes_each_file_once(spark):
-    landing, root, checkpoint = (new_folder(spark, n) for n in ("landing", "facts", "checkpoint"))
+    landing, root, staging, checkpoint = (new_folder(spark, n) for n in ("landing", "facts", "staged", "checkpoint"))
     header = ["订单号", "商品编码", "购买数量", "买家支付金额", "平台补贴", "附加费用", "平台服务费", "达人佣金", "其他费用", "结算金额"]
 
     def land(order):
@@ -112,7 +112,7 @@ def test_ingest_takes_each_file_once(spark):
 
     def run():
         files = stream_jobs.landing_files(spark, landing, header)
-        stream_jobs.ingest(files, root, checkpoint, "douyin", "u", 2024, 10).awaitTermination()
+        stream_jobs.ingest(files, root, staging, checkpoint, "douyin", "u", 2024, 10).awaitTermination()
         return sorted((r["order_id"], r["job_id"], r["source_line"]) for r in store.read_facts(spark, root).collect())
 
     land("o1")

@@ -59,6 +59,8 @@ def test_csv_lines_over_splits(spark):
         rows = sheets.read_sheet(spark, f"{folder}/*")
         assert rows.rdd.getNumPartitions() > 10
         got = sheets.with_source_lines(rows, 2).select("id", "source_line", "note").collect()
+        staged = sheets.with_source_lines(sheets.stage_rows(rows, new_folder(spark, "staged")), 2)
+        assert sorted(map(tuple, staged.select("id", "source_line", "note").collect())) == sorted(map(tuple, got))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert len(got) == sum(files.values())
@@ -86,6 +88,17 @@ def test_freight_is_conserved(spark):
             assert (r["hi"], r["lo"]) == (original, original)
 
 
+def test_files_of_one_name_stay_apart(spark):
+    folder = new_folder(spark, "same")
+    for part in ("a", "b"):
+        spark.createDataFrame([("o",), ("o",)], "order_id string").coalesce(1).write.text(f"{folder}/{part}")
+    rows = spark.read.text(f"{folder}/*").select(
+        "value", F.concat(F.col("_metadata.file_path"), F.lit("")).alias("source_path"), F.lit("same.csv").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("file_block"))
+    lines = [r["source_line"] for r in sheets.with_source_lines(rows).collect()]
+    assert sorted(lines) == [1, 1, 2, 2]
+
+
 def test_empty_file_warning(spark):
     folder = new_folder(spark, "empty")
     spark.createDataFrame([("1",)], "a string").coalesce(1).write.option("header", True).csv(f"{folder}/full")

@@ -13,8 +13,8 @@ SHEET = [formula.ORDER, *formula.SKU_HEADERS, formula.SETTLE_TIME, *H.values(),
 
 def sheet(spark, rows):
     """Rows as dicts of header to cell; file place is added."""
-    schema = ", ".join(f"`{h}` string" for h in SHEET) + ", source_file string, source_line long, file_block long"
-    data = [tuple(r.get(h) for h in SHEET) + ("f.csv", i, 0) for i, r in enumerate(rows, 1)]
+    schema = ", ".join(f"`{h}` string" for h in SHEET) + ", source_path string, source_file string, source_line long, file_block long"
+    data = [tuple(r.get(h) for h in SHEET) + ("/f.csv", "f.csv", i, 0) for i, r in enumerate(rows, 1)]
     return spark.createDataFrame(data, schema)
 
 
