@@ -75,8 +75,11 @@ def view_report(effective: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def mark_duplicates(uploads: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add first_id and is_duplicate: every upload but the first with its key is a duplicate."""
-    first = uploads.groupBy(*keys).agg(F.min_by("id", F.struct(*order)).alias("first_id"))
-    return join_one(uploads, first, keys, "inner").withColumn("is_duplicate", F.col("id") != F.col("first_id"))
+    # Fields of a struct match when both are missing, so uploads without some key part are kept as well.
+    keyed = uploads.withColumn("_key", F.struct(*keys))
+    first = keyed.groupBy("_key").agg(F.min_by("id", F.struct(*order)).alias("first_id"))
+    marked = join_one(keyed, first, ["_key"], "inner").drop("_key")
+    return marked.withColumn("is_duplicate", F.col("id") != F.col("first_id"))
 
 
 def missing_files(uploaded: DataFrame, required: DataFrame) -> DataFrame:

@@ -46,17 +46,26 @@ def write_rollup(rollup: DataFrame, root: str, **options) -> None:
     write_partitioned(rollup.select(*AGG_COLUMNS), root, sort=("internal_sku",), **options)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("x int").parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def read_table(spark: SparkSession, paths: str | Sequence[str], schema: StructType) -> DataFrame:
-    """Table with a fixed schema; empty when nothing has been written yet."""
+    """Table with a fixed schema. Paths that do not exist hold no rows."""
     listed = [paths] if isinstance(paths, str) else list(paths)
-    if not listed:
-        return spark.createDataFrame([], schema)
     try:
-        return spark.read.schema(schema).parquet(*listed)
+        return spark.read.schema(schema).parquet(*listed) if listed else spark.createDataFrame([], schema)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+    present = [p for p in listed if _exists(spark, p)] if len(listed) > 1 else []
+    return spark.read.schema(schema).parquet(*present) if present else spark.createDataFrame([], schema)
 
 
 def read_facts(spark: SparkSession, root: str) -> DataFrame:

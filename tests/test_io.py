@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallyspark.plans import export
-from tallyspark.schemas import FACT_TABLE, JOB_RECORD, PARTITIONS
+from tallyspark.schemas import FACT_TABLE, JOB_RECORD
 from tallyspark.session import new_folder
 from tallyspark.sources import records, store
 from tallyspark.streaming import jobs as stream_jobs
@@ -47,11 +47,10 @@ def test_replacing_only_written_partitions(spark):
 def test_missing_path_is_empty(spark):
     nothing = store.read_facts(spark, new_folder(spark, "none"))
     assert nothing.count() == 0 and nothing.schema == FACT_TABLE
-    assert store.read_table(spark, [], PARTITION_SCHEMA).count() == 0
-
-
-PARTITION_SCHEMA = FACT_TABLE
-assert set(PARTITIONS) <= set(FACT_TABLE.fieldNames())
+    assert store.read_table(spark, [], FACT_TABLE).count() == 0
+    root = new_folder(spark, "some")
+    fact_rows(spark, ROWS).write.parquet(root)
+    assert store.read_table(spark, [root, new_folder(spark, "none")], FACT_TABLE).count() == len(ROWS)
 
 
 def test_csv_quotes_only_where_needed(spark):

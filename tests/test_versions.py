@@ -71,6 +71,14 @@ def test_duplicate_merge(spark):
     assert (float(got["one"]["net_received"]), got["one"]["source_merge_count"]) == (99, 1)
 
 
+def test_uploads_without_a_key_part_are_kept(spark):
+    rows = [("a", "u", None, 1), ("b", "u", None, 2), ("c", "u", "h", 3), ("d", "u", "h", 0)]
+    frame = spark.createDataFrame(rows, "id string, user string, hash string, at int")
+    got = versions.mark_duplicates(frame, ["user", "hash"], ["at", "id"]).collect()
+    assert {r["id"]: (r["first_id"], r["is_duplicate"]) for r in got} == {
+        "a": ("a", False), "b": ("a", True), "c": ("d", True), "d": ("d", False)}
+
+
 def test_pages(spark):
     frame = spark.range(100).selectExpr("id % 7 as a", "id as b")
     want = sorted((r["a"], r["b"]) for r in frame.collect())
