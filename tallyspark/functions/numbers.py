@@ -44,11 +44,6 @@ def round2(value: Column) -> Column:
     return F.floor((value + F.lit(EPSILON)) * 100 + F.lit(0.5)) / 100
 
 
-def round_half_up2(value: Column) -> Column:
-    """Two decimals, halves toward positive infinity, without the epsilon step."""
-    return F.floor(value * 100 + F.lit(0.5)) / 100
-
-
 def round_up(value: Column, digits: int = 0) -> Column:
     """Ceiling at the given number of digits, also for negative values."""
     base = 10**digits

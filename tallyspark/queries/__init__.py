@@ -4,6 +4,6 @@ Importing the modules below fills QUERIES and SQL.
 """
 
 from .registry import QUERIES, SQL
-from . import aggregates, checks, joins, pages, rules, scalars, scans, streams, tables, versions  # noqa: F401
+from . import aggregates, joins, pages, rules, scalars, scans, streams, tables, versions  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from . import inputs as i
 
-BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 AMOUNTS = (
     "qty_sold", "recv_customer", "recv_platform", "extra_charge", "fee_platform_comm", "fee_affiliate",
     "fee_other", "net_received",
