@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import languages
+from . import decontaminate, languages, packing
 from .tables import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,36 @@ def query(name: str, sql: str | None = None):
 def language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = languages.identify(documents(spark, sf_dir))
     return found.select("doc_id", languages.held_out().alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"coalesce(regexp_extract_all({_LOWER.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), [])"
+
+
+@query("op7_benchmark_passages", f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+i as (select item_id, {_WORDS} as w from benchmark),
+iw as (select distinct item_id, least(len(w), 10) as k, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
+    lambda p: array_to_string(w[p:p + 9], ' '))) as s from i where len(w) > 0),
+sizes as (select distinct k from iw),
+dw as (select r, p, k, array_to_string(w[p:p + k - 1], ' ') as s
+    from (select r, w, k, unnest(range(1, len(w) - k + 2)) as p from d, sizes where len(w) >= k)),
+m as (select r, p, k, item_id from dw join iw using (k, s)),
+hit as (select r, count(*) as n from (select distinct r, unnest(range(p, p + k)) as x from m) group by r),
+items as (select r, count(*) as n, string_agg(x, ',' order by x) as l
+    from (select distinct r, cast(item_id as varchar) as x from m where item_id is not null) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(hit.n, 0) as bigint) as n_hit,
+  cast(coalesce(items.n, 0) as bigint) as n_items, sha256(coalesce(items.l, '')) as items_sha256,
+  coalesce(hit.n, 0) > 0 as contaminated
+from d left join hit using (r) left join items using (r)
+""")
+def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op8_harmonic_packing")
+def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
