@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, languages, packing
+from . import decontaminate, languages, packing, weighted
 from .tables import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _WORDS = f"coalesce(regexp_extract_all({_LOWER.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), [])"
 
 
+@query("op4_weighted_fingerprints")
+def weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.against_edits(documents(spark, sf_dir))
+
+
 @query("op7_benchmark_passages", f"""
 with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
 i as (select item_id, {_WORDS} as w from benchmark),
