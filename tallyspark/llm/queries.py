@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, languages, packing, weighted
+from . import decontaminate, languages, nearcopies, packing, repeats, weighted
 from .tables import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _WORDS = f"coalesce(regexp_extract_all({_LOWER.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), [])"
 
 
+@query("op2_setsketch_copies")
+def setsketch_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(documents(spark, sf_dir))
+
+
 @query("op4_weighted_fingerprints")
 def weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.against_edits(documents(spark, sf_dir))
@@ -65,3 +70,8 @@ def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_harmonic_packing")
 def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
+
+
+@query("op10_repeated_passages")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(documents(spark, sf_dir), keep_text=False)

@@ -114,5 +114,5 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
         out[np.repeat(counts >= k, made)] = mix(full)
     for i in np.flatnonzero((counts > 0) & (counts < k)):
         run = words[bounds[i]: bounds[i + 1]]
-        out[ranges[i]] = mix(np.array([(run * factor[: len(run)]).sum() + np.uint64(0xA0761D6478BD642F) * np.uint64(len(run))]))[0]
+        out[ranges[i]] = mix((run * factor[: len(run)]).sum(keepdims=True) + np.uint64(0xA0761D6478BD642F * len(run) % 2**64))[0]
     return out, ranges
