@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, languages, nearcopies, packing, repeats, weighted
+from . import decontaminate, languages, nearcopies, packing, repeats, scoring, weighted
 from .tables import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,15 @@ def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+@query("op9_ngram_scores")
+def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = languages.held_out(part=1)
+    learn = F.col("doc_id").isNotNull() & ~held_out
+    found = scoring.Scorer(documents(spark, sf_dir), learn).scores()
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op10_repeated_passages")
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(documents(spark, sf_dir), keep_text=False)
