@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, languages, nearcopies, packing, repeats, scoring, weighted
+from . import decontaminate, languages, nearcopies, packing, pseudonyms, repeats, scoring, weighted
 from .tables import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,13 @@ def weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.against_edits(documents(spark, sf_dir))
 
 
+@query("op6_feistel_pseudonyms")
+def feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.masked(documents(spark, sf_dir).select("doc_id", "text"), found="kinds")
+    return found.select("doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"),
+                        F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
+
+
 @query("op7_benchmark_passages", f"""
 with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
 i as (select item_id, {_WORDS} as w from benchmark),
