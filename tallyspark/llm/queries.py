@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, languages, nearcopies, packing, pseudonyms, repeats, scoring, weighted
+from . import decontaminate, languages, nearcopies, packing, pseudonyms, repeats, scoring, separators, severity, weighted
 from .tables import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,11 +38,23 @@ def setsketch_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(documents(spark, sf_dir))
 
 
+@query("op3_ordinal_severity")
+def ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = severity.predict(docs, severity.fit(docs, labels, severity.from_labels()))
+    return found.select("doc_id", "expected_severity", "severity_grade", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 @query("op4_weighted_fingerprints")
 def weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.against_edits(documents(spark, sf_dir))
 
 
+@query("op5_separator_counts")
+def separator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(documents(spark, sf_dir))
+
+
 @query("op6_feistel_pseudonyms")
 def feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonyms.masked(documents(spark, sf_dir).select("doc_id", "text"), found="kinds")
