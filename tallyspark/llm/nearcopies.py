@@ -10,12 +10,14 @@ the union, so sketches merge. With b = 1.1 two registers agree with a probabilit
 3. In each bucket the least class is the pivot. Likelihood of the register comparison (given both set sizes) estimates
    the similarity; each class keeps its likeliest pivot if that estimate is not clearly too low.
 4. These pairs are confirmed on full sets and joined to components.
-5. Buckets that still hold more than one component are compared in full, between components, in blocks of bounded size;
-   pairs whose estimate is not clearly too low are confirmed as well, and the components joined once more.
+5. In buckets that still hold several components, all classes outside the largest are compared with all of the bucket,
+   by registers. Components between which some pair may be like enough form a cluster.
+6. In each cluster, the members outside its largest component are compared with all members on full sets, likeliest
+   first, until they are joined or no candidate is left. That gives the remaining links that join components.
 
-A bucket never yields all pairs of a group of copies: step 4 has joined them. At a similarity of 0.75 a pair shares no
-band with probability 1e-5 (40 bands of 5 registers), and falls below the estimate's limit, 5 standard deviations away,
-with probability 1e-6. Confirmed links are exact.
+Steps 5 and 6 work in blocks of bounded size and hand on at most one row per member and block, never pairs of a group
+of copies, which step 4 has joined. At a similarity of 0.75 a pair shares no band with probability 1e-5 (40 bands of 5
+registers), and falls below the estimate's limit, 5 standard deviations away, with probability 1e-6. Links are exact.
 
 Defined cases: null and wordless texts have an empty set and stay alone; rows of one id count as one node; rows without an
 id stay alone, with a null component, and are kept. Only the columns named are read.
@@ -149,6 +151,31 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").where(near).mapInArrow(work, "a long, b long, estimate double")
 
 
+def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (doc_id and more) with the set of the document as bytes. Both sides are shuffled, whatever
+    their sizes: texts are too large to be sent anywhere twice, and small lists too unsure to stay small."""
+    names = wanted.columns[1:]
+    table = documents.hint("merge").join(wanted, "doc_id").select("doc_id", *names, "text")
+
+    def work(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(batch.num_columns - 1))
+            out = []
+            for a, b in slices(offsets):
+                out += [s.tobytes() for s in shingle_sets(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(out, pa.binary())], names=["doc_id", *names, "items"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields[:-1])
+    return table.mapInArrow(work, f"{kinds}, items binary")
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    if not len(x) or not len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of ids whose full sets are as like as asked for.
 
@@ -156,60 +183,120 @@ def confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """
     wanted = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("b")).union(pairs.select("b", "b")).distinct()
 
-    def sets(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            out = []
-            for a, b in slices(offsets):
-                out += [s.tobytes() for s in shingle_sets(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["a", "b", "items"])
-
     def compare(batches):
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= PERCENT * (len(x) + len(y) - both) > 0)
+            linked = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                      for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    table = written(
-        documents.join(wanted, "doc_id").select("doc_id", "b", "text").mapInArrow(sets, "a long, b long, items binary"), "sets")
+    table = written(_sets(documents, wanted).withColumnRenamed("doc_id", "a"), "sets")
     own = table.where("a = b").select("b", F.col("items").alias("own"))
     return table.where("a <> b").join(own, "b").select("a", "b", "items", "own").mapInArrow(compare, "a long, b long")
 
 
-def _across(buckets: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs of one bucket and different components."""
+class _Union:
+    """Components of numbers that are joined one by one."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+
+
+def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (key, node, component, ..) of keys with several components, dealt so that each row outside the key's largest
+    component (``minor``) meets every row of the key in one block (i, j)."""
+    sizes = rows.groupBy(key, "component").agg(F.count("*").alias("n"))
+    plan = sizes.groupBy(key).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("largest"))
+    plan = plan.where("most < n").select(
+        key, "largest", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("minors"),
+        F.ceil(F.col("n") / (8 * BLOCK)).cast("int").alias("alls"))
+    dealt = rows.join(plan, key).withColumn("at", F.expr(
+        """concat(transform(sequence(0, minors - 1), k -> struct(k as i, int(pmod(xxhash64(node, 1), alls)) as j, false as minor)),
+                  if(component = largest, array(), transform(sequence(0, alls - 1), k -> struct(
+                     int(pmod(xxhash64(node, 2), minors)) as i, k as j, true as minor))))"""))
+    return dealt.withColumn("at", F.explode("at")).select(*rows.columns, "at.i", "at.j", "at.minor")
+
+
+class _Members:
+    """Rows of one block: who may be like whom, by registers."""
+
+    def __init__(self, table):
+        self.node, self.component = (table.column(c).to_numpy() for c in ("node", "component"))
+        self.size = table.column("n_shingles").to_numpy().astype(float)
+        self.marks = _matrix(table.column("registers").combine_chunks())
+        minor = table.column("minor").to_numpy(zero_copy_only=False)
+        self.left, self.right = np.flatnonzero(minor), np.flatnonzero(~minor)
+
+    def candidates(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of other components that share a band with row i and may be like enough, and their estimates."""
+        j = self.right[self.component[self.right] != self.component[i]]
+        j = j[100 * np.minimum(self.size[j], self.size[i]) >= PERCENT * np.maximum(self.size[j], self.size[i])]
+        same = self.marks[j] == self.marks[i]
+        near = same.mean(axis=1) >= LEAST_ESTIMATE - 0.1  # registers agree about as often as elements do
+        near[near] = same[near].reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)
+        j = j[near]
+        if not len(j):
+            return j, np.empty(0)
+        found = estimate(np.repeat(self.marks[i][None], len(j), axis=0), self.marks[j], self.size[i], self.size[j])
+        return j[found >= LEAST_ESTIMATE], found[found >= LEAST_ESTIMATE]
+
+
+def _clusters(buckets: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component, cluster) of the classes that some class of another component may be like."""
     rows = buckets.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
-    mixed = mixed.where("x <> y").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "bucket").join(classes.select("node", "n_shingles", "registers"), "node")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine",
-                       "node", "component", "n_shingles", "registers")
-
-    def pairs(table):
-        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
-        size, marks = table.column("n_shingles").to_numpy().astype(float), _matrix(table.column("registers").combine_chunks())
-        block, p, q = table.column("mine").to_numpy(), table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        band = table.column("bucket")[0].as_py() >> 8 * ROWS
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        a_out, b_out = [], []
-        for i in left.tolist():
-            j = right[(component[right] != component[i]) & ((p != q) | (right > i))]
-            j = j[100 * np.minimum(size[j], size[i]) >= PERCENT * np.maximum(size[j], size[i])]
-            if band and len(j):  # a pair counts in the first band it shares
-                same = (marks[j, : band * ROWS] == marks[i, : band * ROWS]).reshape(len(j), band, ROWS)
-                j = j[~same.all(axis=2).any(axis=1)]
-            if len(j):
-                j = j[estimate(np.repeat(marks[i][None], len(j), axis=0), marks[j], size[i], size[j]) >= LEAST_ESTIMATE]
-                a_out.append(np.maximum(node[i], node[j])), b_out.append(np.minimum(node[i], node[j]))
-        none = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(a_out or none), "b": np.concatenate(b_out or none)})
+    rows = _in_blocks(rows.select("bucket", "node", "component"), "bucket")
+    rows = rows.join(classes.select("node", "n_shingles", "registers"), "node")
 
-    return rows.groupBy("bucket", "p", "q").applyInArrow(pairs, "a long, b long").distinct()
+    def near(table):
+        members, joined, met = _Members(table), _Union(), set()
+        for i in members.left.tolist():
+            j, _ = members.candidates(i)
+            if len(j):
+                met.add(i), met.update(j.tolist())
+                for other in np.unique(members.component[j]).tolist():
+                    joined.join(int(members.component[i]), other)
+        at = np.array(sorted(met), int)
+        component = members.component[at]
+        roots = np.array([joined.root(int(c)) for c in component], np.int64)
+        return pa.table({"node": members.node[at], "component": component, "root": roots})
+
+    found = written(rows.groupBy("bucket", "i", "j").applyInArrow(near, "node long, component long, root long"), "near")
+    clusters = components(found.select(F.col("component").alias("a"), F.col("root").alias("b")))
+    nodes = found.select("node", "component").distinct()
+    return nodes.join(clusters.withColumnRenamed("component", "cluster"), nodes["component"] == clusters["node"]).select(
+        nodes["node"], nodes["component"], "cluster")
+
+
+def _links_across(clusters: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that join components of one cluster."""
+    wanted = written(_in_blocks(clusters, "cluster"), "blocks")
+    members = wanted.select("node", "component", "cluster").distinct().join(classes.select("node", "n_shingles", "registers"), "node")
+    with_sets = written(_sets(documents, members.withColumnRenamed("node", "doc_id")), "sets").withColumnRenamed("doc_id", "node")
+    rows = wanted.select("node", "cluster", "i", "j", "minor").join(with_sets, ["node", "cluster"])
+
+    def link(table):
+        members, joined, out = _Members(table), _Union(), []
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        for i in members.left.tolist():
+            j, found = members.candidates(i)
+            mine = int(members.component[i])
+            for k in j[np.argsort(-found)].tolist():
+                other = int(members.component[k])
+                if joined.root(mine) != joined.root(other) and _linked(sets[i], sets[k]):
+                    joined.join(mine, other)
+                    out.append((int(members.node[i]), int(members.node[k])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(link, "a long, b long")
 
 
 def near_copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,10 +314,9 @@ def near_copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     best = likely.groupBy("a").agg(F.max_by("b", "estimate").alias("b"))
     links = written(confirm(written(best, "pairs"), documents), "links")
     parts = written(components(links), "parts")
-    more = written(_across(buckets.select("bucket", "node"), parts, classes), "pairs")
-    if not more.isEmpty():
-        links = links.union(written(confirm(more, documents), "links"))
-        parts = written(components(links), "parts")
+    clusters = written(_clusters(buckets.select("bucket", "node"), parts, classes), "clusters")
+    links = links.unionByName(written(_links_across(clusters, classes, documents), "links"))
+    parts = written(components(links), "parts")
     classed = classes.select("digest", "node").join(parts, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component"))
     by_set = marks.select("doc_id", "n_shingles", "digest").join(classed, "digest", "left")
