@@ -14,8 +14,8 @@ byte). Suffixes are sorted one bucket at a time, and no bucket needs more than i
   comparison of precomputed ranks. For any two positions there is a shift below V that takes both to positions of the
   difference cover modulo V, and for these positions (6 of 31) the rank of the next LENGTH - V + 1 bytes is known. Ranks
   are exact, by sorting 8-byte words and pairs of ranks; no repeat rests on a hash alone.
-* Each task first sorts what it has itself and sends on only the earliest suffix of each kind, so that a passage in a
-  third of all documents reaches its bucket once per batch of rows.
+* Each task first sorts its own suffixes, PIECE bytes of text at a time, and sends on only the earliest of each kind, so
+  that a passage in a third of all documents reaches its bucket once per piece.
 
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; rows without an id lose nothing and take
 nothing from others; rows of one id count as one document, of equal rows each gets the same result, and of texts under
@@ -39,7 +39,7 @@ LENGTH = 100
 KEY = 32
 V = 31
 COVER = (1, 5, 11, 24, 25, 27)  # every difference modulo 31 occurs
-PIECE = 1 << 21  # bytes looked at together
+PIECE = 1 << 20  # bytes looked at together
 ANCHOR_BYTES, SORT_BYTES = 32_000_000, 8_000_000  # of text per bucket, in the two passes
 
 _WIDTH = LENGTH - KEY + 1
@@ -65,7 +65,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
         begin, end = int(offsets[i]), int(offsets[i + 1])
         for at in range(begin, end - LENGTH + 1, PIECE):
             to = min(at + PIECE + LENGTH - 1, end)
-            if parts and size + to - at > 2 * PIECE:
+            if parts and size + to - at > PIECE + LENGTH:
                 yield _joined(data, parts)
                 parts, size = [], 0
             parts.append((i, at - begin, at, to))
