@@ -2,20 +2,24 @@
 
 The vocabulary's rule never lets a token reach over a space that follows a visible character, so that a text may be cut
 before each such space and the parts encoded alone. Parts repeat far more often than texts do. The cut is made only
-after characters known to be visible (printable ASCII, U+00A1 to U+024F); elsewhere the text stays in one part.
+after characters known to be visible (printable ASCII, U+00A1 to U+024F); elsewhere the text stays in one part. The
+rule also ends a run of letters at a punctuation mark.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import string
+import struct
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHE = 600_000  # parts kept per worker; a full cache is emptied
 
-_visible = re.compile("[!-~¡-ɏ]")
+MARKS = ".,;:!?"
+
+_letters = frozenset(string.ascii_letters)
+_visible = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]))
 _cut = re.compile("(?<=[!-~¡-ɏ])(?= )")
 
 
@@ -46,33 +50,43 @@ class Encoder:
         if len(self.cache) > CACHE:
             self.cache.clear()
         cut = [self._parts(text) for text in texts]
-        new = list({part for parts, found in cut for part, ids in zip(parts, found) if ids is None})
-        ids = [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        fresh = dict(zip(new, ids))
-        for part, known in fresh.items():
-            if part[0] == " " and _visible.match(part[-1]) and " " not in part[1:]:
-                self.cache[part[1:]] = known
-        out = []
-        for parts, found in cut:
-            if len(parts) < len(found):  # only the first part is missing
-                found[0] = fresh[parts[0]]
+        fresh = self._fresh({part for _, missing in cut for _, part in missing})
+        for found, missing in cut:
+            for k, part in missing:
+                found[k] = fresh[part]
+        return [b"".join(found) for found, _ in cut]
+
+    def _fresh(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of parts. A mark after a word is a token of its own, so that the word is encoded, or known, without it."""
+        cache, fresh, sought = self.cache, {}, set()
+        marked = [part for part in new if part[-1] in MARKS and part[-2:-1] in _letters and len(part) > 1]
+        for part in marked:
+            word = part[:-1]
+            ids = cache.get(word[1:]) if word[0] == " " else None
+            if ids is None:
+                sought.add(word)
             else:
-                found = [fresh[part] if ids is None else ids for part, ids in zip(parts, found)]
-            out.append(b"".join(found))
-        return out
+                fresh[word] = ids
+            sought.add(part[-1])
+        listed = list(new.difference(marked) | sought)
+        for part, x in zip(listed, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)):
+            fresh[part] = struct.pack(f"<{len(x.ids)}I", *x.ids)
+        for part in marked:
+            fresh[part] = fresh[part[:-1]] + fresh[part[-1]]
+        cache.update({part[1:]: ids for part, ids in fresh.items() if part[0] == " " and part[-1] in _visible and " " not in part[1:]})
+        return fresh
 
-    def _parts(self, text: str) -> tuple[list[str], list]:
-        """Parts of a text and the ids of those in the cache; only the first part if all others are."""
+    def _parts(self, text: str) -> tuple[list, list[tuple[int, str]]]:
+        """Ids of a text's parts as far as the cache has them, and the parts that it lacks, with their places."""
         if not text:
             return [], []
         first, *words = text.split(" ")
         cache = self.cache
-        found = list(map(cache.get, words))  # only words with a visible last character are in the cache
-        plain = bool(first) and (not words or _visible.match(first[-1]) is not None)
-        if plain and None in found:
-            plain = all(
-                ids is not None or (word and _visible.match(word[-1])) for word, ids in zip(words[:-1], found[:-1]))
-        if plain:
-            return [first, *[" " + w for w in words]] if None in found else [first], [None, *found]
+        found = [None, *map(cache.get, words)]  # only words with a visible last character are in the cache
+        missing = [(k, " " + words[k - 1]) for k, ids in enumerate(found) if ids is None and k]
+        last = len(words)
+        if (not words or first[-1:] in _visible) and all(part[-1] in _visible or k == last for k, part in missing):
+            return found, [(0, first), *missing] if first else missing
         parts = _cut.split(text)
-        return parts, [cache.get(p[1:]) if p[0] == " " and " " not in p[1:] else None for p in parts]
+        found = [cache.get(part[1:]) if part[0] == " " and " " not in part[1:] else None for part in parts]
+        return found, [(k, parts[k]) for k, ids in enumerate(found) if ids is None]
