@@ -18,8 +18,8 @@ byte). Suffixes are sorted one bucket at a time, and no bucket needs more than i
   that a passage in a third of all documents reaches its bucket once per piece.
 
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; rows without an id lose nothing and take
-nothing from others; rows of one id count as one document, of equal rows each gets the same result, and of texts under
-one id neither takes from the other at the same byte. Only the columns named are read.
+nothing from others; equal rows count as one document and get the same result each; different texts under one id count as
+documents in order of their hash. Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -162,6 +162,13 @@ def earliest(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _again(lead, ids, digests, doc, start) -> np.ndarray:
+    """Whether the first equal suffix lies before: smaller id, hash of the text for texts of one id, or first byte."""
+    a, b = doc[lead], doc
+    return (ids[a] < ids[b]) | ((ids[a] == ids[b]) & (
+        (digests[a] < digests[b]) | ((digests[a] == digests[b]) & (start[lead] < start))))
+
+
 def _expanded(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """begin, begin + 1, .. of every run."""
     total = int(count.sum())
@@ -289,7 +296,7 @@ def _sorted_suffixes(table: DataFrame, buckets: int) -> DataFrame:
 
     def local(batches):
         for batch in batches:
-            batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
+            batch = batch.take(pa.array(np.lexsort((batch.column(1).to_numpy(), batch.column(0).to_numpy()))))
             ids, digests = (batch.column(k).to_numpy() for k in (0, 1))
             data, offsets = utf8(batch.column(2))
             wanted = [np.frombuffer(b"".join(x), "<i8") for x in batch.column(3).to_pylist()]
@@ -305,7 +312,7 @@ def _sorted_suffixes(table: DataFrame, buckets: int) -> DataFrame:
                 start = at - bounds[of] + base[of]
                 lead = earliest(part, at)
                 doc = text[of]
-                again = (ids[doc[lead]] < ids[doc]) | ((ids[doc[lead]] == ids[doc]) & (start[lead] < start))
+                again = _again(lead, ids, digests, doc, start)
                 rows = []
                 first, size = _runs(doc[again], start[again])
                 if len(first):
@@ -331,11 +338,11 @@ def _sorted_suffixes(table: DataFrame, buckets: int) -> DataFrame:
             before += n
         ids, digests, start, count, doc, data = (np.concatenate(x) for x in (ids, digests, starts, counts, docs, contents))
         begin = np.cumsum(count + LENGTH - 1) - count - LENGTH + 1
-        order = np.lexsort((start, ids[doc]))
+        order = np.lexsort((start, digests[doc], ids[doc]))
         begin, start, count, doc = begin[order], start[order], count[order], doc[order]
         lead = earliest(data, _expanded(begin, count))
         start, doc = _expanded(start, count), np.repeat(doc, count)
-        again = (ids[doc[lead]] < ids[doc]) | ((ids[doc[lead]] == ids[doc]) & (start[lead] < start))
+        again = _again(lead, ids, digests, doc, start)
         start, doc = start[again], doc[again]
         order = np.lexsort((start, doc))
         start, doc = start[order], doc[order]

@@ -38,8 +38,8 @@ _inside = np.zeros(256, bool)
 _inside[128:] = _inside[ord("0"): ord("9") + 1] = _inside[ord("a"): ord("z") + 1] = True
 SAMPLE = 16_384
 PENALTY = 1e-4
-STEPS = 300
-RATE = 0.3
+STEPS = 1000
+RATE = 0.5
 
 
 @dataclass(frozen=True)

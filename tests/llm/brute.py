@@ -3,6 +3,8 @@
 import re
 from collections import defaultdict
 
+import xxhash
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -48,22 +50,19 @@ def components(rows):
 
 
 def removed(rows, length=100):
-    """Bytes left of each text with an id, in order of rows; equal ids are one document, by first byte."""
-    order = sorted((n for n, (i, _) in enumerate(rows) if i is not None), key=lambda n: rows[n][0])
+    """Each text and which of its bytes go; documents in order of id, then of the hash of their text."""
+    bodies = [(t or "").encode() for _, t in rows]
+    keys = [None if i is None else (i, ((xxhash.xxh64(b, 42).intdigest() + 2**63) % 2**64) - 2**63) for (i, _), b in zip(rows, bodies)]
     first = {}
-    for n in order:
-        body = (rows[n][1] or "").encode()
-        for k in range(len(body) - length + 1):
-            at = (rows[n][0], k)
-            if first.setdefault(body[k: k + length], at) > at:
-                first[body[k: k + length]] = at
+    for key, body in zip(keys, bodies):
+        for k in range(len(body) - length + 1 if key else 0):
+            if first.setdefault(body[k: k + length], (key, k)) > (key, k):
+                first[body[k: k + length]] = (key, k)
     out = []
-    for i, text in rows:
-        body = (text or "").encode()
+    for key, body in zip(keys, bodies):
         gone = bytearray(len(body))
-        if i is not None:
-            for k in range(len(body) - length + 1):
-                if first[body[k: k + length]] < (i, k):
-                    gone[k: k + length] = b"\1" * length
+        for k in range(len(body) - length + 1 if key else 0):
+            if first[body[k: k + length]] < (key, k):
+                gone[k: k + length] = b"\1" * length
         out.append((body, gone))
     return out

@@ -11,7 +11,7 @@ from tallyspark.llm.tokens import Encoder
 
 def test_ids_equal_direct_tokenisation():
     encoder, pick = Encoder.of(), random.Random(1)
-    odd = ["", " ", "  ", " a", "a ", " a  b \n c\n d", "a　 b c", "it's  don't 12 3", "\x1c a \x85 b", " \n", "<|endoftext|> a",
+    odd = ["a it's, don't. x!! y!? 's. foo.", "a foo, foo. foo foo! Foo, foo.", "", " ", "  ", " a", "a ", " a  b \n c\n d", "a　 b c", "it's  don't 12 3", "\x1c a \x85 b", " \n", "<|endoftext|> a",
            *("".join(pick.choice(" \n\ta1é.'s  \x1c") for _ in range(30)) for _ in range(500))]
     for _ in range(2):  # the second time from the cache
         for text, ids in zip(odd, encoder.encode(odd)):

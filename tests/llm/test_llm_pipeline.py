@@ -35,8 +35,9 @@ def test_stages_against_brute_force(spark, stages):
     assert set(left["personal_data"]) == set(left["benchmark"])
     for k, text in left["personal_data"].items():
         before = given[k]
+        luhn = lambda d: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10
         for found in re.findall(r"[\w.]+@mail\d+\.example\.com|\b\d{16}\b|\+1 \(\d{3}\) \d{3}-\d{4}|AKIA\w{16}", before):
-            assert found not in text
+            assert (found not in text) or (found.isdigit() and luhn(found))
     encoder = Encoder.of()
     ids = {k: np.append(np.frombuffer(encoder.encode([t])[0], "<u4"), 1).astype("<u4") for k, t in left["personal_data"].items()}
     assert check([tuple(r) for r in stages["packing"].collect()], ids) < 0.02

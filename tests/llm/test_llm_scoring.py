@@ -114,4 +114,4 @@ def test_small_tables(table):
     assert {r.n_known for r in none} == {0} and {r.train_tokens for r in none} == {0}
     assert scoring.Scorer(table([]), F.lit(True)).scores().count() == 0
     model = scoring.Scorer(table([(1, "a b c a b")]), F.lit(True)).model().collect()
-    assert sum(Trie(r.trie).pairs.count for r in model) == 5
+    assert sum(Trie(r.trie).pairs.count for r in model) == 4
