@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DecimalType
 
-MONEY = DecimalType(18, 2)
+MONEY = DecimalType(28, 2)
+
+LIMIT = 1e25  # of one amount, so that the sum of a row's amounts fits as well
 
 # Fixed value: the distance from 1.0 to the next double, added before rounding.
 EPSILON = 2.220446049250313e-16
@@ -39,22 +41,36 @@ def parse_int(value: Column) -> Column:
     return F.nullif(text, F.lit("")).try_cast("int")
 
 
+def _whole(value: Column, rounded: Column) -> Column:
+    """The rounded value; doubles from 2**52 on are whole already, and too large for Spark's integer rounding."""
+    return F.when(F.abs(value) < F.lit(float(2**52)), rounded.cast("double")).otherwise(value)
+
+
 def round2(value: Column) -> Column:
     """Two decimals, halves toward positive infinity."""
-    return F.floor((value + F.lit(EPSILON)) * 100 + F.lit(0.5)) / 100
+    cents = (value + F.lit(EPSILON)) * 100
+    return _whole(cents, F.floor(cents + F.lit(0.5))) / 100
 
 
 def round_up(value: Column, digits: int = 0) -> Column:
     """Ceiling at the given number of digits, also for negative values."""
     base = 10**digits
-    return F.ceil(value * base) / base
+    return _whole(value * base, F.ceil(value * base)) / base
 
 
 def money(value: Column) -> Column:
-    """Cast to the money type; null when the value does not fit."""
+    """Cast to the money type, which holds numbers below 1e26. Rows with larger ones belong to the rejects: see fits."""
     return value.try_cast(MONEY)
 
 
+def fits(*values: Column) -> Column:
+    """True when no number is too large for the money type; an empty value is not too large."""
+    small = F.lit(True)
+    for value in values:
+        small = small & F.coalesce(F.abs(value) < F.lit(LIMIT), value.isNull())
+    return small
+
+
 def clean_money(value: Column) -> Column:
     """Dirty text to money."""
     return money(round2(parse_number(value)))
@@ -76,14 +92,14 @@ def money_or_zero(value: Column) -> Column:
 
 def export_text(value: Column) -> Column:
     """Integers bare, everything else with two decimals; takes money values."""
-    return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(
+    return F.when(value == F.floor(value), value.cast("decimal(36,0)").cast("string")).otherwise(
         value.cast("string")
     )
 
 
 def fixed2_text(value: Column) -> Column:
     """Always two decimals."""
-    return value.cast(MONEY).cast("string")
+    return value.cast("decimal(38,2)").cast("string")
 
 
 def shortest_text(value: Column) -> Column:

@@ -52,26 +52,34 @@ def sku_contains(text: str, name: str = "internal_sku") -> Column:
 SEARCH_COLUMNS = ("internal_sku", "fin_code", "order_id")
 
 
-def clamp_page(page: int, size: int) -> tuple[int, int]:
-    """(offset, limit) of a page; pages start at 1 and hold 10 to 1000 rows."""
-    page, size = max(int(page), 1), min(max(int(size), 10), 1000)
+def check_page(page: int, size: int) -> tuple[int, int]:
+    """(offset, limit) of a page; pages start at 1 and hold 10 to 1000 rows, anything else is refused."""
+    page, size = int(page), int(size)
+    if page < 1 or not 10 <= size <= 1000:
+        raise ValueError("pages start at 1 and hold 10 to 1000 rows")
     return (page - 1) * size, size
 
 
+def _ascending(order: Sequence[str | Column]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
+
+
 def page(table: DataFrame, order: Sequence[str | Column], limit: int = 1000, offset: int = 0) -> DataFrame:
-    """Rows offset+1 to offset+limit of the ordered table."""
-    return table.orderBy(*order).offset(offset).limit(limit)
+    """Rows offset+1 to offset+limit of the ordered table; missing values come last. A page far from the start keeps
+    all rows before it in one task: walk with page_after instead."""
+    return table.orderBy(*_ascending(order)).offset(offset).limit(limit)
 
 
 def page_after(table: DataFrame, order: Sequence[str], last: Sequence, limit: int = 1000) -> DataFrame:
-    """The page that follows a given row; cost does not grow with the distance from the start."""
+    """The page that follows a given row; cost does not grow with the distance from the start. Missing values come last,
+    so nothing but ties follows a missing one."""
     beyond = F.lit(False)
     for i, (name, value) in enumerate(zip(order, last)):
-        step = F.col(name) > F.lit(value)
+        step = F.lit(False) if value is None else (F.col(name) > F.lit(value)) | F.col(name).isNull()
         for earlier, same in zip(order[:i], last[:i]):
-            step = step & (F.col(earlier) == F.lit(same))
-        beyond = beyond | step
-    return table.where(beyond).orderBy(*order).limit(limit)
+            step = step & F.col(earlier).eqNullSafe(F.lit(same))
+        beyond = beyond | F.coalesce(step, F.lit(False))
+    return table.where(beyond).orderBy(*_ascending(order)).limit(limit)
 
 
 def page_count(rows: Column, size: int) -> Column:

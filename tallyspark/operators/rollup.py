@@ -45,14 +45,14 @@ def wide_sku(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
 def fact_summary(facts: DataFrame) -> DataFrame:
     """Totals of all rows with the consistency check, one row."""
     totals = facts.agg(*[F.sum(_amount(n)).alias(f"total_{n}") for n in AMOUNTS])
-    named = totals.select(*[F.coalesce(f"total_{n}", F.lit(0)).cast("decimal(28,2)").alias(n) for n in AMOUNTS])
+    named = totals.select(*[F.coalesce(f"total_{n}", F.lit(0)).cast(SUM_MONEY).alias(n) for n in AMOUNTS])
     checked = consistency(named, computed_net(), F.col("net_received"))
     return checked.select(*[F.col(n).alias(f"total_{n}") for n in AMOUNTS], "consistency_check", "consistency_error")
 
 
 def agg_summary(rollup: DataFrame) -> DataFrame:
     """Totals of a roll-up, its row count and the consistency check, one row."""
-    sums = [F.coalesce(F.sum(n), F.lit(0)).cast("decimal(28,2)").alias(f"total_{n}") for n in AGG_SUMS]
+    sums = [F.coalesce(F.sum(n), F.lit(0)).cast(SUM_MONEY).alias(f"total_{n}") for n in AGG_SUMS]
     totals = rollup.agg(
         *sums,
         F.coalesce(F.sum("record_count"), F.lit(0)).alias("total_record_count"),
@@ -88,7 +88,7 @@ def merge_duplicates(facts: DataFrame, key: str = "row_key", order: Sequence[str
     )
     net = F.when(F.col("source_merge_count") == 1, F.col("_only_net")).otherwise(computed_net())
     return merged.select(
-        key, "_first.*", "qty_sold", *charges, net.cast("decimal(28,2)").alias("net_received"), "source_merge_count"
+        key, "_first.*", "qty_sold", *charges, net.cast(SUM_MONEY).alias("net_received"), "source_merge_count"
     )
 
 

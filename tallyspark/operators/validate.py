@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numbers import shortest_text
+from ..functions.numbers import MONEY, shortest_text
 
 # Messages, in the order in which a row is checked.
 REQUIRED_MESSAGES = {
@@ -93,17 +93,6 @@ def number_message() -> Column:
     return F.coalesce(*empty, *nan)
 
 
-def annotate(facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Keep every row; add validation_status (ok, warn) and validation_warnings."""
-    checked = facts.withColumn("_message", row_message(tolerance))
-    return checked.withColumns(
-        {
-            "validation_status": F.when(F.col("_message").isNull(), F.lit("ok")).otherwise(F.lit("warn")),
-            "validation_warnings": F.when(F.col("_message").isNotNull(), F.array("_message")),
-        }
-    ).drop("_message")
-
-
 def computed_once(table: DataFrame) -> DataFrame:
     """The same rows, with all columns computed before later filters test them.
 
@@ -132,7 +121,7 @@ def adjusted_net() -> tuple[Column, Column]:
         .when(differs, F.concat(
             F.lit("应到账金额计算不一致：应为"), shortest_text(computed), F.lit("，实际为"), shortest_text(net)))
     )
-    return F.when(fill, computed).otherwise(net).cast("decimal(18,2)"), warning
+    return F.when(fill, computed).otherwise(net).cast(MONEY), warning
 
 
 def sums_identity(tolerance: float = TOLERANCE) -> Column:
@@ -149,9 +138,14 @@ def duplicate_keys(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
+def missing_names(table: DataFrame, required: Sequence[str]) -> list[str]:
+    """Required columns that the table lacks."""
+    return [name for name in required if name not in table.columns]
+
+
 def missing_columns(table: DataFrame, required: Sequence[str]) -> DataFrame:
     """One row per required column that the table lacks."""
-    absent = [name for name in required if name not in table.columns]
+    absent = missing_names(table, required)
     return table.sparkSession.createDataFrame([(name,) for name in absent], "missing string")
 
 

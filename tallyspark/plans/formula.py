@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numbers import MONEY, money, parse_number, round2, round_up, sum_cleaned
+from ..functions.numbers import fits, money, parse_number, round2, round_up, sum_cleaned
 from ..functions.periods import month_of, year_of
 from ..functions.text import clean_text, column, first_nonblank, left_of_dash
 from ..operators.lines import number_lines, on_first_line
@@ -30,6 +30,7 @@ HEADERS = {
 }
 DISCOUNTS = {"AJ": "商品优惠", "AK": "跨店优惠", "AL": "商品改价", "AM": "积分抵扣"}
 FAILED = "金额超出范围"
+STAMPS = ("user_id", "job_id", "upload_id", "platform")
 
 
 def pick_sku(columns: list[str]) -> Column:
@@ -48,10 +49,6 @@ def cells(columns: list[str]) -> dict[str, Column]:
     return numbers
 
 
-# Amounts from here on do not fit the money type.
-_LIMIT = 1e15
-
-
 def _inputs() -> dict[str, Column]:
     c = F.col
     return {
@@ -65,14 +62,6 @@ def _inputs() -> dict[str, Column]:
     }
 
 
-def out_of_range() -> Column:
-    """True when a number behind the amounts is too large for the money type."""
-    too_large = F.lit(False)
-    for value in _inputs().values():
-        too_large = too_large | ~F.coalesce(F.abs(value) < _LIMIT, F.lit(False))
-    return too_large
-
-
 def amounts() -> list[dict[str, Column]]:
     """Formula columns H to O from numbered cells; each step uses columns of the step before."""
     given, c = _inputs(), F.col
@@ -96,50 +85,66 @@ def amounts() -> list[dict[str, Column]]:
     return [quantity, parts, net]
 
 
-def formula_facts(raw: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
-    """Numbered raw lines to facts; every row is kept.
-
-    ``raw`` has the sheet headers plus source_path, source_file, source_line and file_block. The period is the requested
-    one, or the month of the settlement time when none is given. Lines are grouped by the order id as written,
-    blanks included; the emitted id is trimmed. A row whose amounts are out of range is kept with zero
-    amounts and status ``error``.
-
-    Cells are read before lines are numbered, so the shuffle moves numbers instead of text.
-    """
+def _rows(raw: DataFrame, year: int | None, month: int | None) -> DataFrame:
+    """Numbered rows with their amounts; _large tells which do not fit the money type, _cells holds their text."""
     period = (
         (F.lit(year), F.lit(month)) if year is not None
         else (year_of(column(SETTLE_TIME)), month_of(column(SETTLE_TIME)))
     )
-    own_sku = F.coalesce(column(SKU_HEADERS[0]), F.lit("")) if SKU_HEADERS[0] in raw.columns else F.lit("")
-    stamps = [n for n in ("user_id", "job_id", "upload_id", "platform") if n in raw.columns]
+    stamps = [n for n in STAMPS if n in raw.columns]
+    headers = [h for h in (*HEADERS.values(), *DISCOUNTS.values()) if h in raw.columns]
+    text = [x for h in headers for x in (F.lit(h), column(h).cast("string"))]
     read = raw.select(
         F.coalesce(column(ORDER).cast("string"), F.lit("")).alias("_order"),
         period[0].cast("int").alias("year"), period[1].cast("int").alias("month"),
-        pick_sku(raw.columns).alias("_sku"), own_sku.alias("_own_sku"),
+        pick_sku(raw.columns).alias("_sku"),
         *[value.alias(name) for name, value in cells(raw.columns).items()],
         "source_path", "source_file", "source_line", "file_block", *stamps,
-    ).withColumn("_failed", out_of_range())
-    rows = number_lines(read, ["_order"])
+        (F.create_map(*text) if text else F.create_map().cast("map<string,string>")).alias("_text"),
+    )
+    # Only rows out of range take their text along through the shuffle.
+    inside = fits(*_inputs().values())
+    read = read.withColumn("_large", ~inside).withColumn("_cells", F.when(~inside, F.col("_text"))).drop("_text")
+    rows = number_lines(read, ["source_path", "_order"], blocks=["file_block"])
     for step in amounts():
         rows = rows.withColumns(step)
+    return rows
 
-    failed = F.col("_failed")
-    rows = rows.withColumns(
+
+def formula_facts(raw: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
+    """Numbered raw lines to facts.
+
+    ``raw`` has the sheet headers plus source_path, source_file, source_line and file_block. The period is the requested
+    one, or the month of the settlement time when none is given. Lines are grouped by file and by the order id as written,
+    blanks included; the emitted id is trimmed. Rows with a number too large for the money type are counted as lines of
+    their order and left to formula_rejects.
+
+    Cells are read before lines are numbered, so the shuffle moves numbers instead of text.
+    """
+    rows = _rows(raw, year, month).where("not _large").withColumns(
         {
-            "order_id": F.when(failed, F.col("_order")).otherwise(clean_text(F.col("_order"))),
-            "internal_sku": F.when(failed, F.col("_own_sku")).otherwise(F.col("_sku")),
-            **{n: F.when(failed, F.lit(0).cast(MONEY)).otherwise(money(F.col(n))) for n in AMOUNTS},
+            "order_id": clean_text(F.col("_order")),
+            "internal_sku": F.col("_sku"),
+            **{n: money(F.col(n)) for n in AMOUNTS},
         }
     ).withColumn("fin_code", left_of_dash(F.col("internal_sku")))
-    rows = rows.withColumn("_message", F.when(failed, F.lit(FAILED)).otherwise(row_message())).withColumns(
+    rows = rows.withColumn("_message", row_message()).withColumns(
         {
-            "validation_status": F.when(failed, F.lit("error"))
-            .when(F.col("_message").isNotNull(), F.lit("warn")).otherwise(F.lit("ok")),
+            "validation_status": F.when(F.col("_message").isNotNull(), F.lit("warn")).otherwise(F.lit("ok")),
             "validation_warnings": F.when(F.col("_message").isNotNull(), F.array("_message")),
             "rule_version": F.lit(RULE_VERSION),
         }
     )
     return rows.select(
         "year", "month", "order_id", "line_count", "line_no", "internal_sku", "fin_code", *AMOUNTS,
-        "source_file", "source_line", "rule_version", "validation_status", "validation_warnings", *stamps,
+        "source_file", "source_line", "rule_version", "validation_status", "validation_warnings",
+        *[n for n in STAMPS if n in raw.columns],
     )
+
+
+def formula_rejects(raw: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
+    """Rows that formula_facts leaves out, with the text of their number cells by header."""
+    rows = _rows(raw, year, month).where("_large")
+    return rows.select(
+        "year", "month", F.col("_order").alias("order_id"), "line_count", "line_no", "source_file", "source_line",
+        F.lit(FAILED).alias("message"), F.col("_cells").alias("cells"), *[n for n in STAMPS if n in raw.columns])

@@ -97,7 +97,7 @@ def fact_summary(spark, sf_dir):
     f"|| ', 差异=' || {duck.short('abs(sum(' + duck.NET + ') - sum(net_received + 0.01))')} as consistency_error from facts"))
 def inconsistent_summary(spark, sf_dir):
     facts = inputs.stored_facts(spark, sf_dir)
-    off = (F.col("net_received") + F.lit(0.01).cast("decimal(18,2)")).cast("decimal(18,2)")
+    off = (F.col("net_received") + F.lit(0.01).cast("decimal(18,2)")).cast("decimal(28,2)")
     return rollup.fact_summary(facts.withColumn("net_received", off))
 
 
@@ -159,7 +159,7 @@ select row_key, fin_code, source_line, qty_sold, {duck.dbl(*_CHARGES)},
   cast(case when source_merge_count = 1 then one_net else {duck.NET} end as double) as net_received, source_merge_count from m""")
 def duplicate_merge(spark, sf_dir):
     rows = inputs.derive(inputs.lineitem(spark, sf_dir), _DUPES).withColumn("line_no", F.lit(None).cast("int"))
-    rows = rows.withColumn("qty_sold", F.col("qty_sold").cast("decimal(18,2)"))
+    rows = rows.withColumn("qty_sold", F.col("qty_sold").cast("decimal(28,2)"))
     keyed = rows.withColumn(
         "row_key", row_key(F.col("platform"), F.col("order_id"), F.col("internal_sku"), F.col("line_no")))
     merged = rollup.merge_duplicates(keyed)

@@ -74,7 +74,7 @@ def agg_page(spark, sf_dir):
 @query("o3_page_count", duck.with_facts(
     "select year, month, count(*) as total, cast(ceil(count(*) / 50) as bigint) as pages from facts group by all"))
 def page_count(spark, sf_dir):
-    _, size = paging.clamp_page(0, 50)
+    _, size = paging.check_page(1, 50)
     return inputs.stored_facts(spark, sf_dir).groupBy("year", "month").agg(F.count(F.lit(1)).alias("total")).withColumn(
         "pages", paging.page_count(F.col("total"), size))
 
@@ -94,20 +94,24 @@ def newest_jobs(spark, sf_dir):
 
 
 @query("o5_sorted_by_amount", duck.with_rollup(
-    "select internal_sku, cast(net_received_sum as double) as net_received_sum from rollup_rows"))
+    f"select internal_sku, {duck.double('net_received_sum')} as net_received_sum, row_number() over "
+    f"(order by net_received_sum desc, {', '.join(AGG_COLUMNS[:7])}) as place from rollup_rows"))
 def sorted_by_amount(spark, sf_dir):
     rows = paging.sorted_by(inputs.stored_rollup(spark, sf_dir), "net_received_sum", True, ties=AGG_COLUMNS[:7])
-    return rows.select("internal_sku", "net_received_sum")
+    return inputs.placed(rows).select("internal_sku", "net_received_sum", "place")
 
 
-@query("o5_sorted_by_locale", "select p_partkey, p_name from part")
+@query("o5_sorted_by_locale", "select p_partkey, p_name, row_number() over (order by p_name collate en_us, p_partkey) as place from part")
 def sorted_by_locale(spark, sf_dir):
-    return paging.sorted_by(inputs.read(spark, sf_dir, "part"), "p_name", locale=True, ties=["p_partkey"]).select("p_partkey", "p_name")
+    rows = paging.sorted_by(inputs.read(spark, sf_dir, "part"), "p_name", locale=True, ties=["p_partkey"])
+    return inputs.placed(rows.select("p_partkey", "p_name"))
 
 
-@query("o6_export_order", duck.with_facts(f"select {_LIST} from facts"))
+@query("o6_export_order", duck.with_facts(
+    f"select {_LIST}, row_number() over (order by internal_sku, order_id, facts.line_no, row_key, source_line) as place from facts"))
 def export_order(spark, sf_dir):
-    return export.canonical_order(inputs.stored_facts(spark, sf_dir), "fact").select(*FACT_COLUMNS, "row_key")
+    facts = inputs.stored_facts(spark, sf_dir)
+    return inputs.placed(export.canonical_order(facts, "fact", ["source_line"]).select(*FACT_COLUMNS, "row_key"))
 
 
 @query("o7_job_by_id", f"with j as (select {duck.select(JOBS)} from events)\n"

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.files import normal_platform
-from ..operators.validate import identity_holds, missing_columns, required_message
+from ..operators.validate import identity_holds, missing_names, required_message
 from ..plans import formula, mapping, two_file
+from ..plans.two_file import REQUIRED_HEADERS
 from ..schemas import FACT_COLUMNS
 from . import duck, inputs
 from .registry import query
@@ -203,14 +204,24 @@ def period_warnings(spark, sf_dir):
     return _split(spark, sf_dir)[1]
 
 
-@query("p14_header_check",
-       "with f as (select distinct column_name as h from (describe lineitem)) "
-       "select t.missing, (select count(*) from lineitem) as rows from (values ('l_comment'), ('l_receiptdate')) t(missing) "
-       "where t.missing not in (select h from f)")
+_HEADERS = {("douyin", "finance"): ["订单号", "子订单号", "收支金额"], ("xiaohongshu", "settlement"): None}
+
+
+@query("p14_header_check", "select platform, role, missing, rows from (values "
+       + ", ".join(f"('{p}', '{r}', '{h}')" for (p, r), given in _HEADERS.items() for h in REQUIRED_HEADERS[p, r]
+                   if given is not None and h not in given)
+       + ") t(platform, role, missing), (select count(*) as rows from orders)")
 def header_check(spark, sf_dir):
-    lines = inputs.read(spark, sf_dir, "lineitem")
-    missing = missing_columns(lines, ["l_orderkey", "l_tax", "l_comment", "l_receiptdate"])
-    return missing.withColumn("rows", F.lit(lines.count()).cast("bigint"))
+    """Required headers that a sheet lacks, next to its rows; the second sheet has all of them."""
+    orders, found = inputs.read(spark, sf_dir, "orders"), None
+    for (platform, role), given in _HEADERS.items():
+        names = given or REQUIRED_HEADERS[platform, role]
+        sheet = orders.select(*[F.col("o_orderkey").cast("string").alias(h) for h in names])
+        lacking = F.array(*map(F.lit, missing_names(sheet, REQUIRED_HEADERS[platform, role]))).cast("array<string>")
+        one = sheet.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(platform).alias("platform"), F.lit(role).alias("role"), F.explode(lacking).alias("missing"), "rows")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 _PLATFORM = ("case when l_linenumber = 1 then ' DouYin ' when l_linenumber = 2 then 'XIAOHONGSHU' when l_linenumber = 3 then 'wechat_video' "
@@ -225,19 +236,32 @@ def platform_names(spark, sf_dir):
     return raw.groupBy("p", normal_platform(F.col("p")).alias("platform")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("p17_douyin_tidy",
-       "with raw as (select row_number() over () as source_line, "
-       "concat('', l_orderkey) as order_id, concat('P', l_partkey) as sku, concat(' ', l_linenumber) as qty from lineitem)\n"
-       "select source_line, order_id, sku, qty from raw where source_line <> 2")
-def douyin_tidy(spark, sf_dir):
-    lines = inputs.lineitem(spark, sf_dir)
-    raw = lines.select(
+_TIDY_RAW = ("with raw as (select row_number() over () as source_line, "
+             "concat('', l_orderkey) as order_id, concat('P', l_partkey) as sku, concat(' ', l_linenumber) as qty from lineitem)\n")
+
+
+def _douyin_sheet(spark, sf_dir, comment):
+    quantity = F.concat(F.lit(" "), F.col("l_linenumber").cast("string"))
+    return inputs.lineitem(spark, sf_dir).select(
         *inputs.PLACE,
-        F.concat(F.lit(" "), F.col("l_orderkey").cast("string"), F.lit(" \t")).alias("订单号"),
+        F.concat(F.lit(" "), F.col("l_orderkey").cast("string"), F.lit(" \t")).alias("订单号"),
         F.concat(F.lit("P　"), F.col("l_partkey").cast("string"), F.lit("​")).alias("商品编码"),
-        F.concat(F.lit(" "), F.col("l_linenumber").cast("string")).alias("qty"))
+        (F.when(F.col("source_line") == 2, F.lit("购买的件数")).otherwise(quantity) if comment else quantity).alias("购买数量"))
+
+
+def _tidied(raw):
     tidy = mapping.tidy_douyin(raw)
-    return tidy.select("source_line", F.col("订单号").alias("order_id"), F.col("商品编码").alias("sku"), "qty")
+    return tidy.select("source_line", F.col("订单号").alias("order_id"), F.col("商品编码").alias("sku"), F.col("购买数量").alias("qty"))
+
+
+@query("p17_douyin_tidy", _TIDY_RAW + "select source_line, order_id, sku, qty from raw where source_line <> 2")
+def douyin_tidy(spark, sf_dir):
+    return _tidied(_douyin_sheet(spark, sf_dir, True))
+
+
+@query("p17_douyin_no_comment", _TIDY_RAW + "select source_line, order_id, sku, qty from raw")
+def douyin_no_comment(spark, sf_dir):
+    return _tidied(_douyin_sheet(spark, sf_dir, False))
 
 
 @query("v2_row_identity", _mapped(WECHAT, _LINES) +

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import export_text
 from ..operators import paging, rollup, validate
-from ..plans import export, mapping
-from ..schemas import AGG_COLUMNS, FACT_COLUMNS, META_COLUMNS
+from ..plans import export, formula, mapping
+from ..schemas import AGG_COLUMNS, AGG_HEADERS, AMOUNTS, FACT_COLUMNS, FACT_HEADERS, META_COLUMNS, RELATIONAL_FACT
 from ..session import new_folder
 from ..sources import records, store
 from . import duck, inputs
@@ -41,25 +41,46 @@ def agg_sink(spark, sf_dir):
     return inputs.stored_rollup(spark, sf_dir)
 
 
+_SMALL = " and ".join(f"abs({n}) < 99999999.995" for n in duck.AMOUNTS[1:])
+_RELATIONAL = f"qty_sold = floor(qty_sold) and abs(qty_sold) < 2147483648 and {_SMALL}"
+
+
 @query("k3_relational_sink", duck.with_facts(
-    "select year, month, order_id, line_count, line_no, internal_sku, fin_code, "
-    "try_cast(qty_sold as integer) as qty_sold, "
-    + ", ".join(f"cast(try_cast({n} as decimal(10,2)) as double) as {n}" for n in duck.AMOUNTS[1:])
-    + " from facts"))
+    "select 'wechat_video' as platform, 'ULP-9' as upload_id, 'job-9' as job_id, year, month, order_id, line_count, line_no, "
+    "internal_sku, fin_code, cast(qty_sold as integer) as qty_sold, "
+    + ", ".join(f"{duck.double(n)} as {n}" for n in duck.AMOUNTS[1:])
+    + f", '' as source_file, source_line from facts where {_RELATIONAL}"))
 def relational_sink(spark, sf_dir):
     folder = new_folder(spark, "relational")
-    mapping.relational(inputs.stored_facts(spark, sf_dir)).write.parquet(folder)
-    return spark.read.parquet(folder)
+    rows, _ = mapping.relational(inputs.stored_facts(spark, sf_dir), "wechat_video", "ULP-9", "job-9")
+    rows.write.parquet(folder)
+    return spark.read.schema(RELATIONAL_FACT).parquet(folder)
+
+
+@query("k3_relational_rejects", duck.with_facts(
+    f"select source_line, order_id, {duck.dbl(*duck.AMOUNTS)} from facts where not ({_RELATIONAL})"))
+def relational_rejects(spark, sf_dir):
+    _, rejects = mapping.relational(inputs.stored_facts(spark, sf_dir), "wechat_video", "ULP-9", "job-9")
+    return rejects.select("source_line", "order_id", *AMOUNTS)
 
 
-_NUMBER_CELL = "case when {0} = floor({0}) then cast(cast({0} as bigint) as varchar) else cast({0} as varchar) end"
+@query("k3_relational_rollup", duck.with_rollup(
+    "select 'wechat_video' as platform, 'ULP-9' as upload_id, 'job-9' as job_id, year, month, internal_sku, "
+    + ", ".join(f"{duck.double(n)} as {n}" for n in duck.SUM_NAMES)
+    + ", cast(record_count as integer) as record_count from rollup_rows where "
+    + " and ".join(f"abs({n}) < 9999999999.995" for n in duck.SUM_NAMES)))
+def relational_rollup(spark, sf_dir):
+    rows, _ = mapping.relational_rollup(inputs.stored_rollup(spark, sf_dir), "wechat_video", "ULP-9", "job-9")
+    return rows
+
+
+_NUMBER_CELL = "case when {0} = floor({0}) then cast(cast({0} as hugeint) as varchar) else cast({0} as varchar) end"
 
 
 @query("k4_csv_export", duck.with_facts(
     "select concat_ws(',', year, month, order_id, line_count, line_no, internal_sku, fin_code, "
     + ", ".join(_NUMBER_CELL.format(n) for n in duck.AMOUNTS) + ") as line from facts "
-    "union all select '年,月,订单号,订单行数,订单序位,平台商品编码,商品编码,销售数量,应收客户,应收平台,价外收费,"
-    "扣平台佣金用,扣分销佣金,扣其它费用,应到账金额'"))
+    f"union all select '{','.join(FACT_HEADERS)}'"))
 def csv_export(spark, sf_dir):
     folder = new_folder(spark, "export")
     facts = inputs.stored_facts(spark, sf_dir)
@@ -71,19 +92,13 @@ def csv_export(spark, sf_dir):
 
 
 @query("k5_fact_export", duck.with_facts(
-    "select year as \"年\", month as \"月\", order_id as \"订单号\", line_count as \"订单行数\", line_no as \"订单序位\", "
-    "internal_sku as \"平台商品编码\", fin_code as \"商品编码\", "
-    + ", ".join(f'cast({n} as double) as "{h}"' for n, h in zip(duck.AMOUNTS, (
-        "销售数量", "应收客户", "应收平台", "价外收费", "扣平台佣金用", "扣分销佣金", "扣其它费用", "应到账金额")))
-    + " from facts"))
+    "select " + ", ".join(f'{duck.double(n) if n in AMOUNTS else n} as "{h}"' for h, n in FACT_HEADERS.items()) + " from facts"))
 def fact_export(spark, sf_dir):
     return export.fact_export(inputs.stored_facts(spark, sf_dir), inputs.YEAR, inputs.MONTH)
 
 
 @query("k6_agg_export", duck.with_rollup(
-    "select internal_sku as \"商品编码\", "
-    + ", ".join(f'cast({n} as double) as "{h}"' for n, h in zip(duck.SUM_NAMES, (
-        "销售数量合计", "收入总计", "平台佣金合计", "其他费用合计", "应到账金额合计")))
+    "select " + ", ".join(f'{n if n == "internal_sku" else duck.double(n)} as "{h}"' for h, n in AGG_HEADERS.items())
     + " from rollup_rows"))
 def agg_export(spark, sf_dir):
     return export.agg_export(inputs.stored_rollup(spark, sf_dir))
@@ -94,18 +109,22 @@ def public_columns(spark, sf_dir):
     return export.public_columns(inputs.stored_facts(spark, sf_dir))
 
 
-@query("k8_capped_export", duck.with_facts(
-    f"select {duck.FACT_LIST} from facts "
-    "order by internal_sku, order_id, facts.line_no, row_key limit 100000"))
-def capped_export(spark, sf_dir):
-    ordered = export.canonical_order(inputs.stored_facts(spark, sf_dir), "fact")
-    return export.capped(export.public_columns(ordered, ())).select(*FACT_COLUMNS)
+@query("k8_sheet_export", duck.with_facts(f"select {duck.FACT_LIST} from facts"))
+def sheet_export(spark, sf_dir):
+    """All rows in canonical order, split into files of one sheet, read back."""
+    folder = new_folder(spark, "sheets")
+    facts = inputs.stored_facts(spark, sf_dir)
+    ordered = export.canonical_order(facts, "fact")
+    export.write_csv(export.csv_text(export.public_columns(ordered).select(*FACT_COLUMNS)), folder)
+    kinds = ", ".join(f"{n} {'double' if n in AMOUNTS else facts.schema[n].dataType.simpleString()}" for n in FACT_COLUMNS)
+    back = spark.read.schema(kinds).option("header", True).csv(folder)
+    return back.fillna("", ["order_id", "internal_sku", "fin_code"])
 
 
 @query("k9_golden_csv", duck.with_rollup(
     "select concat_ws(',', '\"' || internal_sku || '\"', '\"' || platform || '\"', "
     "cast(cast(year as decimal(18,2)) as varchar), cast(cast(month as decimal(18,2)) as varchar), "
-    + ", ".join(f"cast(cast({n} as decimal(18,2)) as varchar)" for n in (*duck.SUM_NAMES, "record_count"))
+    + ", ".join(f"cast(cast({n} as decimal(38,2)) as varchar)" for n in (*duck.SUM_NAMES, "record_count"))
     + ") as line from rollup_rows"))
 def golden_csv(spark, sf_dir):
     folder = new_folder(spark, "golden")
@@ -131,11 +150,13 @@ def stamped(spark, sf_dir):
         "platform", "user_id", "job_id", "upload_id", "row_key", "row_hash")
 
 
-@query("p18_failed_rows", duck.with_facts(
-    f"select {duck.FACT_LIST}, source_line, validation_status from facts where validation_status = 'error'"))
-def failed_rows(spark, sf_dir):
-    facts = inputs.wechat_facts(spark, sf_dir).where("validation_status = 'error'")
-    return facts.select(*FACT_COLUMNS, "source_line", "validation_status")
+@query("p18_rejected_rows", duck.with_facts(
+    "select source_line, order_raw as order_id, line_count, line_no, '金额超出范围' as message, bi as price, bm as quantity "
+    "from flagged where failed"))
+def rejected_rows(spark, sf_dir):
+    rows = formula.formula_rejects(inputs.wechat_raw(spark, sf_dir))
+    return rows.select("source_line", "order_id", "line_count", "line_no", "message",
+                       F.col("cells")[formula.HEADERS["BI"]].alias("price"), F.col("cells")[formula.HEADERS["BM"]].alias("quantity"))
 
 
 @query("s3_partition_scan", duck.with_facts(
@@ -155,11 +176,18 @@ def multi_job_scan(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.sum("net_received").alias("net"))
 
 
-@query("s5_skip_stub_files", duck.with_facts(
-    "select year, month, count(*) as n from facts group by all"))
-def skip_stubs(spark, sf_dir):
-    return store.skip_stubs(inputs.stored_facts(spark, sf_dir)).groupBy("year", "month").agg(
-        F.count(F.lit(1)).alias("n"))
+@query("s5_small_files", duck.with_facts(
+    "select year, month, count(*) as n from facts group by all union all select 1, 1, 1"))
+def small_files(spark, sf_dir):
+    """A file of one row and one of none count like any other."""
+    root = new_folder(spark, "uneven")
+    facts = inputs.stored_facts(spark, sf_dir)
+    store.write_facts(facts, root)
+    one = spark.range(1).select(*[F.lit(1 if n in ("year", "month") else None).cast(facts.schema[n].dataType).alias(n)
+                                  for n in facts.columns]).fillna("x", [*store.PARTITIONS])
+    store.write_facts(one, root)
+    one.limit(0).write.mode("append").parquet(f"{root}/user_id=x/platform=x/year=1/month=1/job_id=none")
+    return store.read_facts(spark, root).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s6_missing_path", duck.with_facts("select platform, count(*) as n from facts group by all"))

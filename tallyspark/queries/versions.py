@@ -86,7 +86,7 @@ _UPLOAD_KEY = ["user_id", "platform", "file_type", "content_hash"]
 
 
 def uploads(spark, sf_dir):
-    documents = inputs.spread(inputs.read(spark, sf_dir, "documents"), "doc_id")
+    documents = inputs.read(spark, sf_dir, "documents")
     return documents.select(*[F.expr(e).alias(n) for n, e in _UPLOADS], F.sha2("text", 256).alias("content_hash"))
 
 
@@ -139,7 +139,7 @@ _RECORD_ROWS = f"r as (select *, {_ID} as id from (select {duck.select(_RECORDS)
 
 
 def records(spark, sf_dir):
-    plain = inputs.spread(inputs.read(spark, sf_dir, "orders"), "o_orderkey").select(
+    plain = inputs.read(spark, sf_dir, "orders").select(
         *[F.expr(e).alias(n) for n, e in _RECORDS])
     return plain.withColumn("id", keys.dataset_id(F.col("user_id"), F.col("platform"), F.col("year"), F.col("month")))
 

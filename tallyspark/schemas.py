@@ -26,8 +26,8 @@ AGG_COLUMNS = (
 )
 PARTITIONS = ("user_id", "platform", "year", "month", "job_id")
 
-_MONEY = DecimalType(18, 2)
-SUM_MONEY = DecimalType(28, 2)
+_MONEY = DecimalType(28, 2)
+SUM_MONEY = DecimalType(38, 2)
 
 
 def _struct(**fields) -> StructType:
@@ -87,45 +87,6 @@ FACT_UNIQUE = ("platform", "year", "month", "order_id", "internal_sku", "line_no
 AGG_UNIQUE = ("platform", "year", "month", "internal_sku")
 
 
-def _staging(text="", whole="", money="", rate="", time="") -> StructType:
-    groups = ((text, StringType()), (whole, IntegerType()), (money, SMALL_MONEY),
-              (rate, DecimalType(5, 2)), (time, TimestampType()))
-    return StructType([StructField(n, t) for names, t in groups for n in names.split()])
-
-
-# Staged raw tables: one per platform and stage.
-STAGING = {
-    "xiaohongshu_settlement": _staging(
-        text="order_id product_id internal_sku product_title status remarks upload_id",
-        whole="id raw_line quantity",
-        money="price total_amount discount_amount payment_amount commission_amount platform_fee "
-              "delivery_fee other_fee refund_amount settlement_amount",
-        rate="commission_rate", time="created_at order_time settlement_time"),
-    "xiaohongshu_orders": _staging(
-        text="order_id product_id internal_sku product_title status delivery_status address_province "
-             "address_city buyer_id buyer_nickname remarks upload_id",
-        whole="id raw_line quantity", money="price total_amount payment_amount", time="created_at order_time"),
-    "douyin_settlement": _staging(
-        text="settlement_id order_id product_id internal_sku product_title settlement_cycle payment_method "
-             "status upload_id",
-        whole="id raw_line quantity",
-        money="price payment_amount commission_amount platform_service_fee promotion_fee other_deduction "
-              "settlement_amount",
-        rate="commission_rate", time="created_at order_time settlement_time"),
-    "douyin_orders": _staging(
-        text="order_id sub_order_id product_id internal_sku product_title status delivery_status buyer_id "
-             "buyer_nickname address_detail contact_name contact_phone remarks upload_id",
-        whole="id raw_line quantity", money="price total_amount discount_amount payment_amount",
-        time="created_at order_time"),
-    "wechat_video_orders": _staging(
-        text="order_id transaction_id product_id internal_sku product_title status buyer_id buyer_nickname "
-             "address_province address_city remarks upload_id",
-        whole="id raw_line line_no line_count quantity",
-        money="price payment_amount commission_amount platform_fee promotion_fee delivery_fee other_fee "
-              "settlement_amount",
-        rate="commission_rate", time="created_at order_time settlement_time"),
-}
-
 # Localised headers of the exports, with the columns they show, in order.
 FACT_HEADERS = {
     "年": "year",

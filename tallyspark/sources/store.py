@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..schemas import AGG_COLUMNS, AGG_TABLE, FACT_TABLE, PARTITIONS
 
-MIN_FILE_BYTES = 1024
+SMALL_FILE_BYTES = 1024
 MAX_FILE_ROWS = 5_000_000
 
 
@@ -81,13 +81,8 @@ def of_jobs(table: DataFrame, jobs: Sequence[str] | None) -> DataFrame:
     return table.where(F.col("job_id").isin(*jobs)) if jobs else table
 
 
-def skip_stubs(table: DataFrame, min_bytes: int = MIN_FILE_BYTES) -> DataFrame:
-    """Leave out files too small to hold data; must be applied to the scan itself."""
-    return table.where(F.col("_metadata.file_size") >= min_bytes)
-
-
-def small_files(spark: SparkSession, root: str, max_bytes: int = MIN_FILE_BYTES) -> DataFrame:
-    """Paths and sizes of files below the limit; contents are not read."""
+def small_files(spark: SparkSession, root: str, max_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
+    """Report of files below the limit, path and size; contents are not read, and scans read such files like others."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
         .load(root)

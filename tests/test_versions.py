@@ -84,7 +84,10 @@ def test_pages(spark):
     want = sorted((r["a"], r["b"]) for r in frame.collect())
     assert [tuple(r) for r in paging.page(frame, ["a", "b"], 10, 25).collect()] == want[25:35]
     assert [tuple(r) for r in paging.page_after(frame, ["a", "b"], want[24], 10).collect()] == want[25:35]
-    assert paging.clamp_page(0, 5) == (0, 10) and paging.clamp_page(3, 5000) == (2000, 1000)
+    assert paging.check_page(1, 10) == (0, 10) and paging.check_page(3, 1000) == (2000, 1000)
+    for wrong in ((0, 50), (1, 9), (1, 1001)):
+        with pytest.raises(ValueError):
+            paging.check_page(*wrong)
 
 
 def test_search_keeps_wildcards(spark):
