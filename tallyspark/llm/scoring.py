@@ -40,7 +40,8 @@ CHUNK = 8_000_000  # bytes of text
 WORD_BYTES, SHARD_BYTES = 64_000_000, 8_000_000  # of text per range of words, per shard of the model
 PSEUDO = (1000.0, 4.0)
 END = 0x5851F42D4C957F2D  # the hash of the end
-_codec = pa.Codec("zstd", compression_level=1)
+_codec = pa.Codec("zstd", compression_level=3)
+_NONE = np.uint16(1 << 15)  # stands for ABSENT in an answer
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -68,6 +69,19 @@ def unpacked(raw: bytes) -> list[np.ndarray]:
     return out
 
 
+def relative(code: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Codes less what both ends know, modulo 2**16: few distinct values, which pack well."""
+    return np.where(code == ABSENT, _NONE, code - base)
+
+
+def absolute(given: np.ndarray, base: np.ndarray) -> np.ndarray:
+    return np.where(given == _NONE, np.uint16(ABSENT), given + base)
+
+
+def _count_code(count: np.ndarray, pseudo: float) -> np.ndarray:
+    return quantised(1 / (count + pseudo))
+
+
 _PARTS = "chunk long, part long, payload binary"
 
 
@@ -182,6 +196,8 @@ class _Chunk:
         self.shard = (mix(self.pairs) % np.uint64(shards)).astype(np.int64)
         self.by_pair = np.argsort(self.shard, kind="stable")
         self.pair_cut = np.searchsorted(self.shard[self.by_pair], np.arange(shards + 1))
+        self.first_count = np.zeros(len(self.pairs), np.int64)
+        self.first_count[self.pair[self.paired]] = self.before_count[self.paired]
         self.by_triple = np.argsort(self.shard[self.parent], kind="stable")
         self.triple_cut = np.searchsorted(self.shard[self.parent][self.by_triple], np.arange(shards + 1))
 
@@ -191,8 +207,6 @@ class _Chunk:
         pair_times = np.bincount(self.pair[self.paired], self.learns[self.paired], len(self.pairs)).astype(np.int64)
         triple_times = np.bincount(self.triple, self.learns[self.tripled], len(self.triples)).astype(np.int64)
         fan = np.bincount(self.parent, minlength=len(self.pairs))
-        first_count = np.zeros(len(self.pairs), np.int64)
-        first_count[self.pair[self.paired]] = self.before_count[self.paired]
         rows = []
         for s in range(self.shards):
             p = self.by_pair[self.pair_cut[s]: self.pair_cut[s + 1]]
@@ -202,7 +216,7 @@ class _Chunk:
             u = (self.pairs[p] >> np.uint64(32)).astype("<u4")
             head = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
             rows.append((s, chunk, packed(
-                u[head], first_count[p[head]], np.diff(np.append(head, len(u))).astype("<u4"),
+                np.diff(u[head], prepend=np.uint32(0)).astype("<u4"), self.first_count[p[head]], np.diff(np.append(head, len(u))).astype("<u4"),
                 self.pairs[p].astype("<u4"), pair_times[p].astype("<u4"), fan[p].astype("<u4"),
                 self.triples[t].astype("<u4"), triple_times[t].astype("<u4"))))
         return rows
@@ -213,8 +227,10 @@ class _Chunk:
         for s in range(self.shards):
             p = self.by_pair[self.pair_cut[s]: self.pair_cut[s + 1]]
             if len(p):
-                pair_part[p], pair_backoff[p], triple_part[self.by_triple[self.triple_cut[s]: self.triple_cut[s + 1]]] = (
-                    unpacked(rows[s]))
+                t = self.by_triple[self.triple_cut[s]: self.triple_cut[s + 1]]
+                pair, pair_backoff[p], triple = unpacked(rows[s])
+                pair_part[p] = absolute(pair, _count_code(self.first_count[p], pseudo[0]))
+                triple_part[t] = absolute(triple, pair_backoff[self.parent[t]])
         alone = (self.count + 0.5) / (tokens + 0.5 * (words + 1))
         p = alone.copy()
         after = self.before_count > 0
@@ -238,6 +254,8 @@ def _shard(table: pa.Table, words: int, pseudo) -> tuple[bytes, Callable]:
     """The trie of a shard's training counts, and a function that answers the questions from it."""
     messages = [unpacked(x) for x in table.column("payload").to_pylist()]
     pairs, times, firsts, triple_pairs, thirds, triple_times, at = [], [], [], [], [], [], 0
+    for message in messages:
+        message[0] = np.cumsum(message[0], dtype=np.uint32)
     for u, u_count, n, v, c, fan, w, wc in messages:
         pairs.append(np.repeat(u, n).astype(np.uint64) << np.uint64(32) | v.astype(np.uint64))
         firsts.append(np.repeat(u_count, n))
@@ -266,10 +284,12 @@ def _shard(table: pa.Table, words: int, pseudo) -> tuple[bytes, Callable]:
 
     def answers(trie: Trie) -> list[bytes]:
         out = []
-        for u, _, n, v, _, fan, w, _ in messages:
+        for u, u_count, n, v, _, fan, w, _ in messages:
             found = trie.pair(np.repeat(u, n), v)
             parent = np.repeat(np.arange(len(v)), fan)
-            out.append(packed(*trie.pair_codes(found), trie.triple_codes(trie.triple(found[parent], v[parent], w))))
+            part, backoff = trie.pair_codes(found)
+            triple = trie.triple_codes(trie.triple(found[parent], v[parent], w))
+            out.append(packed(relative(part, np.repeat(_count_code(u_count, pseudo[0]), n)), backoff, relative(triple, backoff[parent])))
         return out
 
     return raw, answers
