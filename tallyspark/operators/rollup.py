@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.keys import row_hash
 from ..functions.numbers import money_or_zero
 from ..schemas import AGG_SUMS, AMOUNTS, SUM_MONEY
 from .validate import computed_net, consistency
@@ -72,10 +73,12 @@ def with_total_row(facts: DataFrame, key: str) -> DataFrame:
     return rolled.withColumn("fees_total", fees)
 
 
-def merge_duplicates(facts: DataFrame, key: str = "row_key", order: Sequence[str] = ("source_line",)) -> DataFrame:
-    """One row per key: attributes of the first row, largest quantity, summed amounts, recomputed net.
+def merge_duplicates(
+    facts: DataFrame, key: str = "row_key", order: Sequence[str] = ("source_file", "source_line"),
+) -> DataFrame:
+    """One row per key: attributes of the first row, largest quantity, summed amounts, recomputed net and row hash.
 
-    Rows that stand alone keep their net amount as it came.
+    Rows that stand alone keep their net amount and hash as they came. Files come in the order of their names.
     """
     attributes = [c for c in facts.columns if c not in AMOUNTS and c != key]
     charges = [n for n in AMOUNTS if n not in ("qty_sold", "net_received")]
@@ -87,9 +90,12 @@ def merge_duplicates(facts: DataFrame, key: str = "row_key", order: Sequence[str
         F.count(F.lit(1)).alias("source_merge_count"),
     )
     net = F.when(F.col("source_merge_count") == 1, F.col("_only_net")).otherwise(computed_net())
-    return merged.select(
+    rows = merged.select(
         key, "_first.*", "qty_sold", *charges, net.cast(SUM_MONEY).alias("net_received"), "source_merge_count"
     )
+    if "row_hash" not in rows.columns:
+        return rows
+    return rows.withColumn("row_hash", F.when(F.col("source_merge_count") == 1, F.col("row_hash")).otherwise(row_hash()))
 
 
 def status_counts(facts: DataFrame, by: Sequence[str] = ("job_id",)) -> DataFrame:

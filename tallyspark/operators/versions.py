@@ -7,7 +7,7 @@ that holds a large share of the log is combined before it is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -82,21 +82,25 @@ def mark_duplicates(uploads: DataFrame, keys: Sequence[str], order: Sequence[str
     return marked.withColumn("is_duplicate", F.col("id") != F.col("first_id"))
 
 
-def missing_files(uploaded: DataFrame, required: DataFrame) -> DataFrame:
-    """Required (platform, file_type) pairs each upload lacks.
+def missing_files(uploaded: DataFrame, required: Mapping[str, Sequence[str]]) -> DataFrame:
+    """File roles each upload lacks, of those its platform requires.
 
-    ``uploaded`` has upload_id, platform and file_type. ``required`` is the short list of platform file roles,
-    a few rows whatever the data size, hence the broadcast.
+    ``uploaded`` has upload_id, platform and file_type.
     """
-    wanted = uploaded.select("upload_id", "platform").distinct().join(F.broadcast(required), "platform")
+    roles = F.create_map(*[x for p, r in required.items() for x in (F.lit(p), F.array(*map(F.lit, r)))])
+    wanted = uploaded.select("upload_id", "platform").distinct().withColumn("file_type", F.explode(roles[F.col("platform")]))
     key = ["upload_id", "platform", "file_type"]
     return join_one(wanted, known_keys(uploaded, key), key, "left_anti")
 
 
 def job_backfill(jobs: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Completed jobs of each existing dataset, one row each, with the latest one repeated on every row."""
-    done = jobs.where(F.col("status").isin("completed", "succeeded")).where(
-        "dataset_id is not null and job_id is not null"
+    """Completed jobs of each existing dataset, one row each, with the latest one repeated on every row.
+
+    Only a status that is present and says otherwise rules a job out.
+    """
+    unsaid = F.coalesce(F.col("status"), F.lit("")) == ""
+    done = jobs.where(unsaid | F.col("status").isin("completed", "succeeded")).where(
+        "dataset_id <> '' and job_id <> ''"
     ).select("dataset_id", "job_id").distinct()
     latest = done.groupBy("dataset_id").agg(
         F.max("job_id").alias("latest_job_id"), F.count(F.lit(1)).alias("job_count")
@@ -123,6 +127,18 @@ def merged_job_ids(existing: Column, incoming: Column) -> Column:
     return F.filter(joined, lambda x: x.isNotNull() & (x != ""))
 
 
+def effective_facts(facts: DataFrame, order: Sequence[str] = ("job_id", "source_line")) -> DataFrame:
+    """Latest version of each row key of a tenant, platform and month: the facts that previews, summaries and exports show.
+
+    Later means greater by ``order``, by default the job. Rows of one job that share a key are lines of one upload and all
+    stay; a key that a later job brings again replaces them.
+    """
+    keys = ["user_id", "platform", "year", "month", "row_key"]
+    jobs = order[0]
+    latest = facts.groupBy(*keys).agg(F.max(jobs).alias("_latest"))
+    return join_one(facts, latest, keys).where(F.col(jobs) == F.col("_latest")).drop("_latest")
+
+
 def supersede(datasets: DataFrame, dataset_id: Column, by: Column, at: Column) -> DataFrame:
     """Mark every record with the id as superseded."""
     hit = F.col("id") == dataset_id
@@ -136,16 +152,30 @@ def supersede(datasets: DataFrame, dataset_id: Column, by: Column, at: Column) -
     )
 
 
+def _one_per_id(incoming: DataFrame) -> DataFrame:
+    """Incoming records of one id as one: the last of them with the job ids of all, in the order of ``seq``."""
+    rest = [c for c in incoming.columns if c not in ("id", "job_ids")]
+    kept = [c for c in rest if c != "seq"]
+    lists = incoming.select("id", "seq", F.posexplode_outer("job_ids").alias("_at", "_job")).where("_job <> ''")
+    # One entry per job first, so that an id with many records stays one row per job until the list is built.
+    jobs = lists.groupBy("id", "_job").agg(F.min(F.struct("seq", "_at")).alias("_place"))
+    jobs = jobs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_place", "_job"))).alias("_jobs"))
+    last = incoming.groupBy("id").agg(F.max_by(F.struct(*kept), "seq").alias("_last"))
+    joined = last.join(jobs, "id", "left")
+    none = F.array().cast("array<string>")
+    return joined.select("id", "_last.*", F.coalesce(F.transform("_jobs", lambda j: j["_job"]), none).alias("job_ids"))
+
+
 def upsert_datasets(datasets: DataFrame, incoming: DataFrame, at: Column) -> DataFrame:
     """Create or reactivate: incoming records win, job lists are united, extra records of an id go.
 
-    Both sides have id, user_id, platform, year, month, upload_id, job_id, job_ids; ``datasets`` also has
-    status, created_at, updated_at and a stored order ``seq``.
+    Both sides have id, user_id, platform, year, month, upload_id, job_id, job_ids and an order ``seq``; ``datasets`` also
+    has status, created_at, updated_at. Several incoming records of an id count as one, the last, with all their jobs.
     """
     old = first_rows(datasets, ["id"], ["seq"])
     fixed = ("user_id", "platform", "year", "month")
     o = old.select("id", *[F.col(c).alias(f"_{c}") for c in old.columns if c != "id"])
-    both = o.join(incoming, "id", "full_outer")
+    both = o.join(_one_per_id(incoming), "id", "full_outer")
     touched = F.col("upload_id").isNotNull()
     return both.select(
         "id",

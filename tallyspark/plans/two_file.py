@@ -83,7 +83,7 @@ def _facts(rows: DataFrame, values: dict[str, Column], year: int, month: int) ->
         F.lit(1).alias("line_count"), F.lit(1).alias("line_no"),
         values["internal_sku"].alias("internal_sku"), values["internal_sku"].alias("fin_code"),
         *[money(round2(values.get(name, F.lit(0.0)))).alias(name) for name in amounts],
-        *[n for n in ("source_file", "source_line", "matched") if n in rows.columns],
+        *[n for n in ("source_file", "source_line", "matched", "unmatched_message") if n in rows.columns],
     )
     return built.withColumn("closure_ok", F.coalesce(closure_holds(), F.lit(False)))
 
@@ -126,8 +126,9 @@ def xiaohongshu_orders(orders: DataFrame, settlements: DataFrame, year: int, mon
     """
     kept, _ = split_period(orders, "xiaohongshu", "订单编号", year, month)
     keyed = kept.withColumn("_order", column("订单编号"))
+    missing = F.concat(F.lit("订单 "), column("订单编号"), F.lit(" 没有找到已结算的结算记录"))
     joined = join_one(keyed, settled_totals(settlements), ["_order"]).withColumns(
-        {"matched": F.col("_found").isNotNull(),
+        {"matched": F.col("_found").isNotNull(), "unmatched_message": F.when(F.col("_found").isNull(), missing),
          "_commission": F.coalesce("_commission", F.lit(0.0)),
          "_settled": F.coalesce("_settled", F.lit(0.0))}
     )
@@ -191,8 +192,10 @@ def douyin_orders(orders: DataFrame, finance: DataFrame, year: int, month: int)
     """Orders with the classified fees of their order and sub-order."""
     kept, _ = split_period(orders, "douyin", "订单号", year, month)
     keyed = kept.withColumns({"_order": column("订单号"), "_sub": sub_order()})
+    named = F.when(sub_order() != "", F.concat(F.lit("(子订单 "), sub_order(), F.lit(")"))).otherwise(F.lit(""))
+    missing = F.concat(F.lit("订单 "), column("订单号"), F.lit(" "), named, F.lit(" 没有找到财务记录"))
     joined = join_one(keyed, finance_totals(finance), ["_order", "_sub"]).withColumns(
-        {"matched": F.col("_found").isNotNull(),
+        {"matched": F.col("_found").isNotNull(), "unmatched_message": F.when(F.col("_found").isNull(), missing),
          **{n: F.coalesce(n, F.lit(0.0)) for n in ("_commission", "_platform_fee", "_other_fee")}}
     )
     paid = parse_prefix_number(column("用户实付金额"))
@@ -211,6 +214,29 @@ def douyin_orders(orders: DataFrame, finance: DataFrame, year: int, month: int)
     return _facts(joined, values, year, month)
 
 
+def order_warnings(facts: DataFrame) -> DataFrame:
+    """Message rows of the facts of a two-file rule: no row in the other file, amounts that do not close."""
+    unclosed = F.concat(F.lit("订单 "), F.col("order_id"), F.lit(" 的金额计算不闭环"))
+    messages = [F.when(~F.col("closure_ok"), unclosed)]
+    if "unmatched_message" in facts.columns:
+        messages.insert(0, F.col("unmatched_message"))
+    place = [n for n in ("source_file", "source_line") if n in facts.columns]
+    return facts.select(*place, "order_id", F.explode(F.array_compact(F.array(*messages))).alias("message"))
+
+
+def unsettled_orders(orders: DataFrame, settlements: DataFrame, year: int, month: int) -> DataFrame:
+    """Open xiaohongshu orders of the period without a settled row; pending rows do not count."""
+    kept, _ = split_period(orders, "xiaohongshu", "订单编号", year, month)
+    settled = settlements.where(column("结算状态") == SETTLED)
+    return unmatched_orders(kept, settled, {"订单编号": "订单编号"})
+
+
+def without_finance(orders: DataFrame, finance: DataFrame, year: int, month: int) -> DataFrame:
+    """Open douyin sub-orders of the period without a finance row."""
+    kept, _ = split_period(orders, "douyin", "订单号", year, month)
+    return unmatched_orders(kept, finance, {"订单号": "订单号", "子订单号": "子订单号"})
+
+
 def unmatched_orders(orders: DataFrame, other: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Orders without any row in the other file; ``keys`` maps order columns to columns of the other file."""
     names = [f"_{i}" for i in range(len(keys))]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.keys import row_key
+from ..functions.keys import row_hash, row_key
 from ..operators import lines as line_ops
 from ..operators import rollup, validate
 from ..operators.paging import of_period, sku_like
@@ -72,9 +72,9 @@ def wide_rollup(spark, sf_dir):
 
 
 @query("g4_row_count", duck.with_facts(
-    f"select count(*) as rows from facts where {duck.PERIOD} and internal_sku like '%P1%'"))
+    f"select count(*) as rows from effective where {duck.PERIOD} and internal_sku like '%P1%'"))
 def row_count(spark, sf_dir):
-    rows = of_period(inputs.stored_facts(spark, sf_dir), inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER)
+    rows = of_period(inputs.effective_facts(spark, sf_dir), inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER)
     return rows.where(sku_like("P1")).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -82,21 +82,21 @@ def _summary_sql(where):
     return duck.with_facts(
         "select " + ", ".join(f"cast(sum({n}) as double) as total_{n}" for n in duck.AMOUNTS)
         + f", abs(sum({duck.NET}) - sum(net_received)) <= 0.02 as consistency_check, cast(null as varchar) as consistency_error "
-        f"from facts{where}")
+        f"from effective{where}")
 
 
 @query("g6_fact_summary", _summary_sql(""))
 def fact_summary(spark, sf_dir):
-    return rollup.fact_summary(inputs.stored_facts(spark, sf_dir))
+    return rollup.fact_summary(inputs.effective_facts(spark, sf_dir))
 
 
 @query("g6_fact_summary_inconsistent", duck.with_facts(
     "select " + ", ".join(f"cast(sum({n}) as double) as total_{n}" for n in duck.AMOUNTS[:-1])
     + f", cast(sum(net_received + 0.01) as double) as total_net_received, false as consistency_check, "
     f"'金额不一致: 计算值=' || {duck.short('sum(' + duck.NET + ')')} || ', 实际值=' || {duck.short('sum(net_received + 0.01)')} "
-    f"|| ', 差异=' || {duck.short('abs(sum(' + duck.NET + ') - sum(net_received + 0.01))')} as consistency_error from facts"))
+    f"|| ', 差异=' || {duck.short('abs(sum(' + duck.NET + ') - sum(net_received + 0.01))')} as consistency_error from effective"))
 def inconsistent_summary(spark, sf_dir):
-    facts = inputs.stored_facts(spark, sf_dir)
+    facts = inputs.effective_facts(spark, sf_dir)
     off = (F.col("net_received") + F.lit(0.01).cast("decimal(18,2)")).cast("decimal(28,2)")
     return rollup.fact_summary(facts.withColumn("net_received", off))
 
@@ -152,18 +152,21 @@ _CHARGES = ("recv_customer", "recv_platform", "extra_charge", "fee_platform_comm
 
 @query("g10_duplicate_merge", f"""with d as (select row_number() over () as source_line, {duck.select(_DUPES)} from lineitem),
 k as (select *, concat_ws(':', platform, order_id, internal_sku, 'null') as row_key from d),
-m as (select row_key, arg_min(fin_code, source_line) as fin_code, min(source_line) as source_line,
-  cast(max(coalesce(qty_sold, 0)) as double) as qty_sold, {", ".join(f"sum(coalesce({n}, 0)) as {n}" for n in _CHARGES)},
-  max(net_received) as one_net, count(*) as source_merge_count from k group by row_key)
-select row_key, fin_code, source_line, qty_sold, {duck.dbl(*_CHARGES)},
-  cast(case when source_merge_count = 1 then one_net else {duck.NET} end as double) as net_received, source_merge_count from m""")
+m as (select row_key, any_value(order_id) as order_id, any_value(internal_sku) as internal_sku, cast(null as integer) as line_no,
+  arg_min(fin_code, source_line) as fin_code, min(source_line) as source_line,
+  cast(max(coalesce(qty_sold, 0)) as decimal(28,2)) as qty_sold, {", ".join(f"sum(coalesce({n}, 0)) as {n}" for n in _CHARGES)},
+  max(net_received) as one_net, count(*) as source_merge_count from k group by row_key),
+n as (select *, case when source_merge_count = 1 then one_net else {duck.NET} end as net_received from m)
+select row_key, fin_code, source_line, {duck.dbl(*duck.AMOUNTS)}, source_merge_count,
+  case when source_merge_count > 1 then {duck.HASH} end as merged_hash from n""")
 def duplicate_merge(spark, sf_dir):
     rows = inputs.derive(inputs.lineitem(spark, sf_dir), _DUPES).withColumn("line_no", F.lit(None).cast("int"))
     rows = rows.withColumn("qty_sold", F.col("qty_sold").cast("decimal(28,2)"))
     keyed = rows.withColumn(
         "row_key", row_key(F.col("platform"), F.col("order_id"), F.col("internal_sku"), F.col("line_no")))
-    merged = rollup.merge_duplicates(keyed)
-    return merged.select("row_key", "fin_code", "source_line", *AMOUNTS, "source_merge_count")
+    merged = rollup.merge_duplicates(keyed.withColumn("row_hash", row_hash()))
+    return merged.select("row_key", "fin_code", "source_line", *AMOUNTS, "source_merge_count",
+                         F.when(F.col("source_merge_count") > 1, F.col("row_hash")).alias("merged_hash"))
 
 
 @query("g11_status_counts", duck.with_facts(

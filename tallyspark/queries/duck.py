@@ -119,8 +119,13 @@ META_LIST = (
 )
 
 
+# Latest job per row key: what views show.
+EFFECTIVE = """effective as (select * exclude (latest) from (select *, max(job_id) over (partition by user_id, platform, year, month,
+  row_key) as latest from facts) where job_id = latest)"""
+
+
 def with_facts(body: str) -> str:
-    return f"with {FACTS}\n{body}"
+    return f"with {FACTS}, {EFFECTIVE}\n{body}"
 
 
 def sums(income: str = "recv_customer + recv_platform + extra_charge") -> str:

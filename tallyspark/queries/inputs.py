@@ -15,6 +15,7 @@ from ..plans import formula, ingest
 from ..sources import store
 from ..session import new_folder
 from ..operators.rollup import month_sku
+from ..operators.versions import effective_facts as latest_facts
 
 PLATFORM = "wechat_video"
 USER, YEAR, MONTH = "U1", 1997, 5
@@ -138,6 +139,12 @@ def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_facts(spark, fact_root(spark, sf_dir))
 
 
+def effective_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of latest versions that views read; stored_facts is the scan by job."""
+    root = written(spark, sf_dir, "effective", lambda f: store.write_facts(latest_facts(stored_facts(spark, sf_dir)), f))
+    return store.read_facts(spark, root)
+
+
 def rollup_root(spark: SparkSession, sf_dir: str) -> str:
     return written(
         spark, sf_dir, "rollup", lambda f: store.write_rollup(month_sku(stored_facts(spark, sf_dir)), f)

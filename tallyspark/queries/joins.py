@@ -184,23 +184,56 @@ def closure(spark, sf_dir):
     return facts.select("source_line", "closure_ok")
 
 
+_XHS_OPEN = f"""not (contains("订单状态", '取消') or contains("订单状态", '退款')) and {_period('"下单时间"')}"""
+_DOUYIN_OPEN = (f""""订单状态" not in ('已取消', '已关闭', '退款成功') and """
+                + _period("coalesce(nullif(\"支付时间\", ''), \"创建时间\")"))
+
+
 @query("j7_orders_without_settlement", f"""with {_sql(XHS_ORDERS, 'o')}, {_sql(XHS_SETTLED, 's', "lineitem where l_linestatus = 'F'")}
-select source_line, "订单编号" as order_id from o where "订单编号" not in (select "订单编号" from s)""")
+select source_line, "订单编号" as order_id from o where {_XHS_OPEN}
+  and "订单编号" not in (select "订单编号" from s where "结算状态" = '已结算')""")
 def without_settlement(spark, sf_dir):
-    orders, settled = lines(spark, sf_dir, XHS_ORDERS), finished(spark, sf_dir, XHS_SETTLED)
-    found = two_file.unmatched_orders(orders, settled, {"订单编号": "订单编号"})
+    found = two_file.unsettled_orders(
+        lines(spark, sf_dir, XHS_ORDERS), finished(spark, sf_dir, XHS_SETTLED), YEAR, MONTH)
     return found.select("source_line", F.col("订单编号").alias("order_id"))
 
 
 @query("j7_suborders_without_finance", f"""with {_sql(DOUYIN_ORDERS, 'o')}, {_sql(FINANCE, 's', "lineitem where l_linestatus = 'F'")}
-select source_line, "订单号" as order_id from o where not exists (select 1 from s where s."订单号" = o."订单号"
+select source_line, "订单号" as order_id from o where {_DOUYIN_OPEN} and not exists (select 1 from s where s."订单号" = o."订单号"
   and coalesce(s."子订单号", '') = coalesce(o."子订单号", ''))""")
 def without_finance(spark, sf_dir):
-    orders, finance = lines(spark, sf_dir, DOUYIN_ORDERS), finished(spark, sf_dir, FINANCE)
-    found = two_file.unmatched_orders(orders, finance, {"订单号": "订单号", "子订单号": "子订单号"})
+    found = two_file.without_finance(
+        lines(spark, sf_dir, DOUYIN_ORDERS), finished(spark, sf_dir, FINANCE), YEAR, MONTH)
     return found.select("source_line", F.col("订单号").alias("order_id"))
 
 
+@query("j1_xiaohongshu_warnings", f"""{_XHS},
+f as (select source_line, "订单编号" as id, k, {_m('amount')} + {_m(_lead('"运费"'))} - {_m('c')} - {_m('other')}
+  - {_m('case when k is not null then z else amount - c - other end')} as gap from g)
+select source_line, '订单 ' || id || ' 没有找到已结算的结算记录' as message from f where k is null
+union all select source_line, '订单 ' || id || ' 的金额计算不闭环' from f where abs(gap) > 0.01""")
+def xiaohongshu_warnings(spark, sf_dir):
+    facts = two_file.xiaohongshu_orders(
+        lines(spark, sf_dir, XHS_ORDERS), finished(spark, sf_dir, XHS_SETTLED), YEAR, MONTH)
+    return two_file.order_warnings(facts).select("source_line", "message")
+
+
+@query("j2_douyin_warnings", f"""with {_sql(DOUYIN_ORDERS, 'o')}, {_sql(FINANCE, 's', "lineitem where l_linestatus = 'F'")},
+t as (select "订单号" as k, coalesce("子订单号", '') as sub, cast(sum({_m(_FEES['commission'])}) as double) as c,
+  cast(sum({_m(_FEES['platform_fee'])}) as double) as p, cast(sum({_m(_FEES['other_fee'])}) as double) as x from s group by 1, 2),
+j as (select o.*, k, coalesce(c, 0) as c, coalesce(p, 0) as p, coalesce(x, 0) as x, {_lead('"用户实付金额"')} as paid
+  from o left join t on "订单号" = k and coalesce("子订单号", '') = sub where {_DOUYIN_OPEN}),
+f as (select *, {_m('paid')} + {_m(_lead('"运费"'))} - {_m('c')} - {_m('p + x')} - {_m('paid - c - p - x')} as gap,
+  coalesce("子订单号", '') as sub from j)
+select source_line, '订单 ' || "订单号" || ' ' || case when sub <> '' then '(子订单 ' || sub || ')' else '' end || ' 没有找到财务记录' as message
+  from f where k is null
+union all select source_line, '订单 ' || "订单号" || case when sub <> '' then '-' || sub else '' end || ' 的金额计算不闭环' from f where abs(gap) > 0.01""")
+def douyin_warnings(spark, sf_dir):
+    facts = two_file.douyin_orders(
+        lines(spark, sf_dir, DOUYIN_ORDERS), finished(spark, sf_dir, FINANCE), YEAR, MONTH)
+    return two_file.order_warnings(facts).select("source_line", "message")
+
+
 _LINE_SKU = [("order_id", "concat('', l_orderkey)"),
              ("internal_sku", "case when l_linenumber < 4 then nullif('', '') when l_linenumber = 4 then '' else concat('P', l_partkey) end")]
 _ORDER_SKU = [("order_id", "concat('', o_orderkey)"),
@@ -228,17 +261,16 @@ select distinct f.upload_id, f.platform, need.file_type from f join need on f.pl
 where not exists (select 1 from f x where x.upload_id = f.upload_id and x.file_type = need.file_type)""")
 def files_missing(spark, sf_dir):
     uploaded = inputs.read(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(n) for n, e in _FILES])
-    required = spark.createDataFrame(
-        [(p, role) for p, roles in ROLE_PATTERNS.items() for role in roles], "platform string, file_type string")
-    return missing_files(uploaded, required)
+    return missing_files(uploaded, {platform: list(roles) for platform, roles in ROLE_PATTERNS.items()})
 
 
 
 @query("g14_join_miss_ratio", f"""with {_sql(XHS_ORDERS, 'o')}, {_sql(XHS_SETTLED, 's', "lineitem where l_linestatus = 'F'")},
-k as (select distinct "订单编号" as k from s)
+k as (select distinct "订单编号" as k from s where "结算状态" = '已结算')
 select substr("下单时间", 1, 7) as period, count(*) as orders, count(*) - count(k) as missed,
   (count(*) - count(k)) / count(*) as miss_ratio from o left join k on "订单编号" = k group by 1""")
 def join_miss_ratio(spark, sf_dir):
     orders, settled = lines(spark, sf_dir, XHS_ORDERS), finished(spark, sf_dir, XHS_SETTLED)
     return two_file.match_ratio(
-        orders.withColumn("period", F.substring("下单时间", 1, 7)), settled, "订单编号", "订单编号", ["period"])
+        orders.withColumn("period", F.substring("下单时间", 1, 7)),
+        settled.where(F.col("结算状态") == two_file.SETTLED), "订单编号", "订单编号", ["period"])

@@ -16,48 +16,48 @@ _LIST = f"{duck.FACT_LIST}, row_key"
 
 
 def _period(spark, sf_dir):
-    return paging.of_period(inputs.stored_facts(spark, sf_dir), inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER)
+    return paging.of_period(inputs.effective_facts(spark, sf_dir), inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER)
 
 
-@query("p8_period_rows", duck.with_facts(f"select {_LIST} from facts where {duck.PERIOD}"))
+@query("p8_period_rows", duck.with_facts(f"select {_LIST} from effective where {duck.PERIOD}"))
 def period_rows(spark, sf_dir):
     return _period(spark, sf_dir).select(*FACT_COLUMNS, "row_key")
 
 
-@query("p9_sku_search", duck.with_facts(f"select {_LIST} from facts where internal_sku like '%P1_-F%'"))
+@query("p9_sku_search", duck.with_facts(f"select {_LIST} from effective where internal_sku like '%P1_-F%'"))
 def sku_search(spark, sf_dir):
-    return inputs.stored_facts(spark, sf_dir).where(paging.sku_like("P1_-F")).select(*FACT_COLUMNS, "row_key")
+    return inputs.effective_facts(spark, sf_dir).where(paging.sku_like("P1_-F")).select(*FACT_COLUMNS, "row_key")
 
 
-@query("p9_sku_search_nocase", duck.with_facts(f"select {_LIST} from facts where contains(lower(internal_sku), 'p12')"))
+@query("p9_sku_search_nocase", duck.with_facts(f"select {_LIST} from effective where contains(lower(internal_sku), 'p12')"))
 def sku_search_nocase(spark, sf_dir):
-    return inputs.stored_facts(spark, sf_dir).where(paging.sku_contains("p12")).select(*FACT_COLUMNS, "row_key")
+    return inputs.effective_facts(spark, sf_dir).where(paging.sku_contains("p12")).select(*FACT_COLUMNS, "row_key")
 
 
 @query("p10_search_three_columns", duck.with_facts(
-    f"select {_LIST} from facts where internal_sku like '%99%' or fin_code like '%99%' or order_id like '%99%'"))
+    f"select {_LIST} from effective where internal_sku like '%99%' or fin_code like '%99%' or order_id like '%99%'"))
 def search_three(spark, sf_dir):
     hit = paging.sku_like("99", paging.SEARCH_COLUMNS)
-    return inputs.stored_facts(spark, sf_dir).where(hit).select(*FACT_COLUMNS, "row_key")
+    return inputs.effective_facts(spark, sf_dir).where(hit).select(*FACT_COLUMNS, "row_key")
 
 
 @query("o1_fact_page", duck.with_facts(
-    f"select {_LIST} from facts where {duck.PERIOD} order by order_id, internal_sku, line_no, row_key limit 50 offset 20"))
+    f"select {_LIST} from effective where {duck.PERIOD} order by order_id, internal_sku, line_no, row_key limit 50 offset 20"))
 def fact_page(spark, sf_dir):
     return paging.page(_period(spark, sf_dir), paging.FACT_ORDER, 50, 20).select(*FACT_COLUMNS, "row_key")
 
 
 @query("o1_fact_page_all", duck.with_facts(
-    f"select {_LIST} from facts order by order_id, internal_sku, line_no, row_key limit 1000 offset 3000"))
+    f"select {_LIST} from effective order by order_id, internal_sku, line_no, row_key limit 1000 offset 3000"))
 def fact_page_all(spark, sf_dir):
-    return paging.page(inputs.stored_facts(spark, sf_dir), paging.FACT_ORDER, 1000, 3000).select(*FACT_COLUMNS, "row_key")
+    return paging.page(inputs.effective_facts(spark, sf_dir), paging.FACT_ORDER, 1000, 3000).select(*FACT_COLUMNS, "row_key")
 
 
 @query("o1_fact_page_after", duck.with_facts(
-    f"select {_LIST} from facts where (order_id, internal_sku, line_no, row_key) > ('12', 'P1', 1, 'a') "
+    f"select {_LIST} from effective where (order_id, internal_sku, line_no, row_key) > ('12', 'P1', 1, 'a') "
     "order by order_id, internal_sku, line_no, row_key limit 100"))
 def fact_page_after(spark, sf_dir):
-    rows = paging.page_after(inputs.stored_facts(spark, sf_dir), paging.FACT_ORDER, ("12", "P1", 1, "a"), 100)
+    rows = paging.page_after(inputs.effective_facts(spark, sf_dir), paging.FACT_ORDER, ("12", "P1", 1, "a"), 100)
     return rows.select(*FACT_COLUMNS, "row_key")
 
 
@@ -72,10 +72,10 @@ def agg_page(spark, sf_dir):
 
 
 @query("o3_page_count", duck.with_facts(
-    "select year, month, count(*) as total, cast(ceil(count(*) / 50) as bigint) as pages from facts group by all"))
+    "select year, month, count(*) as total, cast(ceil(count(*) / 50) as bigint) as pages from effective group by all"))
 def page_count(spark, sf_dir):
     _, size = paging.check_page(1, 50)
-    return inputs.stored_facts(spark, sf_dir).groupBy("year", "month").agg(F.count(F.lit(1)).alias("total")).withColumn(
+    return inputs.effective_facts(spark, sf_dir).groupBy("year", "month").agg(F.count(F.lit(1)).alias("total")).withColumn(
         "pages", paging.page_count(F.col("total"), size))
 
 
@@ -108,9 +108,9 @@ def sorted_by_locale(spark, sf_dir):
 
 
 @query("o6_export_order", duck.with_facts(
-    f"select {_LIST}, row_number() over (order by internal_sku, order_id, facts.line_no, row_key, source_line) as place from facts"))
+    f"select {_LIST}, row_number() over (order by internal_sku, order_id, effective.line_no, row_key, source_line) as place from effective"))
 def export_order(spark, sf_dir):
-    facts = inputs.stored_facts(spark, sf_dir)
+    facts = inputs.effective_facts(spark, sf_dir)
     return inputs.placed(export.canonical_order(facts, "fact", ["source_line"]).select(*FACT_COLUMNS, "row_key"))
 
 

@@ -79,11 +79,11 @@ _NUMBER_CELL = "case when {0} = floor({0}) then cast(cast({0} as hugeint) as var
 
 @query("k4_csv_export", duck.with_facts(
     "select concat_ws(',', year, month, order_id, line_count, line_no, internal_sku, fin_code, "
-    + ", ".join(_NUMBER_CELL.format(n) for n in duck.AMOUNTS) + ") as line from facts "
+    + ", ".join(_NUMBER_CELL.format(n) for n in duck.AMOUNTS) + ") as line from effective "
     f"union all select '{','.join(FACT_HEADERS)}'"))
 def csv_export(spark, sf_dir):
     folder = new_folder(spark, "export")
-    facts = inputs.stored_facts(spark, sf_dir)
+    facts = inputs.effective_facts(spark, sf_dir)
     export.export_csv(export.fact_export(facts, inputs.YEAR, inputs.MONTH), folder)
     lines = spark.read.text(folder).select(F.col("value").alias("line"))
     # Every part file starts with the header; one copy of it is enough here.
@@ -92,9 +92,9 @@ def csv_export(spark, sf_dir):
 
 
 @query("k5_fact_export", duck.with_facts(
-    "select " + ", ".join(f'{duck.double(n) if n in AMOUNTS else n} as "{h}"' for h, n in FACT_HEADERS.items()) + " from facts"))
+    "select " + ", ".join(f'{duck.double(n) if n in AMOUNTS else n} as "{h}"' for h, n in FACT_HEADERS.items()) + " from effective"))
 def fact_export(spark, sf_dir):
-    return export.fact_export(inputs.stored_facts(spark, sf_dir), inputs.YEAR, inputs.MONTH)
+    return export.fact_export(inputs.effective_facts(spark, sf_dir), inputs.YEAR, inputs.MONTH)
 
 
 @query("k6_agg_export", duck.with_rollup(
@@ -104,16 +104,16 @@ def agg_export(spark, sf_dir):
     return export.agg_export(inputs.stored_rollup(spark, sf_dir))
 
 
-@query("k7_public_columns", duck.with_facts(f"select {duck.FACT_LIST} from facts"))
+@query("k7_public_columns", duck.with_facts(f"select {duck.FACT_LIST} from effective"))
 def public_columns(spark, sf_dir):
-    return export.public_columns(inputs.stored_facts(spark, sf_dir))
+    return export.public_columns(inputs.effective_facts(spark, sf_dir))
 
 
-@query("k8_sheet_export", duck.with_facts(f"select {duck.FACT_LIST} from facts"))
+@query("k8_sheet_export", duck.with_facts(f"select {duck.FACT_LIST} from effective"))
 def sheet_export(spark, sf_dir):
     """All rows in canonical order, split into files of one sheet, read back."""
     folder = new_folder(spark, "sheets")
-    facts = inputs.stored_facts(spark, sf_dir)
+    facts = inputs.effective_facts(spark, sf_dir)
     ordered = export.canonical_order(facts, "fact")
     export.write_csv(export.csv_text(export.public_columns(ordered).select(*FACT_COLUMNS)), folder)
     kinds = ", ".join(f"{n} {'double' if n in AMOUNTS else facts.schema[n].dataType.simpleString()}" for n in FACT_COLUMNS)
@@ -238,9 +238,9 @@ def rollup_identity(spark, sf_dir):
 
 
 @query("e16_export_text", duck.with_facts(
-    "select row_key, source_line, " + _NUMBER_CELL.format("net_received") + " as cell from facts"))
+    "select row_key, source_line, " + _NUMBER_CELL.format("net_received") + " as cell from effective"))
 def export_cells(spark, sf_dir):
-    return inputs.stored_facts(spark, sf_dir).select(
+    return inputs.effective_facts(spark, sf_dir).select(
         "row_key", "source_line", export_text(F.col("net_received")).alias("cell"))
 
 

@@ -104,17 +104,18 @@ def content_duplicates(spark, sf_dir):
 
 
 _PERIOD = [("user_id", "concat('U', user_id)"), ("dataset_id", "case when user_id % 10 = 3 then nullif('', '') else concat('dataset-', user_id) end")]
-_JOB_ROWS = (f"with j as (select {duck.select([(n, e) for n, e in JOBS if n != 'user_id'])}, {duck.select(_PERIOD)} from events), "
+_JOB_COLUMNS = [(n, f"case when user_id % 7 = 2 then nullif('', '') else {e} end" if n == "status" else e)
+                for n, e in JOBS if n != "user_id"] + _PERIOD  # some jobs have no status
+_JOB_ROWS = (f"with j as (select {duck.select(_JOB_COLUMNS)} from events), "
              "d as (select distinct concat('dataset-', user_id) as dataset_id from events where user_id % 2 = 0)")
 
 
 def _jobs(spark, sf_dir):
-    columns = [(n, e) for n, e in JOBS if n != "user_id"] + _PERIOD
-    return inputs.read(spark, sf_dir, "events").select(*[F.expr(e).alias(n) for n, e in columns])
+    return inputs.read(spark, sf_dir, "events").select(*[F.expr(e).alias(n) for n, e in _JOB_COLUMNS])
 
 
 @query("j11_g13_job_backfill", f"""{_JOB_ROWS}, done as (select distinct dataset_id, id as job_id from j
-  where status in ('completed', 'succeeded') and dataset_id is not null)
+  where (coalesce(status, '') in ('', 'completed', 'succeeded')) and dataset_id <> '')
 select dataset_id, job_id, max(job_id) over (partition by dataset_id) as latest_job_id,
   count(*) over (partition by dataset_id) as job_count from done where dataset_id in (select dataset_id from d)""")
 def job_backfill(spark, sf_dir):
@@ -168,23 +169,27 @@ _AT = "2025-01-01"
 
 @query("u6_upsert_datasets", f"""with {_RECORD_ROWS}, old as (select * from (select *, row_number() over (partition by id order by seq) as rn
   from r where month <> 12) where rn = 1),
-new as (select * from (select *, row_number() over (partition by id order by seq desc) as rn from r where month > 6) where rn = 1)
+fresh as (select * from r where month > 6),
+new as (select * from (select *, row_number() over (partition by id order by seq desc) as rn from fresh) where rn = 1),
+news as (select id, job_id, min(seq) as place from fresh group by all),
+all_jobs as (select id, job_id, -1 as place from old union all select id, job_id, place from news where (id, job_id) not in (select (id, job_id) from old)),
+lists as (select id, string_agg(job_id, ',' order by place) as job_ids from all_jobs group by id)
 select coalesce(old.id, new.id) as id, coalesce(old.user_id, new.user_id) as user_id, coalesce(old.platform, new.platform) as platform,
   coalesce(old.year, new.year) as year, coalesce(old.month, new.month) as month, coalesce(new.upload_id, old.upload_id) as upload_id,
   case when new.id is not null then 'active' else old.status end as status, coalesce(old.created_at, '{_AT}') as created_at,
-  case when new.id is not null then '{_AT}' else old.updated_at end as updated_at, coalesce(new.job_id, old.job_id) as job_id,
-  case when old.job_id = new.job_id then old.job_id else concat_ws(',', old.job_id, new.job_id) end as job_ids
-from old full join new on old.id = new.id""")
+  case when new.id is not null then '{_AT}' else old.updated_at end as updated_at, coalesce(new.job_id, old.job_id) as job_id, job_ids
+from old full join new on old.id = new.id join lists on lists.id = coalesce(old.id, new.id)""")
 def upsert_datasets(spark, sf_dir):
+    """Several incoming records of one id among them."""
     all_records = records(spark, sf_dir).withColumn("job_ids", F.array("job_id"))
-    new = all_records.where("month > 6").withColumn("_back", -F.col("seq"))
-    last = versions.first_rows(new, ["id"], ["_back"]).select(
-        "id", "user_id", "platform", "year", "month", "upload_id", "job_id", "job_ids")
-    merged = versions.upsert_datasets(all_records.where("month <> 12"), last, F.lit(_AT))
+    new = all_records.where("month > 6").select(
+        "id", "seq", "user_id", "platform", "year", "month", "upload_id", "job_id", "job_ids")
+    merged = versions.upsert_datasets(all_records.where("month <> 12"), new, F.lit(_AT))
     return merged.withColumn("job_ids", F.concat_ws(",", "job_ids"))
 
 
-_HIT = "(select min(id) from r)"
+# The month that is cleared, of every user.
+_HIT = "'dataset-' || substr(sha256(concat_ws(':', user_id, 'douyin', 1995, 3)), 1, 8)"
 
 
 @query("u5_supersede", f"""with {_RECORD_ROWS}
@@ -194,8 +199,8 @@ select seq, case when id = {_HIT} then 'superseded' else status end as status,
 def supersede(spark, sf_dir):
     stored = records(spark, sf_dir).withColumns(
         {"superseded_at": F.lit(None).cast("string"), "superseded_by": F.lit(None).cast("string")})
-    chosen = stored.agg(F.min("id")).first()[0]
-    done = versions.supersede(stored, F.lit(chosen), F.lit("manual-clear"), F.lit(_AT))
+    chosen = keys.dataset_id(F.col("user_id"), F.lit("douyin"), F.lit(1995), F.lit(3))
+    done = versions.supersede(stored, chosen, F.lit("manual-clear"), F.lit(_AT))
     return done.select("seq", "status", "updated_at", "superseded_at", "superseded_by")
 
 
@@ -210,15 +215,15 @@ def replace_period(spark, sf_dir):
 
 
 @query("u3_replace_partitions", duck.with_facts(
-    f"select year, month, user_id, job_id, count(*) as rows from facts "
-    f"where not ({duck.PERIOD} and job_id = 'job-1' and internal_sku = '') group by all"))
+    f"select year, month, user_id, job_id, count(*) as rows from facts where not ({duck.PERIOD}) group by all "
+    f"union all select year, month, user_id, 'job-new', count(*) from facts where {duck.PERIOD} and internal_sku <> '' group by all"))
 def replace_partitions(spark, sf_dir):
+    """A month brought again by a new job: the store holds that job's rows alone."""
     root = new_folder(spark, "replaced")
     facts = inputs.stored_facts(spark, sf_dir)
     store.write_facts(facts, root)
     period = of_period(facts, inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER)
-    fresh = period.where("job_id = 'job-1' and internal_sku <> ''")
-    store.write_facts(fresh, root, replace_only_written=True)
+    store.replace_months(period.where("internal_sku <> ''").withColumn("job_id", F.lit("job-new")), root)
     return store.read_facts(spark, root).groupBy("year", "month", "user_id", "job_id").agg(
         F.count(F.lit(1)).alias("rows"))
 
@@ -231,6 +236,22 @@ def clear_period(spark, sf_dir):
     return kept.groupBy("year", "month", "user_id", "job_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("u4_clear_store", duck.with_rollup(
+    f"""select 'facts' as kind, job_id, count(*) as rows from facts where not ({duck.PERIOD}) group by all
+union all select 'rollup', job_id, count(*) from rollup_rows where not ({duck.PERIOD}) group by all
+union all select distinct 'cleared', job_id, 0 from facts where {duck.PERIOD}"""))
+def clear_store(spark, sf_dir):
+    """A month dropped from facts and roll-up; no other partition is written. The jobs behind it are returned."""
+    roots = [new_folder(spark, n) for n in ("facts", "rollup")]
+    store.write_facts(inputs.stored_facts(spark, sf_dir), roots[0])
+    store.write_rollup(inputs.stored_rollup(spark, sf_dir), roots[1])
+    jobs = store.clear_month(spark, roots, inputs.USER, inputs.PLATFORM, inputs.YEAR, inputs.MONTH)
+    kept = [table.groupBy("job_id").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(kind).alias("kind"), "job_id", "rows")
+            for kind, table in (("facts", store.read_facts(spark, roots[0])), ("rollup", store.read_rollup(spark, roots[1])))]
+    cleared = spark.createDataFrame([("cleared", j, 0) for j in jobs], "kind string, job_id string, rows long")
+    return kept[0].unionByName(kept[1]).unionByName(cleared)
+
+
 _TABLE = ("l_orderkey", "l_partkey", "l_returnflag")
 
 
@@ -282,6 +303,39 @@ def record_problems(spark, sf_dir):
                         F.concat_ws(",", "legacy_fields").alias("legacy"), "id_ok")
 
 
+_REUPLOAD = duck.with_facts("").rstrip() + f""",
+again as (select * replace ('job-9' as job_id, 'ULP-9' as upload_id, cast(qty_sold + 1 as decimal(28,2)) as qty_sold) from facts
+  where {duck.PERIOD} and line_no = 1),
+both_rows as (select * from facts union all select * from again),
+shown as (select * from (select *, max(job_id) over (partition by user_id, platform, year, month, row_key) as latest from both_rows)
+  where job_id = latest)
+"""
+
+
+def _reuploaded(spark, sf_dir):
+    """The stored facts, with the first lines of one month brought again by a later job."""
+    facts = inputs.stored_facts(spark, sf_dir)
+    period = of_period(facts, inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER).where("line_no = 1")
+    again = period.withColumns({"job_id": F.lit("job-9"), "upload_id": F.lit("ULP-9"),
+                                "qty_sold": (F.col("qty_sold") + 1).cast("decimal(28,2)")})
+    return facts.unionByName(again)
+
+
+@query("j5_effective_facts", _REUPLOAD + f"select {duck.FACT_LIST}, job_id, row_key from shown")
+def effective_facts(spark, sf_dir):
+    """What previews, summaries and exports read by default: a key brought again shows its latest version only."""
+    return versions.effective_facts(_reuploaded(spark, sf_dir)).select(*FACT_COLUMNS, "job_id", "row_key")
+
+
+@query("j5_effective_month", _REUPLOAD + f"""select count(*) as rows, {duck.double('sum(qty_sold)')} as qty_sold,
+  {duck.double('sum(net_received)')} as net_received from shown where {duck.PERIOD}""")
+def effective_month(spark, sf_dir):
+    """Summary of a month with a re-upload: nothing counts twice."""
+    month = of_period(_reuploaded(spark, sf_dir), inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER)
+    return versions.effective_facts(month).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("qty_sold").alias("qty_sold"), F.sum("net_received").alias("net_received"))
+
+
 @query("v6_fact_keys_unique", duck.with_facts(
     "select count(*) as duplicates, (select count(*) from facts) as rows from (select 1 from facts "
     "group by platform, year, month, order_id, internal_sku, line_no having count(*) > 1)"))
