@@ -207,6 +207,40 @@ def _by_document(doc, ids, digests, *columns) -> Iterator[tuple]:
         yield -1, int(ids[doc[a]]), int(digests[doc[a]]), np.stack([c[a:b] for c in columns], 1).astype("<i8").tobytes()
 
 
+def _notes(groups: int, doc, ids, digests, *columns) -> Iterator[tuple]:
+    """Numbers found about documents, as one message per group of documents (bucket -1, -2, ..)."""
+    group = (mix(ids.view(np.uint64) + mix(digests.view(np.uint64))) % np.uint64(groups)).astype(np.int64)[doc]
+    order = np.argsort(group, kind="stable")
+    cut = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+    for a, b in zip(cut[:-1], cut[1:]):
+        mine = order[a:b]
+        of, local = np.unique(doc[mine], return_inverse=True)
+        yield -1 - int(group[mine[0]]), None, None, _packed(
+            np.array([len(of), len(mine)], "<i8"), ids[of], digests[of], local.astype("<i8"), *[c[mine].astype("<i8") for c in columns])
+
+
+def _gathered(found: DataFrame, width: int) -> DataFrame:
+    """(doc_id, digest, payload): the notes about each document together, ``width`` numbers each, in ascending order."""
+
+    def gather(table):
+        ids, digests, docs, numbers, before = [], [], [], [], 0
+        for raw in table.column("payload").to_pylist():
+            body = _unpacked(raw)
+            n, m = (int(x) for x in np.frombuffer(body, "<i8", 2))
+            whole = np.frombuffer(body, "<i8", -1, 16)
+            ids.append(whole[:n]), digests.append(whole[n: 2 * n]), docs.append(whole[2 * n: 2 * n + m] + before)
+            numbers.append(whole[2 * n + m:].reshape(width, m))
+            before += n
+        ids, digests, docs, numbers = np.concatenate(ids), np.concatenate(digests), np.concatenate(docs), np.concatenate(numbers, axis=1)
+        order = np.lexsort((numbers[0], digests[docs], ids[docs]))
+        docs, numbers = docs[order], numbers[:, order]
+        new = np.ones(len(docs), bool)
+        new[1:] = (ids[docs[1:]] != ids[docs[:-1]]) | (digests[docs[1:]] != digests[docs[:-1]])
+        return pa.Table.from_batches([_rows(list(_by_document(np.cumsum(new) - 1, ids[docs[new]], digests[docs[new]], *numbers)))])
+
+    return found.groupBy("bucket").applyInArrow(gather, _FOUND).select("doc_id", "digest", "payload")
+
+
 def _repeated_anchors(table: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, digest, payload): places of the anchors that stand in more than one place."""
 
@@ -234,7 +268,7 @@ def _repeated_anchors(table: DataFrame, buckets: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
             size = np.diff(np.append(first, len(order)))
             here = np.sort(order[np.repeat(size > 1, size)])
-            rows = list(_by_document(doc[here], ids, digests, place[here]))
+            rows = list(_notes(buckets, doc[here], ids, digests, place[here]))
             head, known = order[first], size > 1  # one message per anchor string; known: repeated in this batch already
             by = np.argsort(hashes[head] % np.uint64(buckets), kind="stable")
             head, known = head[by], known[by]
@@ -268,12 +302,11 @@ def _repeated_anchors(table: DataFrame, buckets: int) -> DataFrame:
         several |= np.minimum.reduceat(places[order], first) < 0
         hit = np.sort(order[np.repeat(several, size)])
         hit = hit[places[hit] >= 0]
-        hit = hit[np.argsort(docs[hit], kind="stable")]
-        return pa.Table.from_batches([_rows(list(_by_document(docs[hit], ids, digests, places[hit])))])
+        return pa.Table.from_batches([_rows(list(_notes(buckets, docs[hit], ids, digests, places[hit])))])
 
     seen = written(table.mapInArrow(look, _FOUND), "anchors")
     far = seen.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, _FOUND)
-    return seen.where("bucket < 0").unionByName(far).select("doc_id", "digest", "payload")
+    return _gathered(seen.where("bucket < 0").unionByName(far), 1)
 
 
 def _send(data, begin, count, doc, start, ids, digests, bucket) -> Iterator[tuple]:
@@ -291,7 +324,7 @@ def _send(data, begin, count, doc, start, ids, digests, bucket) -> Iterator[tupl
 def _sorted_suffixes(table: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, digest, payload): runs of repeated suffixes as pairs (first byte, how many).
 
-    table: doc_id, digest, text, places (a list of payloads of repeated anchors).
+    table: doc_id, digest, text, places (those of repeated anchors).
     """
 
     def local(batches):
@@ -299,7 +332,7 @@ def _sorted_suffixes(table: DataFrame, buckets: int) -> DataFrame:
             batch = batch.take(pa.array(np.lexsort((batch.column(1).to_numpy(), batch.column(0).to_numpy()))))
             ids, digests = (batch.column(k).to_numpy() for k in (0, 1))
             data, offsets = utf8(batch.column(2))
-            wanted = [np.frombuffer(b"".join(x), "<i8") for x in batch.column(3).to_pylist()]
+            wanted = [np.frombuffer(x, "<i8") for x in batch.column(3).to_pylist()]
             wanted = np.sort(np.concatenate([*[w | i << 40 for i, w in enumerate(wanted)], np.empty(0, np.int64)]))
             for part, bounds, text, base in pieces(data, offsets):
                 run, begin, count, place, hashes = anchor_runs(part, bounds)
@@ -316,7 +349,7 @@ def _sorted_suffixes(table: DataFrame, buckets: int) -> DataFrame:
                 rows = []
                 first, size = _runs(doc[again], start[again])
                 if len(first):
-                    rows += _by_document(doc[again][first], ids, digests, start[again][first], size)
+                    rows += _notes(buckets, doc[again][first], ids, digests, start[again][first], size)
                 alone = ~again
                 anchor = np.repeat(np.arange(len(run)), count)[alone]
                 if len(anchor):
@@ -347,11 +380,11 @@ def _sorted_suffixes(table: DataFrame, buckets: int) -> DataFrame:
         order = np.lexsort((start, doc))
         start, doc = start[order], doc[order]
         first, size = _runs(doc, start)
-        return pa.Table.from_batches([_rows(list(_by_document(doc[first], ids, digests, start[first], size)) if len(first) else [])])
+        return pa.Table.from_batches([_rows(list(_notes(buckets, doc[first], ids, digests, start[first], size)) if len(first) else [])])
 
     seen = written(table.mapInArrow(local, _FOUND), "suffixes")
     far = seen.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, _FOUND)
-    return seen.where("bucket < 0").unionByName(far).select("doc_id", "digest", "payload")
+    return _gathered(seen.where("bucket < 0").unionByName(far), 2)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -368,8 +401,7 @@ def remove(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     copies = written(hashed.join(firsts, "same").where("doc_id > first").select("doc_id", "digest").distinct(), "copies")
 
     anchors = _repeated_anchors(long, size // ANCHOR_BYTES + 1)
-    places = anchors.groupBy("doc_id", "digest").agg(F.collect_list("payload").alias("places"))
-    places = places.join(copies, ["doc_id", "digest"], "left_anti")
+    places = anchors.withColumnRenamed("payload", "places").join(copies, ["doc_id", "digest"], "left_anti")
     sought = long.join(places, ["doc_id", "digest"]).select("doc_id", "digest", "text", "places")
     runs = _sorted_suffixes(sought, size // SORT_BYTES + 1)
     marks = (
