@@ -14,7 +14,7 @@ import string
 import struct
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE = 600_000  # parts kept per worker; a full cache is emptied
+CACHE = 2_000_000  # parts kept per worker, some 400 MB; a full cache is emptied
 
 MARKS = ".,;:!?"
 
