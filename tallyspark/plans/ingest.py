@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import row_hash, row_key
 from ..schemas import FACT_COLUMNS, META_COLUMNS
-from .formula import formula_facts
-from .mapping import SHEETS, sheet_facts
+from .formula import formula_facts, formula_rejects
+from .mapping import SHEETS, sheet_facts, tidy_douyin
 
 
 def stamp(facts: DataFrame, **stamps: Column | str) -> DataFrame:
@@ -31,10 +31,11 @@ def fact_table(facts: DataFrame) -> DataFrame:
     return full.select(*FACT_COLUMNS, *META_COLUMNS)
 
 
-def settlement_facts(raw: DataFrame, platform: str, year: int | None, month: int | None) -> DataFrame:
-    """Raw settlement sheet to unstamped facts by the live rules of the platform."""
+def settlement_parts(raw: DataFrame, platform: str, year: int | None, month: int | None) -> tuple[DataFrame, DataFrame]:
+    """(unstamped facts, rejected rows as source_file, source_line and message) by the live rules of the platform."""
     if platform == "wechat_video":
-        return formula_facts(raw, year, month)
+        rejects = formula_rejects(raw, year, month).select("source_file", "source_line", "message")
+        return formula_facts(raw, year, month), rejects
     if platform not in SHEETS:
         raise ValueError(f"no rules for platform {platform!r}")
-    return sheet_facts(raw, platform, year, month)[0]
+    return sheet_facts(tidy_douyin(raw) if platform == "douyin" else raw, platform, year, month)

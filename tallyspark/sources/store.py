@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -82,6 +82,15 @@ def replace_months(facts: DataFrame, root: str) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_folders(spark: SparkSession, root: str, name: str, when: Callable[[str], bool]) -> None:
+    """Delete the partition folders of a column directly below the root whose value meets the condition."""
+    path, files = _folder(spark, root)
+    for found in files.listStatus(path):
+        column, _, value = found.getPath().getName().partition("=")
+        if column == name and when(value):
+            files.delete(found.getPath(), True)
+
+
 def clear_month(spark: SparkSession, roots: Sequence[str], user: str, platform: str, year: int, month: int) -> list[str]:
     """Drop one tenant's platform month from every table; returns the ids of the jobs that had written it."""
     jobs: set[str] = set()

@@ -1,6 +1,8 @@
 """Stream jobs. Every one can be stopped and started again from its checkpoint without repeating results.
 
-Batches are written under their batch number and replace what an interrupted attempt left behind.
+Whatever a batch writes goes under a label made of the job's name and the batch number, and replaces what an interrupted
+attempt left behind. The name comes from the caller, who gives each checkpoint its own; names and numbers in their order
+tell which version of a row is the later one.
 """
 
 from __future__ import annotations
@@ -11,12 +13,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.keys import dataset_id
+from ..operators.joins import join_one, known_keys
 from ..operators.rollup import month_sku, operations
-from ..operators.versions import effective_rows, merge_actions
-from ..plans.ingest import fact_table, settlement_facts, stamp
+from ..operators.versions import effective_facts, effective_rows, mark_duplicates, merge_actions
+from ..plans.ingest import fact_table, settlement_parts, stamp
+from ..sources import records, store
 from ..sources.sheets import FIRST_LINE, csv_options, stage_rows, with_source_lines
 from ..sources.store import read_table, write_facts
 
+INDEX = ("dataset_id", "upload_id", "row_key", "row_hash", "seq")
+
+
+def label(job: str, batch: int) -> str:
+    return f"{job}-{batch:09d}"
+
 
 def _run(frame: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> StreamingQuery:
     return (
@@ -25,10 +36,15 @@ def _run(frame: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: s
     )
 
 
-def _replace_batch(frame: DataFrame, root: str, batch: int) -> None:
+def _replace_batch(frame: DataFrame, root: str, batch: int | str) -> None:
     frame.write.mode("overwrite").parquet(f"{root}/batch={batch}")
 
 
+def _values(frame: DataFrame, name: str) -> list:
+    """Distinct values of a partition column in one batch, to prune the scan of a stored table."""
+    return [r[0] for r in frame.select(name).distinct().collect()]
+
+
 def landing_files(
     spark: SparkSession, folder: str, columns: Sequence[str], files_per_batch: int | None = None
 ) -> DataFrame:
@@ -46,54 +62,131 @@ def landing_files(
 
 
 def ingest(
-    files: DataFrame, root: str, staging: str, checkpoint: str, platform: str, user_id: str,
+    files: DataFrame, root: str, staging: str, checkpoint: str, platform: str, user_id: str, job: str,
     year: int | None = None, month: int | None = None,
 ) -> StreamingQuery:
-    """Facts of every new file, once each. A batch is one job; whole files stay together in a batch, which is
-    what line numbering needs. The parsed rows of each batch are kept in the staging folder."""
+    """Every new file once: facts, roll-up, warnings, merge statistics, row index, effective facts and dataset records.
+
+    A batch is one job of the name ``job`` and its number, so another folder or checkpoint needs another name. Whole files
+    stay together in a batch, which is what line numbering needs. The parsed rows of each batch are kept in the staging
+    folder; facts are written once and everything else reads them.
+    """
 
     def each(rows: DataFrame, batch: int) -> None:
+        spark, job_id = rows.sparkSession, label(job, batch)
         numbered = with_source_lines(stage_rows(rows, f"{staging}/batch={batch}"), FIRST_LINE[platform])
-        facts = settlement_facts(numbered, platform, year, month)
-        job = f"job-{batch}"
-        stamped = stamp(facts, platform=platform, user_id=user_id, upload_id=f"ULP-{batch}", job_id=job)
-        write_facts(fact_table(stamped), root, replace_only_written=True)
+        facts, rejects = settlement_parts(numbered, platform, year, month)
+        stamped = stamp(facts, platform=platform, user_id=user_id, upload_id=f"ULP-{job_id}", job_id=job_id)
+        write_facts(fact_table(stamped), f"{root}/facts", replace_only_written=True)
+        records.write_warnings(rejects.select("source_file", "source_line", "message"), f"{root}/warnings/job_id={job_id}")
+
+        stored = store.read_facts(spark, f"{root}/facts").where((F.col("user_id") == user_id) & (F.col("platform") == platform))
+        mine = stored.where(F.col("job_id") == job_id)
+        store.write_rollup(month_sku(mine), f"{root}/rollup", replace_only_written=True)
+
+        dataset = dataset_id(F.col("user_id"), F.col("platform"), F.col("year"), F.col("month"))
+        incoming = mine.select(dataset.alias("dataset_id"), "upload_id", "row_key", "row_hash",
+                               F.lit(job_id).alias("seq"))
+        actions = merge_actions(incoming, _index_of(incoming, f"{root}/index", job_id))
+        stats = actions.groupBy("dataset_id", "action").agg(F.count(F.lit(1)).alias("rows"))
+        stats.write.mode("overwrite").json(f"{root}/merges/job_id={job_id}")
+        _append_index(actions.where("action <> 'unchanged'").select(*INDEX), f"{root}/index", job_id)
+
+        months = mine.select("user_id", "platform", "year", "month").distinct()
+        touched = join_one(stored, known_keys(months, months.columns), months.columns, "left_semi")
+        store.replace_months(effective_facts(touched), f"{root}/effective")
+        catalog = months.select(
+            dataset.alias("id"), "*", F.lit(f"ULP-{job_id}").alias("upload_id"), F.lit("active").alias("status"),
+            F.lit(job_id).alias("job_id"))
+        catalog.write.mode("overwrite").json(f"{root}/datasets/batch={job_id}")
 
     return _run(files, each, checkpoint, "append")
 
 
-def upsert(incoming: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def _index_of(rows: DataFrame, root: str, before: str) -> DataFrame:
+    """The stored index of the datasets that the rows belong to, up to a label; other datasets' folders are not read."""
+    schema = StructType([*rows.schema.fields, StructField("batch", StringType())])
+    log = read_table(rows.sparkSession, root, schema)
+    return log.where(F.col("dataset_id").isin(_values(rows, "dataset_id")) & (F.col("batch") < before)).drop("batch")
+
+
+def _append_index(changed: DataFrame, root: str, name: str) -> None:
+    writer = changed.withColumn("batch", F.lit(name)).write.mode("overwrite").partitionBy("dataset_id", "batch")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(root)
+
+
+def upsert(incoming: DataFrame, root: str, checkpoint: str, job: str = "index") -> StreamingQuery:
     """Append inserted and updated rows of the stream to the row index; read it through effective_rows.
 
     Only the last row per key of a batch counts, so the outcome does not depend on how rows fall into batches.
-    ``incoming`` has dataset_id, upload_id, row_key, row_hash and seq.
+    ``incoming`` has dataset_id, upload_id, row_key, row_hash and seq. The index is partitioned by dataset, and a batch
+    reads the folders of its own datasets only.
     """
-    schema = incoming.schema
 
     def each(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        with_batch = StructType([*schema.fields, StructField("batch", StringType())])
-        log = read_table(spark, root, with_batch).where(F.col("batch").cast("bigint") < batch).drop("batch")
         last = effective_rows(rows)
-        changed = merge_actions(last, log).where("action <> 'unchanged'").select(*schema.fieldNames())
-        _replace_batch(changed, root, batch)
+        actions = merge_actions(last, _index_of(last, root, label(job, batch)))
+        _append_index(actions.where("action <> 'unchanged'").select(*incoming.columns), root, label(job, batch))
 
     return _run(incoming, each, checkpoint, "append")
 
 
 def first_uploads(uploads: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
     """Uploads whose key was not seen within the delay. State is kept only that long; a copy that comes later
-    passes, so batches that must be exact use mark_duplicates."""
+    passes, and unique_uploads is for those who need every copy found."""
     return uploads.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def unique_uploads(
+    uploads: DataFrame, keys: Sequence[str], order: Sequence[str], root: str, checkpoint: str, job: str = "uploads",
+) -> StreamingQuery:
+    """The first upload of each key, however late its copies come. What is known is the written table, partitioned by the
+    first key; a batch reads the folders of its own values only, and no state grows in the stream."""
+    part = keys[0]
+
+    def each(rows: DataFrame, batch: int) -> None:
+        schema = StructType([*rows.schema.fields, StructField("batch", StringType())])
+        known = read_table(rows.sparkSession, root, schema)
+        known = known.where(F.col(part).isin(_values(rows, part)) & (F.col("batch") < label(job, batch)))
+        first = mark_duplicates(rows, keys, order).where("not is_duplicate").select(*rows.columns)
+        fresh = join_one(first, known_keys(known, keys), keys, "left_anti").withColumn("batch", F.lit(label(job, batch)))
+        writer = fresh.write.mode("overwrite").partitionBy(part, "batch").option("partitionOverwriteMode", "dynamic")
+        writer.parquet(root)
+
+    return _run(uploads, each, checkpoint, "append")
+
+
 def append_rows(frame: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     return _run(frame, lambda rows, batch: _replace_batch(rows, root, batch), checkpoint, "append")
 
 
-def running_totals(facts: DataFrame, keys: Sequence[str], root: str, checkpoint: str) -> StreamingQuery:
-    """Month by SKU totals so far; each batch holds the totals that changed in it."""
-    return _run(month_sku(facts, keys), lambda rows, n: _replace_batch(rows, root, n), checkpoint, "update")
+def compact(spark: SparkSession, root: str, keys: Sequence[str], upto: int) -> None:
+    """Move the latest values of all batches before ``upto`` into it, and drop those batches. Batch ``upto`` must be done:
+    a repetition after a crash then only adds equal rows."""
+    schema = spark.read.parquet(root).schema
+    rows = spark.read.schema(schema).parquet(root)
+    older = rows.where(F.col("batch") < upto)
+    if older.isEmpty():
+        return
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = older.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_last")).select(*keys, "_last.*")
+    newer = known_keys(rows.where(F.col("batch") == upto), keys)
+    join_one(last, newer, keys, "left_anti").write.mode("append").parquet(f"{root}/batch={upto}")
+    store.drop_folders(spark, root, "batch", lambda batch: int(batch) < upto)
+
+
+def running_totals(
+    facts: DataFrame, keys: Sequence[str], root: str, checkpoint: str, compact_every: int = 20
+) -> StreamingQuery:
+    """Month by SKU totals so far; each batch holds the totals that changed in it, and every so many batches the earlier
+    ones are put together."""
+
+    def each(rows: DataFrame, batch: int) -> None:
+        _replace_batch(rows, root, batch)
+        if batch and batch % compact_every == 0:
+            compact(rows.sparkSession, root, keys, batch - 1)
+
+    return _run(month_sku(facts, keys), each, checkpoint, "update")
 
 
 def operations_by_window(

@@ -108,16 +108,44 @@ def test_ingest_takes_each_file_once(spark):
         rows = [(order, "S1", "1", "10", "0", "0", "1", "0", "0", "9"), (order, "", "1", "10", "0", "0", "1", "0", "0", "9")]
         spark.createDataFrame(rows, header).coalesce(1).write.mode("append").option("header", True).csv(landing)
 
-    def run():
+    def run(job="a", checkpoint=checkpoint):
         files = stream_jobs.landing_files(spark, landing, header)
-        stream_jobs.ingest(files, root, staging, checkpoint, "douyin", "u", 2024, 10).awaitTermination()
-        return sorted((r["order_id"], r["job_id"], r["source_line"]) for r in store.read_facts(spark, root).collect())
+        stream_jobs.ingest(files, root, f"{staging}-{job}", checkpoint, "douyin", "u", job, 2024, 10).awaitTermination()
+        facts = store.read_facts(spark, f"{root}/facts").collect()
+        return sorted((r["order_id"], r["job_id"], r["source_line"]) for r in facts)
 
     land("o1")
     first = run()
-    assert first == [("o1", "job-0", 2)] and run() == first
+    assert first == [("o1", "a-000000000", 2)] and run() == first
     land("o2")
-    assert run() == [("o1", "job-0", 2), ("o2", "job-1", 2)]
+    both = [("o1", "a-000000000", 2), ("o2", "a-000000001", 2)]
+    assert run() == both
+    warnings = spark.read.json(f"{root}/warnings").collect()  # the rows without a SKU
+    assert sorted((r.job_id, r.source_line) for r in warnings) == [("a-000000000", 3), ("a-000000001", 3)]
+
+    again = run("b", new_folder(spark, "checkpoint"))  # another checkpoint leaves the first job's facts alone
+    assert set(both) < set(again) and {r[1] for r in again} == {"a-000000000", "a-000000001", "b-000000000"}
+    shown = store.read_facts(spark, f"{root}/effective").collect()
+    assert sorted((r.order_id, r.job_id) for r in shown) == [("o1", "b-000000000"), ("o2", "b-000000000")]
+
+
+def test_sheets_split_without_loss(spark):
+    folder = new_folder(spark, "sheets")
+    export.write_csv(spark.range(2500).select(F.col("id").cast("string")).coalesce(1), folder, max_rows=1000)
+    back = spark.read.option("header", True).csv(folder)
+    sizes = sorted(r["count"] for r in back.groupBy(F.input_file_name()).count().collect())
+    assert sizes == [500, 1000, 1000] and back.distinct().count() == 2500
+
+
+def test_compaction_keeps_latest_values(spark):
+    root = new_folder(spark, "totals")
+    for batch, rows in enumerate(([("a", 1), ("b", 1)], [("a", 2)], [("b", 3), ("c", 3)], [("a", 4)])):
+        spark.createDataFrame(rows, "k string, n long").write.parquet(f"{root}/batch={batch}")
+    before = sorted(map(tuple, stream_jobs.latest_values(spark, root, ["k"]).collect()))
+    for _ in range(2):  # a repetition after a crash changes nothing
+        stream_jobs.compact(spark, root, ["k"], 2)
+        assert sorted(map(tuple, stream_jobs.latest_values(spark, root, ["k"]).collect())) == before
+    assert {r.batch for r in spark.read.parquet(root).select("batch").distinct().collect()} == {2, 3}
 
 
 def test_stream_upsert_ends_like_one_batch(spark):

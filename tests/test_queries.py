@@ -11,6 +11,8 @@ SF = "/root/testdata/sf0.001"
 FEW = (
     "p5_wechat_formula_facts", "g1_month_sku_rollup", "p2_xiaohongshu_facts", "j2_douyin_finance", "u2_merge_upsert",
     "w4_freight_spread", "g10_duplicate_merge", "s1_csv_to_facts", "o1_fact_page", "t4_stream_totals",
+    "k8_sheet_export", "k3_relational_rejects", "p18_rejected_rows", "j5_effective_facts", "u3_replace_partitions",
+    "u4_clear_store", "u6_upsert_datasets", "j1_xiaohongshu_warnings", "j11_g13_job_backfill", "o6_export_order", "t3_stream_dedup",
 )
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are missing")
 

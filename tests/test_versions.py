@@ -66,7 +66,7 @@ def test_duplicate_merge(spark):
     frame = spark.createDataFrame(rows, "row_key string, source_line long, name string, qty_sold double, recv_customer double, net_received double")
     money = {n: F.col(n).cast("decimal(18,2)") for n in ("qty_sold", "recv_customer", "net_received")}
     others = {n: F.lit(0).cast("decimal(18,2)") for n in ("recv_platform", "extra_charge", "fee_platform_comm", "fee_affiliate", "fee_other")}
-    got = {r["row_key"]: r for r in rollup.merge_duplicates(frame.withColumns({**money, **others})).collect()}
+    got = {r["row_key"]: r for r in rollup.merge_duplicates(frame.withColumns({**money, **others}), order=["source_line"]).collect()}
     assert (got["k"]["name"], float(got["k"]["qty_sold"]), float(got["k"]["net_received"])) == ("first", 3, 11.5)
     assert (float(got["one"]["net_received"]), got["one"]["source_merge_count"]) == (99, 1)
 
@@ -90,6 +90,21 @@ def test_pages(spark):
             paging.check_page(*wrong)
 
 
+def test_walking_pages_with_missing_values(spark):
+    """Every row once, also where all line numbers are missing."""
+    rows = [(f"o{i % 6}", None if i % 4 == 0 else i % 3, f"k{i}") for i in range(60)] + [(None, None, f"n{i}") for i in range(5)]
+    frame = spark.createDataFrame(rows, "order_id string, line_no int, row_key string")
+    order, seen = ["order_id", "line_no", "row_key"], []
+    while True:
+        found = paging.page(frame, order, 10) if not seen else paging.page_after(frame, order, seen[-1], 10)
+        part = [tuple(r) for r in found.collect()]
+        seen += part
+        if len(part) < 10:
+            break
+    assert len(seen) == len(rows) and set(seen) == set(rows)
+    assert [tuple(r) for r in paging.page(frame, order, 10, 30).collect()] == seen[30:40]
+
+
 def test_search_keeps_wildcards(spark):
     frame = spark.createDataFrame([("a_b",), ("axb",), ("a%b",), ("a\\b",)], "internal_sku string")
 
