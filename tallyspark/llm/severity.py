@@ -6,7 +6,7 @@ With x the features present in a text and one weight vector w for all thresholds
     P(grade >= k) = sigmoid(w . x - t_k),  t_1 < t_2 < ..
 
 Features are words (runs of letters, digits and non-ASCII bytes, A-Z lower-cased) and their beginnings of 4, 5 and 6
-bytes, which inflected forms share, as 64-bit hashes. Of the sample's features those enter the fit that occur in at least
+bytes, which inflected forms share, as 32-bit hashes. Of the sample's features those enter the fit that occur in at least
 LEAST texts and whose share among texts above the lowest grade differs clearly (SCREEN standard errors).
 
 The expected severity is the sum of these probabilities. Weights are fitted by accelerated proximal gradient steps with an L1 penalty,
@@ -36,7 +36,7 @@ LEAST, SCREEN = 3, 4.0
 _FILTER = 22  # bits of a hash looked up before the hash itself
 _inside = np.zeros(256, bool)
 _inside[128:] = _inside[ord("0"): ord("9") + 1] = _inside[ord("a"): ord("z") + 1] = True
-SAMPLE = 16_384
+SAMPLE = 8_192
 PENALTY = 1e-4
 STEPS = 600
 
@@ -56,10 +56,11 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
     data = LOWER[data]
     begin, end, bounds = word_spans(data, offsets, _inside)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    yield span_hashes(data, begin, end), owner
+    yield (span_hashes(data, begin, end) >> np.uint64(32)).astype(np.uint32), owner
     for k in BEGINNINGS:
         long = end - begin > k
-        yield span_hashes(data, begin[long], begin[long] + k) ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64), owner[long]
+        hashes = span_hashes(data, begin[long], begin[long] + k) ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)
+        yield (hashes >> np.uint64(32)).astype(np.uint32), owner[long]
 
 
 def _sigmoid(x):
@@ -68,7 +69,7 @@ def _sigmoid(x):
 
 def fit_rows(rows: Sequence[np.ndarray], grades: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> Severity:
     """Weights and thresholds for distinct features per row and a grade each."""
-    none = np.empty(0, np.uint64)
+    none = np.empty(0, np.uint32)
     kinds = np.arange(grades.min(), grades.max() + 1) if len(grades) else np.zeros(1, int)
     if len(kinds) < 2:
         return Severity(none, np.empty(0), np.empty(0), int(kinds[0]))
@@ -130,7 +131,7 @@ def fit(documents: DataFrame, labels: DataFrame, grade: Column, doc_id: str = "d
 
     rows = own.join(F.broadcast(chosen), "id").select("grade", "text").mapInArrow(features, "grade int, found binary").collect()
     rows = sorted((r.grade, bytes(r.found)) for r in rows)
-    return fit_rows([np.frombuffer(b, np.uint64) for _, b in rows], np.array([g for g, _ in rows], int))
+    return fit_rows([np.frombuffer(b, np.uint32) for _, b in rows], np.array([g for g, _ in rows], int))
 
 
 def predict(documents: DataFrame, model: Severity, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -140,14 +141,14 @@ def predict(documents: DataFrame, model: Severity, keep: Sequence[str] = ("doc_i
 
     def work(batches):
         maybe = np.zeros(1 << _FILTER, bool)
-        maybe[used >> np.uint64(64 - _FILTER)] = True
+        maybe[used >> np.uint32(32 - _FILTER)] = True
         for batch in batches:
             data, offsets = utf8(batch.column(batch.num_columns - 1))
             scores = np.zeros(batch.num_rows)
             for a, b in slices(offsets) if len(used) else ():
                 pairs = []
                 for hashes, owner in _features(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]):
-                    near = maybe[hashes >> np.uint64(64 - _FILTER)]
+                    near = maybe[hashes >> np.uint32(32 - _FILTER)]
                     hashes, owner = hashes[near], owner[near]
                     at = np.minimum(np.searchsorted(used, hashes), len(used) - 1)
                     pairs.append((owner * len(used) + at)[used[at] == hashes])
