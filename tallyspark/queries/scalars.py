@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import files, keys, numbers, periods, text
+from ..functions.periods import MONTH_ONLY, YEAR_FOUR, YEAR_MONTH, YEAR_TWO
 from ..functions.text import left_of_dash
 from ..plans.two_file import classified_fees
 from ..operators.versions import latest_job
@@ -189,21 +190,19 @@ _NAME = (
     "when l_linenumber = 5 then concat('视频号 ', month(l_shipdate), '月') "
     "when l_linenumber = 6 then '2025年.xls' else concat('order', l_suppkey, '.TXT') end"
 )
-_TWO = "(20[0-9]{2}|[0-9]{2})\\s*年\\s*(1[0-2]|0?[1-9])\\s*月"
-_ONE = "(1[0-2]|0?[1-9])\\s*月"
 
 
 def _ex(pattern, group):
     return f"nullif(regexp_extract(lower(v), '{pattern}', {group}), '')"
 
 
-_LONE_YEAR = f"coalesce({_ex('(20[0-9]{2})', 1)}, {_ex('(?:^|[^0-9])([0-9]{2})(?:[^0-9]|$)', 1)})"
-_Y = f"coalesce({_ex(_TWO, 1)}, case when {_ex(_ONE, 1)} is not null then {_LONE_YEAR} end)"
+_LONE_YEAR = f"coalesce({_ex(YEAR_FOUR, 1)}, {_ex(YEAR_TWO, 1)})"
+_Y = f"coalesce({_ex(YEAR_MONTH, 1)}, case when {_ex(MONTH_ONLY, 1)} is not null then {_LONE_YEAR} end)"
 
 
 @query("e13_file_period", _raw(("v", _NAME)) +
        f"select source_line, case when length({_Y}) = 2 then cast({_Y} as integer) + 2000 else cast({_Y} as integer) end as y, "
-       f"cast(coalesce({_ex(_TWO, 2)}, case when {_LONE_YEAR} is not null then {_ex(_ONE, 1)} end) as integer) as m from c")
+       f"cast(coalesce({_ex(YEAR_MONTH, 2)}, case when {_LONE_YEAR} is not null then {_ex(MONTH_ONLY, 1)} end) as integer) as m from c")
 def file_period(spark, sf_dir):
     year, month = periods.file_period(F.col("v"))
     return _cells(spark, sf_dir, ("v", _NAME)).select("source_line", year.alias("y"), month.alias("m"))

@@ -8,9 +8,12 @@ from ..functions import keys
 from ..operators import versions
 from ..operators.paging import of_period
 from ..operators.validate import duplicate_keys, record_problems as find
-from ..schemas import AGG_UNIQUE, FACT_COLUMNS, FACT_UNIQUE
+from ..schemas import (
+    AGG_UNIQUE, DATASET_RECORD, DATASET_ROW_RECORD, FACT_COLUMNS, FACT_UNIQUE, UPLOAD_RECORD,
+)
 from ..session import new_folder
 from ..sources import store
+from ..sources.records import read_records
 from . import duck, inputs
 from .aggregates import JOBS
 from .registry import query
@@ -164,6 +167,47 @@ def active_datasets(spark, sf_dir):
     return versions.active_datasets(records(spark, sf_dir), requests).select("id", "seq")
 
 
+def _catalog(spark, sf_dir, kind, table, schema):
+    """Records written as JSON lines, once, and read with their schema."""
+    folder = inputs.written(spark, sf_dir, kind, lambda f: table.write.json(f))
+    return read_records(spark, folder, schema, lines=True)
+
+
+@query("s8_upload_records", f"{_UPLOAD_ROWS}\nselect id, user_id, platform, file_type, content_hash, uploaded_at from u")
+def upload_records(spark, sf_dir):
+    stored = uploads(spark, sf_dir).select(
+        "id", F.col("user_id").alias("userId"), "platform", F.col("file_type").alias("fileType"),
+        F.col("content_hash").alias("contentHash"), F.timestamp_seconds("uploaded_at").alias("uploadedAt"))
+    read = _catalog(spark, sf_dir, "upload-records", stored, UPLOAD_RECORD)
+    return read.select("id", F.col("userId").alias("user_id"), "platform", F.col("fileType").alias("file_type"),
+                       F.col("contentHash").alias("content_hash"), F.unix_seconds("uploadedAt").alias("uploaded_at"))
+
+
+@query("s8_dataset_records", f"with {_RECORD_ROWS}\nselect id, user_id, platform, year, month, upload_id, status, job_id, "
+       "epoch_us(cast(created_at as timestamp)) as created from r")
+def dataset_records(spark, sf_dir):
+    stored = records(spark, sf_dir).select(
+        "id", F.col("user_id").alias("userId"), "platform", "year", "month", F.col("upload_id").alias("effectiveUploadId"),
+        "status", F.to_timestamp("created_at").alias("createdAt"),
+        F.struct(F.col("job_id").alias("jobId"), F.array("job_id").alias("jobIds")).alias("metadata"))
+    read = _catalog(spark, sf_dir, "dataset-records", stored, DATASET_RECORD)
+    job = versions.latest_job(F.col("metadata.jobId"), F.col("metadata.jobIds"))
+    return read.select("id", F.col("userId").alias("user_id"), "platform", "year", "month",
+                       F.col("effectiveUploadId").alias("upload_id"), "status", job.alias("job_id"),
+                       F.unix_micros("createdAt").alias("created"))
+
+
+@query("s8_index_records", f"{_BASE}\nselect dataset_id, upload_id, row_key, row_hash, count(*) as rows from log group by all")
+def index_records(spark, sf_dir):
+    stored = log(spark, sf_dir).select(
+        F.col("dataset_id").alias("datasetId"), F.col("upload_id").alias("uploadId"), F.col("row_key").alias("rowKey"),
+        F.col("row_hash").alias("rowHash"))
+    read = _catalog(spark, sf_dir, "index-records", stored, DATASET_ROW_RECORD)
+    return read.groupBy(
+        F.col("datasetId").alias("dataset_id"), F.col("uploadId").alias("upload_id"), F.col("rowKey").alias("row_key"),
+        F.col("rowHash").alias("row_hash")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 _AT = "2025-01-01"
 
 
