@@ -23,17 +23,29 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"coalesce(regexp_extract_all({_LOWER.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), [])"
+
+
 @query("op1_language_mixture")
 def language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = languages.identify(documents(spark, sf_dir))
     return found.select("doc_id", languages.held_out().alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = f"coalesce(regexp_extract_all({_LOWER.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), [])"
-
-
-@query("op2_setsketch_copies")
+@query("op2_setsketch_copies", f"""
+with recursive d as (select doc_id, coalesce(regexp_extract_all({_LOWER.format('text')},
+    '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) end) as t from d),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+both_ways as (select a, b from l union all select b, a from l),
+reach(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, w.b from reach r join both_ways w on w.a = r.other)
+select d.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) as n_shingles, min(other) as component_id, d.doc_id = min(other) as kept
+from d join reach using (doc_id) left join n using (doc_id) group by d.doc_id
+""")
 def setsketch_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(documents(spark, sf_dir))
 
