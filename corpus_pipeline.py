@@ -13,7 +13,7 @@ from tallyspark.llm import decontaminate, languages, nearcopies, packing, pseudo
 from tallyspark.llm.tables import documents, ready, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SHARE = 0.5  # of the leading language; texts with less are rejected
+LEAST_SHARE = 0.4  # of the leading language; texts of several languages with less are rejected
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
