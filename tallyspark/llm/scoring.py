@@ -331,7 +331,7 @@ class Scorer:
             .unionByName(self.answers.where("chunk >= 0"))
         )
 
-    def _questions(self) -> DataFrame:
+    def _questions(self, with_answers: DataFrame) -> DataFrame:
         ranges, base, shards = self.ranges, self.base, self.shards
 
         def ask(table):
@@ -339,7 +339,7 @@ class Scorer:
             made = _Chunk(rows, ranges, base, shards).questions(table.column("chunk")[0].as_py())
             return pa.Table.from_batches([_batch(made, ("shard", "chunk", "payload"))])
 
-        return self._with_answers().groupBy("chunk").applyInArrow(ask, "shard long, chunk long, payload binary")
+        return with_answers.groupBy("chunk").applyInArrow(ask, "shard long, chunk long, payload binary")
 
     def model(self) -> DataFrame:
         """(shard, trie): the coded tries, to be kept; a pair's shard is its hash modulo the number of shards."""
@@ -348,7 +348,7 @@ class Scorer:
         def build(table):
             return pa.table({"shard": table.column("shard").slice(0, 1), "trie": pa.array([_shard(table, words, pseudo)[0]], pa.binary())})
 
-        return self._questions().groupBy("shard").applyInArrow(build, "shard long, trie binary")
+        return self._questions(self._with_answers()).groupBy("shard").applyInArrow(build, "shard long, trie binary")
 
     def scores(self) -> DataFrame:
         ranges, base, shards, words, tokens, pseudo = (
@@ -358,14 +358,14 @@ class Scorer:
             raw, answers = _shard(table, words, pseudo)
             shard = table.column("shard")[0].as_py()
             return pa.Table.from_batches([_batch([
-                (chunk, ranges + 1 + shard, reply)
+                (chunk, shard, reply)
                 for chunk, reply in zip(table.column("chunk").to_pylist(), answers(Trie(raw)))])])
 
-        def score(table):
-            rows = dict(zip(table.column("part").to_pylist(), table.column("payload").to_pylist()))
-            replies = {k - ranges - 1: v for k, v in rows.items() if k > ranges}
-            made = _Chunk(rows, ranges, base, shards).scores(replies, tokens, words, pseudo)
-            return pa.Table.from_batches([made])
+        def score(chunk, replies):
+            rows, found = (dict(zip(t.column("part").to_pylist(), t.column("payload").to_pylist())) for t in (chunk, replies))
+            return pa.Table.from_batches([_Chunk(rows, ranges, base, shards).scores(found, tokens, words, pseudo)])
 
-        replies = self._questions().groupBy("shard").applyInArrow(answer, _PARTS)
-        return self._with_answers().unionByName(replies).groupBy("chunk").applyInArrow(score, RESULT)
+        # One table for both groupings: its shuffle by chunk is made once and read twice.
+        with_answers = self._with_answers()
+        replies = self._questions(with_answers).groupBy("shard").applyInArrow(answer, _PARTS)
+        return with_answers.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, RESULT)
