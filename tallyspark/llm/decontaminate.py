@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .tables import written
 from .texts import LOWER, utf8, word_spans
 
 WINDOW = 10
@@ -111,6 +112,37 @@ def _byte_ranges(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(begin[a]), int(end[b - 1])) for a, b in ranges]
 
 
+def _against(table: DataFrame, shared, window: int) -> DataFrame:
+    """All columns but the last, the text, with what ``scan`` finds of one block of items."""
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1])
+    pairs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+    def match(batches):
+        scanner = _Scanner.of(shared, window)
+        for batch in batches:
+            data, offsets = utf8(batch.column(batch.num_columns - 1))
+            raw = data.tobytes()
+            counts, hits, spans, found = [], [], [], []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                n, ranges, ids = scanner.scan(raw[a:b])
+                counts.append(n), found.append(ids)
+                hits.append([{"begin": x, "end": y} for x, y in ranges])
+                spans.append([{"begin": x, "end": y} for x, y in _byte_ranges(raw[a:b], ranges)] if ranges else [])
+            yield pa.record_batch(
+                [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(hits, pairs), pa.array(spans, pairs),
+                 pa.array(found, pa.list_(pa.string()))],
+                names=[*batch.schema.names[:-1], "n_words", "words_hit", "bytes_hit", "items"])
+
+    span = "array<struct<begin: long, end: long>>"
+    return table.mapInArrow(match, f"{kept}, n_words long, words_hit {span}, bytes_hit {span}, items array<string>")
+
+
+def _shared(benchmark: DataFrame, item_id: str, item_text: str, block: int) -> list:
+    """The blocks of items, each as a broadcast."""
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(items) for items in blocks(benchmark, item_id, item_text, block)]
+
+
 def scan(
     documents: DataFrame, benchmark: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text",
     item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK,
@@ -118,56 +150,40 @@ def scan(
     """One table per block of items: the ``keep`` columns of every document with n_words, the words hit (begin, end),
     the bytes they cover in the original text (begin, end), and the items found."""
     table = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    context = documents.sparkSession.sparkContext
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1])
-    pairs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    return [_against(table, shared, window) for shared in _shared(benchmark, item_id, item_text, block)]
+
 
-    def against(items):
-        shared = context.broadcast(items)
-
-        def match(batches):
-            scanner = _Scanner.of(shared, window)
-            for batch in batches:
-                data, offsets = utf8(batch.column(batch.num_columns - 1))
-                raw = data.tobytes()
-                counts, hits, spans, found = [], [], [], []
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                    n, ranges, ids = scanner.scan(raw[a:b])
-                    counts.append(n), found.append(ids)
-                    hits.append([{"begin": x, "end": y} for x, y in ranges])
-                    spans.append([{"begin": x, "end": y} for x, y in _byte_ranges(raw[a:b], ranges)] if ranges else [])
-                yield pa.record_batch(
-                    [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(hits, pairs), pa.array(spans, pairs),
-                     pa.array(found, pa.list_(pa.string()))],
-                    names=[*batch.schema.names[:-1], "n_words", "words_hit", "bytes_hit", "items"])
-
-        span = "array<struct<begin: long, end: long>>"
-        return table.mapInArrow(
-            match, f"{kept}, n_words long, words_hit {span}, bytes_hit {span}, items array<string>")
-
-    return [against(items) for items in blocks(benchmark, item_id, item_text, block)]
-
-
-def report(documents: DataFrame, benchmark: DataFrame, keep: Sequence[str] = ("doc_id",), **options) -> DataFrame:
+def report(
+    documents: DataFrame, benchmark: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text",
+    item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK,
+) -> DataFrame:
     """The ``keep`` columns of every document with n_words, n_hit, items (sorted) and contaminated.
 
-    Results of several blocks are joined by the words hit; that needs ``keep`` to tell documents apart.
+    For several blocks the documents are written once with a row id, by which the blocks' results meet.
     """
-    tables = scan(documents, benchmark, keep, **options)
-    if len(tables) == 1:
-        table = tables[0].withColumn("n_hit", F.expr("aggregate(words_hit, 0L, (n, x) -> n + x.end - x.begin)"))
+    parts = _shared(benchmark, item_id, item_text, block)
+    if len(parts) == 1:
+        given = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
+        table = _against(given, parts[0], window).withColumn(
+            "n_hit", F.expr("aggregate(words_hit, 0L, (n, x) -> n + x.end - x.begin)"))
     else:
-        union = tables[0]
-        for other in tables[1:]:
-            union = union.unionByName(other)
+        row = "_row"
+        while row in documents.columns:
+            row += "_"
+        columns = [F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]
+        rows = written(documents.select(*columns, F.monotonically_increasing_id().alias(row)), "passages")
+        first, *others = [_against(rows.select(row, F.col(text).alias("_text")), shared, window) for shared in parts]
+        union = first
+        for other in others:
+            union = union.unionByName(other.where("size(words_hit) > 0"))
         merged = """aggregate(array_sort(flatten(words_hit)), named_struct('n', 0L, 'last', 0L), (s, x) -> named_struct(
             'n', s.n + greatest(x.end - greatest(x.begin, s.last), 0L), 'last', greatest(s.last, x.end)), s -> s.n)"""
-        table = (
-            union.groupBy(*keep)
+        found = (
+            union.groupBy(row)
             .agg(F.max("n_words").alias("n_words"), F.collect_list("words_hit").alias("words_hit"),
                  F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-            .withColumn("n_hit", F.expr(merged))
+            .select(row, "n_words", F.expr(merged).alias("n_hit"), "items")
         )
+        table = rows.select(*[F.col(f"`{c}`") for c in keep], row).hint("merge").join(found, row)
     return table.select(*[F.col(f"`{c}`") for c in keep], "n_words", "n_hit", "items",
                         (F.col("n_hit") > 0).alias("contaminated"))
-

@@ -47,6 +47,21 @@ def test_same_as_brute_force(spark, table, texts):
         assert got == expected
 
 
+def test_several_blocks_judge_row_by_row(spark, table):
+    """Null ids, repeated ids and equal rows stay rows of their own, and hits of different texts stay apart."""
+    rows = [(None, "one two three"), (None, "no words of it"), (None, "three four x ab"), (None, None), (8, "three four"),
+            (8, "one two three four five"), (8, "x"), (9, "a b c d e f g h i j k l"), (9, "a b c d e f g h i j k l"), (10, "")]
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert len(decontaminate.scan(table(rows), items, block=12)) > 3
+    for block in (decontaminate.BLOCK, 12):
+        found = decontaminate.report(table(rows), items, block=block)
+        got = sorted([(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in found.collect()], key=str)
+        assert got == brute(rows, ITEMS)
+    columns = ("doc_id", "text", "_text")
+    assert decontaminate.report(table(rows), items, columns, block=12).columns[:3] == list(columns)
+    assert decontaminate.report(table(rows), items, ("text", "lang"), block=12).count() == len(rows)
+
+
 def test_offsets_lead_to_the_original(spark, table):
     items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     text = "Zéro -- ONE,\n\ttwo... (Three)! and one two three"
