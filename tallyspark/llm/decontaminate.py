@@ -4,9 +4,11 @@ Normalised: A-Z lower-cased, words of 0-9, a-z and non-ASCII bytes, single space
 run of ``window`` words of every item (an item of fewer words is one run) between spaces, so that a match is a run of
 whole words. A text is scanned once; the offsets of a match lead back to words and to bytes of the original text.
 
-The benchmark is a query set. It is read in blocks of at most BLOCK bytes of items, each block sent to the tasks as one
-automaton and held against all documents, so that what a task holds is bounded however large the benchmark grows; up to
-BLOCK bytes there is one automaton and one scan.
+The benchmark is a query set. It is read in blocks, each sent to the tasks as one automaton and held against all
+documents. A block is bounded by what its automaton may hold: BLOCK bytes of distinct windows, which no trie over them has
+more nodes than, with PER_WINDOW and PER_OWNER added for the objects at their ends. A long item goes on in the next block.
+So what a task holds is bounded however large the benchmark grows (only a single window longer than BLOCK is not cut), and
+the documents are scanned once a block.
 
 Defined cases: null or wordless texts have no words and no hits; items without words never match; items without an id
 mark words but are not counted or listed; equal items are each counted, an id that occurs on several rows once; repeated
@@ -26,7 +28,8 @@ from .tables import written
 from .texts import LOWER, utf8, word_spans
 
 WINDOW = 10
-BLOCK = 16_000_000
+BLOCK = 4_000_000  # about 55 bytes of memory each
+PER_WINDOW, PER_OWNER = 16, 4
 
 WORD = np.zeros(256, bool)
 WORD[128:] = WORD[ord("0"): ord("9") + 1] = WORD[ord("a"): ord("z") + 1] = True
@@ -44,17 +47,27 @@ def windows(text: bytes, size: int) -> list[bytes]:
     return [b" " + b" ".join(words[k: k + size]) + b" " for k in range(count)]
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple]]:
-    """Items in lists of at most ``most`` bytes of text (a longer item alone), one list in memory at a time."""
+def blocks(benchmark: DataFrame, item_id: str, text: str, size: int, most: int) -> Iterator[list[tuple]]:
+    """Items, or parts of items that share no window, in lists whose automaton is bounded by ``most``; one list in memory
+    at a time. A window alone may be longer. Together the lists have every window of every item."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where("text is not null")
-    block, size = [], 0
+    block, seen, held = [], set(), 0
     for row in rows.distinct().toLocalIterator():
-        content = row.text.encode()
-        if block and size + len(content) > most:
-            yield block
-            block, size = [], 0
-        block.append((row.id, content))
-        size += len(content)
+        words = row.text.encode().translate(_clean).split()
+        begin, count = 0, max(len(words) - size + 1, min(len(words), 1))
+        for k in range(count):
+            run = b" ".join(words[k: k + size])
+            cost = PER_OWNER + (0 if run in seen else len(run) + 2 + PER_WINDOW)
+            if seen and held + cost > most:
+                if k > begin:
+                    block.append((row.id, b" ".join(words[begin: k - 1 + size])))
+                yield block
+                block, seen, held, begin = [], set(), 0, k
+                cost = PER_OWNER + len(run) + 2 + PER_WINDOW
+            seen.add(run)
+            held += cost
+        if count:
+            block.append((row.id, b" ".join(words[begin:])))
     yield block
 
 
@@ -78,6 +91,7 @@ class _Scanner:
     @classmethod
     def of(cls, shared, size: int) -> _Scanner:
         if cls._last is None or cls._last[0] is not shared.value or cls._last[1] != size:
+            cls._last = None  # never two automata at once
             cls._last = (shared.value, size, cls(shared.value, size))
         return cls._last[2]
 
@@ -137,10 +151,10 @@ def _against(table: DataFrame, shared, window: int) -> DataFrame:
     return table.mapInArrow(match, f"{kept}, n_words long, words_hit {span}, bytes_hit {span}, items array<string>")
 
 
-def _shared(benchmark: DataFrame, item_id: str, item_text: str, block: int) -> list:
+def _shared(benchmark: DataFrame, item_id: str, item_text: str, window: int, block: int) -> list:
     """The blocks of items, each as a broadcast."""
     context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(items) for items in blocks(benchmark, item_id, item_text, block)]
+    return [context.broadcast(items) for items in blocks(benchmark, item_id, item_text, window, block)]
 
 
 def scan(
@@ -150,7 +164,7 @@ def scan(
     """One table per block of items: the ``keep`` columns of every document with n_words, the words hit (begin, end),
     the bytes they cover in the original text (begin, end), and the items found."""
     table = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    return [_against(table, shared, window) for shared in _shared(benchmark, item_id, item_text, block)]
+    return [_against(table, shared, window) for shared in _shared(benchmark, item_id, item_text, window, block)]
 
 
 def report(
@@ -161,7 +175,7 @@ def report(
 
     For several blocks the documents are written once with a row id, by which the blocks' results meet.
     """
-    parts = _shared(benchmark, item_id, item_text, block)
+    parts = _shared(benchmark, item_id, item_text, window, block)
     if len(parts) == 1:
         given = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
         table = _against(given, parts[0], window).withColumn(

@@ -1,4 +1,5 @@
 import duckdb
+import random
 import re
 
 from conftest import SF
@@ -62,6 +63,29 @@ def test_several_blocks_judge_row_by_row(spark, table):
     assert decontaminate.report(table(rows), items, ("text", "lang"), block=12).count() == len(rows)
 
 
+def test_blocks_bound_the_automaton(spark, table):
+    """A generated benchmark beyond the limit, one item of it longer than a block: all windows, in automata that are bounded."""
+    draw = random.Random(7)
+    prose = lambda n: " ".join("".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(n))
+    given = [(k, prose(draw.randint(1, 40))) for k in range(30)] + [(99, prose(900)), (100, "a " * 300), (None, prose(20))]
+    given += [(k, given[0][1]) for k in range(200, 260)]  # one text, many ids
+    items = spark.createDataFrame(given, "item_id long, text string")
+    whole = {w for _, t in given for w in decontaminate.windows(t.encode(), 10)}
+    limit = sum(map(len, whole)) // 8
+    found = list(decontaminate.blocks(items, "item_id", "text", 10, limit))
+    assert len(found) >= 8
+    for block in found:
+        runs = {w for _, t in block for w in decontaminate.windows(t, 10)}
+        nodes = decontaminate._Scanner(block, 10).automaton.get_stats()["nodes_count"]
+        assert sum(map(len, runs)) <= limit and nodes <= limit + 1
+    pairs = lambda rows: {(None if i is None else str(i), w) for i, t in rows for w in decontaminate.windows(t, 10)}
+    assert set().union(*map(pairs, found)) == pairs([(i, t.encode()) for i, t in given])
+    long = given[30][1]
+    rows = [(1, long), (1, long[100:5000]), (None, given[3][1] + " . " + given[4][1]), (2, prose(50)), (3, "a " * 50), (4, given[0][1])]
+    got = decontaminate.report(table(rows), items, block=limit).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows, given)
+
+
 def test_offsets_lead_to_the_original(spark, table):
     items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     text = "Zéro -- ONE,\n\ttwo... (Three)! and one two three"
