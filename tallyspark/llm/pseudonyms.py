@@ -11,17 +11,21 @@ kind       checked
 =========  ============================================================================  =============================
 card       13 to 19 digits, single spaces or hyphens between, Luhn's check digit         digits between first and last;
                                                                                          the check digit is made anew
-iban       country, two check digits, 11 to 30 digits, remainder 1 modulo 97             digits; check digits made anew
-phone      +country (area) exchange-line and like forms with 10 national digits          the 10 digits, area and exchange
-                                                                                         from 2 on where they were
+iban       country, two check digits, 11 to 30 digits or, of the country's length or     digits, and letters among letters;
+           without spaces, digits and capitals, remainder 1 modulo 97                    check digits made anew
+phone      + and 7 to 15 digits in groups; as many as the country has for +1, 31, 33,    the digits after the country; of 10,
+           34, 41, 44 (a single digit in brackets, as (0), stays and does not count)     area and exchange from 2 on where
+                                                                                         they were
 ssn        ddd-dd-dddd, area 1 to 899 without 666, group and serial not 0                area, group and serial
 ip         four numbers up to 255                                                        all four
-date       yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy that exist, 1900 to 2099       the day among 73,000 of its
-                                                                                         window (from 1900-01-01)
+date       yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd-mm-yyyy, mm/dd/yyyy, else dd/mm/yyyy   the day among 73,000 of its
+           that exist, 1900 to 2099                                                      window (from 1900-01-01)
+date       the same with one-digit day or month, and dd/mm/yyyy                          the day among those written alike;
+                                                                                         29 February among leap years
 email      name@host.tld                                                                 name and first host label: a
                                                                                          keyed hash (not a permutation)
 secret     AKIA key, 32 or more hexadecimal digits, value of password=, token= and like  keyed hash, same length and
-                                                                                         alphabet
+           (8 signs or more up to a space, a quote or the next name=)                    alphabet, hexadecimal for others
 =========  ============================================================================  =============================
 
 What fails its check is left as it is. Separators, country codes and letters' places stay.
@@ -39,15 +43,31 @@ KEY = "change this key"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 NAMED = r"(?i:password|passwd|secret|token|api_key|apikey)[ ]?[=:][ ]?[\"']?"
-SECRET = (rf"{NAMED}[A-Za-z0-9]{{8,}}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])"
+SECRET = (rf"{NAMED}(?:(?![,;&] ?[A-Za-z0-9_]{{1,40}} ?[=:])[^\s\"']){{8,}}(?<![.,;:)\]}}>])"
+          r"|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
           r"|(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])")
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]){11,30}(?![A-Za-z0-9])"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_countries = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
+IBAN = (rf"(?<![A-Za-z0-9])(?:{_countries}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]){{11,30}}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}})"
+        r"(?![A-Za-z0-9])")
 DATE = (r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}"
-        r"|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])")
+        r"|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"
+        r"|(?<![0-9]|[0-9][./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
+        r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9]|[./-][0-9])")
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
 CARD = (r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])")
+_gap = "[ ./  -]"
+_next = rf"(?:{_gap}?\([0-9]\))?(?:{_gap}?\(|\){_gap}?|{_gap})?[0-9]"  # a digit, a gap before it; "(0)" is part of a gap
+_other = rf"(?!{CARD}|{SSN}|{IP}|{DATE})"  # what stands behind a phone number is not its end
+PHONE = (rf"\+(?:1(?:{_next}){{10}}|(?:31|33|34|41)(?:{_next}){{9}}|44(?:{_next}){{10}})(?![0-9])"
+         rf"|(?<![0-9])\+[0-9](?:(?:{_gap}?\([0-9]\))?(?:(?:{_gap}?\(|\){_gap}?|{_gap}){_other})?[0-9]){{6,14}}(?![0-9])"
+         r"|\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])")
+COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"  # what a phone number begins with
 KINDS = (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("date", DATE), ("ssn", SSN), ("ip", IP), ("phone", PHONE),
          ("card", CARD))
 ANY = "|".join(pattern for _, pattern in KINDS)
@@ -79,11 +99,48 @@ def feistel(value: Column, a: Column | int, b: Column | int, key: str, tag: str,
     return F.aggregate(F.array(*[F.lit(k) for k in order]), start, step, lambda s: s["x"] * b + s["y"])
 
 
+def _let(body, *values: Column) -> Column:
+    """body of the values, each computed once however often it stands there."""
+    names = [f"v{k}" for k in range(len(values))]
+    one = F.array(F.struct(*[v.alias(n) for v, n in zip(values, names)]))
+    return F.get(F.transform(one, lambda s: body(*[s[n] for n in names])), F.lit(0))
+
+
 def _power(n: Column) -> Column:
     """10 to the n, exact for n up to 18."""
     return F.rpad(F.lit("1"), n.cast("int") + 1, "0").cast("bigint")
 
 
+_LETTERS, _BASE26 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOP"
+
+
+def _permute_letters(letters: Column, key: str, tag: str, back: bool) -> Column:
+    """A string of up to 26 capitals, as two numbers of base 26."""
+    number = lambda x: F.coalesce(F.conv(F.translate(x, _LETTERS, _BASE26), 26, 10).cast("bigint"), F.lit(0).cast("bigint"))
+    half = lambda x, n: F.when(n > 0, F.translate(F.lpad(F.conv(x.cast("string"), 10, 26), n, "0"), _BASE26, _LETTERS)).otherwise("")
+    sign = F.lit(-1 if back else 1).cast("bigint")
+    order = range(ROUNDS - 1, -1, -1) if back else range(ROUNDS)
+
+    def network(letters, upper, lower):
+        power = F.array(*[F.lit(26 ** k).cast("bigint") for k in range(14)])
+
+        def step(state, k):
+            x, y, a, b = (state[n] for n in "xyab")
+            even = k % 2 == 0
+            return F.struct(
+                F.when(even, F.pmod(x + sign * F.pmod(_hash(key, tag, upper, lower, k, y), a), a)).otherwise(x).alias("x"),
+                F.when(even, y).otherwise(F.pmod(y + sign * F.pmod(_hash(key, tag, upper, lower, k, x), b), b)).alias("y"),
+                a.alias("a"), b.alias("b"))
+
+        start = F.struct(number(F.substr(letters, F.lit(1), upper)).alias("x"), number(F.substr(letters, upper + 1, lower)).alias("y"),
+                         F.get(power, upper).alias("a"), F.get(power, lower).alias("b"))
+        return F.aggregate(F.array(*[F.lit(k) for k in order]), start, step,
+                           lambda s: F.concat(half(s["x"], upper), half(s["y"], lower)))
+
+    n = F.length(letters)
+    return _let(network, letters, F.ceil(n / 2).cast("int"), (n - F.ceil(n / 2)).cast("int"))
+
+
 def _permute_digits(digits: Column, key: str, tag: str, back: bool) -> Column:
     """A string of up to 36 digits: halves of at most 18 digits are the two halves of the network."""
     upper = F.ceil(F.length(digits) / 2).cast("int")
@@ -112,12 +169,12 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def _refill(text: Column, digits: Column) -> Column:
-    """The text with its digits replaced, in order, by the given ones."""
+def _refill(text: Column, digits: Column, which: str = "[0-9]") -> Column:
+    """The text with its digits (or signs of another class) replaced, in order, by the given ones."""
     chars = F.split(text, "")
     return F.aggregate(
         chars, F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda s, c: F.when(c.rlike("^[0-9]$"), F.struct(
+        lambda s, c: F.when(c.rlike(f"^{which}$"), F.struct(
             F.concat(s["out"], F.substr(digits, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"),
         )).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))),
         lambda s: s["out"])
@@ -145,34 +202,66 @@ def _mod97(digits: Column) -> Column:
     return F.aggregate(F.split(digits, ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise((s * 10 + c.try_cast("int")) % 97))
 
 
+def _numbers(text: Column) -> Column:
+    """Capitals as two digits each, A as 10."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(
+        c.rlike("^[A-Z]$"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
+
+
 def _iban(m: Column, key: str, back: bool) -> Column:
-    digits = _digits(m)  # two check digits, then the account
-    letters = F.concat(*[(F.ascii(F.substring(m, k, 1)) - 55).cast("string") for k in (1, 2)])
-    account = F.substr(digits, F.lit(3), F.length(digits) - 2)
-    new = _permute_digits(account, key, "iban", back)
-    check = F.lpad((98 - _mod97(F.concat(new, letters, F.lit("00")))).cast("string"), 2, "0")
-    right = _mod97(F.concat(account, letters, F.substring(digits, 1, 2))) == 1
-    return F.when(right, F.concat(F.substring(m, 1, 2), _refill(F.substr(m, F.lit(3), F.length(m)), F.concat(check, new)))).otherwise(m)
+    def parts(signs, country, account, digits, letters):
+        with_digits = F.when(F.length(digits) > 0, _refill(
+            account, _permute_digits(digits, key, "iban", back))).otherwise(account)
+        # 26 letters are two numbers; what few there may be beyond are others
+        permuted = lambda: F.concat(_permute_letters(F.substring(letters, 1, 26), key, "iban", back),
+                                    _permute_letters(F.substring(letters, 27, 4), key, "iban-end", back))
+        new = _let(lambda x: F.when(F.length(letters) > 0, _let(
+            lambda y: _refill(x, y, "[A-Z]"), permuted())).otherwise(x), with_digits)
+
+        def checked(new):
+            check = F.lpad((98 - _mod97(_numbers(F.concat(new, country, F.lit("00"))))).cast("string"), 2, "0")
+            return _let(lambda signs: _refill(m, signs, "[A-Z0-9]"), F.concat(country, check, new))
+
+        right = _mod97(_numbers(F.concat(account, country, F.substring(signs, 3, 2)))) == 1
+        return F.when(right, _let(checked, new)).otherwise(m)
+
+    signs = F.regexp_replace(m, "[^A-Z0-9]", "")
+    account = F.substr(signs, F.lit(5), F.length(signs) - 4)
+    return _let(parts, signs, F.substring(signs, 1, 2), account, _digits(account), F.regexp_replace(account, "[^A-Z]", ""))
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
-    digits = _digits(m)
-    n = F.length(digits)
-    country = F.substr(digits, F.lit(1), n - 10)
-    area, exchange = (F.substr(digits, n - k, F.lit(3)).try_cast("bigint") for k in (9, 6))
-    line = F.substr(digits, n - 3, F.lit(4)).try_cast("bigint")
-
-    low_a, low_e = (F.when(x >= 200, F.lit(200)).otherwise(F.lit(0)).cast("bigint") for x in (area, exchange))
-    size_a, size_e = (F.when(low > 0, F.lit(800)).otherwise(F.lit(200)).cast("bigint") for low in (low_a, low_e))
-    value = ((area - low_a) * size_e + exchange - low_e) * 10000 + line
-    new = feistel(value, size_a * 100, size_e * 100, key, "phone", back)
-    new_line = F.pmod(new, F.lit(10000))
-    rest = ((new - new_line) / 10000).cast("bigint")
-    new_exchange = F.pmod(rest, size_e)
-    new_area = ((rest - new_exchange) / size_e).cast("bigint")
-    text = F.concat(country, *[F.lpad(x.cast("string"), k, "0") for x, k in (
-        (new_area + low_a, 3), (new_exchange + low_e, 3), (new_line, 4))])
-    return F.when(n > 10, _refill(m, text)).otherwise(m)
+    def ten(rest):
+        area, exchange, line = (F.substring(rest, k, n).try_cast("bigint") for k, n in ((1, 3), (4, 3), (7, 4)))
+
+        def network(area, exchange, line, low_a, low_e):
+            size_a, size_e = (F.when(low > 0, F.lit(800)).otherwise(F.lit(200)).cast("bigint") for low in (low_a, low_e))
+            value = ((area - low_a) * size_e + exchange - low_e) * 10000 + line
+
+            def text(new, size_e):
+                new_line = F.pmod(new, F.lit(10000))
+                upper = ((new - new_line) / 10000).cast("bigint")
+                new_exchange = F.pmod(upper, size_e)
+                new_area = ((upper - new_exchange) / size_e).cast("bigint")
+                return F.concat(*[F.lpad(x.cast("string"), k, "0") for x, k in (
+                    (new_area + low_a, 3), (new_exchange + low_e, 3), (new_line, 4))])
+
+            return _let(text, feistel(value, size_a * 100, size_e * 100, key, "phone", back), size_e)
+
+        low = [F.when(x >= 200, F.lit(200)).otherwise(F.lit(0)).cast("bigint") for x in (area, exchange)]
+        return _let(network, area, exchange, line, *low)
+
+    def parts(bare, digits, country):
+        def filled(rest):
+            new = F.when(F.length(rest) == 10, ten(rest)).otherwise(_permute_digits(rest, key, "phone", back))
+            return _let(lambda signs: _refill(bare, signs), F.concat(country, new))
+
+        return _let(filled, F.substr(digits, F.length(country) + 1, F.length(digits)))
+
+    kept = F.regexp_extract_all(m, F.lit(r"\(([0-9])\)"), F.lit(1))  # single digits in brackets, as (0)
+    bare = F.regexp_replace(m, r"\([0-9]\)", "(_)")
+    new = _let(parts, bare, _digits(bare), F.regexp_extract(_digits(bare), COUNTRY, 0))
+    return _let(lambda text, kept: F.when(kept == "", text).otherwise(_refill(text, kept, "_")), new, F.array_join(kept, ""))
 
 
 def _ssn(m: Column, key: str, back: bool) -> Column:
@@ -199,22 +288,64 @@ def _ip(m: Column, key: str, back: bool) -> Column:
 
 
 _WINDOW = 73_000  # days
+# Days of a year before each month and in all, 29 February apart: of all days, of days 1 to 9, of days from 13 on.
+_ALL = (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334, 365)
+_SHORT = tuple(9 * k for k in range(13))
+_LATE = tuple(x - 12 * k for k, x in enumerate(_ALL))
 
 
 def _date(m: Column, key: str, back: bool) -> Column:
-    separator = F.regexp_extract(m, "[^0-9]", 0)
-    a, b, c = (F.regexp_extract(m, "^([0-9]+)[^0-9]([0-9]+)[^0-9]([0-9]+)$", k) for k in (1, 2, 3))
-
-    def ordered(year_first, day_first, month_first):
-        return F.when(F.length(a) == 4, year_first).when(separator == ".", day_first).otherwise(month_first)
-
-    day = ordered(F.concat_ws("-", a, b, c), F.concat_ws("-", c, b, a), F.concat_ws("-", c, a, b)).try_cast("date")
-    base = F.lit("1900-01-01").cast("date")
-    number = F.datediff(day, base).cast("bigint")
-    new = F.date_add(base, feistel(number, 250, 292, key, "date", back).cast("int"))
-    y, mo, d = (F.date_format(new, p) for p in ("yyyy", "MM", "dd"))
-    text = ordered(*[F.concat(x, separator, y_, separator, z) for x, y_, z in ((y, mo, d), (d, mo, y), (mo, d, y))])
-    return F.when(number.between(0, _WINDOW - 1), text).otherwise(m)
+    def text(order, separator, y, mo, d):
+        return F.when(order == 0, F.concat(y, separator, mo, separator, d)).when(
+            order == 2, F.concat(mo, separator, d, separator, y)).otherwise(F.concat(d, separator, mo, separator, y))
+
+    def whole(order, separator, day):
+        """Two digits each: any day of the window."""
+        base = F.lit("1900-01-01").cast("date")
+        written = lambda new: text(order, separator, *[F.date_format(new, p) for p in ("yyyy", "MM", "dd")])
+        return _let(lambda number: F.when(number.between(0, _WINDOW - 1), _let(
+            written, F.date_add(base, feistel(number, 250, 292, key, "date", back).cast("int")))).otherwise(m),
+            F.datediff(day, base).cast("bigint"))
+
+    def alike(order, separator, mo, d, year, month, of_month):
+        """Written with one digit, or day first by need: days that are written so, in 200 years."""
+        def ranked(starts, size, least):
+            place = feistel((year - 1900) * size + F.get(starts, month - 1) + of_month - least, 200, size, key, "date", back)
+
+            def dated(new_year, rank, new_month):
+                new_day = rank - F.get(starts, new_month - 1) + least
+                return text(order, separator, new_year.cast("string"), F.lpad(new_month.cast("string"), F.length(mo), "0"),
+                            F.lpad(new_day.cast("string"), F.length(d), "0"))
+
+            return _let(lambda place: _let(
+                dated, ((place - F.pmod(place, size)) / size + 1900).cast("bigint"), F.pmod(place, size),
+                F.size(F.filter(F.slice(starts, 1, 12), lambda x: x <= F.pmod(place, size)))), place)
+
+        starts = F.when(F.length(d) == 1, F.array(*map(F.lit, _SHORT))).when(
+            order == 3, F.array(*map(F.lit, _LATE))).otherwise(F.array(*map(F.lit, _ALL)))
+        leap = (feistel(((year - 1904) / 4).cast("bigint"), 7, 7, key, "leap", back) * 4 + 1904).cast("string")  # to 2096
+        plain = _let(ranked, starts, F.get(starts, F.when(F.length(mo) == 1, 9).otherwise(12)).cast("bigint"),
+                     F.when(order == 3, 13).otherwise(1))
+        return F.when((month == 2) & (of_month == 29), text(order, separator, leap, mo, d)).otherwise(plain)
+
+    def judged(order, separator, mo, d, day):
+        two = (F.length(mo) == 2) & (F.length(d) == 2) & (order < 3)
+        return F.when(two, whole(order, separator, day)).when(F.year(day).between(1900, 2099), _let(
+            alike, order, separator, mo, d, F.year(day), F.month(day), F.dayofmonth(day))).otherwise(m)
+
+    def read(order, separator, a, b, c):
+        y, mo = F.when(order == 0, a).otherwise(c), F.when(order == 2, a).otherwise(b)
+        d = F.when(order == 0, c).when(order == 2, b).otherwise(a)
+        day = F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
+        return _let(judged, order, separator, mo, d, day)
+
+    def parts(separator, a, b, c):
+        # year first, day first, month first, or day first because no month has that number
+        order = F.when(F.length(a) == 4, 0).when(separator != "/", 1).when(a.try_cast("int") > 12, 3).otherwise(2)
+        return _let(read, order, separator, a, b, c)
+
+    return _let(parts, F.regexp_extract(m, "[^0-9]", 0),
+                *[F.regexp_extract(m, "^([0-9]+)[^0-9]([0-9]+)[^0-9]([0-9]+)$", k) for k in (1, 2, 3)])
 
 
 def _email(m: Column, key: str) -> Column:
@@ -228,8 +359,9 @@ def _secret(m: Column, key: str) -> Column:
     name = F.regexp_extract(m, f"^{NAMED}", 0)
     value = F.substr(m, F.length(name) + 1, F.length(m))
     n = F.length(value)
-    blocks = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 64).cast("int")), lambda k: F.sha2(
-        F.concat_ws("|", F.lit(key), F.lit("secret"), k.cast("string"), value), 256)), "")
+    first = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lit("0"), value), 256)
+    blocks = _let(lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 64).cast("int")), lambda k: F.when(
+        k == 0, x).otherwise(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), k.cast("string"), x), 256))), ""), first)
     code = F.substr(F.when(value.rlike("^[0-9A-Z]+$"), F.upper(blocks)).otherwise(blocks), F.lit(1), n)
     akia = F.concat(F.lit("AKIA"), F.substr(code, F.lit(5), n))
     return F.concat(name, F.when(value.startswith("AKIA"), akia).otherwise(code))

@@ -78,3 +78,66 @@ def test_other_columns_and_empty_tables(table, texts):
     out = p.masked(table(), found="kinds")
     assert sorted(out.columns) == sorted(table().columns) and out.count() == len(texts)
     assert {r["_matches"] for r in out.collect()} == {"?"} and p.masked(table([])).count() == 0
+
+
+WIDER = {
+    "iban": ["GB29 NWBK 6016 1331 9268 19", "NL91ABNA0417164300", "FR14 2004 1010 0505 0001 3M02 606", "IT60X0542811101000000123456",
+             "IE29 AIBK 9311 5212 3456 78", "CH93 0076 2011 6238 5295 7", "MT84MALT011000012345MTLCAST001S", "LC14BOSL123456789012345678901234"],
+    "phone": ["+33 1 23 45 67 89", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+49 30 901820", "+34 912 34 56 78", "+4917012345678",
+              "+353 1 234 5678", "+41 44 668 18 00", "+1234567"],
+    "date": ["31/01/2020", "29/02/2024", "13/12/1999", "5/3/2024", "3/14/2024", "14/3/2024", "2024-3-5", "2024/12/5", "5.3.2024",
+             "05.3.2024", "5.12.2024", "29.2.2024", "2/29/2000", "25-12-2024", "31/12/2099", "1/1/1900"],
+    "secret": ["password=Tr0ub4dor&3!x", "token: ab-cd_ef.gh-ij", "api_key='p@ss-w0rd,#1'", "secret=a1-b2-c3"],
+}
+LEFT = ["GB28 NWBK 6016 1331 9268 19", "31/02/2020", "32/1/2020", "13/13/2020", "29/2/2023", "1.2.3.2024", "+123456", "x5/3/20245"]
+
+
+def test_wider_forms(spark, table):
+    """Forms other than those of the given documents: each is found whole, keeps its form and its check, and comes back."""
+    texts = [(kind, x) for kind, xs in WIDER.items() for x in xs] + [(None, x) for x in LEFT]
+    rows = [(k, f"see {x} AND 12 MORE") for k, (_, x) in enumerate(texts)]
+    found = p.masked(table(rows), found="kinds").cache()
+    out, back = {r.doc_id: r for r in found.collect()}, {r.doc_id: r.text for r in p.restored(found).collect()}
+    for k, (kind, x) in enumerate(texts):
+        new = out[k].text.removeprefix("see ").removesuffix(" AND 12 MORE")
+        assert out[k]["kinds"] == ([] if kind is None else [kind]), (x, out[k])
+        if kind is None:
+            assert new == x
+            continue
+        shape = lambda t: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t))
+        assert new != x and (kind == "secret" or (shape(new) == shape(x) and back[k] == rows[k][1])), (x, new, back[k])
+        if kind == "iban":
+            flat = new.replace(" ", "")
+            assert flat[:2] == x[:2] and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+        if kind == "secret":
+            value = x.split("=")[-1].split(": ")[-1].strip("'")
+            assert value not in new and value[-4:] not in new and len(new) == len(x)
+    digits = lambda k: re.sub(r"\D", "", out[k].text.replace("(0)", "").split("AND")[0])
+    same = [k for k, (_, x) in enumerate(texts) if x.startswith("+44")]
+    assert digits(same[0]) == digits(same[1])
+
+
+def test_dates_stay_among_those_written_alike(spark, table):
+    """Each class is permuted: as many pseudonyms as dates, of the same form, and all come back."""
+    import datetime
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(k) for k in range(0, 73_049, 97)]
+    forms = [lambda d: f"{d.day:02}/{d.month:02}/{d.year}", lambda d: f"{d.day}/{d.month}/{d.year}", lambda d: f"{d.year}-{d.month}-{d.day}",
+             lambda d: f"{d.month}/{d.day}/{d.year}", lambda d: f"{d.day}.{d.month:02}.{d.year}"]
+    texts = sorted({f(d) for f in forms for d in days})
+    found = p.masked(table(list(enumerate(texts)))).cache()
+    out = {r.doc_id: r.text for r in found.collect()}
+    back = {r.doc_id: r.text for r in p.restored(found).collect()}
+    assert len(set(out.values())) == len(texts) and [back[k] for k in range(len(texts))] == texts
+    assert all([len(x) for x in re.split("[-./]", out[k])] == [len(x) for x in re.split("[-./]", t)] for k, t in enumerate(texts))
+    assert sum(out[k] == t for k, t in enumerate(texts)) < 30
+
+
+def test_next_to_each_other_and_long(spark, table):
+    """No form swallows the begin of another, and a long value does not exhaust the matcher."""
+    card = "4785 3805 9239 1139"
+    rows = [(0, f"+49 30 901820 {card}"), (1, f"user=bob;password=Secret#12;card={card}"), (2, "+33 1 23 45 67 89 12/05/2024"),
+            (3, "token=" + "aB3-" * 50_000), (4, "+49 30 901820 5/3/2024"), (5, "GB29 NWBK 6016 1331 9268 19 " + card)]
+    out = {r.doc_id: r for r in p.masked(table(rows), found="kinds").collect()}
+    assert [out[k]["kinds"] for k in range(6)] == [["phone", "card"], ["secret", "card"], ["phone", "date"], ["secret"],
+                                                   ["phone", "date"], ["iban", "card"]]
+    assert "aB3" not in out[3].text and ";card=" in out[1].text
