@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, languages, nearcopies, packing, pseudonyms, repeats, scoring, separators, severity, weighted
+from . import decontaminate, infill, languages, nearcopies, packing, pseudonyms, repeats, scoring, separators, severity, weighted
 from .tables import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,31 @@ def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_repeated_passages")
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(documents(spark, sf_dir), keep_text=False)
+
+
+_TOKENS = "'[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+'"
+
+
+def _draw(k: int) -> str:
+    return f"cast('0x' || substr(h, {8 * k + 1}, 8) as bigint)"
+
+
+@query("op12_infill_boundaries", f"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (select doc_id, t, regexp_extract_all(t, {_TOKENS}) as w, {_draw(0)} as h1, {_draw(1)} as h2, {_draw(2)} as h3,
+    {_draw(3)} as h4 from d),
+c as (select *, len(w) as n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) as p, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) as q,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain'
+      when h4 % 100 < 80 then 'spm' else 'psm' end as form from u),
+x as (select *, array_to_string(w[1:p], '') as a, array_to_string(w[p + 1:q], '') as b, array_to_string(w[q + 1:n], '') as e from c)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(a) end as prefix_chars,
+  case when form <> 'plain' then length(b) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || e || '<M>' || b
+    else '<S>' || e || '<P>' || a || '<M>' || b end) as output_sha256, sha256(t) as restored_sha256
+from x
+""")
+def infill_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.transformed(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
