@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, infill, languages, nearcopies, packing, pseudonyms, repeats, scoring, separators, severity, weighted
+from . import decontaminate, infill, languages, nearcopies, packing, pseudonyms, repeats, scoring, separators, severity, topk, weighted
 from .tables import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,18 @@ def infill_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op13_bit_sliced_top", """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+q as (select distinct vec_id, e from v where vec_id % 50 = 0),
+s as (select q.vec_id as query_id, q.e, c.vec_id, coalesce(list_dot_product(q.e, c.e), 0) as score
+    from q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by query_id, e order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5
+""")
+def bit_sliced_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top(vectors, vectors.where("vec_id % 50 = 0"))
