@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, infill, languages, nearcopies, packing, pseudonyms, repeats, scoring, separators, severity, topk, weighted
+from . import decontaminate, infill, languages, nearcopies, packing, pseudonyms, repeats, scoring, separators, severity, spelling, topk, weighted
 from .tables import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,11 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(documents(spark, sf_dir), keep_text=False)
 
 
+@query("op11_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(documents(spark, sf_dir)))
+
+
 _TOKENS = "'[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+'"
 
 
