@@ -41,7 +41,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 ROUNDS = 8
 KEY = "change this key"
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# The host is read sign by sign, dots not side by side: a repeated group of several signs would recurse once per label.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?![.])(?:(?!\.\.)[A-Za-z0-9.-])*\.[A-Za-z]{2,}"
 NAMED = r"(?i:password|passwd|secret|token|api_key|apikey)[ ]?[=:][ ]?[\"']?"
 SECRET = (rf"{NAMED}(?:(?![,;&] ?[A-Za-z0-9_]{{1,40}} ?[=:])[^\s\"']){{8,}}(?<![.,;:)\]}}>])"
           r"|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
@@ -190,12 +191,17 @@ def luhn(digits: Column) -> Column:
 
 
 def _card(m: Column, key: str, back: bool) -> Column:
-    digits = _digits(m)
-    n = F.length(digits)
-    body = F.concat(F.substr(digits, F.lit(1), F.lit(1)),
-                    _permute_digits(F.substr(digits, F.lit(2), n - 2), key, "card", back))
-    check = F.pmod(10 - luhn(F.concat(body, F.lit("0"))), F.lit(10))
-    return F.when(luhn(digits) % 10 == 0, _refill(m, F.concat(body, check.cast("string")))).otherwise(m)
+    def parts(digits):
+        body = F.concat(F.substr(digits, F.lit(1), F.lit(1)),
+                        _permute_digits(F.substr(digits, F.lit(2), F.length(digits) - 2), key, "card", back))
+
+        def checked(body):
+            check = F.pmod(10 - luhn(F.concat(body, F.lit("0"))), F.lit(10))
+            return _let(lambda signs: _refill(m, signs), F.concat(body, check.cast("string")))
+
+        return F.when(luhn(digits) % 10 == 0, _let(checked, body)).otherwise(m)
+
+    return _let(parts, _digits(m))
 
 
 def _mod97(digits: Column) -> Column:

@@ -141,3 +141,30 @@ def test_next_to_each_other_and_long(spark, table):
     assert [out[k]["kinds"] for k in range(6)] == [["phone", "card"], ["secret", "card"], ["phone", "date"], ["secret"],
                                                    ["phone", "date"], ["iban", "card"]]
     assert "aB3" not in out[3].text and ";card=" in out[1].text
+
+
+def test_mail_hosts():
+    import re as python
+
+    old = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+    texts = ["a@b.com", "a@b..com", "a@.b.com", "a@b.com.1", "a@b.c1.de-2024-01-01", "a@b.com...Next", "a@b", "a@b.c", "a@-.xy.", "a@b.comc1",
+             "a@@b.com", "x a.b+c@d.e.fg, h@i.jk"]
+    for text in texts:
+        assert python.findall(p.EMAIL, text) == python.findall(old, text), text
+
+
+REPEATED = [
+    ("x@", "a.", "1"), ("x@", "a.", "com"), ("", "a@", ""), ("x@", "a", "."), ("password=", "x", ""), ("", "token=x,", ""), ("", "0", ""),
+    ("", "1 ", ""), ("", "a1", ""), ("", "A", ""), ("+", "1", ""), ("", "+1 ", ""), ("+1", "(0)", ""), ("", "12-", ""), ("", "1.2.", ""),
+    ("", "2024-01-01", ""), ("", "1/2/2024 ", ""), ("DE89", " 3704", ""), ("", "DE89 ", ""), ("AKIA", "A", ""), ("", "123-45-", ""),
+    ("", "4785380592391139 ", ""),
+]
+
+
+def test_long_repetitions_of_each_pattern(table):
+    """A megabyte of what a pattern repeats: no recursion, and what is no match stays."""
+    texts = [first + unit * (1_000_000 // len(unit)) + last for first, unit, last in REPEATED]
+    got = p.masked(table(list(enumerate(texts))).repartition(8), found="kinds").collect()
+    assert len(got) == len(texts)
+    for row in got:
+        assert len(row.text) > 900_000 and (row.kinds or row.text == texts[row.doc_id])
