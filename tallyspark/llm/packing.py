@@ -8,7 +8,7 @@ needs nobody else; it holds at most one open bin per class. When its rows end, t
 end and cut anew at the capacity, and the last remainder at powers of two, which are not padded. So padding stands
 only in full bins of the small classes.
 
-Defined cases: a null text is empty, and an empty document is its end id alone; a repeated document is packed again;
+Defined cases: what the vocabulary lists as a special token becomes its id also inside a text, as ``tokenizers`` does; a null text is empty, and an empty document is its end id alone; a repeated document is packed again;
 null ids stay null. Sequence ids come from the partition number and a count, and are unique but not dense. Only the
 columns named are read.
 """

@@ -6,6 +6,9 @@ own, vectorised. What a block must know of those before it are two numbers: how
 since the last. They come from a prefix scan over one summary row per block, in two levels: sums over segments of
 SEGMENT blocks, a scan over a file's segments, then a scan within each segment. So no task holds a whole file.
 
+Ids take 2 bytes each, or 4 where the vocabulary has more than 65,536. Texts are encoded plainly: what looks like the separator
+in a text is text, so that the separator's id stands behind documents only.
+
 Defined cases: no blocks give no documents; two neighbouring separators enclose a document of no tokens; tokens after the
 last separator are one more document, marked incomplete; an empty or null block counts as empty. Block numbers of a file
 must be distinct; they may have gaps. Documents: null text is empty, null ids stay null, repeated rows are counted each.
@@ -24,21 +27,27 @@ from .tables import written
 from .tokens import VOCABULARY, Encoder
 
 SEPARATOR = 50256
-WIDTH = 2  # bytes per id
-BLOCK = 1_000_000  # bytes
+WIDTH = 2  # bytes per id of files given without a vocabulary
+BLOCK = 250_000  # bytes; from half a megabyte on, the JVM sets objects apart and grows with them
 SEGMENT = 4096  # blocks
 _TEXTS = 250
 
 
+def width_of(vocabulary: str = VOCABULARY, separator: int = SEPARATOR) -> int:
+    """Bytes of every id, the separator included."""
+    return max(Encoder.of(vocabulary, plain=True).width(), 2 if separator < 1 << 16 else 4)
+
+
 def files_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY,
              separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
     """Flat token files, one per task, as blocks (file, block, tokens); below block 0 the ids of the file's documents in
     order (-1, -2, ..), nulls as the least whole number, for whoever wants to know which document is which."""
     table = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    end = np.array([separator], f"<u{WIDTH}").tobytes()
+    width = width_of(vocabulary, separator)
+    end = np.array([separator], f"<u{width}").tobytes()
 
     def work(batches) -> Iterator[pa.RecordBatch]:
-        encoder, file, number = Encoder.of(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, file, number = Encoder.of(vocabulary, plain=True), TaskContext.get().partitionId(), 0
         rest, order, order_number = bytearray(), [], 0
 
         def out(number, body):
@@ -49,7 +58,7 @@ def files_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", v
             ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy().astype("<i8")
             for at in range(0, batch.num_rows, _TEXTS):
                 for found in encoder.encode([x or "" for x in batch.column(1).slice(at, _TEXTS).to_pylist()]):
-                    rest += np.frombuffer(found, "<u4").astype(f"<u{WIDTH}").tobytes() + end
+                    rest += np.frombuffer(found, "<u4").astype(f"<u{width}").tobytes() + end
                 while len(rest) >= block:
                     yield out(number, bytes(rest[:block]))
                     del rest[:block]
@@ -151,5 +160,6 @@ def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     before = Window.partitionBy("file").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     lists = lists.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("first"), "tokens")
     order = lists.mapInArrow(name, "file long, ordinal long, doc_id long")
-    counts = scan(files.where("block >= 0"), options.get("separator", SEPARATOR))
+    separator = options.get("separator", SEPARATOR)
+    counts = scan(files.where("block >= 0"), separator, width_of(options.get("vocabulary", VOCABULARY), separator))
     return counts.join(order, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")

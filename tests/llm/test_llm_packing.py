@@ -3,19 +3,33 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
+import pytest
 from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
 
-from tallyspark.llm import packing
-from tallyspark.llm.tokens import Encoder
+from tallyspark.llm import packing, tokens
 
 
-def test_ids_equal_direct_tokenisation():
-    encoder, pick = Encoder.of(), random.Random(1)
-    odd = ["a it's, don't. x!! y!? 's. foo.", "a foo, foo. foo foo! Foo, foo.", "", " ", "  ", " a", "a ", " a  b \n c\n d", "a　 b c", "it's  don't 12 3", "\x1c a \x85 b", " \n", "<|endoftext|> a",
-           *("".join(pick.choice(" \n\ta1é.'s  \x1c") for _ in range(30)) for _ in range(500))]
-    for _ in range(2):  # the second time from the cache
-        for text, ids in zip(odd, encoder.encode(odd)):
-            assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+ODD = ["a it's, don't. x!! y!? 's. foo.", "a foo, foo. foo foo! Foo, foo.", "", " ", "  ", " a", "a ", " a  b \n c\n d", "a　 b c",
+       "it's  don't 12 3", "\x1c a \x85 b", " \n", "<|endoftext|> a", "a <|endoftext|>, b<|endoftext|>.", " <|endoftext|> <|endoftext|>x",
+       "a\nb c\n\nd, e \n f", "x" * 200 + " y " + "z" * 200]
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_ids_equal_direct_tokenisation(plain, monkeypatch):
+    """Against tokenizers as they are made from the file."""
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    direct = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    direct.encode_special_tokens = plain
+    encoder, pick = tokens.Encoder(tokens.VOCABULARY, plain), random.Random(1)
+    odd = [*ODD, *("".join(pick.choice(" \n\ta1é.'s  \x1c") for _ in range(30)) for _ in range(500)),
+           *(" ".join(pick.choice(("word", "words", "naïve", "<|endoftext|>", "so,", "1,5", "end.")) for _ in range(9)) for _ in range(200))]
+    for _ in range(3):  # later times from the cache
+        for at in range(0, len(odd), 7):
+            for text, ids in zip(odd[at: at + 7], encoder.encode(odd[at: at + 7])):
+                assert np.frombuffer(ids, "<u4").tolist() == direct.encode(text, add_special_tokens=False).ids, repr(text)
+        assert len(encoder.cache) + len(encoder.elder) < 200
 
 
 def check(rows, ids):
@@ -53,10 +67,10 @@ def test_each_token_in_one_piece(lengths):
 
 
 def test_table(table, texts):
-    rows = [(k, t) for k, (_, t) in enumerate(texts)]
+    rows = [(k, t) for k, t in enumerate([*(t for _, t in texts), *ODD])]
     found = packing.pack(table(rows)).collect()
-    encoder = Encoder.of()
-    ids = {k: np.append(np.frombuffer(encoder.encode([t or ""])[0], "<u4"), 1).astype("<u4") for k, t in rows}
+    direct = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    ids = {k: np.append(direct.encode(t or "", add_special_tokens=False).ids, 1).astype("<u4") for k, t in rows}
     assert check([tuple(r) for r in found], ids) < 0.02
     again = packing.pack(table([(None, "a b"), (None, "a b"), (7, None)])).collect()
     assert sum(r.length for r in again) == 3 + 3 + 1 and packing.pack(table([])).count() == 0
