@@ -6,10 +6,11 @@ t = floor(ln(weight) / r + beta), the word with the smallest ln(c) - r (t - beta
 on the same value for two texts with a probability equal to their generalised Jaccard similarity, sum of minima over
 sum of maxima of the weights. A fingerprint keeps 16 bits of each (word, t), ``SAMPLES`` of them, as hexadecimal text.
 
-Draws are made once per distinct word and weight of a slice of texts, not once per text; ties go by word hash, which is
-the same order in every slice, so that equal texts get equal fingerprints wherever they are.
+Draws are made once per distinct word and weight of a slice of texts, not once per text. Values are compared in their
+leading 36 bits; ties go by word hash. Both are the same wherever a text is, so that equal texts get equal fingerprints.
 
-Defined cases: a text without words (null, empty, white space) has the empty fingerprint; its likeness is 1 to another
+Defined cases: of ``against_edits``, null texts are empty, rows of one id come in the order of their texts, and rows without
+an id before all others; a lone row is its own next one. A text without words (null, empty, white space) has the empty fingerprint; its likeness is 1 to another
 such text and 0 to any other. Words are hashed to 64 bits.
 """
 
@@ -24,22 +25,25 @@ from pyspark.sql import DataFrame, functions as F
 from .texts import mix, slices, utf8, word_hashes
 
 SAMPLES = 96
-SLICE = 2_000_000  # bytes of text fingerprinted at a time
-_GROUP = 16  # samples drawn at a time
+SLICE = 4_000_000  # bytes of text fingerprinted at a time
+_GROUP = 8  # samples drawn at a time
+_PLACE = np.uint64(28)  # bits for a word's place among the distinct words of a text
 _STEP = 0x9E3779B97F4A7C15
 
 
-def _draws(words: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, beta and ln(c) of each word in one sample."""
-    first = mix(words + np.uint64((2 * sample + 1) * _STEP % 2**64))
-    second = mix(words + np.uint64((2 * sample + 2) * _STEP % 2**64))
+# Exponential draws by 16 bits; two of them add up to one of Gamma(2, 1).
+_EXPONENTIAL = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16))
 
-    def uniform(bits, shift, width):
-        return (((bits >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.float64) + 0.5) / (1 << width)
 
-    c = -np.log(uniform(first, 32, 32) * uniform(first, 0, 32))
-    r = -np.log(uniform(second, 43, 21) * uniform(second, 22, 21))
-    return r, uniform(second, 0, 22), np.log(c)
+def _draws(words: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, beta and ln(c) of each word in one sample."""
+    bits = mix(words + np.uint64((sample + 1) * _STEP % 2**64))
+    four = bits.view(np.uint16).reshape(-1, 4)
+    r = _EXPONENTIAL[four[:, 0]] + _EXPONENTIAL[four[:, 1]]
+    c = _EXPONENTIAL[four[:, 2]] + _EXPONENTIAL[four[:, 3]]
+    other = (bits ^ bits >> np.uint64(29)) * np.uint64(0xD1B54A32D192ED03)
+    beta = (other >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return r, beta, np.log(c)
 
 
 def _counted(words: np.ndarray, bounds: np.ndarray):
@@ -65,22 +69,26 @@ def sketch(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES) -> tup
     distinct, code = np.unique(words, return_inverse=True)
     both, entry = np.unique(code.astype(np.uint64) << np.uint64(32) | times.astype(np.uint64), return_inverse=True)
     owner, log_weight = (both >> np.uint64(32)).astype(np.int64), np.log((both & np.uint64(0xFFFFFFFF)).astype(np.float64))
-    number = np.arange(len(both), dtype=np.uint64)
-    bits = max(1, int(len(both)).bit_length())
+    # The lowest bits of a key hold the place of the word in its text. Words come in the order of their hashes there, so
+    # that of values equal in the bits above the smaller hash wins in every text alike.
+    size = np.diff(ranges)[full]
+    place = (np.arange(len(entry)) - np.repeat(starts, size)).astype(np.uint64)[:, None]
+    keys, levels = np.zeros((len(both), _GROUP), np.uint64), np.zeros((len(both), _GROUP), np.int32)
+    mine = np.empty((len(entry), _GROUP), np.uint64)
     for low in range(0, samples, _GROUP):
         group = range(low, min(samples, low + _GROUP))
-        keys = np.empty((len(both), len(group)), np.uint64)
-        levels = np.empty((len(both), len(group)), np.int32)
         for j, sample in enumerate(group):
             r, beta, log_c = (x[owner] for x in _draws(distinct, sample))
             t = np.floor(log_weight / r + beta)
             value = (log_c - r * (t - beta + 1)).view(np.uint64)
             value ^= np.where(value >> np.uint64(63), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1 << 63))  # sorts as the number
-            keys[:, j] = (value >> np.uint64(bits) << np.uint64(bits)) | number
+            keys[:, j] = value >> _PLACE << _PLACE
             levels[:, j] = t
-        least = np.minimum.reduceat(keys[entry], starts, axis=0) & np.uint64((1 << bits) - 1)
+        np.take(keys, entry, axis=0, out=mine, mode="clip")
+        mine |= place
+        least = (np.minimum.reduceat(mine, starts, axis=0) & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)
         for j, sample in enumerate(group):
-            won = least[:, j].astype(np.int64)
+            won = entry[starts + least[:, j]]
             tag = mix(distinct[owner[won]] + levels[won, j].astype(np.int64).view(np.uint64) * np.uint64(_STEP) + np.uint64(sample))
             out[full, sample] = (tag >> np.uint64(48)).astype(np.uint16)
     return out, full

@@ -41,6 +41,17 @@ def test_equal_texts_have_equal_fingerprints(table, texts):
     assert all(len(x) == 1 for x in by.values()) and by[""] == {""} and len(set.union(*by.values())) > 150
 
 
+def test_fingerprints_do_not_depend_on_the_slice():
+    """A text alone and beside many megabytes of other words."""
+    pick = np.random.default_rng(5)
+    other = " ".join(f"{a:x}" for a in pick.integers(0, 1 << 40, 200_000).tolist())
+    few = [" ".join(str(x) for x in pick.integers(0, 9999, k).tolist()) for k in (1, 2, 2, 2, 3, 5, 9, 40, 200)] + ["3682 3729f"]
+    many = [f"{a} {b}f" for a, b in pick.integers(0, 9999, (3000, 2)).tolist()]
+    alone = [weighted.texts_of(*weighted.sketch(*weighted._encoded([t])))[0] for t in few + many[:300]]
+    beside = weighted.texts_of(*weighted.sketch(*weighted._encoded([other, *few, *many])))[1:]
+    assert alone == beside[: len(alone)]
+
+
 def test_collisions_follow_weights():
     """Words that differ in weight only: the likeness is the sum of minima over the sum of maxima."""
     a = " ".join(f"w{k} " * 3 for k in range(50)) + " " + " ".join(f"v{k}" for k in range(50))
