@@ -131,12 +131,10 @@ def _ranges_of_words(chunked: DataFrame, ranges: int) -> DataFrame:
         for batch in batches:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, times = unpacked(raw)
-                to = (words >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-                rows = []
-                for k in range(ranges):
-                    mine = to == k
-                    rows.append((chunk, k, packed(words[mine], times[mine])))
-                yield _batch(rows)
+                to = ((words >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                words, times, cut = words[order], times[order], np.searchsorted(to[order], np.arange(ranges + 1))
+                yield _batch([(chunk, k, packed(words[a:b], times[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:]))])
 
     def answer(table):
         messages = [unpacked(x) for x in table.column("payload").to_pylist()]
@@ -268,28 +266,30 @@ def _shard(table: pa.Table, words: int, pseudo) -> tuple[bytes, Callable]:
     triple_pairs, thirds = np.concatenate(triple_pairs), np.concatenate(thirds)
     triple_times = np.concatenate(triple_times).astype(np.float64)
 
-    learned = times > 0
-    distinct, place = np.unique(pairs[learned], return_inverse=True)
-    first_count = np.zeros(len(distinct))
-    first_count[place] = firsts[learned]
-    node = np.full(len(pairs), -1)
-    node[learned] = place
-    triples = triple_times > 0
-    key = node[triple_pairs[triples]].astype(np.uint64) << np.uint64(32) | thirds[triples].astype(np.uint64)
-    triple, place_3 = np.unique(key, return_inverse=True)
-    raw = Trie.built(
-        words, (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64),
-        np.bincount(place, times[learned], len(distinct)), first_count, (triple >> np.uint64(32)).astype(np.int64),
-        (triple & np.uint64(0xFFFFFFFF)).astype(np.int64), np.bincount(place_3, triple_times[triples], len(triple)), pseudo)
+    # Each distinct pair and triple is summed once and asked for once, in whichever messages it stands.
+    asked, place = np.unique(pairs, return_inverse=True)
+    count = np.bincount(place, times, len(asked))
+    asked_triple, place_3 = np.unique(place[triple_pairs].astype(np.uint64) << np.uint64(32) | thirds.astype(np.uint64), return_inverse=True)
+    triple_count = np.bincount(place_3, triple_times, len(asked_triple))
+    asked_u, asked_v = (asked >> np.uint64(32)).astype(np.int64), (asked & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    parent, asked_w = (asked_triple >> np.uint64(32)).astype(np.int64), (asked_triple & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first_count = np.zeros(len(asked))
+    first_count[place] = firsts
+    learned, learned_triple = count > 0, triple_count > 0
+    node = np.cumsum(learned) - 1
+    raw = Trie.built(words, asked_u[learned], asked_v[learned], count[learned], first_count[learned],
+                     node[parent[learned_triple]], asked_w[learned_triple], triple_count[learned_triple], pseudo)
 
     def answers(trie: Trie) -> list[bytes]:
-        out = []
-        for u, u_count, n, v, _, fan, w, _ in messages:
-            found = trie.pair(np.repeat(u, n), v)
-            parent = np.repeat(np.arange(len(v)), fan)
-            part, backoff = trie.pair_codes(found)
-            triple = trie.triple_codes(trie.triple(found[parent], v[parent], w))
-            out.append(packed(relative(part, np.repeat(_count_code(u_count, pseudo[0]), n)), backoff, relative(triple, backoff[parent])))
+        found = trie.pair(asked_u, asked_v)
+        part, backoff = trie.pair_codes(found)
+        triple = relative(trie.triple_codes(trie.triple(found[parent], asked_v[parent], asked_w)), backoff[parent])
+        part = relative(part, _count_code(first_count, pseudo[0]))
+        out, at, at_3 = [], 0, 0
+        for _, _, _, v, _, _, w, _ in messages:
+            mine, mine_3 = place[at: at + len(v)], place_3[at_3: at_3 + len(w)]
+            out.append(packed(part[mine], backoff[mine], triple[mine_3]))
+            at, at_3 = at + len(v), at_3 + len(w)
         return out
 
     return raw, answers

@@ -83,14 +83,15 @@ class Ascending:
         ends = np.concatenate([[0], self.ends, [self.count]])
         low, high = np.minimum(ends[step], self.count), np.minimum(ends[np.minimum(step + 1, len(ends) - 1)], self.count)
         rest = x & np.uint64((1 << self.low_bits) - 1) if self.low_bits else np.zeros(len(x), np.uint64)
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
-            middle = (low + high) >> 1
-            below = open_ & (self._low(np.minimum(middle, max(self.count - 1, 0))) < rest)
-            low = np.where(below, middle + 1, low)
-            high = np.where(open_ & ~below, middle, high)
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            a, b = low[open_], high[open_]
+            middle = (a + b) >> 1
+            below = self._low(middle) < rest[open_]
+            a, b = np.where(below, middle + 1, a), np.where(below, b, middle)
+            low[open_], high[open_] = a, b
+            open_ = open_[a < b]
+        return low
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of x, -1 if it is not there."""
@@ -136,8 +137,10 @@ class Trie:
         first_times[place] = u_times
         middle = v[parent] if len(parent) else np.empty(0, np.int64)
         follow, rank = np.unique(middle.astype(np.uint64) * np.uint64(words) + w.astype(np.uint64), return_inverse=True)
-        begin = np.searchsorted(follow, middle.astype(np.uint64) * np.uint64(words))
-        relative = rank - begin
+        context = follow // np.uint64(words) if words else follow
+        head = np.concatenate([[True], context[1:] != context[:-1]])[: len(follow)]
+        begin = np.maximum.accumulate(np.where(head, np.arange(len(follow)), 0)) if len(follow) else rank
+        relative = rank - begin[rank]
         width = int(relative.max()) + 1 if len(relative) else 1
         levels = [first, place.astype(np.uint64) * np.uint64(words) + v.astype(np.uint64), follow,
                   parent.astype(np.uint64) * np.uint64(width) + relative.astype(np.uint64)]
