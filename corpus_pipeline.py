@@ -13,16 +13,18 @@ from tallyspark.llm import decontaminate, languages, nearcopies, packing, pseudo
 from tallyspark.llm.tables import documents, ready, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SHARE = 0.4  # of the leading language; texts of several languages with less are rejected
+LEAST_FIT = 0.0  # a text that fits every learned language worse than noise is rejected, however many it mixes
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in which one language leads; without letters there is none."""
+    """Keep documents of a learned language, or of several: those without letters go, and those like none. Texts too short
+    for a trigram stay."""
     ready(spark)
     found = languages.identify(docs.select(*COLUMNS), COLUMNS)
-    return found.where((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+    like_one = F.coalesce(F.col("fit") >= LEAST_FIT, F.lit(True))
+    return found.where((F.col("lang_pred") != languages.UNKNOWN) & like_one).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,17 +1,20 @@
 """Language proportions of a text by expectation-maximisation over n-gram likelihoods.
 
 A text is taken as a mixture: each of its byte trigrams was drawn from one of the learned languages. EM estimates the
-proportions over all languages; then the 1, 2, .. ``most`` leading languages are refitted alone, and the set with the
-best penalised likelihood stays. The leading language of that set is the prediction, its proportion the score.
+proportions over all languages; then the 1, 2, .. leading languages are refitted alone, and the set with the best
+penalised likelihood stays. More languages are tried as long as the likelihood of all together leaves room for the penalty
+of one more. The leading language of the set is the prediction, its proportion the score. ``fit`` is how much likelier, in
+logarithms per trigram, the text is under that mixture than with all trigrams equally likely: below 0 it is like none.
 
 Trigrams are taken over lower-cased (A-Z) UTF-8 bytes, with all ASCII non-letters read as spaces, and fall into 65,536
 bins. Training counts every trigram of every labelled row; what reaches the driver is one table of 65,536 numbers per
 language.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0 and no proportions; letters but fewer than
-three bytes give the language with the most training text and its share; a language no row was labelled with is never
+three bytes give the language with the most training text and its share, and no fit; a language no row was labelled with is never
 predicted; with no labelled row at all everything is ``und``. Rows are judged one by one, so that repeated rows get equal
-results and null ids do not matter. Only the columns named are read: others may have any name.
+results and null ids do not matter. Only the columns named are read: others may have any name. A kept column of a result's
+name gives way to the result.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .tables import Carried
 from .texts import LOWER, slices, utf8
 
 BINS = 1 << 16
 SMOOTHING = 0.1  # added to every bin's count
 PENALTY = 2.0  # times log(trigrams) that a further language must gain
-MOST = 3  # languages of a text
 ROUNDS = 12  # EM steps over all languages; a chosen set takes half as many
+SLACK = 1.0  # by which EM over all languages may fall short of the best likelihood
 UNKNOWN = "und"
+RESULT = "lang_pred string, score double, languages array<string>, proportions array<double>, fit double"
 
 _fold = LOWER.copy()
 _fold[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
@@ -143,51 +148,60 @@ def _mixtures(likelihood, times, starts, sizes, start, rounds):
 
 
 def proportions(data: np.ndarray, offsets: np.ndarray, model: Languages) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the chosen languages (texts x languages, 0 for the others), and whether there was a trigram."""
+    """Proportions of the chosen languages (texts x languages, 0 for the others), and the fit, NaN without a trigram."""
     bins, bounds = _grams(data, offsets)
     values, times, ranges = _unique(bins, bounds)
     full = np.diff(ranges) > 0
-    out = np.zeros((len(offsets) - 1, len(model.names)))
+    out, fit = np.zeros((len(offsets) - 1, len(model.names))), np.full(len(offsets) - 1, np.nan)
     if not full.any():
-        return out, full
+        return out, fit
     starts, sizes = ranges[:-1][full], np.diff(ranges)[full]
     logs = model.logs[:, values].T
     peak = logs.max(axis=1, keepdims=True)
     likelihood, times = np.exp(logs - peak), times.astype(np.float32)
     n, k = likelihood.shape[1], len(starts)
-    shares, _ = _mixtures(likelihood, times, starts, sizes, np.full((k, n), 1 / n, np.float32), ROUNDS)
+    shares, most = _mixtures(likelihood, times, starts, sizes, np.full((k, n), 1 / n, np.float32), ROUNDS)
     order = np.argsort(-shares, axis=1, kind="stable")
-    price = PENALTY * np.log(np.add.reduceat(times, starts) + 1)
-    best, chosen = np.full(k, -np.inf), np.zeros((k, n))
-    for size in range(1, min(MOST, n) + 1):
-        kept = np.zeros((k, n), np.float32)
-        np.put_along_axis(kept, order[:, :size], 1, axis=1)
-        first = kept * np.maximum(shares, 1e-3)
+    total = np.add.reduceat(times.astype(np.float64), starts)
+    price = PENALTY * np.log(total + 1)
+    best, of_best, chosen, open_ = np.full(k, -np.inf), np.zeros(k), np.zeros((k, n)), np.ones(k, bool)
+    for size in range(1, n + 1):
+        rows, entries = np.flatnonzero(open_), np.repeat(open_, sizes)
+        kept = np.zeros((len(rows), n), np.float32)
+        np.put_along_axis(kept, order[rows, :size], 1, axis=1)
+        first = kept * np.maximum(shares[rows], 1e-3)
         first /= first.sum(axis=1, keepdims=True)
-        fitted, fit_log = _mixtures(likelihood, times, starts, sizes, first.astype(np.float32), ROUNDS // 2 if size > 1 else 0)
-        gain = fit_log - price * (size - 1)
-        better = gain > best
-        best[better], chosen[better] = gain[better], fitted[better]
+        mine = sizes[rows]
+        fitted, log = _mixtures(likelihood[entries], times[entries], np.cumsum(mine) - mine, mine, first, ROUNDS // 2 if size > 1 else 0)
+        gain = log - price[rows] * (size - 1)
+        better = gain > best[rows]
+        at = rows[better]
+        best[at], of_best[at], chosen[at] = gain[better], log[better], fitted[better]
+        open_ = most + SLACK - price * size > best  # no set of more languages can gain more than all of them
+        if not open_.any():
+            break
     out[full] = chosen
-    return out, full
+    fit[full] = (of_best + np.add.reduceat(times * peak[:, 0].astype(np.float64), starts)) / total + np.log(BINS)
+    return out, fit
 
 
 def infer(documents: DataFrame, model: Languages, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The ``keep`` columns of every row with lang_pred, score, and the chosen languages with their proportions."""
+    """The ``keep`` columns of every row with lang_pred, score, the chosen languages with their proportions, and the fit."""
     names = model.names
+    carried = Carried(documents, keep, text, RESULT)
 
     def predict(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(batch.num_columns - 1))
-            predicted, scores, sets, parts = [], [], [], []
+            data, offsets = utf8(carried.text_of(batch))
             for a, b in slices(offsets):
+                predicted, scores, sets, parts = [], [], [], []
                 piece, ends = data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]
                 letters = _has_letter(piece, ends)
-                found, full = proportions(piece, ends, model) if names else (None, None)
+                found, fit = proportions(piece, ends, model) if names else (None, np.full(b - a, np.nan))
                 for i in range(b - a):
                     share = None
                     if names and letters[i]:
-                        share = found[i] if full[i] else np.where(model.shares == model.shares.max(), model.shares, 0)
+                        share = found[i] if fit[i] == fit[i] else np.where(model.shares == model.shares.max(), model.shares, 0)
                     if share is None:
                         predicted.append(UNKNOWN), scores.append(0.0), sets.append([]), parts.append([])
                         continue
@@ -196,15 +210,11 @@ def infer(documents: DataFrame, model: Languages, keep: Sequence[str] = ("doc_id
                     scores.append(min(1.0, float(share[at[0]])))
                     sets.append([names[k] for k in at])
                     parts.append([float(share[k]) for k in at])
-            yield pa.record_batch(
-                [*batch.columns[:-1], pa.array(predicted, pa.string()), pa.array(scores, pa.float64()),
-                 pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))],
-                names=[*batch.schema.names[:-1], "lang_pred", "score", "languages", "proportions"])
-
-    table = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1])
-    return table.mapInArrow(
-        predict, f"{kept}, lang_pred string, score double, languages array<string>, proportions array<double>")
+                yield carried.batch(batch.slice(a, b - a), [
+                    pa.array(predicted, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())),
+                    pa.array(parts, pa.list_(pa.float64())), pa.array(fit, pa.float64(), mask=~letters | np.isnan(fit))])
+
+    return carried.apply(predict)
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 5, part: int = 0):

@@ -1,17 +1,26 @@
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from brute import components
 from conftest import SF
 from tallyspark.llm.tables import documents
-from tallyspark.llm.tokens import Encoder
+from tallyspark.llm.tokens import VOCABULARY
 from test_llm_decontaminate import brute as contaminated
 from test_llm_packing import check
 
 
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+
+
+def token_ids(text):
+    return np.append(TOKENIZER.encode(text, add_special_tokens=False).ids, 1).astype("<u4")
+
+
 @pytest.fixture(scope="module")
 def stages(spark, table):
     """What each stage left."""
@@ -38,14 +47,32 @@ def test_stages_against_brute_force(spark, stages):
         luhn = lambda d: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10
         for found in re.findall(r"[\w.]+@mail\d+\.example\.com|\b\d{16}\b|\+1 \(\d{3}\) \d{3}-\d{4}|AKIA\w{16}", before):
             assert (found not in text) or (found.isdigit() and luhn(found))
-    encoder = Encoder.of()
-    ids = {k: np.append(np.frombuffer(encoder.encode([t])[0], "<u4"), 1).astype("<u4") for k, t in left["personal_data"].items()}
+    ids = {k: token_ids(t) for k, t in left["personal_data"].items()}
     assert check([tuple(r) for r in stages["packing"].collect()], ids) < 0.02
 
 
 def test_run_equals_its_stages(spark, stages):
-    got = corpus_pipeline.run(spark, SF)
-    assert sum(r.length for r in got.collect()) == sum(r.length for r in stages["packing"].collect())
+    """Every document of the stages is packed whole by the run, and no other."""
+    got = [tuple(r) for r in corpus_pipeline.run(spark, SF).collect()]
+    ids = {r.doc_id: token_ids(r.text) for r in stages["personal_data"].collect()}
+    assert check(got, ids) < 0.02
+    assert {r[0] for r in got} == set(ids) == {r.doc_id for r in stages["packing"].select("doc_id").collect()}
+
+
+def test_texts_of_many_languages_stay(spark):
+    """However many languages a text mixes, and however short it is; noise goes."""
+    docs = documents(spark, SF)
+    by = {}
+    for r in docs.where("text is not null and length(text) > 3000 and lang is not null").orderBy("doc_id").collect():
+        by.setdefault(r.lang, r.text)
+    names = sorted(by)
+    assert len(names) == 4
+    noise = "".join(chr(97 + x) for x in np.random.default_rng(3).integers(0, 26, 3000))
+    planted = [(800001, " ".join(by[x][:900] for x in names)), (800002, " ".join(by[x][:900] for x in names[:3])), (800003, "a"),
+               (800004, "ok"), (800005, noise), (800006, by[names[0]][:40])]
+    more = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in planted], docs.select(*corpus_pipeline.COLUMNS).schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.select(*corpus_pipeline.COLUMNS).unionByName(more), SF).collect()}
+    assert kept & {i for i, _ in planted} == {800001, 800002, 800003, 800004, 800006}
 
 
 def test_defined_cases(spark, table):
