@@ -20,7 +20,7 @@ import struct
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE = 300_000  # parts kept per worker in each of two halves, together some 120 MB
+CACHE = 500_000  # parts kept per worker in each of two halves, together some 200 MB
 _PART = 64  # characters; longer parts are not kept
 _LINES = 500  # words encoded as one text
 
