@@ -101,13 +101,16 @@ def computed_once(table: DataFrame) -> DataFrame:
     return table.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in table.columns]))))
 
 
+def line_warning(message: Column) -> Column:
+    """The message with the number of its line; null without one."""
+    return F.concat(F.lit("行"), F.col("source_line").cast("string"), F.lit(": "), message)
+
+
 def split_valid(facts: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """(facts that pass, warnings of those that do not); the two never share a row."""
     checked = computed_once(facts.withColumn("message", row_message(tolerance)))
     warnings = checked.where("message is not null").select(
-        "source_file", "source_line",
-        F.concat(F.lit("行"), F.col("source_line").cast("string"), F.lit(": "), F.col("message")).alias("message"),
-    )
+        "source_file", "source_line", line_warning(F.col("message")).alias("message"))
     return checked.where("message is null").drop("message"), warnings
 
 

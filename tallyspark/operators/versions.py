@@ -127,16 +127,23 @@ def merged_job_ids(existing: Column, incoming: Column) -> Column:
     return F.filter(joined, lambda x: x.isNotNull() & (x != ""))
 
 
-def effective_facts(facts: DataFrame, order: Sequence[str] = ("job_id", "source_line")) -> DataFrame:
+ROW_KEY = ("user_id", "platform", "year", "month", "row_key")
+
+
+def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row of each key in the given order, where keys may have missing parts."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+    return last.select(*keys, "_last.*").select(*rows.columns)
+
+
+def effective_facts(facts: DataFrame, order: Sequence[str] = ("seq", "source_file", "source_line")) -> DataFrame:
     """Latest version of each row key of a tenant, platform and month: the facts that previews, summaries and exports show.
 
-    Later means greater by ``order``, by default the job. Rows of one job that share a key are lines of one upload and all
-    stay; a key that a later job brings again replaces them.
+    Later means greater by ``order``: the number of the commit that brought the row, which a ledger gives as ``seq``, then the
+    place in the upload. One row per key stays, also where an upload brings a key twice.
     """
-    keys = ["user_id", "platform", "year", "month", "row_key"]
-    jobs = order[0]
-    latest = facts.groupBy(*keys).agg(F.max(jobs).alias("_latest"))
-    return join_one(facts, latest, keys).where(F.col(jobs) == F.col("_latest")).drop("_latest")
+    return latest_per_key(facts, ROW_KEY, order)
 
 
 def supersede(datasets: DataFrame, dataset_id: Column, by: Column, at: Column) -> DataFrame:

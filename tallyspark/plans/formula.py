@@ -111,35 +111,52 @@ def _rows(raw: DataFrame, year: int | None, month: int | None) -> DataFrame:
     return rows
 
 
-def formula_facts(raw: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
-    """Numbered raw lines to facts.
-
-    ``raw`` has the sheet headers plus source_path, source_file, source_line and file_block. The period is the requested
-    one, or the month of the settlement time when none is given. Lines are grouped by file and by the order id as written,
-    blanks included; the emitted id is trimmed. Rows with a number too large for the money type are counted as lines of
-    their order and left to formula_rejects.
+def _checked(rows: DataFrame, fitting: Column | None = None) -> DataFrame:
+    """Ids, amounts as money, and the row's message; of rows that may not fit only where they do."""
+    def amount(name: str) -> Column:
+        return money(F.col(name)) if fitting is None else F.when(fitting, money(F.col(name)))
 
-    Cells are read before lines are numbered, so the shuffle moves numbers instead of text.
-    """
-    rows = _rows(raw, year, month).where("not _large").withColumns(
+    named = rows.withColumns(
         {
             "order_id": clean_text(F.col("_order")),
             "internal_sku": F.col("_sku"),
-            **{n: money(F.col(n)) for n in AMOUNTS},
+            **{n: amount(n) for n in AMOUNTS},
         }
     ).withColumn("fin_code", left_of_dash(F.col("internal_sku")))
-    rows = rows.withColumn("_message", row_message()).withColumns(
+    return named.withColumn("_message", row_message()).withColumns(
         {
             "validation_status": F.when(F.col("_message").isNotNull(), F.lit("warn")).otherwise(F.lit("ok")),
             "validation_warnings": F.when(F.col("_message").isNotNull(), F.array("_message")),
             "rule_version": F.lit(RULE_VERSION),
         }
     )
+
+
+_FACT = ("year", "month", "order_id", "line_count", "line_no", "internal_sku", "fin_code", *AMOUNTS, "source_file", "source_line",
+         "rule_version", "validation_status", "validation_warnings")
+
+
+def formula_facts(raw: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
+    """Numbered raw lines to facts.
+
+    ``raw`` has the sheet headers plus source_path, source_file, source_line and file_block. The period is the requested
+    one, or the month of the settlement time when none is given. Lines are grouped by file and by the order id as written,
+    blanks included; the emitted id is trimmed. Rows with a number too large for the money type are counted as lines of
+    their order and left to formula_rejects.
+
+    Cells are read before lines are numbered, so the shuffle moves numbers instead of text.
+    """
+    rows = _checked(_rows(raw, year, month).where("not _large"))
+    return rows.select(*_FACT, *[n for n in STAMPS if n in raw.columns])
+
+
+def formula_rows(raw: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
+    """All rows in one pass, to be written and then split: those of formula_facts with ``reject`` null, those of formula_rejects
+    with its message there, without amounts, and with their cells."""
+    rows = _checked(_rows(raw, year, month), ~F.col("_large"))
     return rows.select(
-        "year", "month", "order_id", "line_count", "line_no", "internal_sku", "fin_code", *AMOUNTS,
-        "source_file", "source_line", "rule_version", "validation_status", "validation_warnings",
-        *[n for n in STAMPS if n in raw.columns],
-    )
+        *_FACT, *[n for n in STAMPS if n in raw.columns], F.when(F.col("_large"), F.lit(FAILED)).alias("reject"),
+        F.col("_cells").alias("cells"))
 
 
 def formula_rejects(raw: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:

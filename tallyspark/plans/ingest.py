@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import row_hash, row_key
 from ..schemas import FACT_COLUMNS, META_COLUMNS
-from .formula import formula_facts, formula_rejects
-from .mapping import SHEETS, sheet_facts, tidy_douyin
+from .formula import formula_rows
+from .mapping import SHEETS, sheet_rows, tidy_douyin
 
 
 def stamp(facts: DataFrame, **stamps: Column | str) -> DataFrame:
@@ -31,11 +31,16 @@ def fact_table(facts: DataFrame) -> DataFrame:
     return full.select(*FACT_COLUMNS, *META_COLUMNS)
 
 
-def settlement_parts(raw: DataFrame, platform: str, year: int | None, month: int | None) -> tuple[DataFrame, DataFrame]:
-    """(unstamped facts, rejected rows as source_file, source_line and message) by the live rules of the platform."""
+def settlement_rows(raw: DataFrame, platform: str, year: int | None, month: int | None) -> DataFrame:
+    """Every row by the live rules of its platform, unstamped, with ``reject``: null for facts, else what is wrong."""
     if platform == "wechat_video":
-        rejects = formula_rejects(raw, year, month).select("source_file", "source_line", "message")
-        return formula_facts(raw, year, month), rejects
+        return formula_rows(raw, year, month).drop("cells")
     if platform not in SHEETS:
         raise ValueError(f"no rules for platform {platform!r}")
-    return sheet_facts(tidy_douyin(raw) if platform == "douyin" else raw, platform, year, month)
+    return sheet_rows(tidy_douyin(raw) if platform == "douyin" else raw, platform, year, month)
+
+
+def settlement_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, rejected rows as source_file, source_line and message) of written settlement rows."""
+    rejects = rows.where("reject is not null").select("source_file", "source_line", F.col("reject").alias("message"))
+    return rows.where("reject is null").drop("reject"), rejects

@@ -8,6 +8,7 @@ from ..functions.keys import row_hash, row_key
 from ..operators import lines as line_ops
 from ..operators import rollup, validate
 from ..operators.paging import of_period, sku_like
+from ..plans import upload
 from ..schemas import AMOUNTS
 from . import duck, inputs
 from .registry import query
@@ -101,13 +102,14 @@ def inconsistent_summary(spark, sf_dir):
     return rollup.fact_summary(facts.withColumn("net_received", off))
 
 
-@query("g7_agg_summary", duck.with_rollup(
+@query("g7_agg_summary", duck.with_versions(
     "select " + ", ".join(f"cast(sum({n}) as double) as total_{n}" for n in duck.SUM_NAMES)
     + ", cast(sum(record_count) as bigint) as total_record_count, count(*) as sku_count, "
     "abs(sum(income_total_sum) - sum(fee_platform_comm_sum) - sum(fee_other_sum) - sum(net_received_sum)) <= 0.02 "
-    "as consistency_check, cast(null as varchar) as consistency_error from rollup_rows"))
+    "as consistency_check, cast(null as varchar) as consistency_error from totals"))
 def agg_summary(spark, sf_dir):
-    return rollup.agg_summary(inputs.stored_rollup(spark, sf_dir))
+    """Of the effective totals: what was uploaded again counts once."""
+    return rollup.agg_summary(upload.totals(inputs.ledger(spark, sf_dir)))
 
 
 @query("g8_totals_row", duck.with_facts(

@@ -119,15 +119,32 @@ META_LIST = (
 )
 
 
-# Latest job per row key: what views show.
-EFFECTIVE = """effective as (select * exclude (latest) from (select *, max(job_id) over (partition by user_id, platform, year, month,
-  row_key) as latest from facts) where job_id = latest)"""
+# Latest row per row key: what views show. These facts come from one commit.
+EFFECTIVE = """effective as (select * exclude (place) from (select *, row_number() over (partition by user_id, platform, year, month,
+  row_key order by source_line desc) as place from facts) where place = 1)"""
 
 
 def with_facts(body: str) -> str:
     return f"with {FACTS}, {EFFECTIVE}\n{body}"
 
 
+def with_versions(body: str) -> str:
+    """Facts of three commits: all rows, lines of one month again by job-10, and some of those twice over by job-9, which comes
+    last. ``latest`` holds what is left of each key, ``totals`` its month by SKU sums."""
+    again = "row_hash || 'x' as row_hash, cast(recv_customer + 1 as decimal(28,2)) as recv_customer, cast(net_received + 1 as decimal(28,2)) as net_received"
+    return f"""with {FACTS},
+again as (select * replace ('job-10' as job_id, 'ULP-10' as upload_id, cast(qty_sold + 1 as decimal(28,2)) as qty_sold, {again})
+  from facts where {PERIOD} and line_no = 1),
+twice as (select * exclude (k) replace ('job-9' as job_id, 'ULP-9' as upload_id, cast(qty_sold + 2 + k as decimal(28,2)) as qty_sold,
+  {again.replace("'x'", "'y' || k")}, source_line + {i.TWICE} * k as source_line)
+  from facts, (values (0), (1)) as t(k) where {PERIOD} and line_no = 1 and cast(order_id as bigint) % 2 = 0),
+versions as (select *, 1 as seq from facts union all select *, 2 from again union all select *, 3 from twice),
+latest as (select * exclude (place) from (select *, row_number() over (partition by user_id, platform, year, month, row_key
+  order by seq desc, source_line desc) as place from versions) where place = 1),
+totals as (select user_id, platform, year, month, internal_sku, {sums()} from latest group by all)
+{body}"""
+
+
 def sums(income: str = "recv_customer + recv_platform + extra_charge") -> str:
     return (
         "sum(qty_sold) as qty_sold_sum, "

@@ -8,11 +8,13 @@ computed twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.lines import with_file_position
 from ..plans import formula, ingest
+from ..plans import upload
 from ..sources import store
+from ..sources.ledger import Ledger
 from ..session import new_folder
 from ..operators.rollup import month_sku
 from ..operators.versions import effective_facts as latest_facts
@@ -145,9 +147,46 @@ def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def effective_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of latest versions that views read; stored_facts is the scan by job."""
-    root = written(spark, sf_dir, "effective", lambda f: store.write_facts(latest_facts(stored_facts(spark, sf_dir)), f))
-    return store.read_facts(spark, root)
+    """The table of latest versions that views read; stored_facts is the scan by job. All facts come from one commit."""
+    def write(folder):
+        facts = stored_facts(spark, sf_dir).withColumn("seq", F.lit(1).cast("long"))
+        store.write_facts(latest_facts(facts), folder)
+
+    return store.read_facts(spark, written(spark, sf_dir, "effective", write))
+
+
+TWICE = 100_000_000  # lines further down: where a key stands again in one upload
+
+
+def uploads_of(facts: DataFrame) -> list[tuple[str, DataFrame]]:
+    """Three uploads in their order: all facts; the first lines of one month again, changed; some of those again, each twice.
+    The jobs' names do not sort as they come."""
+    month = facts.where((F.col("user_id") == USER) & (F.col("platform") == PLATFORM) & (F.col("year") == YEAR)
+                        & (F.col("month") == MONTH) & (F.col("line_no") == 1))
+
+    def changed(rows: DataFrame, job: str, mark: Column, more: Column) -> DataFrame:
+        money = {n: (F.col(n) + 1).cast("decimal(28,2)") for n in ("recv_customer", "net_received")}
+        return rows.withColumns(
+            {"job_id": F.lit(f"job-{job}"), "upload_id": F.lit(f"ULP-{job}"), "row_hash": F.concat("row_hash", mark),
+             "qty_sold": (F.col("qty_sold") + more).cast("decimal(28,2)"), **money})
+
+    doubled = month.where("cast(order_id as bigint) % 2 = 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    twice = changed(doubled, "9", F.concat(F.lit("y"), F.col("k").cast("string")), F.col("k") + 2)
+    return [("first", facts), ("again", changed(month, "10", F.lit("x"), F.lit(1))),
+            ("twice", twice.withColumn("source_line", F.col("source_line") + TWICE * F.col("k")).drop("k"))]
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """A ledger of those uploads."""
+    def write(root):
+        for label, rows in uploads_of(stored_facts(spark, sf_dir)):
+            upload.upload(Ledger(spark, root), rows, label)
+
+    return Ledger(spark, written(spark, sf_dir, "ledger", write))
+
+
+def month_of(book: Ledger) -> DataFrame:
+    return book.months(user_id=USER, platform=PLATFORM, year=YEAR, month=MONTH)
 
 
 def rollup_root(spark: SparkSession, sf_dir: str) -> str:

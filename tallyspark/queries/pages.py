@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import paging
-from ..plans import export
+from ..plans import export, upload
 from ..schemas import AGG_COLUMNS, FACT_COLUMNS
 from . import duck, inputs
 from .aggregates import JOBS, jobs
@@ -61,14 +61,15 @@ def fact_page_after(spark, sf_dir):
     return rows.select(*FACT_COLUMNS, "row_key")
 
 
-_AGG = f"platform, user_id, upload_id, job_id, year, month, internal_sku, {duck.dbl(*duck.SUM_NAMES)}, record_count"
+_AGG = f"platform, user_id, year, month, internal_sku, {duck.dbl(*duck.SUM_NAMES)}, record_count"
 
 
-@query("o2_agg_page", duck.with_rollup(
-    f"select {_AGG} from rollup_rows where {duck.PERIOD} order by rollup_rows.internal_sku, rollup_rows.job_id, rollup_rows.upload_id limit 100 offset 10"))
+@query("o2_agg_page", duck.with_versions(
+    f"select {_AGG} from totals where {duck.PERIOD} order by totals.internal_sku limit 100 offset 10"))
 def agg_page(spark, sf_dir):
-    rows = paging.of_period(inputs.stored_rollup(spark, sf_dir), inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER)
-    return paging.page(rows, (*paging.AGG_ORDER, "job_id", "upload_id"), 100, 10).select(*AGG_COLUMNS)
+    """Of the effective totals of one month; no other month's folders are read."""
+    book = inputs.ledger(spark, sf_dir)
+    return paging.page(upload.totals(book, inputs.month_of(book)), paging.AGG_ORDER, 100, 10)
 
 
 @query("o3_page_count", duck.with_facts(

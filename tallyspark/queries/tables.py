@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import export_text
 from ..operators import paging, rollup, validate
-from ..plans import export, formula, mapping
+from ..plans import export, formula, mapping, upload
 from ..schemas import AGG_COLUMNS, AGG_HEADERS, AMOUNTS, FACT_COLUMNS, FACT_HEADERS, META_COLUMNS, RELATIONAL_FACT
 from ..session import new_folder
 from ..sources import records, store
@@ -97,11 +97,11 @@ def fact_export(spark, sf_dir):
     return export.fact_export(inputs.effective_facts(spark, sf_dir), inputs.YEAR, inputs.MONTH)
 
 
-@query("k6_agg_export", duck.with_rollup(
+@query("k6_agg_export", duck.with_versions(
     "select " + ", ".join(f'{n if n == "internal_sku" else duck.double(n)} as "{h}"' for h, n in AGG_HEADERS.items())
-    + " from rollup_rows"))
+    + " from totals"))
 def agg_export(spark, sf_dir):
-    return export.agg_export(inputs.stored_rollup(spark, sf_dir))
+    return export.agg_export(upload.totals(inputs.ledger(spark, sf_dir)))
 
 
 @query("k7_public_columns", duck.with_facts(f"select {duck.FACT_LIST} from effective"))
@@ -121,14 +121,14 @@ def sheet_export(spark, sf_dir):
     return back.fillna("", ["order_id", "internal_sku", "fin_code"])
 
 
-@query("k9_golden_csv", duck.with_rollup(
+@query("k9_golden_csv", duck.with_versions(
     "select concat_ws(',', '\"' || internal_sku || '\"', '\"' || platform || '\"', "
     "cast(cast(year as decimal(18,2)) as varchar), cast(cast(month as decimal(18,2)) as varchar), "
     + ", ".join(f"cast(cast({n} as decimal(38,2)) as varchar)" for n in (*duck.SUM_NAMES, "record_count"))
-    + ") as line from rollup_rows"))
+    + ") as line from totals"))
 def golden_csv(spark, sf_dir):
     folder = new_folder(spark, "golden")
-    rolled = inputs.stored_rollup(spark, sf_dir)
+    rolled = upload.totals(inputs.ledger(spark, sf_dir))
     export.golden_csv(rolled.select("internal_sku", "platform", "year", "month", *duck.SUM_NAMES, "record_count"), folder)
     return spark.read.text(folder).select(F.col("value").alias("line"))
 

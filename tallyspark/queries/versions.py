@@ -8,11 +8,12 @@ from ..functions import keys
 from ..operators import versions
 from ..operators.paging import of_period
 from ..operators.validate import duplicate_keys, record_problems as find
+from ..plans import upload
 from ..schemas import (
-    AGG_UNIQUE, DATASET_RECORD, DATASET_ROW_RECORD, FACT_COLUMNS, FACT_UNIQUE, UPLOAD_RECORD,
+    AGG_UNIQUE, DATASET_RECORD, DATASET_ROW_RECORD, FACT_COLUMNS, FACT_TABLE, FACT_UNIQUE, UPLOAD_RECORD,
 )
 from ..session import new_folder
-from ..sources import store
+from ..sources.ledger import Ledger
 from ..sources.records import read_records
 from . import duck, inputs
 from .aggregates import JOBS
@@ -262,13 +263,12 @@ def replace_period(spark, sf_dir):
     f"select year, month, user_id, job_id, count(*) as rows from facts where not ({duck.PERIOD}) group by all "
     f"union all select year, month, user_id, 'job-new', count(*) from facts where {duck.PERIOD} and internal_sku <> '' group by all"))
 def replace_partitions(spark, sf_dir):
-    """A month brought again by a new job: the store holds that job's rows alone."""
-    root = new_folder(spark, "replaced")
-    facts = inputs.stored_facts(spark, sf_dir)
-    store.write_facts(facts, root)
+    """A month brought again by a new job in replace mode: the ledger holds that job's rows alone."""
+    book, facts = Ledger(spark, new_folder(spark, "replaced")), inputs.stored_facts(spark, sf_dir)
+    upload.upload(book, facts, "first")
     period = of_period(facts, inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER)
-    store.replace_months(period.where("internal_sku <> ''").withColumn("job_id", F.lit("job-new")), root)
-    return store.read_facts(spark, root).groupBy("year", "month", "user_id", "job_id").agg(
+    upload.upload(book, period.where("internal_sku <> ''").withColumn("job_id", F.lit("job-new")), "new", "replace")
+    return book.read("facts", FACT_TABLE).groupBy("year", "month", "user_id", "job_id").agg(
         F.count(F.lit(1)).alias("rows"))
 
 
@@ -280,20 +280,28 @@ def clear_period(spark, sf_dir):
     return kept.groupBy("year", "month", "user_id", "job_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("u4_clear_store", duck.with_rollup(
-    f"""select 'facts' as kind, job_id, count(*) as rows from facts where not ({duck.PERIOD}) group by all
-union all select 'rollup', job_id, count(*) from rollup_rows where not ({duck.PERIOD}) group by all
+@query("u4_clear_store", duck.with_facts(
+    f"""select 'facts' as kind, job_id as name, count(*) as rows from facts where not ({duck.PERIOD}) group by all
+union all select 'effective', job_id, count(*) from facts where not ({duck.PERIOD}) group by all
+union all select 'index', upload_id, count(*) from facts where not ({duck.PERIOD}) group by all
+union all select 'totals', user_id, count(*) from (select distinct user_id, platform, year, month, internal_sku from facts
+  where not ({duck.PERIOD})) group by all
+union all select 'datasets', case when {duck.PERIOD} then 'superseded' else 'active' end, count(*)
+  from (select distinct user_id, platform, year, month from facts) group by all
 union all select distinct 'cleared', job_id, 0 from facts where {duck.PERIOD}"""))
 def clear_store(spark, sf_dir):
-    """A month dropped from facts and roll-up; no other partition is written. The jobs behind it are returned."""
-    roots = [new_folder(spark, n) for n in ("facts", "rollup")]
-    store.write_facts(inputs.stored_facts(spark, sf_dir), roots[0])
-    store.write_rollup(inputs.stored_rollup(spark, sf_dir), roots[1])
-    jobs = store.clear_month(spark, roots, inputs.USER, inputs.PLATFORM, inputs.YEAR, inputs.MONTH)
-    kept = [table.groupBy("job_id").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(kind).alias("kind"), "job_id", "rows")
-            for kind, table in (("facts", store.read_facts(spark, roots[0])), ("rollup", store.read_rollup(spark, roots[1])))]
-    cleared = spark.createDataFrame([("cleared", j, 0) for j in jobs], "kind string, job_id string, rows long")
-    return kept[0].unionByName(kept[1]).unionByName(cleared)
+    """A month gone from facts, view, index and totals in one commit, its dataset superseded. The jobs behind it are returned."""
+    book = Ledger(spark, new_folder(spark, "cleared"))
+    upload.upload(book, inputs.stored_facts(spark, sf_dir), "first")
+    jobs = upload.clear(book, inputs.USER, inputs.PLATFORM, inputs.YEAR, inputs.MONTH, "clear")
+    named = [("facts", book.read("facts", FACT_TABLE), "job_id"), ("effective", upload.effective(book), "job_id"),
+             ("index", book.read("index", upload.INDEX), "upload_id"), ("totals", upload.totals(book), "user_id"),
+             ("datasets", upload.datasets(book), "status")]
+    found = spark.createDataFrame([("cleared", j, 0) for j in jobs], "kind string, name string, rows long")
+    for kind, table, name in named:
+        counted = table.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+        found = found.unionByName(counted.select(F.lit(kind).alias("kind"), "name", "rows"))
+    return found
 
 
 _TABLE = ("l_orderkey", "l_partkey", "l_returnflag")
@@ -347,47 +355,91 @@ def record_problems(spark, sf_dir):
                         F.concat_ws(",", "legacy_fields").alias("legacy"), "id_ok")
 
 
-_REUPLOAD = duck.with_facts("").rstrip() + f""",
-again as (select * replace ('job-9' as job_id, 'ULP-9' as upload_id, cast(qty_sold + 1 as decimal(28,2)) as qty_sold) from facts
-  where {duck.PERIOD} and line_no = 1),
-both_rows as (select * from facts union all select * from again),
-shown as (select * from (select *, max(job_id) over (partition by user_id, platform, year, month, row_key) as latest from both_rows)
-  where job_id = latest)
-"""
-
+def _with_seq(spark, sf_dir):
+    """All rows of the three uploads, with the number of the commit that each would have."""
+    made = [rows.withColumn("seq", F.lit(k).cast("long"))
+            for k, (_, rows) in enumerate(inputs.uploads_of(inputs.stored_facts(spark, sf_dir)), 1)]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
-def _reuploaded(spark, sf_dir):
-    """The stored facts, with the first lines of one month brought again by a later job."""
-    facts = inputs.stored_facts(spark, sf_dir)
-    period = of_period(facts, inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER).where("line_no = 1")
-    again = period.withColumns({"job_id": F.lit("job-9"), "upload_id": F.lit("ULP-9"),
-                                "qty_sold": (F.col("qty_sold") + 1).cast("decimal(28,2)")})
-    return facts.unionByName(again)
 
-
-@query("j5_effective_facts", _REUPLOAD + f"select {duck.FACT_LIST}, job_id, row_key from shown")
+@query("j5_effective_facts", duck.with_versions(f"select {duck.FACT_LIST}, job_id, row_key, source_line from latest"))
 def effective_facts(spark, sf_dir):
-    """What previews, summaries and exports read by default: a key brought again shows its latest version only."""
-    return versions.effective_facts(_reuploaded(spark, sf_dir)).select(*FACT_COLUMNS, "job_id", "row_key")
+    """What previews, summaries and exports read by default: of each key the row of the last commit, there of the last line."""
+    return versions.effective_facts(_with_seq(spark, sf_dir)).select(*FACT_COLUMNS, "job_id", "row_key", "source_line")
 
 
-@query("j5_effective_month", _REUPLOAD + f"""select count(*) as rows, {duck.double('sum(qty_sold)')} as qty_sold,
-  {duck.double('sum(net_received)')} as net_received from shown where {duck.PERIOD}""")
+@query("j5_effective_month", duck.with_versions(f"""select count(*) as rows, {duck.double('sum(qty_sold)')} as qty_sold,
+  {duck.double('sum(net_received)')} as net_received from latest where {duck.PERIOD}"""))
 def effective_month(spark, sf_dir):
-    """Summary of a month with a re-upload: nothing counts twice."""
-    month = of_period(_reuploaded(spark, sf_dir), inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER)
+    """Summary of a month with re-uploads: nothing counts twice."""
+    month = of_period(_with_seq(spark, sf_dir), inputs.PLATFORM, inputs.YEAR, inputs.MONTH, inputs.USER)
     return versions.effective_facts(month).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("qty_sold").alias("qty_sold"), F.sum("net_received").alias("net_received"))
 
 
-@query("v6_fact_keys_unique", duck.with_facts(
-    "select count(*) as duplicates, (select count(*) from facts) as rows from (select 1 from facts "
-    "group by platform, year, month, order_id, internal_sku, line_no having count(*) > 1)"))
+@query("j5_ledger_view", duck.with_versions(f"select {duck.FACT_LIST}, job_id, row_key, row_hash, source_line from latest"))
+def ledger_view(spark, sf_dir):
+    """The effective view as three uploads have left it in a ledger."""
+    return upload.effective(inputs.ledger(spark, sf_dir)).select(*FACT_COLUMNS, "job_id", "row_key", "row_hash", "source_line")
+
+
+@query("j5_ledger_history", duck.with_versions(f"select {duck.FACT_LIST}, job_id, row_key, seq from latest where {duck.PERIOD}"))
+def ledger_history(spark, sf_dir):
+    """One month's view worked out anew from the facts of all uploads."""
+    book = inputs.ledger(spark, sf_dir)
+    return upload.history(book, inputs.month_of(book)).select(
+        *FACT_COLUMNS, "job_id", "row_key", F.col("seq").cast("int").alias("seq"))
+
+
+@query("j5_ledger_versions", duck.with_versions(f"""select v as version, count(*) as rows, {duck.double('sum(qty_sold)')} as qty_sold from
+  (select v, qty_sold, row_number() over (partition by v, user_id, platform, year, month, row_key order by seq desc, source_line desc) as place
+   from versions, (values (1), (2), (3)) as t(v) where seq <= v) where place = 1 group by v"""))
+def ledger_versions(spark, sf_dir):
+    """The view at each version: a reader of an earlier one goes on seeing it."""
+    book = inputs.ledger(spark, sf_dir)
+    shown = [upload.effective(book, version=v).withColumn("version", F.lit(v)) for v in (1, 2, 3)]
+    rows = shown[0].unionByName(shown[1]).unionByName(shown[2])
+    return rows.groupBy("version").agg(F.count(F.lit(1)).alias("rows"), F.sum("qty_sold").alias("qty_sold"))
+
+
+@query("g1_effective_totals", duck.with_versions(
+    f"select user_id, platform, year, month, internal_sku, {duck.dbl(*duck.SUM_NAMES)}, record_count from totals"))
+def effective_totals(spark, sf_dir):
+    """Month by SKU sums kept by signed changes: what a re-upload took out of the view is taken out of the sums."""
+    return upload.totals(inputs.ledger(spark, sf_dir))
+
+
+@query("j4_ledger_merges", duck.with_versions("""select job_id, action, cast(sum(rows) as bigint) as rows from (
+  select job_id, 'inserted' as action, count(*) as rows from facts group by 1
+  union all select job_id, 'updated', count(*) from again group by 1 union all select job_id, 'updated', count(*) from twice group by 1)
+  where rows > 0 group by 1, 2"""))
+def ledger_merges(spark, sf_dir):
+    """How many rows each upload inserted and updated, every row of it counted."""
+    merges = inputs.ledger(spark, sf_dir).read("merges", upload.MERGES)
+    return merges.groupBy("job_id", "action").agg(F.sum("rows").alias("rows"))
+
+
+@query("v6_view_problems", "select 'x' as kind, 'x' as key where false")
+def view_problems(spark, sf_dir):
+    """Repeated keys of the effective view, and totals that are not its roll-up: none, though uploads repeat keys."""
+    return upload.check_view(inputs.ledger(spark, sf_dir)).select("kind", "key")
+
+
+@query("v6_fact_keys_unique", duck.with_versions(
+    """select 0::bigint as duplicates, count(*) as rows, (select count(*) from (select 1 from versions
+  group by user_id, platform, year, month, order_id, internal_sku, line_no having count(*) > 1)) as brought_again from latest"""))
 def fact_keys_unique(spark, sf_dir):
-    facts = inputs.stored_facts(spark, sf_dir)
-    doubled = duplicate_keys(facts, FACT_UNIQUE).agg(F.count(F.lit(1)).alias("duplicates"), F.lit(0).cast("bigint").alias("rows"))
-    counted = facts.agg(F.lit(0).cast("bigint").alias("duplicates"), F.count(F.lit(1)).alias("rows"))
-    return doubled.unionByName(counted).agg(F.sum("duplicates").alias("duplicates"), F.sum("rows").alias("rows"))
+    """No key is twice in the effective view, though keys are among the uploads' facts."""
+    book = inputs.ledger(spark, sf_dir)
+    key = ["user_id", *FACT_UNIQUE]
+    view = upload.effective(book)
+    parts = [
+        duplicate_keys(view, key).select(F.lit(1).alias("duplicates"), F.lit(0).alias("rows"), F.lit(0).alias("brought_again")),
+        view.select(F.lit(0).alias("duplicates"), F.lit(1).alias("rows"), F.lit(0).alias("brought_again")),
+        duplicate_keys(book.read("facts", FACT_TABLE), key).select(
+            F.lit(0).alias("duplicates"), F.lit(0).alias("rows"), F.lit(1).alias("brought_again"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(
+        *[F.sum(n).alias(n) for n in ("duplicates", "rows", "brought_again")])
 
 
 @query("v6_duplicate_row_keys", f"{_BASE}\nselect dataset_id, row_key, count(*) as rows from log group by 1, 2 having count(*) > 1")

@@ -52,36 +52,6 @@ def _folder(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _month(root: str, user: str, platform: str, year: int, month: int) -> str:
-    return f"{root}/user_id={user}/platform={platform}/year={year}/month={month}"
-
-
-def _jobs_of(spark: SparkSession, month: str) -> dict[str, object]:
-    """Folders of a month's jobs, by job id."""
-    path, files = _folder(spark, month)
-    if not files.exists(path):
-        return {}
-    return {f.getPath().getName().removeprefix("job_id="): f.getPath() for f in files.listStatus(path)
-            if f.getPath().getName().startswith("job_id=")}
-
-
-def replace_months(facts: DataFrame, root: str) -> None:
-    """Write facts in place of everything their tenants' platform months held before, whichever job wrote it.
-
-    The new jobs are written first, then the folders of the others go; no other month is touched. The months of one
-    upload are listed on the driver.
-    """
-    spark = facts.sparkSession
-    write_facts(facts, root, replace_only_written=True)
-    brought: dict[str, set[str]] = {}
-    for r in facts.select(*PARTITIONS).distinct().collect():
-        brought.setdefault(_month(root, r.user_id, r.platform, r.year, r.month), set()).add(r.job_id)
-    for month, jobs in brought.items():
-        for job, path in _jobs_of(spark, month).items():
-            if job not in jobs:
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def drop_folders(spark: SparkSession, root: str, name: str, when: Callable[[str], bool]) -> None:
     """Delete the partition folders of a column directly below the root whose value meets the condition."""
     path, files = _folder(spark, root)
@@ -91,17 +61,6 @@ def drop_folders(spark: SparkSession, root: str, name: str, when: Callable[[str]
             files.delete(found.getPath(), True)
 
 
-def clear_month(spark: SparkSession, roots: Sequence[str], user: str, platform: str, year: int, month: int) -> list[str]:
-    """Drop one tenant's platform month from every table; returns the ids of the jobs that had written it."""
-    jobs: set[str] = set()
-    for root in roots:
-        folder = _month(root, user, platform, year, month)
-        jobs |= _jobs_of(spark, folder).keys()
-        path, files = _folder(spark, folder)
-        files.delete(path, True)
-    return sorted(jobs)
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.schema("x int").parquet(path)

@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.keys import dataset_id
 from ..operators.joins import join_one, known_keys
 from ..operators.rollup import month_sku, operations
-from ..operators.versions import effective_facts, effective_rows, mark_duplicates, merge_actions
-from ..plans.ingest import fact_table, settlement_parts, stamp
+from ..operators.versions import effective_rows, mark_duplicates, merge_actions
+from ..plans.ingest import fact_table, settlement_parts, settlement_rows, stamp
+from ..plans.upload import upload
 from ..sources import records, store
+from ..sources.ledger import Ledger
 from ..sources.sheets import FIRST_LINE, csv_options, stage_rows, with_source_lines
-from ..sources.store import read_table, write_facts
+from ..sources.store import read_table
 
 INDEX = ("dataset_id", "upload_id", "row_key", "row_hash", "seq")
 
@@ -63,42 +64,25 @@ def landing_files(
 
 def ingest(
     files: DataFrame, root: str, staging: str, checkpoint: str, platform: str, user_id: str, job: str,
-    year: int | None = None, month: int | None = None,
+    year: int | None = None, month: int | None = None, mode: str = "merge",
 ) -> StreamingQuery:
-    """Every new file once: facts, roll-up, warnings, merge statistics, row index, effective facts and dataset records.
+    """Every new file once into the ledger below ``root`` (plans/upload.py): facts, effective view, totals, index, merge
+    statistics and dataset records, all in one commit per batch; rejected rows go to ``root``/warnings.
 
-    A batch is one job of the name ``job`` and its number, so another folder or checkpoint needs another name. Whole files
-    stay together in a batch, which is what line numbering needs. The parsed rows of each batch are kept in the staging
-    folder; facts are written once and everything else reads them.
+    A batch is one job of the name ``job`` and its number, so another folder or checkpoint needs another name. A batch that is
+    repeated after a crash is committed once. Whole files stay together in a batch, which is what line numbering needs. The
+    parsed rows and the rows with their amounts are kept in the staging folder: the rules run once for facts and rejects.
     """
 
     def each(rows: DataFrame, batch: int) -> None:
         spark, job_id = rows.sparkSession, label(job, batch)
         numbered = with_source_lines(stage_rows(rows, f"{staging}/batch={batch}"), FIRST_LINE[platform])
-        facts, rejects = settlement_parts(numbered, platform, year, month)
+        judged = settlement_rows(numbered, platform, year, month)
+        judged.write.mode("overwrite").parquet(f"{staging}/rows-batch={batch}")
+        facts, rejects = settlement_parts(spark.read.schema(judged.schema).parquet(f"{staging}/rows-batch={batch}"))
+        records.write_warnings(rejects, f"{root}/warnings/job_id={job_id}")
         stamped = stamp(facts, platform=platform, user_id=user_id, upload_id=f"ULP-{job_id}", job_id=job_id)
-        write_facts(fact_table(stamped), f"{root}/facts", replace_only_written=True)
-        records.write_warnings(rejects.select("source_file", "source_line", "message"), f"{root}/warnings/job_id={job_id}")
-
-        stored = store.read_facts(spark, f"{root}/facts").where((F.col("user_id") == user_id) & (F.col("platform") == platform))
-        mine = stored.where(F.col("job_id") == job_id)
-        store.write_rollup(month_sku(mine), f"{root}/rollup", replace_only_written=True)
-
-        dataset = dataset_id(F.col("user_id"), F.col("platform"), F.col("year"), F.col("month"))
-        incoming = mine.select(dataset.alias("dataset_id"), "upload_id", "row_key", "row_hash",
-                               F.lit(job_id).alias("seq"))
-        actions = merge_actions(incoming, _index_of(incoming, f"{root}/index", job_id))
-        stats = actions.groupBy("dataset_id", "action").agg(F.count(F.lit(1)).alias("rows"))
-        stats.write.mode("overwrite").json(f"{root}/merges/job_id={job_id}")
-        _append_index(actions.where("action <> 'unchanged'").select(*INDEX), f"{root}/index", job_id)
-
-        months = mine.select("user_id", "platform", "year", "month").distinct()
-        touched = join_one(stored, known_keys(months, months.columns), months.columns, "left_semi")
-        store.replace_months(effective_facts(touched), f"{root}/effective")
-        catalog = months.select(
-            dataset.alias("id"), "*", F.lit(f"ULP-{job_id}").alias("upload_id"), F.lit("active").alias("status"),
-            F.lit(job_id).alias("job_id"))
-        catalog.write.mode("overwrite").json(f"{root}/datasets/batch={job_id}")
+        upload(Ledger(spark, root), fact_table(stamped), job_id, mode)
 
     return _run(files, each, checkpoint, "append")
 
@@ -131,12 +115,6 @@ def upsert(incoming: DataFrame, root: str, checkpoint: str, job: str = "index")
     return _run(incoming, each, checkpoint, "append")
 
 
-def first_uploads(uploads: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
-    """Uploads whose key was not seen within the delay. State is kept only that long; a copy that comes later
-    passes, and unique_uploads is for those who need every copy found."""
-    return uploads.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
-
-
 def unique_uploads(
     uploads: DataFrame, keys: Sequence[str], order: Sequence[str], root: str, checkpoint: str, job: str = "uploads",
 ) -> StreamingQuery:
@@ -156,10 +134,6 @@ def unique_uploads(
     return _run(uploads, each, checkpoint, "append")
 
 
-def append_rows(frame: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    return _run(frame, lambda rows, batch: _replace_batch(rows, root, batch), checkpoint, "append")
-
-
 def compact(spark: SparkSession, root: str, keys: Sequence[str], upto: int) -> None:
     """Move the latest values of all batches before ``upto`` into it, and drop those batches. Batch ``upto`` must be done:
     a repetition after a crash then only adds equal rows."""

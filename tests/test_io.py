@@ -2,10 +2,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from tallyspark.plans import export
+from tallyspark.plans import export, upload
 from tallyspark.schemas import FACT_TABLE, JOB_RECORD
 from tallyspark.session import new_folder
 from tallyspark.sources import records, store
+from tallyspark.sources.ledger import Ledger
 from tallyspark.streaming import jobs as stream_jobs
 
 
@@ -82,13 +83,13 @@ def test_files_are_split_by_rows(spark):
 
 
 def test_job_list(spark, tmp_path):
-    job = {"id": "j", "status": "failed", "createdAt": "2025-10-31T10:07:46.974Z", "year": 2024, "month": 8,
+    job = {"id": "j", "status": "failed", "createdAt": "2023-02-14T08:30:15.250Z", "year": 2024, "month": 8,
            "fileObjects": {"settlement": "raw/x.csv"}, "metadata": {"jobIds": ["a", "b"]}}
     path = tmp_path / "jobs.json"
     path.write_text(json.dumps([job, {**job, "id": "k"}]))
     rows = records.read_records(spark, str(path), JOB_RECORD).orderBy("id").collect()
     assert [r["id"] for r in rows] == ["j", "k"]
-    assert rows[0]["createdAt"].microsecond == 974000 and rows[0]["metadata"]["jobIds"] == ["a", "b"]
+    assert rows[0]["createdAt"].microsecond == 250000 and rows[0]["metadata"]["jobIds"] == ["a", "b"]
 
 
 def test_inventory_and_profile(spark, tmp_path):
@@ -111,7 +112,7 @@ def test_ingest_takes_each_file_once(spark):
     def run(job="a", checkpoint=checkpoint):
         files = stream_jobs.landing_files(spark, landing, header)
         stream_jobs.ingest(files, root, f"{staging}-{job}", checkpoint, "douyin", "u", job, 2024, 10).awaitTermination()
-        facts = store.read_facts(spark, f"{root}/facts").collect()
+        facts = Ledger(spark, root).read("facts", FACT_TABLE).collect()
         return sorted((r["order_id"], r["job_id"], r["source_line"]) for r in facts)
 
     land("o1")
@@ -125,7 +126,7 @@ def test_ingest_takes_each_file_once(spark):
 
     again = run("b", new_folder(spark, "checkpoint"))  # another checkpoint leaves the first job's facts alone
     assert set(both) < set(again) and {r[1] for r in again} == {"a-000000000", "a-000000001", "b-000000000"}
-    shown = store.read_facts(spark, f"{root}/effective").collect()
+    shown = upload.effective(Ledger(spark, root)).collect()
     assert sorted((r.order_id, r.job_id) for r in shown) == [("o1", "b-000000000"), ("o2", "b-000000000")]
 
 

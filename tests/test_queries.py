@@ -1,4 +1,4 @@
-"""Queries against their SQL on the smallest tables; ALL_QUERIES=1 runs every one of them."""
+"""All queries against their SQL on the smallest tables."""
 
 import os
 
@@ -8,12 +8,6 @@ from check_sql import compare, connect
 from tallyspark.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-FEW = (
-    "p5_wechat_formula_facts", "g1_month_sku_rollup", "p2_xiaohongshu_facts", "j2_douyin_finance", "u2_merge_upsert",
-    "w4_freight_spread", "g10_duplicate_merge", "s1_csv_to_facts", "o1_fact_page", "t4_stream_totals",
-    "k8_sheet_export", "k3_relational_rejects", "p18_rejected_rows", "j5_effective_facts", "u3_replace_partitions",
-    "u4_clear_store", "u6_upsert_datasets", "j1_xiaohongshu_warnings", "j11_g13_job_backfill", "o6_export_order", "t3_stream_dedup",
-)
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are missing")
 
 
@@ -22,7 +16,7 @@ def tables():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", QUERIES if os.environ.get("ALL_QUERIES") else FEW)
+@pytest.mark.parametrize("name", QUERIES)
 def test_same_rows_as_sql(spark, tables, name):
     assert compare(spark, tables, QUERIES[name], SQL.get(name), SF) is None
 
