@@ -11,6 +11,7 @@ from ..functions.numbers import money_or_zero
 from ..schemas import AGG_SUMS, AMOUNTS, SUM_MONEY
 from .validate import computed_net, consistency
 
+SKETCH = 500  # size of quantile sketches
 MONTH_SKU = ("user_id", "platform", "year", "month", "upload_id", "job_id", "internal_sku")
 
 
@@ -144,6 +145,30 @@ def operations(jobs: DataFrame, width: str = "1 minute", accuracy: int = 100_000
         F.count_if(failed).alias("failed"),
         F.percentile_approx("latency", [0.5, 0.95, 0.99], accuracy).alias("p"),
     )
+    return _shown(windowed)
+
+
+def operation_sketches(jobs: DataFrame, width: str = "1 minute", k: int = SKETCH) -> DataFrame:
+    """Per time window: jobs by outcome, and a quantile sketch of their latencies. To be stored, and merged into longer windows
+    without the jobs; jobs without a latency are in no sketch."""
+    done = F.col("status").isin("completed", "succeeded")
+    windowed = jobs.groupBy(F.window("created_at", width).alias("w")).agg(
+        F.count(F.lit(1)).alias("jobs"), F.count_if(done).alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"),
+        F.kll_sketch_agg_double(F.col("latency").cast("double"), F.lit(k)).alias("latencies"))
+    return windowed.select(F.col("w.start").alias("window_start"), "jobs", "succeeded", "failed", "latencies")
+
+
+def merged_operations(sketches: DataFrame, width: str = "1 day", k: int = SKETCH) -> DataFrame:
+    """The report of longer windows from stored shorter ones. A percentile's rank is off by less than 0.7 percent of the window's
+    jobs, with 99 percent confidence, at the default size of the sketches."""
+    windowed = sketches.groupBy(F.window("window_start", width).alias("w")).agg(
+        *[F.sum(n).alias(n) for n in ("jobs", "succeeded", "failed")],
+        F.kll_merge_agg_double("latencies", F.lit(k)).alias("_merged"))
+    p = F.kll_sketch_get_quantile_double("_merged", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    return _shown(windowed.withColumn("p", p))
+
+
+def _shown(windowed: DataFrame) -> DataFrame:
     return windowed.select(
         F.col("w.start").alias("window_start"), "jobs", "succeeded", "failed",
         F.try_divide(F.col("succeeded"), F.col("succeeded") + F.col("failed")).alias("success_rate"),

@@ -44,6 +44,15 @@ def merge_actions(incoming: DataFrame, log: DataFrame) -> DataFrame:
     return join_one(incoming, known, KEY).withColumn("action", action).drop("_known")
 
 
+def bucketed_changes(incoming: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows, one per key, that a merge into the log inserts or updates, with their action. Where the log lies in buckets of
+    the key, grouping and join leave it in place: the keys alone join, without the bucket number of ``join_one``."""
+    known = log.groupBy(*KEY).agg(F.max_by("row_hash", "seq").alias("_known"))
+    action = F.when(F.col("_known").isNull(), F.lit("inserted")).when(F.col("_known") != F.col("row_hash"), F.lit("updated"))
+    joined = incoming.join(known, list(KEY), "left").withColumn("action", action).drop("_known")
+    return joined.where("action is not null")
+
+
 def merge_stats(incoming: DataFrame, log: DataFrame) -> DataFrame:
     """Row counts per action."""
     return merge_actions(incoming, log).groupBy("action").agg(F.count(F.lit(1)).alias("rows"))

@@ -8,6 +8,7 @@ from ..functions.keys import row_hash, row_key
 from ..schemas import FACT_COLUMNS, META_COLUMNS
 from .formula import formula_rows
 from .mapping import SHEETS, sheet_rows, tidy_douyin
+from .two_file import douyin_orders, xiaohongshu_orders
 
 
 def stamp(facts: DataFrame, **stamps: Column | str) -> DataFrame:
@@ -31,6 +32,20 @@ def fact_table(facts: DataFrame) -> DataFrame:
     return full.select(*FACT_COLUMNS, *META_COLUMNS)
 
 
+def two_file_facts(orders: DataFrame, other: DataFrame, platform: str, year: int, month: int) -> DataFrame:
+    """Facts of orders joined with their settlement or finance file, with status and warnings, unstamped."""
+    rules = {"xiaohongshu": xiaohongshu_orders, "douyin": douyin_orders}
+    if platform not in rules:
+        raise ValueError(f"no two-file rules for platform {platform!r}")
+    facts = rules[platform](orders, other, year, month)
+    unclosed = F.when(~F.col("closure_ok"), F.concat(F.lit("订单 "), F.col("order_id"), F.lit(" 的金额计算不闭环")))
+    warnings = F.array_compact(F.array(F.col("unmatched_message"), unclosed))
+    return facts.withColumns({
+        "validation_warnings": F.when(F.size(warnings) > 0, warnings),
+        "validation_status": F.when(F.size(warnings) > 0, F.lit("warn")).otherwise(F.lit("ok")),
+    }).drop("matched", "unmatched_message", "closure_ok")
+
+
 def settlement_rows(raw: DataFrame, platform: str, year: int | None, month: int | None) -> DataFrame:
     """Every row by the live rules of its platform, unstamped, with ``reject``: null for facts, else what is wrong."""
     if platform == "wechat_video":

@@ -86,7 +86,8 @@ def upload(ledger: Ledger, facts: DataFrame, label: str, mode: str = "merge") ->
     change = ledger.begin(label)
     if change.done is not None:
         return change.done
-    brought = (change.append if mode == "merge" else change.replace)("facts", facts.select(*FACT_TABLE.fieldNames()))
+    typed = facts.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FACT_TABLE.fields])
+    brought = (change.append if mode == "merge" else change.replace)("facts", typed)
     months = change.scratch("months", brought.select(*PERIOD).distinct())
     if mode == "replace":
         known = ledger.spark.createDataFrame([], FACT_TABLE)

@@ -223,6 +223,29 @@ def operations_per_day(spark, sf_dir):
     return rollup.operations(jobs(spark, sf_dir), "1 day").withColumn("window_start", F.unix_micros("window_start"))
 
 
+_RANKS = ", ".join(f"cast(true as boolean) as p{p}_near" for p in (50, 95, 99))
+
+
+@query("g15_day_from_minutes", f"""with j as (select {duck.select(JOBS)} from events)
+select epoch_us(time_bucket(interval '1 day', created_at)) as window_start, count(*) as jobs,
+  count(*) filter (status in ('completed', 'succeeded')) as succeeded, count(*) filter (status = 'failed') as failed, {_RANKS}
+from j group by 1""")
+def day_from_minutes(spark, sf_dir):
+    """Days put together from stored minutes, whose sketches stand for the jobs; each percentile's rank among the day's jobs is
+    near what it should be: within 2 percent, and a job of rounding."""
+    folder = inputs.written(spark, sf_dir, "minutes", lambda f: rollup.operation_sketches(jobs(spark, sf_dir)).write.parquet(f))
+    days = rollup.merged_operations(spark.read.parquet(folder))
+    exact = jobs(spark, sf_dir).select(F.window("created_at", "1 day")["start"].alias("window_start"), "latency")
+    parts = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+    ranked = exact.join(days.select("window_start", *[n for n, _ in parts]), "window_start").groupBy("window_start").agg(
+        F.count("latency").alias("n"), *[F.count_if(F.col("latency") <= F.col(n)).alias(f"{n}_upto") for n, _ in parts],
+        *[F.count_if(F.col("latency") < F.col(n)).alias(f"{n}_below") for n, _ in parts])
+    slack = F.lit(0.02) * F.col("n") + 1
+    near = [((F.col(f"{n}_below") <= q * F.col("n") + slack) & (F.col(f"{n}_upto") >= q * F.col("n") - slack)).alias(f"{n}_near") for n, q in parts]
+    return days.join(ranked.select("window_start", *near), "window_start").select(
+        F.unix_micros("window_start").alias("window_start"), "jobs", "succeeded", "failed", *[f"{n}_near" for n, _ in parts])
+
+
 @query("v9_number_checks", "with c as (select row_number() over () as source_line, concat('', l_orderkey) as order_id, "
        "case when l_linenumber = 7 then '' else 'x' end as sku, case when l_linenumber = 1 then null else l_quantity end as q, "
        "case when l_linenumber = 2 then null else l_tax end as f from lineitem) "

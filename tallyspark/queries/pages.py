@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import paging
 from ..plans import export, upload
 from ..schemas import AGG_COLUMNS, FACT_COLUMNS
+from ..sources import ranges
 from . import duck, inputs
 from .aggregates import JOBS, jobs
 from .registry import query
@@ -72,6 +73,15 @@ def agg_page(spark, sf_dir):
     return paging.page(upload.totals(book, inputs.month_of(book)), paging.AGG_ORDER, 100, 10)
 
 
+@query("o1_page_by_number", duck.with_facts(
+    f"select {_LIST} from effective order by order_id, internal_sku, line_no, row_key limit 1000 offset 4500"))
+def page_by_number(spark, sf_dir):
+    """A page far from the start, from facts kept in that order: the ranges that hold it are read, no others."""
+    facts = inputs.effective_facts(spark, sf_dir)
+    root = inputs.written(spark, sf_dir, "ordered-facts", lambda f: ranges.write_ordered(facts, f, paging.FACT_ORDER, 2000))
+    return ranges.page(spark, root, facts.schema, paging.FACT_ORDER, 1000, 4500).select(*FACT_COLUMNS, "row_key")
+
+
 @query("o3_page_count", duck.with_facts(
     "select year, month, count(*) as total, cast(ceil(count(*) / 50) as bigint) as pages from effective group by all"))
 def page_count(spark, sf_dir):

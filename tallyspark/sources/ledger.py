@@ -39,6 +39,7 @@ from .store import write_partitioned
 
 PERIOD = ("user_id", "platform", "year", "month")
 CHECKPOINT_EVERY = 50  # commits
+LOOKUP_VALUES = 1_000_000  # row keys that the Bloom filter of a row group is made for
 
 _MONTH = [StructField("user_id", StringType()), StructField("platform", StringType()), StructField("year", IntegerType()),
           StructField("month", IntegerType())]
@@ -215,7 +216,8 @@ class Change:
     def _write(self, name: str, rows: DataFrame) -> DataFrame:
         """The rows in a folder of their own, and as they were written."""
         path = f"{self.ledger.root}/{name}/token={self.token}"
-        write_partitioned(rows, path, PERIOD, mode="errorifexists")
+        lookup = {"row_key": LOOKUP_VALUES} if "row_key" in rows.columns else None
+        write_partitioned(rows, path, PERIOD, mode="errorifexists", lookup=lookup)
         try:
             return self.ledger.spark.read.schema(rows.schema).parquet(path)
         except AnalysisException:

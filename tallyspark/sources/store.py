@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,18 +21,23 @@ def write_partitioned(
     sort: Sequence[str] = (),
     mode: str = "append",
     replace_only_written: bool = False,
+    lookup: Mapping[str, int] | None = None,
 ) -> None:
     """Write one folder per partition value.
 
     The rebalance hint lets Spark gather small partitions into few files and split large ones at run time, so
     one large month does not end in one task. ``replace_only_written`` overwrites just the partitions present
-    in the data.
+    in the data. ``lookup`` names columns that rows are looked up by, with the distinct values to expect in a file: its row groups
+    then carry Bloom filters of them, by which equality skips those without the value.
     """
     even = table.hint("rebalance", *partitions)
     if sort:
         even = even.sortWithinPartitions(*partitions, *sort)
     writer = even.write.mode("overwrite" if replace_only_written else mode).partitionBy(*partitions)
     writer = writer.option("maxRecordsPerFile", MAX_FILE_ROWS)
+    for name, distinct in (lookup or {}).items():
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", True)
+        writer = writer.option(f"parquet.bloom.filter.expected.ndv#{name}", distinct)
     if replace_only_written:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(root)

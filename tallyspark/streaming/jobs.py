@@ -9,21 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.joins import join_one, known_keys
-from ..operators.rollup import month_sku, operations
-from ..operators.versions import effective_rows, mark_duplicates, merge_actions
+from ..operators.rollup import month_sku, operation_sketches, operations
+from ..operators.versions import KEY, bucketed_changes, effective_rows, mark_duplicates
 from ..plans.ingest import fact_table, settlement_parts, settlement_rows, stamp
 from ..plans.upload import upload
 from ..sources import records, store
+from ..sources.buckets import BUCKETS, Buckets
 from ..sources.ledger import Ledger
 from ..sources.sheets import FIRST_LINE, csv_options, stage_rows, with_source_lines
-from ..sources.store import read_table
 
-INDEX = ("dataset_id", "upload_id", "row_key", "row_hash", "seq")
+INDEX = StructType([StructField(n, StringType()) for n in ("dataset_id", "upload_id", "row_key", "row_hash")]
+                   + [StructField("seq", LongType())])
 
 
 def label(job: str, batch: int) -> str:
@@ -41,11 +42,6 @@ def _replace_batch(frame: DataFrame, root: str, batch: int | str) -> None:
     frame.write.mode("overwrite").parquet(f"{root}/batch={batch}")
 
 
-def _values(frame: DataFrame, name: str) -> list:
-    """Distinct values of a partition column in one batch, to prune the scan of a stored table."""
-    return [r[0] for r in frame.select(name).distinct().collect()]
-
-
 def landing_files(
     spark: SparkSession, folder: str, columns: Sequence[str], files_per_batch: int | None = None
 ) -> DataFrame:
@@ -87,53 +83,59 @@ def ingest(
     return _run(files, each, checkpoint, "append")
 
 
-def _index_of(rows: DataFrame, root: str, before: str) -> DataFrame:
-    """The stored index of the datasets that the rows belong to, up to a label; other datasets' folders are not read."""
-    schema = StructType([*rows.schema.fields, StructField("batch", StringType())])
-    log = read_table(rows.sparkSession, root, schema)
-    return log.where(F.col("dataset_id").isin(_values(rows, "dataset_id")) & (F.col("batch") < before)).drop("batch")
-
+def index_log(spark: SparkSession, root: str, schema: StructType = INDEX, buckets: int = BUCKETS) -> Buckets:
+    """The row index below a root: (dataset_id, upload_id, row_key, row_hash, seq) in buckets of the row's key."""
+    return Buckets(spark, root, schema, KEY, buckets)
 
-def _append_index(changed: DataFrame, root: str, name: str) -> None:
-    writer = changed.withColumn("batch", F.lit(name)).write.mode("overwrite").partitionBy("dataset_id", "batch")
-    writer.option("partitionOverwriteMode", "dynamic").parquet(root)
 
-
-def upsert(incoming: DataFrame, root: str, checkpoint: str, job: str = "index") -> StreamingQuery:
+def upsert(
+    incoming: DataFrame, root: str, checkpoint: str, compact_every: int = 20, buckets: int = BUCKETS,
+) -> StreamingQuery:
     """Append inserted and updated rows of the stream to the row index; read it through effective_rows.
 
-    Only the last row per key of a batch counts, so the outcome does not depend on how rows fall into batches.
-    ``incoming`` has dataset_id, upload_id, row_key, row_hash and seq. The index is partitioned by dataset, and a batch
-    reads the folders of its own datasets only.
+    Only the last row per key of a batch counts, so the outcome does not depend on how rows fall into batches. ``incoming`` has
+    dataset_id, upload_id, row_key, row_hash and seq. A batch is shuffled into the buckets of the index, which itself is not.
+    A repeated batch finds its own rows known and appends nothing. Every so many batches the index is put together.
     """
 
     def each(rows: DataFrame, batch: int) -> None:
+        log = index_log(rows.sparkSession, root, rows.schema, buckets)
         last = effective_rows(rows)
-        actions = merge_actions(last, _index_of(last, root, label(job, batch)))
-        _append_index(actions.where("action <> 'unchanged'").select(*incoming.columns), root, label(job, batch))
+        log.append(bucketed_changes(last, log.read(last)).drop("action"))
+        if batch and batch % compact_every == 0:
+            log.compact("seq")
 
     return _run(incoming, each, checkpoint, "append")
 
 
 def unique_uploads(
-    uploads: DataFrame, keys: Sequence[str], order: Sequence[str], root: str, checkpoint: str, job: str = "uploads",
+    uploads: DataFrame, keys: Sequence[str], order: Sequence[str], root: str, checkpoint: str, buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """The first upload of each key, however late its copies come. What is known is the written table, partitioned by the
-    first key; a batch reads the folders of its own values only, and no state grows in the stream."""
-    part = keys[0]
+    """The first upload of each key, however late its copies come, in buckets of the key below ``root``; ``uploads_log`` reads
+    them. What is known is the written table, and no state grows in the stream. Missing key parts are equal to each other."""
 
     def each(rows: DataFrame, batch: int) -> None:
-        schema = StructType([*rows.schema.fields, StructField("batch", StringType())])
-        known = read_table(rows.sparkSession, root, schema)
-        known = known.where(F.col(part).isin(_values(rows, part)) & (F.col("batch") < label(job, batch)))
+        log = uploads_log(rows.sparkSession, root, rows.schema, buckets)
         first = mark_duplicates(rows, keys, order).where("not is_duplicate").select(*rows.columns)
-        fresh = join_one(first, known_keys(known, keys), keys, "left_anti").withColumn("batch", F.lit(label(job, batch)))
-        writer = fresh.write.mode("overwrite").partitionBy(part, "batch").option("partitionOverwriteMode", "dynamic")
-        writer.parquet(root)
+        fresh = first.withColumn(DIGEST, key_digest(keys))
+        log.append(fresh.join(log.read().select(DIGEST).distinct(), DIGEST, "left_anti"))
 
     return _run(uploads, each, checkpoint, "append")
 
 
+DIGEST = "_key"
+
+
+def key_digest(keys: Sequence[str]) -> Column:
+    """One text for a key with its missing parts."""
+    return F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+
+
+def uploads_log(spark: SparkSession, root: str, schema: StructType, buckets: int = BUCKETS) -> Buckets:
+    kept = [f for f in schema.fields if f.name != DIGEST]
+    return Buckets(spark, root, StructType([*kept, StructField(DIGEST, StringType())]), [DIGEST], buckets)
+
+
 def compact(spark: SparkSession, root: str, keys: Sequence[str], upto: int) -> None:
     """Move the latest values of all batches before ``upto`` into it, and drop those batches. Batch ``upto`` must be done:
     a repetition after a crash then only adds equal rows."""
@@ -164,10 +166,12 @@ def running_totals(
 
 
 def operations_by_window(
-    jobs: DataFrame, root: str, checkpoint: str, width: str = "1 minute", delay: str = "10 minutes"
+    jobs: DataFrame, root: str, checkpoint: str, width: str = "1 minute", delay: str = "10 minutes", sketches: bool = False,
 ) -> StreamingQuery:
-    """Job metrics per time window; late jobs change their window until the delay has passed."""
-    metrics = operations(jobs.withWatermark("created_at", delay), width)
+    """Job metrics per time window; late jobs change their window until the delay has passed. With ``sketches`` windows keep a
+    quantile sketch instead of percentiles, from which ``merged_operations`` makes longer windows."""
+    made = operation_sketches if sketches else operations
+    metrics = made(jobs.withWatermark("created_at", delay), width)
     return _run(metrics, lambda rows, n: _replace_batch(rows, root, n), checkpoint, "update")
 
 

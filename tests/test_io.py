@@ -1,11 +1,16 @@
+import csv
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.operators.rollup import merged_operations, operation_sketches
+from tallyspark.operators.versions import bucketed_changes, effective_rows
 from tallyspark.plans import export, upload
 from tallyspark.schemas import FACT_TABLE, JOB_RECORD
 from tallyspark.session import new_folder
-from tallyspark.sources import records, store
+from tallyspark.sources import quoted, ranges, records, store
 from tallyspark.sources.ledger import Ledger
 from tallyspark.streaming import jobs as stream_jobs
 
@@ -157,5 +162,136 @@ def test_stream_upsert_ends_like_one_batch(spark):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
         stream_jobs.upsert(stream, root, checkpoint).awaitTermination()
-    got = stream_jobs.latest_values(spark, root, ["dataset_id", "row_key"]).collect()
-    assert {r["row_key"]: r["row_hash"] for r in got} == {r[2]: r[3] for r in rows}
+    log = stream_jobs.index_log(spark, root)
+    for generation in (0, 1, 2):
+        got = effective_rows(log.read()).collect()
+        assert {r["row_key"]: r["row_hash"] for r in got} == {r[2]: r[3] for r in rows} and log.generation() == generation
+        log.compact("seq")
+    files = [f for f in log.read().inputFiles()]
+    assert len(files) <= 5  # one a bucket and run
+
+
+def test_merges_leave_the_bucketed_index_in_place(spark):
+    """Only the incoming rows are shuffled; files of a batch do not grow with datasets."""
+    root = new_folder(spark, "index")
+    log = stream_jobs.index_log(spark, root, buckets=8)
+    known = spark.range(4000).selectExpr("concat('d', id % 500) as dataset_id", "'u' as upload_id", "concat('k', id) as row_key",
+                                         "concat('h', id % 3) as row_hash", "id as seq")
+    log.append(known)
+    assert len(log.read().inputFiles()) <= 8
+    incoming = known.where("seq % 2 = 0").selectExpr("dataset_id", "upload_id", "row_key", "'h0' as row_hash", "seq + 10000 as seq")
+    incoming = incoming.unionByName(incoming.selectExpr("'new' as dataset_id", "upload_id", "row_key", "row_hash", "seq").limit(7))
+    changes = bucketed_changes(incoming, log.read())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = changes._jdf.queryExecution().executedPlan().toString()
+        counted = {r["action"]: r["count"] for r in changes.groupBy("action").count().collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan
+    side = plan[plan.index("SortMergeJoin"):]
+    scan = next(line for line in side.splitlines() if "Bucketed: true" in line)
+    above = side[: side.index(scan)].split("Range")[-1]
+    assert "Exchange" not in above and "hashpartitioning(dataset_id" in plan
+    assert counted == {"inserted": 7, "updated": known.where("seq % 2 = 0 and row_hash <> 'h0'").count()}
+
+
+def test_unique_uploads_keep_the_first(spark):
+    source, root, checkpoint = (new_folder(spark, n) for n in ("source", "uploads", "checkpoint"))
+    schema = "id string, user_id string, content_hash string, at int"
+    rows = [(f"ULP-{k}", f"u{k % 3}", None if k % 5 == 0 else f"h{k % 4}", k) for k in range(40)]
+    for part in (rows[:9], rows[9:30], rows[30:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        stream_jobs.unique_uploads(stream, ["user_id", "content_hash"], ["at", "id"], root, checkpoint, buckets=4).awaitTermination()
+    first = {}
+    for i, user, digest, _ in rows:
+        first.setdefault((user, digest), i)
+    got = stream_jobs.uploads_log(spark, root, stream.schema, 4).read().collect()
+    assert {(r.user_id, r.content_hash): r.id for r in got} == first and len(got) == len(first)
+
+
+def test_pages_by_number_read_their_ranges_only(spark):
+    root = new_folder(spark, "ordered")
+    rows = [(k % 7 if k % 11 else None, k) for k in range(5000)]
+    table = spark.createDataFrame(rows, "a int, b int").repartition(5)
+    ranges.write_ordered(table, root, ["a", "b"], 300)
+    want = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert ranges.row_count(spark, root) == 5000
+    sizes = set()
+    for offset, limit in ((0, 50), (295, 10), (2500, 300), (4990, 50), (4999, 1), (5000, 10)):
+        page = ranges.page(spark, root, table.schema, ["a", "b"], limit, offset)
+        assert [tuple(r) for r in page.collect()] == want[offset: offset + limit]
+        sizes.add(len(page.inputFiles()))
+    assert max(sizes) <= 4
+    ranges.write_ordered(table.limit(0), f"{root}-empty", ["a", "b"])
+    assert ranges.page(spark, f"{root}-empty", table.schema, ["a", "b"], 10).count() == 0
+
+
+def test_lookups_skip_row_groups(spark):
+    """By their Bloom filters: the value's neighbours in order are everywhere, so that least and greatest values rule out none."""
+    rows = spark.range(200_000).selectExpr("concat('k', (id * 7919) % 200000) as row_key", "id as v", "'u' as user_id").coalesce(1)
+
+    def read(lookup):
+        root = new_folder(spark, "looked-up")
+        spark.conf.set("parquet.block.size", 200_000)
+        spark.sparkContext._jsc.hadoopConfiguration().setInt("parquet.block.size", 200_000)
+        try:
+            store.write_partitioned(rows, root, ["user_id"], lookup=lookup)
+        finally:
+            spark.conf.unset("parquet.block.size")
+            spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+        found = spark.read.parquet(root).where("row_key = 'k777'")
+        values = [r.v for r in found.collect()]
+        plan = found._jdf.queryExecution().executedPlan()
+        scan = plan.collectLeaves().head()
+        return values, scan.metrics().get("numOutputRows").get().value()
+
+    with_filter, without = read({"row_key": 200_000}), read(None)
+    assert with_filter[0] == without[0] and len(with_filter[0]) == 1
+    assert with_filter[1] < without[1] / 3
+
+
+def test_quoted_sheets_are_read_in_splits(spark, tmp_path):
+    """Line breaks, quotes and separators in cells; the same cells and line numbers as a plain reader gives, over many blocks."""
+    pick = random.Random(4)
+    words = ["a", 'say "hi"', "two\nlines", "three\n\n\nlines", 'x,"y",\n"', "", "  ", "é\n", '"', "plain", "\n"]
+    for name, n in (("one.csv", 4000), ("two.csv", 37), ("three.csv", 0)):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator="\r\n" if name == "two.csv" else "\n")
+            writer.writerow(["id", "text, with comma", "last"])
+            for k in range(n):
+                writer.writerow([k, pick.choice(words) + pick.choice(words), pick.choice(words)])
+                if k % 50 == 0:
+                    out.write("\n")  # no record
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 5000)
+    try:
+        found = quoted.read_quoted_sheet(spark, str(tmp_path), new_folder(spark, "quoted"))
+        got = {(r.source_file, r.source_line): (r["id"], r["text, with comma"] or "", r["last"] or "") for r in found.collect()}
+        blocks = found.select("source_path", "file_block").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {}
+    for name in ("one.csv", "two.csv"):
+        with open(tmp_path / name, newline="", encoding="utf-8") as file:
+            given = [r for r in csv.reader(file) if r][1:]
+        want.update({(name, k + 2): tuple(r) for k, r in enumerate(given)})
+    assert blocks > 8 and got == want
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError):
+        quoted.read_quoted_sheet(spark, str(tmp_path), new_folder(spark, "quoted"))
+
+
+def test_sketches_merge(spark):
+    jobs = spark.range(20_000).selectExpr("timestamp_seconds(1700000000 + id * 7) as created_at", "'completed' as status",
+                                          "case when id % 9 = 0 then null else (id * 7919) % 20000 end as latency")
+    minutes = operation_sketches(jobs, "10 minutes")
+    day = {r.window_start: r for r in merged_operations(minutes, "1 day").collect()}
+    exact = {r.window_start: r for r in jobs.groupBy(F.window("created_at", "1 day")["start"].alias("window_start")).agg(
+        F.count("latency").alias("n"), F.count(F.lit(1)).alias("jobs"), F.sort_array(F.collect_list("latency")).alias("all")).collect()}
+    assert set(day) == set(exact)
+    for k, r in day.items():
+        values = exact[k]["all"]
+        for q, p in ((0.5, r.p50), (0.95, r.p95), (0.99, r.p99)):
+            assert abs(sum(v <= p for v in values) / len(values) - q) < 0.015
+        assert r.jobs == exact[k].jobs and r.success_rate == 1
