@@ -30,7 +30,7 @@ LEAST = 64
 END_ID = 1
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _BATCH = 20_000  # pieces handed on at a time
-_TEXTS = 250  # texts encoded at a time
+_TEXTS = 1000  # texts encoded at a time
 
 
 def cuts(length: int, capacity: int = CAPACITY, least: int = LEAST) -> Iterator[int]:

@@ -30,7 +30,7 @@ SEPARATOR = 50256
 WIDTH = 2  # bytes per id of files given without a vocabulary
 BLOCK = 250_000  # bytes; from half a megabyte on, the JVM sets objects apart and grows with them
 SEGMENT = 4096  # blocks
-_TEXTS = 250
+_TEXTS = 1000
 
 
 def width_of(vocabulary: str = VOCABULARY, separator: int = SEPARATOR) -> int:

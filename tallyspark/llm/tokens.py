@@ -12,6 +12,7 @@ rule also ends a run of letters at a punctuation mark.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -47,6 +48,10 @@ class Encoder:
         known = self.tokenizer.get_added_tokens_decoder().values()
         special = [re.escape(token.content) for token in known if not (plain and token.special)]
         self.special = re.compile("|".join(special)) if special else None
+        rule = json.loads(self.tokenizer.to_str())
+        byte_level = rule["pre_tokenizer"] or {}
+        plain_rule = (byte_level.get("type"), byte_level.get("add_prefix_space"), byte_level.get("use_regex")) == ("ByteLevel", False, True)
+        self.model = self.tokenizer.model if plain_rule and rule["model"]["type"] == "BPE" and rule["normalizer"] is None else None
         line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_break = line_break[0] if len(line_break) == 1 else None
         # What is found in the elder half moves to the younger; when that is full, it becomes the elder.
@@ -65,18 +70,28 @@ class Encoder:
         """Bytes that hold any id of the vocabulary: 2 or 4."""
         return 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, all words of one line each encoded together."""
-        words = [k for k, x in enumerate(texts) if x[0] == " " and x[1:2] in _visible and x[-1] in _visible and "\n" not in x]
-        joined = self._lines([texts[k] for k in words]) if len(words) > 1 else None
+    def _packed(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids of each text. Words of ASCII letters are what the vocabulary's rule leaves whole and go to its model as they are,
+        other words to one text of lines."""
+        out, lines, rest = {}, [], []
+        model = self.model
+        for x in texts:
+            if x[0] == " " and x[1:2] in _visible and x[-1] in _visible:
+                if model is not None and x.isascii() and x[1:].isalpha():
+                    ids = [token.id for token in model.tokenize("Ġ" + x[1:])]
+                    out[x] = struct.pack(f"<{len(ids)}I", *ids)
+                elif "\n" not in x:
+                    lines.append(x)
+                else:
+                    rest.append(x)
+            else:
+                rest.append(x)
+        joined = self._lines(lines) if len(lines) > 1 else None
         if joined is None:
-            return self._one_by_one(texts)
-        out: list[bytes] = [b""] * len(texts)
-        for k, ids in zip(words, joined):
-            out[k] = ids
-        rest = sorted(set(range(len(texts))).difference(words))
-        for k, ids in zip(rest, self._one_by_one([texts[k] for k in rest])):
-            out[k] = ids
+            rest += lines
+        else:
+            out.update(zip(lines, joined))
+        out.update(zip(rest, self._one_by_one(rest)))
         return out
 
     def _one_by_one(self, texts: list[str]) -> list[bytes]:
@@ -117,15 +132,10 @@ class Encoder:
     def _fresh(self, new: set[str]) -> dict[str, bytes]:
         """Ids of parts. A mark after a word is a token of its own, so that the word is encoded, or known, without it."""
         cache, elder, fresh, sought = self.cache, self.elder, {}, set()
-        marked = []
-        for part in new:
-            ids = elder.get(part[1:]) if part[0] == " " else None
-            if ids is not None:
-                fresh[part] = ids
-            elif part[-1] in MARKS and part[-2:-1] in _letters and len(part) > 1:
-                marked.append(part)
-            else:
-                sought.add(part)
+        if elder:
+            fresh = {part: ids for part in new if part[0] == " " and (ids := elder.get(part[1:])) is not None}
+            new = new.difference(fresh)
+        marked = [part for part in new if part[-1] in MARKS and part[-2:-1] in _letters and len(part) > 1]
         for part in marked:
             word = part[:-1]
             ids = None
@@ -136,8 +146,7 @@ class Encoder:
             else:
                 fresh[word] = ids
             sought.add(part[-1])
-        listed = list(sought)
-        fresh.update(zip(listed, self._packed(listed)))
+        fresh.update(self._packed(list(new.difference(marked) | sought)))
         for part in marked:
             fresh[part] = fresh[part[:-1]] + fresh[part[-1]]
         cache.update({part[1:]: ids for part, ids in fresh.items()
