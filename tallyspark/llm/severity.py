@@ -13,11 +13,13 @@ The expected severity is the sum of these probabilities. Weights are fitted by a
 so that most words have weight 0; thresholds keep their order by steps of positive size.
 
 Fitting takes a sample of at most SAMPLE labelled rows, the least by hash of the id; that bound is a parameter. The
-whole texts of these rows are read, and the whole of every text that is scored.
+whole texts of these rows are read, and the whole of every text that is scored. Features are counted and screened in Spark, so
+that of long texts as well only the few features of the fit reach the driver.
 
 Defined cases: several labels for one id count as the highest grade; labels that are null, or of ids that are null or not
 among the documents, are not used; null and wordless texts have no features; with fewer than two grades in the sample
-all severities are the only grade's (0 without labels). Rows are scored one by one. Only the columns named are read.
+all severities are the only grade's (0 without labels). Rows are scored one by one, whole, however long. Only the columns named are
+read; a kept column of a result's name gives way to the result.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .tables import Carried, written
 from .texts import LOWER, slices, span_hashes, utf8, word_spans
 
 BEGINNINGS = (4, 5, 6)
@@ -36,8 +39,9 @@ LEAST, SCREEN = 3, 4.0
 _FILTER = 22  # bits of a hash looked up before the hash itself
 _inside = np.zeros(256, bool)
 _inside[128:] = _inside[ord("0"): ord("9") + 1] = _inside[ord("a"): ord("z") + 1] = True
-SAMPLE = 8_192
+SAMPLE = 16_384
 PENALTY = 1e-4
+RESULT = "expected_severity double, severity_grade int, p_toxic double"
 STEPS = 600
 
 
@@ -113,6 +117,31 @@ def fit_rows(rows: Sequence[np.ndarray], grades: np.ndarray, penalty: float = PE
     return Severity(bins[w != 0], w[w != 0], thresholds, int(kinds[0]))
 
 
+def _screened(rows: DataFrame) -> np.ndarray:
+    """Ascending features that the fit will use, counted and screened in Spark: only they reach the driver."""
+    sizes = {r.grade: r.n for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return np.empty(0, np.uint32)
+    n, low = sum(sizes.values()), min(sizes)
+    n_low, n_high = sizes[low], n - sizes[low]
+
+    def count(batches):
+        for batch in batches:
+            high = np.array(batch.column(0).to_pylist()) > low
+            found = [np.frombuffer(b, np.uint32) for b in batch.column(1).to_pylist()]
+            owner = np.repeat(high, [len(x) for x in found])
+            values, place = np.unique(np.concatenate([*found, np.empty(0, np.uint32)]), return_inverse=True)
+            yield pa.record_batch([pa.array(values.astype(np.int64)), pa.array(np.bincount(place, minlength=len(values)), pa.int64()),
+                                   pa.array(np.bincount(place, owner, len(values)).astype(np.int64))], names=["feature", "n", "high"])
+
+    counted = rows.mapInArrow(count, "feature long, n long, high long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("high").alias("high"))
+    share = F.col("n") / n
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n_high + 1 / n_low))
+    apart = F.abs(F.col("high") / n_high - (F.col("n") - F.col("high")) / n_low) >= SCREEN * error * (1 - 1e-9)
+    used = counted.where((F.col("n") >= LEAST) & apart).select("feature").collect()
+    return np.sort(np.array([r.feature for r in used], np.int64)).astype(np.uint32)
+
+
 def fit(documents: DataFrame, labels: DataFrame, grade: Column, doc_id: str = "doc_id", text: str = "text",
         label_id: str = "doc_id", sample: int = SAMPLE) -> Severity:
     graded = labels.select(F.col(label_id).cast("long").alias("id"), grade.cast("int").alias("grade"))
@@ -129,21 +158,31 @@ def fit(documents: DataFrame, labels: DataFrame, grade: Column, doc_id: str = "d
                 rows.append(np.unique(np.concatenate(found)).tobytes())
             yield pa.record_batch([batch.column(0), pa.array(rows, pa.binary())], names=["grade", "found"])
 
-    rows = own.join(F.broadcast(chosen), "id").select("grade", "text").mapInArrow(features, "grade int, found binary").collect()
-    rows = sorted((r.grade, bytes(r.found)) for r in rows)
+    rows = written(own.join(F.broadcast(chosen), "id").select("grade", "text").mapInArrow(features, "grade int, found binary"), "features")
+    used = _screened(rows)
+
+    def only_used(batches):
+        for batch in batches:
+            kept = []
+            for body in batch.column(1).to_pylist():
+                found = np.frombuffer(body, np.uint32)
+                kept.append(found[np.isin(found, used)].tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(kept, pa.binary())], names=["grade", "found"])
+
+    rows = sorted((r.grade, bytes(r.found)) for r in rows.mapInArrow(only_used, "grade int, found binary").collect())
     return fit_rows([np.frombuffer(b, np.uint32) for _, b in rows], np.array([g for g, _ in rows], int))
 
 
 def predict(documents: DataFrame, model: Severity, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """The ``keep`` columns with expected_severity, severity_grade (the likeliest) and p_toxic, P(grade > lowest)."""
-    table = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
+    carried = Carried(documents, keep, text, RESULT)
     used, weight, thresholds, least = model.features, model.weights, model.thresholds, model.least
 
     def work(batches):
         maybe = np.zeros(1 << _FILTER, bool)
         maybe[used >> np.uint32(32 - _FILTER)] = True
         for batch in batches:
-            data, offsets = utf8(batch.column(batch.num_columns - 1))
+            data, offsets = utf8(carried.text_of(batch))
             scores = np.zeros(batch.num_rows)
             for a, b in slices(offsets) if len(used) else ():
                 pairs = []
@@ -158,12 +197,10 @@ def predict(documents: DataFrame, model: Severity, keep: Sequence[str] = ("doc_i
             edges = np.concatenate([np.ones((len(scores), 1)), above, np.zeros((len(scores), 1))], axis=1)
             likeliest = np.argmax(edges[:, :-1] - edges[:, 1:], axis=1)
             first = above[:, 0] if above.shape[1] else np.zeros(len(scores))
-            yield pa.record_batch(
-                [*batch.columns[:-1], pa.array(least + above.sum(axis=1)), pa.array((least + likeliest).astype(np.int32)),
-                 pa.array(first)], names=[*batch.schema.names[:-1], "expected_severity", "severity_grade", "p_toxic"])
+            yield carried.batch(batch, [pa.array(least + above.sum(axis=1), pa.float64()),
+                                        pa.array((least + likeliest).astype(np.int32)), pa.array(first, pa.float64())])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1])
-    return table.mapInArrow(work, f"{kept}, expected_severity double, severity_grade int, p_toxic double")
+    return carried.apply(work)
 
 
 def from_labels(toxic: str = "toxic", quality: str = "quality") -> Column:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .tables import Carried
 from .texts import mix, slices, utf8, word_hashes
 
 SAMPLES = 96
@@ -112,19 +113,17 @@ def _encoded(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprints(documents: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """The ``keep`` columns and the fingerprint of every row."""
-    table = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
+    carried = Carried(documents, keep, text, "fingerprint string")
 
     def work(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(batch.num_columns - 1))
+            data, offsets = utf8(carried.text_of(batch))
             out: list[str] = []
             for a, b in slices(offsets, SLICE):
                 out += texts_of(*sketch(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a], samples))
-            yield pa.record_batch([*batch.columns[:-1], pa.array(out, pa.string())],
-                                  names=[*batch.schema.names[:-1], "fingerprint"])
+            yield carried.batch(batch, [pa.array(out, pa.string())])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1])
-    return table.mapInArrow(work, f"{kept}, fingerprint string")
+    return carried.apply(work)
 
 
 def in_order(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

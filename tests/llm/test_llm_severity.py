@@ -1,10 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
 from tallyspark.llm import severity
+from tallyspark.llm.texts import utf8
 
 
 def test_grades_of_planted_words(spark, table):
@@ -46,3 +49,21 @@ def test_defined_cases(spark, table, texts):
     assert severity.predict(table([]), none).count() == 0
 
 
+
+
+def test_screening_in_spark_changes_nothing(spark, table, texts):
+    """The fit of all features, screened in one place, and kept columns of results' names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = severity.fit(docs, labels, severity.from_labels())
+    grades = {r.doc_id: r.g for r in labels.select("doc_id", severity.from_labels().alias("g")).where("g is not null").collect()}
+    rows = []
+    for r in docs.select("doc_id", "text").collect():
+        if r.doc_id in grades:
+            data, offsets = utf8(pa.array([r.text]))
+            rows.append((grades[r.doc_id], np.unique(np.concatenate([h for h, _ in severity._features(data, offsets)])).tobytes()))
+    rows.sort()
+    want = severity.fit_rows([np.frombuffer(b, np.uint32) for _, b in rows], np.array([g for g, _ in rows]))
+    assert (model.features == want.features).all() and model.weights == pytest.approx(want.weights) and model.least == want.least
+    found = severity.predict(docs.withColumn("p_toxic", F.lit("?")), model, ("doc_id", "p_toxic", "text"))
+    assert found.columns == ["doc_id", "text", "expected_severity", "severity_grade", "p_toxic"] and found.count() == docs.count()
