@@ -27,6 +27,11 @@ _LINES = 500  # words encoded as one text
 
 MARKS = ".,;:!?"
 
+# The character that stands for each byte in byte-level vocabularies: its own if that is visible in Latin-1, else one from 256 on.
+_shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_of_byte = {b: chr(b) for b in _shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_shown))}
+_as_bytes = {c: "".join(_of_byte[b] for b in chr(c).encode()) for c in range(0x250)}
+
 _letters = frozenset(string.ascii_letters)
 _visible = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]))
 _cut = re.compile("(?<=[!-~¡-ɏ])(?= )")
@@ -71,14 +76,14 @@ class Encoder:
         return 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
     def _packed(self, texts: list[str]) -> dict[str, bytes]:
-        """Ids of each text. Words of ASCII letters are what the vocabulary's rule leaves whole and go to its model as they are,
-        other words to one text of lines."""
+        """Ids of each text. Words of letters are what the vocabulary's rule leaves whole and go to its model, byte by byte as
+        characters; other words go to one text of lines."""
         out, lines, rest = {}, [], []
         model = self.model
         for x in texts:
             if x[0] == " " and x[1:2] in _visible and x[-1] in _visible:
-                if model is not None and x.isascii() and x[1:].isalpha():
-                    ids = [token.id for token in model.tokenize("Ġ" + x[1:])]
+                if model is not None and x[1:].isalpha() and (x.isascii() or max(x) < "\u0250"):
+                    ids = [token.id for token in model.tokenize("Ġ" + x[1:] if x.isascii() else x.translate(_as_bytes))]
                     out[x] = struct.pack(f"<{len(ids)}I", *ids)
                 elif "\n" not in x:
                     lines.append(x)

@@ -74,3 +74,15 @@ def test_table(table, texts):
     assert check([tuple(r) for r in found], ids) < 0.02
     again = packing.pack(table([(None, "a b"), (None, "a b"), (7, None)])).collect()
     assert sum(r.length for r in again) == 3 + 3 + 1 and packing.pack(table([])).count() == 0
+
+
+def test_words_of_letters_equal_direct_tokenisation():
+    """Of all letters that the encoder hands to the model itself."""
+    direct = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    pick = random.Random(7)
+    words = [" " + "".join(pick.choices(letters, k=pick.randrange(1, 12))) for _ in range(5000)] + [f" {c}" for c in letters]
+    words += [" " + "".join(pick.choices("abcdeABCinguäöß", k=9)) for _ in range(3000)]
+    made = tokens.Encoder(tokens.VOCABULARY)._packed(words)
+    for word in words:
+        assert np.frombuffer(made[word], "<u4").tolist() == direct.encode(word, add_special_tokens=False).ids, word
