@@ -419,10 +419,13 @@ def ledger_merges(spark, sf_dir):
     return merges.groupBy("job_id", "action").agg(F.sum("rows").alias("rows"))
 
 
-@query("v6_view_problems", "select 'x' as kind, 'x' as key where false")
+@query("v6_view_problems", duck.with_versions("select 0::bigint as problems, count(*) as rows from latest"))
 def view_problems(spark, sf_dir):
     """Repeated keys of the effective view, and totals that are not its roll-up: none, though uploads repeat keys."""
-    return upload.check_view(inputs.ledger(spark, sf_dir)).select("kind", "key")
+    book = inputs.ledger(spark, sf_dir)
+    problems = upload.check_view(book).select(F.lit(1).alias("problems"), F.lit(0).alias("rows"))
+    rows = upload.effective(book).select(F.lit(0).alias("problems"), F.lit(1).alias("rows"))
+    return problems.unionByName(rows).agg(F.sum("problems").alias("problems"), F.sum("rows").alias("rows"))
 
 
 @query("v6_fact_keys_unique", duck.with_versions(
