@@ -178,3 +178,26 @@ def test_replace_and_clear(spark, book):
 
 def test_an_empty_upload(spark, book):
     assert upload.upload(book, facts(spark, [], "j"), "j") == 1 and upload.effective(book).count() == 0
+
+
+def _exchanged(frame):
+    """Columns that the plan shuffles, at most."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_reading_a_ledger_shuffles_no_rows(spark, book):
+    upload.upload(book, facts(spark, [("a", "s", 1, 1, 1), ("b", "s", 2, 2, 1)], "j1"), "j1")
+    view = upload.effective(book)
+    assert "BroadcastHashJoin" in view._jdf.queryExecution().executedPlan().toString() and view.count() == 2
+    assert not any("row_key" in line for line in _exchanged(view))
+
+
+def test_months_of_new_keys_alone_are_not_written_again(spark, book):
+    upload.upload(book, facts(spark, [("a", "s", 1, 1, 1), ("b", "s", 2, 2, 2)], "j1"), "j1")
+    upload.upload(book, facts(spark, [("c", "s", 1, 3, 1), ("b", "s", 1, 5, 2), ("d", "s", 2, 6, 2), ("d", "s", 3, 7, 2)], "j2"), "j2")
+    written = {(r.month, r.row_key) for r in spark.read.parquet(f"{book.root}/effective").where("job_id = 'j1'").collect()}
+    assert written == {(1, "a"), (2, "b")}
+    assert sorted((r.month, r.seq) for r in book.units("effective").collect()) == [(1, 1), (1, 2), (2, 2)]
+    view = sorted((r.row_key, float(r.net_received)) for r in upload.effective(book).collect())
+    assert view == [("a", 1), ("b", 5), ("c", 3), ("d", 7)] and upload.check_view(book).count() == 0
