@@ -112,3 +112,24 @@ def test_row_key(spark):
     c = F.col
     got = frame.select(keys.row_key(c("p"), c("o"), c("s"), c("n")), keys.row_key(c("p"), c("o"), c("s"))).collect()
     assert [tuple(r) for r in got] == [("p:o:s:1", "p:o:s"), ("p:o:s:null", "p:o:s")]
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_without_a_digit_are_not_cast(spark):
+    cells = {"": 0.5, "--": 0.5, "¥": 0.5, "-": 0.5, ".": 0.5, "--5": 0.5, "¥5件": 5.0, "a.5": 0.5, "１": 0.5}
+    assert column_values(spark, cells, lambda v: numbers.parse_number(v, 0.5)) == list(cells.values())
+    frame = spark.createDataFrame([("x",)], "v string").select(numbers.parse_number(F.col("v")))
+    assert "RLIKE(v#" in _plan(frame) and "[0-9])" in _plan(frame)
+
+
+def test_outer_blanks_go_without_a_pattern(spark):
+    blanks = [c for c in map(chr, range(0x10000)) if re.match(f"[{text.BLANKS}]", c)]
+    ends = [*blanks, "", "\u0085", "\u200b", " \u0085", "\r\n", "\u0085 ", "\u3000\n"]
+    values = [f"{a}x{b}y{c}" for a, b, c in zip(ends, reversed(ends), [*ends[5:], *ends[:5]])] + blanks + [" \u0085", "\u0085", ""]
+    old = lambda v: F.regexp_replace(v, f"^[{text.BLANKS}]+|[{text.BLANKS}]+$", "")
+    assert column_values(spark, values, text.clean_text) == column_values(spark, values, old)
+    frame = spark.createDataFrame([("x",)], "v string").select(text.clean_text(F.col("v")))
+    assert "Contains(v#" in _plan(frame)
