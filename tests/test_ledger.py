@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from tallyspark.operators import versions
 from tallyspark.operators.rollup import month_sku
 from tallyspark.plans import upload
 from tallyspark.schemas import AMOUNTS, FACT_TABLE
@@ -201,3 +202,16 @@ def test_months_of_new_keys_alone_are_not_written_again(spark, book):
     assert sorted((r.month, r.seq) for r in book.units("effective").collect()) == [(1, 1), (1, 2), (2, 2)]
     view = sorted((r.row_key, float(r.net_received)) for r in upload.effective(book).collect())
     assert view == [("a", 1), ("b", 5), ("c", 3), ("d", 7)] and upload.check_view(book).count() == 0
+
+
+def test_a_small_batch_does_not_count_the_keys_of_the_view(spark, book):
+    upload.upload(book, facts(spark, [(f"k{i}", "s", 1, i, 1) for i in range(9)], "j1"), "j1")
+    known, key = upload.effective(book).drop("seq"), [*ledgers.PERIOD, "row_key"]
+    brought = facts(spark, [("k3", "s", 2, 1, 1), ("new", "s", 1, 2, 1), ("twice", "s", 1, 1, 1), ("twice", "s", 2, 1, 1)], "j2")
+    met = versions.met_hashes(known, brought, key)
+    want = brought.where("row_key <> 'new'").select(F.xxhash64(*key)).distinct()
+    assert sorted(r[0] for r in met.collect()) == sorted(r[0] for r in want.collect())
+    assert "BroadcastHashJoin" in met._jdf.queryExecution().executedPlan().toString()
+    upload.upload(book, brought, "j2")
+    view = {r.row_key: float(r.net_received) for r in upload.effective(book).collect()}
+    assert view["k3"] == 1 and view["new"] == 2 and len(view) == 11 and upload.check_view(book).count() == 0
