@@ -215,3 +215,10 @@ def test_a_small_batch_does_not_count_the_keys_of_the_view(spark, book):
     upload.upload(book, brought, "j2")
     view = {r.row_key: float(r.net_received) for r in upload.effective(book).collect()}
     assert view["k3"] == 1 and view["new"] == 2 and len(view) == 11 and upload.check_view(book).count() == 0
+
+
+def test_what_is_empty_is_known_to_be(spark, book):
+    brought = facts(spark, [("a", "s", 1, 1, 1)], "j1")
+    met = versions.met_hashes(upload.effective(book), brought, [*ledgers.PERIOD, "row_key"])
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and met.count() == 0
