@@ -107,6 +107,14 @@ def test_row_hash_is_that_of_the_json_list(spark):
     assert frame.select(keys.row_hash()).first()[0] == hashlib.sha256(expected.encode()).hexdigest()
 
 
+def test_json_texts_are_those_of_the_json_writer(spark):
+    texts = ["", "P7-F", "[a]", "a]", '"', "\\", "a\n", "\n", "\t", "\x1f", "\x7f", "红-S", "~ !#", "a'b/c", "\u2028", "😀"]
+    written = column_values(spark, texts, lambda v: F.to_json(F.array(v)))
+    assert column_values(spark, texts, keys._json_text) == [w[1:-1] for w in written]
+    plan = spark.createDataFrame([("a",)], "v string").select(keys._json_text(F.col("v")))._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN RLIKE" in plan  # plain texts do without the writer
+
+
 def test_row_key(spark):
     frame = spark.createDataFrame([("p", "o", "s", 1), ("p", "o", "s", None)], "p string, o string, s string, n int")
     c = F.col

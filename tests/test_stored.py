@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import versions
 from tallyspark.plans import formula
 from tallyspark.queries import inputs
-from tallyspark.schemas import FACT_TABLE, PARTITIONS
+from tallyspark.schemas import AMOUNTS, FACT_TABLE, PARTITIONS
 from tallyspark.session import new_folder
 from tallyspark.sources import store
 from tallyspark.sources.ledger import LOOKUP_VALUES, Ledger
@@ -76,6 +76,14 @@ def test_shuffles_move_numbers_the_formulas_still_need(spark):
     assert "qty_sold" in numbered and "_BI" not in numbered.split(" END")[0].split("CASE")[0]
 
 
+def test_shuffles_move_whole_cents(spark):
+    rows = formula._rows(inputs.wechat_raw(spark, tables(spark)), None, None)
+    moved = rows.select(*AMOUNTS, "_freight", "_commission").collect()
+    assert len(moved) == 40 and all(v == int(v) for row in moved for v in row)
+    shown = formula.formula_facts(inputs.wechat_raw(spark, tables(spark))).where("order_id = '0'").first()
+    assert [str(shown[n]) for n in ("recv_customer", "extra_charge", "fee_platform_comm")] == ["100.00", "-1.50", "1.20"]
+
+
 def test_distinct_columns_are_written_without_dictionary(spark):
     folder = inputs.fact_root(spark, tables(spark))
     parts = glob.glob(os.path.join(folder, "**", "*.parquet"), recursive=True)
