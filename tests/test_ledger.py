@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from tallyspark import session
 from tallyspark.operators import versions
 from tallyspark.operators.rollup import month_sku
 from tallyspark.plans import upload
@@ -222,3 +223,68 @@ def test_what_is_empty_is_known_to_be(spark, book):
     met = versions.met_hashes(upload.effective(book), brought, [*ledgers.PERIOD, "row_key"])
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and met.count() == 0
+
+
+def test_only_folders_with_replaced_rows_are_written_again(spark, book, monkeypatch):
+    given = [[("a", "s", 1, 1, 1), ("b", "s", 2, 2, 1)], [("c", "s", 1, 3, 1), ("d", "s", 2, 4, 1)], [("c", "s", 1, 5, 1), ("e", "s", 2, 6, 1)]]
+    for k, rows_ in enumerate(given, 1):
+        upload.upload(book, facts(spark, rows_, f"j{k}"), f"j{k}")
+    written = spark.read.parquet(f"{book.root}/effective").groupBy("row_key", "job_id").count().collect()
+    assert {(r.row_key, r.job_id): r["count"] for r in written} == {
+        ("a", "j1"): 1, ("b", "j1"): 1, ("c", "j2"): 1, ("d", "j2"): 2, ("c", "j3"): 1, ("e", "j3"): 1}
+    want = {"a": 1, "b": 2, "c": 5, "d": 4, "e": 6}
+    before = sorted(map(tuple, book.units("effective").collect()))
+    assert len(before) == 3 and {r.row_key: float(r.net_received) for r in upload.effective(book).collect()} == want
+    assert upload.effective(book, version=2).count() == 4 and upload.check_view(book).count() == 0
+    # A log that the driver does not keep is read to the same end, and months that it does not list are replaced alike.
+    monkeypatch.setattr(ledgers, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(ledgers, "LOCAL_ROWS", 0)
+    ledgers._kept.clear()
+    assert sorted(map(tuple, book.units("effective").collect())) == before and book.begin("j2").done == 2
+    upload.upload(book, facts(spark, [("a", "s", 1, 7, 1), ("d", "s", 1, 8, 1)], "j4"), "j4")
+    want |= {"a": 7, "d": 8}
+    assert {r.row_key: float(r.net_received) for r in upload.effective(book).collect()} == want
+    assert book.checkpoint() == 4 and book.begin("j3").done == 3
+    assert {r.row_key: float(r.net_received) for r in upload.effective(book).collect()} == want
+    book.vacuum(4)
+    assert {r.row_key: float(r.net_received) for r in upload.effective(book).collect()} == want
+    assert upload.check_view(book).count() == 0
+
+
+def test_a_small_batch_is_planned_once(spark):
+    names = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    with session.plans_for(spark, 1000):
+        assert spark.conf.get(names[0]) == "false" and int(spark.conf.get(names[1])) <= session.SMALL_PARTITIONS
+    with session.plans_for(spark, session.SMALL_BYTES):
+        assert [spark.conf.get(n) for n in names] == before
+    assert [spark.conf.get(n) for n in names] == before
+    with pytest.raises(ZeroDivisionError):
+        session.together(spark, lambda: 1 / 0, lambda: spark.range(3).count())
+
+
+def test_few_replaced_rows_are_hidden_where_they_lie(spark, book):
+    first = [(f"k{n:02}", "s", n, n, 1) for n in range(40)]
+    upload.upload(book, facts(spark, first, "j1"), "j1")
+    want = {k: float(a) for k, _, _, a, _ in first}
+    for k, again in enumerate(([("k03", "t", 1, 100, 1), ("new", "t", 2, 7, 1)], [("k03", "s", 1, 200, 1), ("k05", "s", 2, 300, 1)]), 2):
+        upload.upload(book, facts(spark, again, f"j{k}"), f"j{k}")
+        want |= {r[0]: float(r[3]) for r in again}
+        assert {r.row_key: float(r.net_received) for r in upload.effective(book).collect()} == want and upload.check_view(book).count() == 0
+    written = spark.read.parquet(f"{book.root}/effective")
+    assert written.where("job_id = 'j1'").count() == 40  # not written again
+    assert sorted((r.row_key, r.seq) for r in book.read("hidden", upload.HIDDEN).collect()) == [("k03", 2), ("k05", 3)]
+    assert upload.effective(book, version=1).count() == 40 and upload.effective(book, version=2).count() == 41
+    assert "k03" in {r.row_key for r in upload.effective(book, version=1).where("net_received = 3").collect()}
+    upload.compact(book, "effective", "compact")
+    assert {r.row_key: float(r.net_received) for r in upload.effective(book).collect()} == want
+    assert book.units("effective").count() == 1 and upload.check_view(book).count() == 0
+    # Many replaced rows: the folder is written again.
+    many = [(f"k{n:02}", "s", n, n + 500, 1) for n in range(8, 30)]
+    upload.upload(book, facts(spark, many, "j4"), "j4")
+    want |= {r[0]: float(r[3]) for r in many}
+    assert {r.row_key: float(r.net_received) for r in upload.effective(book).collect()} == want and upload.check_view(book).count() == 0
+    assert book.read("hidden", upload.HIDDEN).where("seq > 4").count() == 0
+    upload.upload(book, facts(spark, [("k03", "s", 1, 1, 1)], "j5"), "j5", "replace")
+    assert [(r.row_key, r.job_id) for r in upload.effective(book).collect()] == [("k03", "j5")]
+    assert book.read("hidden", upload.HIDDEN).count() == 0
