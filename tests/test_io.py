@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators.rollup import merged_operations, operation_sketches
 from tallyspark.operators.versions import bucketed_changes, effective_rows
 from tallyspark.plans import export, upload
-from tallyspark.schemas import FACT_TABLE, JOB_RECORD
+from tallyspark.schemas import AMOUNTS, FACT_TABLE, JOB_RECORD
 from tallyspark.session import new_folder
 from tallyspark.sources import quoted, ranges, records, store
 from tallyspark.sources.ledger import Ledger
@@ -295,3 +295,21 @@ def test_sketches_merge(spark):
         for q, p in ((0.5, r.p50), (0.95, r.p95), (0.99, r.p99)):
             assert abs(sum(v <= p for v in values) / len(values) - q) < 0.015
         assert r.jobs == exact[k].jobs and r.success_rate == 1
+
+
+def test_running_totals_keep_their_state_on_disk(spark, tmp_path):
+    keys = ["year", "month", "internal_sku"]
+    frame = spark.range(60).select(
+        F.lit(2024).alias("year"), (F.col("id") % 3).cast("int").alias("month"), F.concat(F.lit("s"), F.col("id") % 5).alias("internal_sku"),
+        *[F.col("id").cast("decimal(28,2)").alias(a) for a in AMOUNTS])
+    frame.repartition(4).write.parquet(str(tmp_path / "landing"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "landing"))
+    root, name = str(tmp_path / "totals"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    query = stream_jobs.running_totals(stream, keys, root, str(tmp_path / "checkpoint"), compact_every=2)
+    query.awaitTermination()
+    assert spark.conf.get(name) == before
+    state = query.lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] == 15 and any(m.startswith("rocksdb") for m in state["customMetrics"])
+    got = {tuple(r[k] for k in keys): r.record_count for r in stream_jobs.latest_values(spark, root, keys).collect()}
+    assert len(got) == 15 and sum(got.values()) == 60
