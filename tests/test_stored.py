@@ -14,7 +14,7 @@ from tallyspark.plans import formula
 from tallyspark.queries import inputs
 from tallyspark.schemas import AMOUNTS, FACT_TABLE, PARTITIONS
 from tallyspark.session import new_folder
-from tallyspark.sources import store
+from tallyspark.sources import ranges, sheets, store
 from tallyspark.sources.ledger import LOOKUP_VALUES, Ledger
 
 LINES = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
@@ -105,3 +105,16 @@ def test_filters_of_small_files_are_small(spark):
 def test_a_month_is_no_job_of_many_tasks(spark):
     month = Ledger(spark, "/none").months(user_id="u", year=2024)
     assert [tuple(r) for r in month.collect()] == [("u", None, 2024, None)] and month.rdd.getNumPartitions() == 1
+
+
+def test_ordered_and_staged_copies_are_packed_like_facts(spark, tmp_path):
+    frame = spark.range(200).select(F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("row_hash"))
+    ranges.write_ordered(frame, str(tmp_path / "ordered"), ["id"], 100)
+    sheets.stage_rows(frame, str(tmp_path / "staged"))
+    for kind in ("ordered/rows", "staged"):
+        files = [*(tmp_path / kind).rglob("*.parquet")]
+        chunks = [pq.ParquetFile(f).metadata.row_group(0).column(k) for f in files for k in (0, 1)]
+        assert chunks and {c.compression for c in chunks} == {"ZSTD"}
+        if kind != "staged":
+            assert not any(e.endswith("DICTIONARY") for c in chunks if c.path_in_schema == "row_hash" for e in c.encodings)
+    assert [r.id for r in ranges.page(spark, str(tmp_path / "ordered"), frame.schema, ["id"], 5, 98).collect()] == [*range(98, 103)]
